@@ -33,7 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(own)
         told = own
-    return told.rstrip("/") + "/cytolake-" + spark.sparkContext.applicationId
+    return qualified(spark, told).rstrip("/") + "/cytolake-" + spark.sparkContext.applicationId
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, so that executors open the same store that Spark does."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 _OWN: list[tempfile.TemporaryDirectory] = []
