@@ -5,6 +5,145 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bases, pileup
+from ..sources import fixtures as fx
+from ..sources import genome as gn
+from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, *needs: str):
+    """Registers a query; ``sql`` may use the common tables that it ``needs``."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = oracle.with_tables(sql, *needs) if needs else sql
+        return f
+
+    return add
+
+
+# -- genome --------------------------------------------------------------------------------------------------------
+
+
+@query("genome_cpg_sites", "SELECT chrom, pos1 - 1 AS beg0, pos1 + 1 AS \"end\" FROM site WHERE ref = 'C' AND substr(five, 4, 1) = 'G'", "site")
+def genome_cpg_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gn.cpg_sites(fx.genome(spark, sf_dir))
+
+
+@query("gc_windows", """SELECT chrom, k * 100 AS beg0, (k + 1) * 100 AS "end", length(w) - length(translate(w, 'GC', '')) AS gc FROM
+ (SELECT chrom, k, substr(seq, k * 100 + 1, 100) AS w FROM (SELECT chrom, seq, CAST(unnest(range(0, length(seq) // 100)) AS BIGINT) AS k FROM genome))""", "genome")
+def gc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gn.gc_windows(fx.genome(spark, sf_dir))
+
+
+@query("aligned_columns", "SELECT rid, op, col, qpos, rpos, qb, bq, rb, five FROM px", "px")
+def aligned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = bases.with_slice(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir))
+    return bases.columns(reads, ("rid",)).drop("pos1")
+
+
+@query("read_filter_pass", "SELECT rid, chrom, pos1, mapq, cigar, seq FROM kept", "kept")
+def read_filter_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bases.keep_reads(fx.alignments(spark, sf_dir)).select("rid", "chrom", "pos1", "mapq", "cigar", "seq")
+
+
+# -- pileup --------------------------------------------------------------------------------------------------------
+
+oracle.define("coded", """SELECT *, CASE WHEN bss = 0 AND qb = 'T' THEN 'Y' WHEN bss = 1 AND qb = 'A' THEN 'R' ELSE qb END AS code,
+ CASE WHEN bss = 0 AND rb = 'C' AND qb = 'C' OR bss = 1 AND rb = 'G' AND qb = 'G' THEN 'R' WHEN bss = 0 AND rb = 'C' AND qb = 'T' OR bss = 1 AND rb = 'G' AND qb = 'A' THEN 'C' ELSE 'N' END AS meth FROM good""", "good")
+_N = ", ".join(f"count(*) FILTER (code = '{b}') AS n_{b}" for b in "ACGTYR")
+oracle.define("plp0", f"SELECT chrom, rpos AS pos1, sid, count(*) FILTER (meth = 'R') AS n_ret, count(*) FILTER (meth = 'C') AS n_conv, {_N} FROM coded GROUP BY ALL", "coded")
+_Z = ", ".join(f"coalesce(n_{b}, 0) AS n_{b}" for b in ("ret", "conv", *"ACGTYR"))
+oracle.define("plp", f"""SELECT chrom, pos1, sid, ref, five, dp, {_Z} FROM (SELECT chrom, rpos AS pos1, sid, any_value(rb) AS ref, any_value(five) AS five, count(*) AS dp FROM base WHERE rb <> 'N' GROUP BY chrom, rpos, sid)
+ LEFT JOIN plp0 USING (chrom, pos1, sid)""", "base", "plp0")
+oracle.define("red0", """SELECT *, sum(n_A) OVER s AS t_a, sum(n_C) OVER s AS t_c, sum(n_G) OVER s AS t_g, sum(n_T) OVER s AS t_t FROM plp WINDOW s AS (PARTITION BY chrom, pos1)""", "plp")
+oracle.define("red1", """SELECT *, (ref = 'T' OR t_t > 0) AND t_c = 0 AND ref <> 'C' AS y2t, (ref = 'C' OR t_c > 0) AND t_t = 0 AND ref <> 'T' AS y2c,
+ (ref = 'A' OR t_a > 0) AND t_g = 0 AND ref <> 'G' AS r2a, (ref = 'G' OR t_g > 0) AND t_a = 0 AND ref <> 'A' AS r2g FROM red0""", "red0")
+oracle.define("red", """SELECT chrom, pos1, sid, ref, five, dp, n_ret, n_conv, n_A + CASE WHEN r2a THEN n_R ELSE 0 END AS n_A, n_C + CASE WHEN y2c THEN n_Y ELSE 0 END AS n_C, n_G + CASE WHEN r2g THEN n_R ELSE 0 END AS n_G,
+ n_T + CASE WHEN y2t THEN n_Y ELSE 0 END AS n_T, CASE WHEN y2t OR y2c THEN 0 ELSE n_Y END AS n_Y, CASE WHEN r2a OR r2g THEN 0 ELSE n_R END AS n_R,
+ CASE WHEN n_A + n_C + n_G + n_T + n_Y + n_R = 0 THEN '.' ELSE
+ concat(CASE WHEN ref = 'A' AND n_A > 0 THEN 'A' || n_A WHEN ref = 'C' AND n_C > 0 THEN 'C' || n_C WHEN ref = 'G' AND n_G > 0 THEN 'G' || n_G WHEN ref = 'T' AND n_T > 0 THEN 'T' || n_T END,
+ CASE WHEN ref <> 'A' AND n_A > 0 THEN 'A' || n_A END, CASE WHEN ref <> 'C' AND n_C > 0 THEN 'C' || n_C END, CASE WHEN ref <> 'G' AND n_G > 0 THEN 'G' || n_G END, CASE WHEN ref <> 'T' AND n_T > 0 THEN 'T' || n_T END,
+ CASE WHEN n_Y > 0 THEN 'Y' || n_Y END, CASE WHEN n_R > 0 THEN 'R' || n_R END) END AS sp FROM red1""", "red1")
+oracle.define("mut0", "SELECT chrom, pos1, any_value(ref) AS ref, sum(n_ret + n_conv) AS meth, " + ", ".join(f"sum(n_{b}) AS {b}" for b in "ACGTYR") + " FROM red GROUP BY chrom, pos1", "red")
+oracle.define("mut", """SELECT chrom, pos1, meth, (SELECT b FROM (VALUES ('A', 0, "A"), ('C', 1, "C"), ('G', 2, "G"), ('T', 3, "T"), ('Y', 5, CASE WHEN ref IN ('C', 'T') THEN 0 ELSE "Y" END), ('R', 6, CASE WHEN ref IN ('A', 'G') THEN 0 ELSE "R" END)) v(b, k, n)
+ WHERE n > 0 AND b <> ref ORDER BY n DESC, k LIMIT 1) AS alt FROM mut0""", "mut0")
+oracle.define("call0", """SELECT red.*, alt, CASE ref WHEN 'A' THEN n_A WHEN 'C' THEN n_C WHEN 'G' THEN n_G WHEN 'T' THEN n_T END AS nref,
+ CASE alt WHEN 'A' THEN n_A WHEN 'C' THEN n_C WHEN 'G' THEN n_G WHEN 'T' THEN n_T WHEN 'Y' THEN n_Y WHEN 'R' THEN n_R ELSE 0 END AS nalt,
+ CASE WHEN ref = 'G' THEN reverse(translate(five, 'ACGTN', 'TGCAN')) ELSE five END AS n5x,
+ n_ret + n_conv > 0 AND (ref = 'C' AND (n_T = 0 OR n_C > 0 AND n_T / n_C < 0.05) OR ref = 'G' AND (n_A = 0 OR n_G > 0 AND n_A / n_G < 0.05)) AS callable
+ FROM red JOIN mut USING (chrom, pos1) WHERE alt IS NOT NULL OR meth > 0""", "red", "mut")
+oracle.define("call1", """SELECT *, ln(1.0 / 3) + nref * ln(0.99) + nalt * ln(0.01) AS g0, ln(1.0 / 3) + (nref + nalt) * ln(0.5) AS g1, ln(1.0 / 3) + nref * ln(0.01) + nalt * ln(0.99) AS g2 FROM call0""", "call0")
+oracle.define("call2", """SELECT *, CASE WHEN g0 > g1 AND g0 > g2 THEN 0 WHEN g0 > g1 THEN 2 WHEN g1 > g2 THEN 1 ELSE 2 END AS best, greatest(g0, g1, g2) AS top FROM call1""", "call1")
+oracle.define("call3", """SELECT *, ln(exp(least(g0 - top, 0)) + exp(g1 - top) + exp(g2 - top)) AS z, CASE best WHEN 0 THEN exp(g1 - top) + exp(g2 - top) WHEN 1 THEN exp(g0 - top) + exp(g2 - top) ELSE exp(g0 - top) + exp(g1 - top) END AS rest FROM call2""", "call2")
+oracle.define("call", """SELECT chrom, pos1, sid, ref, alt, n_ret, n_conv, n_A, n_C, n_G, n_T, n_Y, n_R, dp, sp, callable, nref, nalt,
+ CASE WHEN ref NOT IN ('C', 'G') THEN NULL WHEN contains(n5x, 'N') THEN 'CN' WHEN substr(n5x, 4, 1) = 'G' THEN 'CG' WHEN substr(n5x, 5, 1) = 'G' THEN 'CHG' ELSE 'CHH' END AS cx,
+ CASE WHEN ref IN ('C', 'G') THEN n5x END AS n5, CASE WHEN callable THEN n_ret / (n_ret + n_conv) END AS beta, CASE WHEN callable THEN n_ret + n_conv ELSE 0 END AS cov,
+ CASE WHEN nref + nalt = 0 THEN './.' WHEN best = 0 THEN '0/0' WHEN best = 1 THEN '0/1' ELSE '1/1' END AS gt,
+ CASE WHEN nref + nalt > 0 THEN g0 END AS gl0, CASE WHEN nref + nalt > 0 THEN g1 END AS gl1, CASE WHEN nref + nalt > 0 THEN g2 END AS gl2,
+ CASE WHEN nref + nalt = 0 THEN 0.0 ELSE least(1000.0, greatest(0.0, -10 * (ln(rest) - z) / ln(10))) END AS gq,
+ CASE WHEN alt IS NOT NULL THEN nref + nalt END AS ac, CASE WHEN alt IS NOT NULL AND nref + nalt > 0 THEN nalt / (nref + nalt) END AS af1 FROM call3""", "call3")
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.site_bases(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir))
+
+
+def _calls(spark: SparkSession, sf_dir: str, o: pileup.Options = pileup.Options()) -> DataFrame:
+    return pileup.calls(pileup.counts(pileup.site_bases(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), o)), o)
+
+
+@query("pileup_meth", "SELECT chrom, pos1, sid, n_ret, n_conv FROM plp WHERE n_ret + n_conv > 0", "plp")
+def pileup_meth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.counts(_rows(spark, sf_dir)).where("n_ret + n_conv > 0").select("chrom", "pos1", "sid", "n_ret", "n_conv")
+
+
+@query("pileup_base_counts", 'SELECT chrom, pos1, sid, ref, dp, n_A AS "n_A", n_C AS "n_C", n_G AS "n_G", n_T AS "n_T", n_Y AS "n_Y", n_R AS "n_R" FROM plp', "plp")
+def pileup_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.counts(_rows(spark, sf_dir)).drop("five", "n_ret", "n_conv")
+
+
+@query("pileup_redistribute", 'SELECT chrom, pos1, sid, n_A AS "n_A", n_C AS "n_C", n_G AS "n_G", n_T AS "n_T", n_Y AS "n_Y", n_R AS "n_R" FROM red', "red")
+def pileup_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.redistributed(pileup.counts(_rows(spark, sf_dir))).drop("ref", "five", "dp", "n_ret", "n_conv")
+
+
+@query("pileup_top_allele", "SELECT chrom, pos1, sid, ref, alt, ac, af1, sp FROM call WHERE alt IS NOT NULL", "call")
+def pileup_top_allele(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir).where("alt is not null").select("chrom", "pos1", "sid", "ref", "alt", "ac", "af1", "sp")
+
+
+@query("pileup_callable_beta", "SELECT chrom, pos1, sid, cx, n5, beta, cov, dp FROM call WHERE callable", "call")
+def pileup_callable_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir).where("callable").select("chrom", "pos1", "sid", "cx", "n5", "beta", "cov", "dp")
+
+
+@query("pileup_genotype", """SELECT chrom, pos1, sid, gt, round(gl0, 6) AS gl0, round(gl1, 6) AS gl1, round(gl2, 6) AS gl2, round(gq, 4) AS gq, CAST(floor(round(min(gq) OVER s, 6)) AS INTEGER) AS qual, round(min(gq) OVER s, 6) > 5 AS pass
+ FROM call WINDOW s AS (PARTITION BY chrom, pos1)""", "call")
+def pileup_genotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = lambda c, k: F.round(c, k).alias(c)
+    return _calls(spark, sf_dir).select("chrom", "pos1", "sid", "gt", r("gl0", 6), r("gl1", 6), r("gl2", 6), r("gq", 4), "qual", "pass")
+
+
+@query("meth_average_rollup", """SELECT sid, chrom, cx, n, round(s / n, 9) AS mean_beta FROM (SELECT *, max(CASE WHEN cx = 'CG' THEN n END) OVER (PARTITION BY sid, chrom) AS m FROM
+ (SELECT sid, chrom, cx, count(*) AS n, sum(beta) AS s FROM (SELECT sid, chrom, cx, beta FROM call WHERE callable AND cx <> 'CN' UNION ALL SELECT sid, chrom, 'CH', beta FROM call WHERE callable AND cx IN ('CHG', 'CHH'))
+ GROUP BY GROUPING SETS ((sid, chrom, cx), (sid, cx)))) WHERE m > 0""", "call")
+def meth_average_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.average_methylation(_calls(spark, sf_dir)).withColumn("mean_beta", F.round("mean_beta", 9))
+
+
+@query("pileup_diagnostics", """SELECT chrom, rpos AS pos1, sid, bss, string_agg(code, '' ORDER BY rid, qpos) AS bs, string_agg(meth, '' ORDER BY rid, qpos) AS sta, string_agg(chr(CAST(bq + 33 AS INTEGER)), '' ORDER BY rid, qpos) AS bq,
+ string_agg(CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END, '' ORDER BY rid, qpos) AS str, string_agg(CAST(qpos AS VARCHAR), ',' ORDER BY rid, qpos) AS pos FROM coded GROUP BY chrom, rpos, sid, bss""", "coded")
+def pileup_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.diagnostics(_rows(spark, sf_dir))
+
+
+@query("pileup_retention_per_read", "SELECT rid, count(*) FILTER (bss = 1 AND rb = 'C' AND qb = 'C' OR bss = 0 AND rb = 'G' AND qb = 'G') AS n_retained FROM base GROUP BY rid", "base")
+def pileup_retention_per_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.read_retention(_rows(spark, sf_dir))
