@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bases, pileup
+from ..operators import bases, coverage, methbed, pileup, readqc
 from ..sources import fixtures as fx
 from ..sources import genome as gn
 from . import oracle
@@ -147,3 +147,215 @@ def pileup_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pileup_retention_per_read", "SELECT rid, count(*) FILTER (bss = 1 AND rb = 'C' AND qb = 'C' OR bss = 0 AND rb = 'G' AND qb = 'G') AS n_retained FROM base GROUP BY rid", "base")
 def pileup_retention_per_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.read_retention(_rows(spark, sf_dir))
+
+
+# -- reads ---------------------------------------------------------------------------------------------------------
+
+oracle.define("mapped", "SELECT * FROM aln JOIN (SELECT rid, c2t, g2a, bss, tag, own FROM strand) USING (rid) WHERE flag & 4 = 0", "aln", "strand")
+oracle.define("cyt0", """SELECT px.*, bss, CASE WHEN rb = 'G' THEN reverse(translate(five, 'ACGTN', 'TGCAN')) ELSE five END AS n5 FROM px JOIN strand USING (rid)
+ WHERE op = 'M' AND flag & 4 = 0 AND (bss = 0 AND rb = 'C' OR bss = 1 AND rb = 'G')""", "px", "strand")
+oracle.define("cyt", """SELECT *, CASE WHEN qb = rb THEN 'R' WHEN rb = 'C' AND qb = 'T' OR rb = 'G' AND qb = 'A' THEN 'C' ELSE 'N' END AS state FROM cyt0""", "cyt0")
+oracle.define("conv", "SELECT rid, " + ", ".join(f"count(n5) FILTER (state = '{s.upper()}' AND substr(n5, 4, 1) = '{b.upper()}') AS c{b}_{s}" for b in "acgt" for s in "rc") + " FROM (SELECT rid FROM mapped) LEFT JOIN cyt USING (rid) GROUP BY rid", "mapped", "cyt")
+
+
+def _strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.strands(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir))
+
+
+@query("bsstrand_resolve", "SELECT rid, bss, tag FROM mapped", "mapped")
+def bsstrand_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = fx.alignments(spark, sf_dir).where(~bases.has(bases.UNMAPPED))
+    return bases.with_strand(bases.with_slice(reads, fx.genome(spark, sf_dir))).select("rid", "bss", bases.strand_tag().alias("tag"))
+
+
+@query("bsstrand_infer", "SELECT rid, c2t, g2a, own FROM mapped", "mapped")
+def bsstrand_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strands(spark, sf_dir).select("rid", "c2t", "g2a", "own")
+
+
+@query("bsstrand_correct", "SELECT rid, own AS \"YD\", c2t AS \"YC\", g2a AS \"YG\" FROM mapped", "mapped")
+def bsstrand_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.corrected(_strands(spark, sf_dir), counts=True).select("rid", "YD", "YC", "YG")
+
+
+@query("bsstrand_confusion", "SELECT tag, own, count(*) AS n FROM mapped GROUP BY tag, own", "mapped")
+def bsstrand_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.confusion(_strands(spark, sf_dir))
+
+
+@query("strand_table", "SELECT CASE WHEN flag & 64 <> 0 THEN 1 ELSE 2 END AS mate, flag & 16 <> 0 AS reverse, tag, count(*) AS n FROM mapped GROUP BY ALL", "mapped")
+def strand_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.strand_table(_strands(spark, sf_dir))
+
+
+@query("flip_strands", "SELECT rid, xor(flag, 16) AS flag FROM aln", "aln")
+def flip_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.flip_strands(fx.alignments(spark, sf_dir)).select("rid", "flag")
+
+
+@query("cinread_long", """SELECT rid, qname, CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS qpair, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, CASE WHEN bss = 1 THEN '-' ELSE '+' END AS bsstrand, mapq,
+ pos1 AS qbeg, pos1 + span - 1 AS qend, chrom, rpos AS crpos, CASE WHEN substr(n5, 4, 1) <> 'G' THEN -1 WHEN rb = 'C' THEN rpos ELSE rpos - 1 END AS cgrpos, qpos AS cqpos, rb AS crbase,
+ CASE WHEN substr(n5, 4, 1) = 'G' THEN 'CG' WHEN substr(n5, 5, 1) = 'G' THEN 'CHG' ELSE 'CHH' END AS cctxt, qb AS cqbase, state AS cretention FROM cyt WHERE NOT contains(n5, 'N')""", "cyt")
+def cinread_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.cytosines(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Cytosines("c")).drop("rlen", "flag")
+
+
+@query("cinread_gch", "SELECT rid, rpos AS crpos, state AS cretention, CASE WHEN substr(n5, 2, 1) = 'G' THEN 'GCH' END AS cctxt FROM cyt WHERE NOT contains(n5, 'N') AND substr(n5, 2, 1) = 'G' AND substr(n5, 4, 1) <> 'G'", "cyt")
+def cinread_gch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.cytosines(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Cytosines("gch", True)).select("rid", "crpos", "cretention", "cctxt")
+
+
+@query("retention_by_readpos", """SELECT CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, CASE WHEN flag & 16 <> 0 THEN 50 - qpos + 1 ELSE qpos END AS qpos, state, count(*) AS n
+ FROM cyt WHERE NOT contains(n5, 'N') AND state <> 'N' GROUP BY ALL""", "cyt")
+def retention_by_readpos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.retention_by_position(readqc.cytosines(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Cytosines("c")))
+
+
+@query("bsconv_counts", "SELECT * FROM conv", "conv")
+def bsconv_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.conversion_counts(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir))
+
+
+@query("bsconv_filter", """SELECT rid, concat('CA_R', ca_r, 'C', ca_c, ',CC_R', cc_r, 'C', cc_c, ',CG_R', cg_r, 'C', cg_c, ',CT_R', ct_r, 'C', ct_c) AS "ZN" FROM conv
+ WHERE NOT (ca_r + cc_r + ct_r > 3 OR cc_r + ct_r > 2 OR ca_r + cc_r + ct_r + ca_c + cc_c + ct_c > 0 AND (ca_r + cc_r + ct_r) / (ca_r + cc_r + ct_r + ca_c + cc_c + ct_c) > 0.5)""", "conv")
+def bsconv_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = readqc.Conversion(max_cph=3, max_cpy=2, max_cph_fraction=0.5)
+    return readqc.conversion_filter(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), o).select("rid", "ZN")
+
+
+@query("bsconv_summary", "SELECT (SELECT count(*) FROM aln) AS n_processed, (SELECT count(*) FROM conv WHERE ca_r + cc_r + ct_r <= 3) AS n_remaining", "aln", "conv")
+def bsconv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.conversion_summary(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Conversion(max_cph=3))
+
+
+@query("conversion_by_read", """SELECT context, retained, converted, retained / (retained + converted) AS rate FROM (SELECT unnest(['CA', 'CC', 'CG', 'CT']) AS context, unnest([sum(ca_r), sum(cc_r), sum(cg_r), sum(ct_r)]) AS retained,
+ unnest([sum(ca_c), sum(cc_c), sum(cg_c), sum(ct_c)]) AS converted FROM conv JOIN aln USING (rid) WHERE flag & 1024 = 0 AND flag & 1 <> 0 AND flag & 2 <> 0 AND flag & 256 = 0 AND mapq >= 40)""", "conv", "aln")
+def conversion_by_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.read_average_conversion(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir))
+
+
+@query("mapq_hist", """SELECT k AS mapq, count(rid) AS n FROM (SELECT CAST(unnest(range(0, 61)) AS VARCHAR) AS k UNION ALL SELECT 'unmapped') LEFT JOIN
+ (SELECT rid, CASE WHEN flag & 4 <> 0 THEN 'unmapped' ELSE CAST(mapq AS VARCHAR) END AS k FROM aln WHERE flag & 256 = 0) USING (k) GROUP BY k""", "aln")
+def mapq_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.mapq_histogram(fx.alignments(spark, sf_dir))
+
+
+@query("isize_hist", "SELECT isize, count(*) AS n, count(*) / sum(count(*)) OVER () AS fraction FROM aln WHERE flag & 2 <> 0 AND flag & 256 = 0 AND mapq >= 40 AND isize BETWEEN 0 AND 1000 GROUP BY isize", "aln")
+def isize_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.insert_histogram(fx.alignments(spark, sf_dir))
+
+
+@query("dup_report", """SELECT count(*) AS n, count(*) FILTER (flag & 1024 <> 0) AS n_dup, count(*) FILTER (mapq >= 40) AS n_q40, count(*) FILTER (flag & 1024 <> 0 AND mapq >= 40) AS n_q40_dup
+ FROM aln WHERE flag & 256 = 0 AND flag & 4 = 0""", "aln")
+def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.duplicate_report(fx.alignments(spark, sf_dir))
+
+
+# -- methylation tables --------------------------------------------------------------------------------------------
+
+_BED = "chrom, pos1 - 1 AS beg0, pos1 AS \"end\", sid, beta, cov"
+oracle.define("bed1", f"""SELECT {_BED}, CAST(floor(beta * cov + 0.5) AS INTEGER) AS m, cov - CAST(floor(beta * cov + 0.5) AS INTEGER) AS u, ref, cx, substr(n5, 3, 2) AS ctx2, n5 FROM
+ (SELECT *, max(cov) OVER (PARTITION BY chrom, pos1) AS most FROM call WHERE cx IS NOT NULL) WHERE most >= 1""", "call")
+oracle.define("cpg1", """SELECT b.chrom, b.beg0, b.sid, b.beta, b.cov, ref, CASE WHEN ref = 'C' THEN b.beg0 ELSE b.beg0 - 1 END AS cpg, s.five FROM bed1 b JOIN (SELECT chrom, pos1, five FROM site) s ON s.chrom = b.chrom AND s.pos1 = b.beg0 + 1
+ WHERE cx = 'CG'""", "bed1", "site")
+_MERGE = """SELECT chrom, beg0, beg0 + 2 AS "end", sid, CASE WHEN c_cov + g_cov > 0 THEN (CASE WHEN c_cov > 0 THEN round_even(CAST(CAST(c_beta AS FLOAT) * CAST(c_cov AS FLOAT) AS DOUBLE), 0) ELSE 0 END
+ + CASE WHEN g_cov > 0 THEN round_even(CAST(CAST(g_beta AS FLOAT) * CAST(g_cov AS FLOAT) AS DOUBLE), 0) ELSE 0 END) / (c_cov + g_cov) END AS beta, c_cov + g_cov AS cov, c_beta, c_cov, g_beta, g_cov FROM
+ (SELECT chrom, cpg AS beg0, sid, max(beta) FILTER (ref = 'C') AS c_beta, coalesce(max(cov) FILTER (ref = 'C'), 0) AS c_cov, max(beta) FILTER (ref = 'G') AS g_beta, coalesce(max(cov) FILTER (ref = 'G'), 0) AS g_cov FROM cpg1 {} GROUP BY chrom, cpg, sid)"""
+
+
+def _bed(spark: SparkSession, sf_dir: str, target: str, min_cov: int = 1) -> DataFrame:
+    return methbed.vcf2bed(_calls(spark, sf_dir), target, min_cov)
+
+
+@query("vcf2bed_cg", "SELECT * FROM bed1 WHERE cx = 'CG'", "bed1")
+def vcf2bed_cg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bed(spark, sf_dir, "cg")
+
+
+@query("vcf2bed_ch", "SELECT * FROM bed1 WHERE cx IN ('CHG', 'CHH')", "bed1")
+def vcf2bed_ch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bed(spark, sf_dir, "ch")
+
+
+@query("vcf2bed_gch", "SELECT * FROM bed1 WHERE cx IN ('CHG', 'CHH') AND substr(n5, 2, 1) = 'G'", "bed1")
+def vcf2bed_gch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bed(spark, sf_dir, "gch")
+
+
+@query("vcf2bed_snp", """SELECT chrom, pos1 - 1 AS beg0, pos1 AS "end", ref, CASE WHEN alt IN ('Y', 'R') THEN 'N' ELSE alt END AS alt, sid, gt, sp, ac, af1 FROM
+ (SELECT *, max(ac) OVER s AS most, max(af1) OVER s AS af FROM call WHERE alt IS NOT NULL WINDOW s AS (PARTITION BY chrom, pos1)) WHERE most >= 1 AND af > 0""", "call")
+def vcf2bed_snp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methbed.vcf2bed_snp(_calls(spark, sf_dir), 1)
+
+
+@query("mergecg", _MERGE.format(""), "cpg1")
+def mergecg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methbed.mergecg(_bed(spark, sf_dir, "cg"), fx.genome(spark, sf_dir))
+
+
+@query("mergecg_nome", _MERGE.format("WHERE ref = 'C' AND substr(five, 2, 1) <> 'G' AND substr(five, 5, 1) <> 'C' OR ref = 'G' AND substr(five, 1, 1) <> 'G' AND substr(five, 4, 1) <> 'C'"), "cpg1")
+def mergecg_nome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methbed.mergecg(_bed(spark, sf_dir, "cg"), fx.genome(spark, sf_dir), nome=True)
+
+
+@query("base_conversion", """SELECT ctx2, count(*) AS n, CASE WHEN count(*) < 20 THEN -1 ELSE round(avg(beta), 9) END AS mean_beta FROM bed1 WHERE cov > 0 AND beta IS NOT NULL AND ctx2 IN ('CA', 'CC', 'CG', 'CT') GROUP BY ctx2""", "bed1")
+def base_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methbed.base_conversion(_bed(spark, sf_dir, "c")).withColumn("mean_beta", F.round("mean_beta", 9))
+
+
+@query("methylkit_export", """SELECT sid, chrom || '.' || "end" AS "chrBase", chrom AS chr, "end" AS base, CASE WHEN ref = 'C' THEN 'F' ELSE 'R' END AS strand, cov AS coverage, 100 * beta AS "freqC", 100 * (1 - beta) AS "freqT" FROM bed1 WHERE cov > 0 AND cx = 'CG'""", "bed1")
+def methylkit_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methbed.methylkit(_bed(spark, sf_dir, "cg"))
+
+
+# -- coverage ------------------------------------------------------------------------------------------------------
+
+oracle.define("covered", """SELECT chrom, CAST(rpos AS BIGINT) AS pos1, count(*) AS d FROM px WHERE op IN ('M', 'D') AND flag & 4 = 0 AND flag & 256 = 0 AND flag & 512 = 0 AND mapq >= 40 GROUP BY chrom, rpos""", "px")
+oracle.define("perbase", "SELECT chrom, pos1, ref, five, coalesce(d, 0) AS depth FROM site LEFT JOIN covered USING (chrom, pos1)", "site", "covered")
+oracle.define("gcw", """SELECT chrom, k * 100 AS beg0, (k + 1) * 100 AS "end", length(w) - length(translate(w, 'GC', '')) AS gc FROM
+ (SELECT chrom, k, substr(seq, k * 100 + 1, 100) AS w FROM (SELECT chrom, seq, CAST(unnest(range(0, length(seq) // 100)) AS BIGINT) AS k FROM genome))""", "genome")
+
+
+def _depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = fx.genome(spark, sf_dir).select("chrom", F.length("seq").alias("clen"))
+    return coverage.depth(coverage.reads_for(fx.alignments(spark, sf_dir), "q40"), contigs)
+
+
+@query("coverage_depth", """SELECT chrom, min(pos1) - 1 AS beg0, max(pos1) AS "end", any_value(depth) AS depth FROM (SELECT chrom, pos1, depth, pos1 - row_number() OVER (PARTITION BY chrom, depth ORDER BY pos1) AS run FROM perbase) GROUP BY chrom, depth, run""", "perbase")
+def coverage_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _depth(spark, sf_dir)
+
+
+@query("depth_histogram", "SELECT chrom, depth, count(*) AS n FROM perbase GROUP BY ALL", "perbase")
+def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.total_depth(_depth(spark, sf_dir))
+
+
+@query("cpg_min_depth", """SELECT a.chrom, a.pos1 - 1 AS beg0, a.pos1 + 1 AS "end", least(a.depth, b.depth) AS depth FROM perbase a JOIN perbase b ON a.chrom = b.chrom AND b.pos1 = a.pos1 + 1 WHERE a.ref = 'C' AND b.ref = 'G'""", "perbase")
+def cpg_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.least_depth(gn.cpg_sites(fx.genome(spark, sf_dir)), _depth(spark, sf_dir))
+
+
+@query("depth_moments", "SELECT count(*) AS n, round(avg(depth), 9) AS mean, round(stddev_pop(depth), 6) AS sd, round(stddev_pop(depth) / avg(depth), 6) AS cv FROM perbase", "perbase")
+def depth_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = coverage.total_depth(_depth(spark, sf_dir)).groupBy("depth").agg(F.sum("n").alias("n"))
+    return coverage.moments(hist).select("n", F.round("mean", 9).alias("mean"), F.round("sd", 6).alias("sd"), F.round("cv", 6).alias("cv"))
+
+
+_DECILE = """SELECT chrom, beg0, "end", gc FROM (SELECT *, row_number() OVER (ORDER BY gc {0}, chrom || chr(9) || beg0 || chr(9) || "end" {0}) AS k, count(*) OVER () AS n FROM gcw) WHERE k <= floor(n * 0.1 + 0.5)"""
+
+
+@query("gc_decile_top", _DECILE.format("DESC"), "gcw")
+def gc_decile_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.decile(gn.gc_windows(fx.genome(spark, sf_dir)), top=True)
+
+
+@query("gc_decile_bottom", _DECILE.format("ASC"), "gcw")
+def gc_decile_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.decile(gn.gc_windows(fx.genome(spark, sf_dir)), top=False)
+
+
+@query("interval_overlaps", """SELECT a.chrom, a.beg0, a."end", a.gc, c.pos1 - 1 AS b_beg0, c.pos1 + 1 AS b_end FROM gcw a JOIN (SELECT chrom, pos1 FROM site WHERE ref = 'C' AND substr(five, 4, 1) = 'G') c ON a.chrom = c.chrom AND a.beg0 < c.pos1 + 1 AND c.pos1 - 1 < a."end" """, "gcw", "site")
+def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.genome(spark, sf_dir)
+    return coverage.overlaps(gn.gc_windows(g), gn.cpg_sites(g))
