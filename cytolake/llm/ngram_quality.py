@@ -35,6 +35,8 @@ from .common import materialize, prepare, shards
 
 ORDER = 4
 SENT_ROWS = 4_000_000
+#: So many ids of trusted documents are sent to the executors at most (8 bytes each); more are joined by a shuffle.
+SENT_IDS = 2_000_000
 GATHERED = 2_000_000
 QUANTILE, MARGIN, PRIOR = 0.99, 1.25, 60
 HELD_OUT = 5
@@ -299,6 +301,8 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MA
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, sent_rows: int = SENT_ROWS) -> tuple[DataFrame, dict]:
     """The model, and (mean, threshold) by language. ``docs`` has id, lang and text; ``labels`` doc_id and quality (1: trusted)."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    few = materialize(good, "trusted-ids")
+    good = F.broadcast(few) if few.count() <= SENT_IDS else few.hint("merge")
     trusted = docs.join(good, "id", "left_semi")
     held = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
     model = train(trusted.where(~held))
