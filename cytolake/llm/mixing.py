@@ -32,7 +32,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)
 #: Times its size that a source may be taken.
 CAP = 2
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8_000
 MAX_RANGES = 1 << 16
 
 _WORD = re.compile(WORD_PATTERN)
@@ -111,7 +111,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     entry = found.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"))
     entry = materialize(entry.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("n")).cast("long").alias("__taken")), "mix-taken")
     sized = docs.withColumn("__words", n_words(F.col(text)))
-    met = sized.join(entry, F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    met = sized.join(entry.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
     whole, part = F.floor(F.col("__taken") / F.col("__size")).cast("int"), (F.col("__taken") % F.col("__size")).cast("int")
     times = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     taken = met.withColumn("__cut", F.explode(times))

@@ -283,9 +283,9 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """One row of each component, columns unchanged: that of the smallest id (of several rows with that id, one)."""
     found = near_duplicates(docs, doc_id, text)
     keep = materialize(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("n")), "simhash-keep")
-    repeated = keep.where("n > 1")
+    repeated = keep.where("n > 1").hint("merge")
     same = lambda other: docs[doc_id].eqNullSafe(other["id"])
-    once = keep.where("n = 1")
+    once = keep.where("n = 1").hint("merge")  # as many as documents: never broadcast
     kept = docs.join(once, same(once), "left_semi")
     if repeated.isEmpty():
         return kept

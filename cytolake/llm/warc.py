@@ -1,8 +1,8 @@
 """Operator 9: WARC archives, written with revisit records and read back by a salvage reader.
 
 Writing: each record is a gzip member of its own. Of pages with equal payloads of at least ``REVISIT_BYTES`` the one of the largest id is the
-response; the rest are revisits that refer to it and carry no payload. Only digests are shuffled to find them; where few
-payloads repeat, what is known of them is broadcast by Spark's own size check, else joined. Tasks write files of about ``FILE_BYTES`` to
+response; the rest are revisits that refer to it and carry no payload. Only digests are shuffled to find them; where at most
+``SENT_LEADS`` payloads repeat (counted first), what is known of them is broadcast, else joined by a shuffle. Tasks write files of about ``FILE_BYTES`` to
 the shared folder under names of their attempt, and only the names that successful tasks return are read.
 
 Reading: a record is accepted after its checks (gzip checksum, version line, header form, length, block digest). When one fails, the
@@ -31,6 +31,8 @@ from .common import fresh_path, materialize, prepare
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 128 << 20
+#: So many repeated payloads are broadcast at most (about 100 bytes each); more are joined by a shuffle.
+SENT_LEADS = 300_000
 LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
 #: Longest header block that is believed.
@@ -71,6 +73,7 @@ def marked(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text.alias("html"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).alias("bytes"))
     leads = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("sha1", "bytes").agg(F.max("page_id").alias("lead"), F.count("*").alias("n"))
     leads = materialize(leads.where("n > 1 and lead is not null").select(F.col("sha1").alias("s"), F.col("bytes").alias("b"), "lead"), "warc-leads")
+    leads = F.broadcast(leads) if leads.count() <= SENT_LEADS else leads.hint("merge")
     met = rows.join(leads, (F.col("sha1") == F.col("s")) & (F.col("bytes") == F.col("b")), "left")
     return met.select("page_id", "url", "html", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead")).alias("refers_to"))
 
