@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bases, coverage, methbed, pileup, readqc
+from ..functions import seq as sq
+from ..operators import asm, bases, coverage, epiread, fastq, methbed, pileup, readqc
 from ..sources import fixtures as fx
 from ..sources import genome as gn
 from . import oracle
@@ -359,3 +360,158 @@ def gc_decile_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fx.genome(spark, sf_dir)
     return coverage.overlaps(gn.gc_windows(g), gn.cpg_sites(g))
+
+
+# -- epireads ------------------------------------------------------------------------------------------------------
+
+oracle.define("snp", """SELECT chrom, pos1, ref, translate(ref, 'ACGT', 'CGTA') AS alt, (pos1 % 10) / 100.0 AS af FROM site WHERE (tid * 31 + pos1) % 97 = 0""", "site")
+oracle.define("snpc", """SELECT chrom, pos1 AS p, CASE ref WHEN 'C' THEN alt <> 'T' OR af < 0.05 WHEN 'G' THEN alt <> 'A' OR af < 0.05 ELSE false END AS ok FROM snp""", "snp")
+oracle.define("epc", """SELECT px.rid, qname, flag, px.chrom, px.pos1, bss, op, col, rpos, qb, rb, five, bq, snpc.ok AS snp_ok,
+ op = 'M' AND bq >= 20 AND qpos > 3 AND qpos + 3 <= 50 AND NOT (flag & 128 <> 0 AND rpos >= greatest(px.pos1, mpos1) AND rpos <= least(px.pos1 + span - 1, mpos1 + mspan - 1)) AS good,
+ op = 'M' AND (bss = 1 AND rb = 'G' AND substr(five, 2, 1) = 'C' OR bss = 0 AND rb = 'C' AND substr(five, 4, 1) = 'G') AS cpg,
+ CASE WHEN qb = rb THEN 'C' WHEN rb = 'C' AND qb = 'T' OR rb = 'G' AND qb = 'A' THEN 'T' ELSE 'N' END AS call,
+ op = 'M' AND (bss = 1 AND rb = 'G' AND substr(five, 2, 1) = 'C' AND substr(five, 4, 1) NOT IN ('C', 'N') OR bss = 0 AND rb = 'C' AND substr(five, 2, 1) NOT IN ('G', 'N') AND substr(five, 4, 1) = 'G') AS hcg,
+ op = 'M' AND (bss = 1 AND rb = 'G' AND substr(five, 2, 1) NOT IN ('C', 'N') AND substr(five, 4, 1) = 'C' OR bss = 0 AND rb = 'C' AND substr(five, 2, 1) = 'G' AND substr(five, 4, 1) NOT IN ('G', 'N')) AS gch
+ FROM px JOIN strand USING (rid) LEFT JOIN snpc ON snpc.chrom = px.chrom AND snpc.p = px.rpos AND op = 'M' WHERE px.rid IN (SELECT rid FROM kept)""", "px", "strand", "snpc", "kept")
+_CH = "CASE op WHEN 'S' THEN 'P' WHEN 'D' THEN '{d}' WHEN 'I' THEN {i} ELSE CASE WHEN NOT good THEN 'F' ELSE {x} END END"
+_X = "CASE WHEN {c} AND call <> 'N' AND coalesce(snp_ok, true) THEN CASE WHEN call = 'C' THEN '{m}' ELSE '{u}' END ELSE 'x' END"
+_CG, _HCG, _GCH = (_CH.format(d="d", i="'i'", x=_X.format(c=c, m=m, u=u)) for c, m, u in (("cpg", "M", "U"), ("hcg", "M", "U"), ("gch", "O", "S")))
+_VR = _CH.format(d="D", i="lower(qb)", x="CASE WHEN snp_ok IS NULL THEN 'x' WHEN bss = 1 AND qb = 'A' THEN 'R' WHEN bss = 0 AND qb = 'T' THEN 'Y' ELSE qb END")
+oracle.define("ch", f"SELECT rid, col, 'cg' AS ch, {_CG} AS v FROM epc UNION ALL SELECT rid, col, 'vr', {_VR} FROM epc UNION ALL SELECT rid, col, 'hcg', {_HCG} FROM epc UNION ALL SELECT rid, col, 'gch', {_GCH} FROM epc", "epc")
+oracle.define("rle", """SELECT rid, ch, string_agg(v || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END, '' ORDER BY spot) AS s, bool_and(v IN ('F', 'x', 'P')) AS empty FROM
+ (SELECT rid, ch, v, min(col) AS spot, count(*) AS n FROM (SELECT *, col - row_number() OVER (PARTITION BY rid, ch, v ORDER BY col) AS run FROM ch) GROUP BY rid, ch, v, run) GROUP BY rid, ch""", "ch")
+_EPIBED = """SELECT rid, chrom, pos1 - CASE WHEN cigar LIKE '5S%' THEN 5 ELSE 0 END - 1 AS start0, pos1 - CASE WHEN cigar LIKE '5S%' THEN 5 ELSE 0 END - 1 + 50 + CASE WHEN cigar LIKE '%2D%' THEN 2 ELSE 0 END - CASE WHEN cigar LIKE '%3I%' THEN 3 ELSE 0 END AS "end",
+ qname, CASE WHEN flag & 128 <> 0 THEN '2' ELSE '1' END AS mate, CASE WHEN bss = 1 THEN '-' ELSE '+' END AS strand, c.s AS cg, {gc} AS gc, v.s AS vr FROM kept JOIN strand USING (rid) JOIN rle c USING (rid) JOIN rle v USING (rid) {join}
+ WHERE c.ch = '{cg}' AND v.ch = 'vr' AND NOT (c.empty AND v.empty {more}) AND pos1 - CASE WHEN cigar LIKE '5S%' THEN 5 ELSE 0 END >= 1"""
+
+
+def _states(spark: SparkSession, sf_dir: str, o: epiread.Options = epiread.Options()) -> DataFrame:
+    return epiread.states(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), fx.snps(spark, sf_dir), o)
+
+
+@query("epibed_rle", _EPIBED.format(gc="'.'", join="", cg="cg", more=""), "kept", "strand", "rle")
+def epibed_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epiread.epibed(_states(spark, sf_dir))
+
+
+@query("epibed_nome", _EPIBED.format(gc="g.s", join="JOIN rle g USING (rid)", cg="hcg", more="AND g.empty") + " AND g.ch = 'gch'", "kept", "strand", "rle")
+def epibed_nome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = epiread.Options(nome=True)
+    return epiread.epibed(_states(spark, sf_dir, o), o)
+
+
+oracle.define("old", """SELECT rid, chrom, any_value(qname) AS qname, CASE WHEN any_value(flag) & 128 <> 0 THEN '2' ELSE '1' END AS mate, CASE WHEN any_value(bss) = 1 THEN '-' ELSE '+' END AS strand,
+ coalesce(string_agg(CAST(rpos - 1 - CASE WHEN bss = 1 THEN 1 ELSE 0 END AS VARCHAR), ',' ORDER BY col) FILTER (cpg), '.') AS cg_pos0, coalesce(string_agg(CASE WHEN good THEN call ELSE 'N' END, '' ORDER BY col) FILTER (cpg), '.') AS cg,
+ coalesce(string_agg(CAST(rpos - 1 AS VARCHAR), ',' ORDER BY col) FILTER (snp_ok IS NOT NULL AND good), '.') AS snp_pos0, coalesce(string_agg(qb, '' ORDER BY col) FILTER (snp_ok IS NOT NULL AND good), '.') AS snp
+ FROM epc GROUP BY rid, chrom HAVING count(*) FILTER (cpg) > 0""", "epc")
+oracle.define("prw", """SELECT s.rid, s.chrom, s.rpos AS snp1, c.rpos - CASE WHEN c.bss = 1 THEN 1 ELSE 0 END AS cg1, s.qb AS snp_base, CASE WHEN c.good THEN c.call ELSE 'N' END AS cg_call FROM epc s JOIN epc c USING (rid)
+ WHERE s.snp_ok IS NOT NULL AND s.good AND c.cpg""", "epc")
+
+
+@query("epiread_legacy", "SELECT * FROM old", "old")
+def epiread_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epiread.legacy(_states(spark, sf_dir), all_positions=True)
+
+
+@query("epiread_pairwise", "SELECT * FROM prw", "prw")
+def epiread_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epiread.pairwise(_states(spark, sf_dir))
+
+
+@query("rectangle_pad", """SELECT rid, chrom, cg, rpad(repeat('N', CAST(k - k0 AS INTEGER)) || cg, CAST(k1 - k0 AS INTEGER), 'N') AS padded FROM (SELECT *, min(k) OVER w AS k0, max(k + length(cg)) OVER w AS k1 FROM old JOIN
+ (SELECT chrom AS c, CAST(pos1 - 1 AS VARCHAR) AS p, row_number() OVER (PARTITION BY chrom ORDER BY pos1) AS k FROM site WHERE ref = 'C' AND substr(five, 4, 1) = 'G') ON c = chrom AND p = split_part(cg_pos0, ',', 1) WINDOW w AS (PARTITION BY chrom))""", "old", "site")
+def rectangle_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = epiread.legacy(_states(spark, sf_dir)).select("rid", "chrom", "cg_pos0", "cg")
+    return epiread.rectangle(reads, fx.genome(spark, sf_dir)).drop("cg_pos0")
+
+
+@query("epiread_pairs", """SELECT chrom, qname, count(*) AS n, min(start0) AS start0, max("end") AS "end" FROM (""" + _EPIBED.format(gc="'.'", join="", cg="cg", more="") + ") GROUP BY chrom, qname", "kept", "strand", "rle")
+def epiread_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = epiread.paired(epiread.epibed(_states(spark, sf_dir)))
+    n = F.col("r1").isNotNull().cast("int") + F.col("r2").isNotNull().cast("int")
+    return both.select("chrom", "qname", n.cast("long").alias("n"), F.least("r1.start0", "r2.start0").alias("start0"), F.greatest("r1.end", "r2.end").alias("end"))
+
+
+# -- allele-specific methylation -------------------------------------------------------------------------------------
+
+# alleles and calls of made-up pairs of sites: every order line is a read
+oracle.define("asmp", """SELECT 'chr' || CAST(l_partkey % 50 AS VARCHAR) AS chrom, l_suppkey % 7 + 1 AS snp1, l_linenumber * 3 AS cg1, substr('ACGTN', CAST((l_orderkey * 7 + l_linenumber) % 5 + 1 AS BIGINT), 1) AS snp_base,
+ substr('CTTCN', CAST((l_orderkey + CAST(l_quantity AS BIGINT)) % 5 + 1 AS BIGINT), 1) AS cg_call FROM lineitem""")
+oracle._NEEDS["asmp"] = ()
+oracle.define("asmc", "SELECT chrom, snp1, cg1, " + ", ".join(f"count(*) FILTER (snp_base = '{a}' AND cg_call = '{b}') AS m{i}{j}" for i, a in enumerate("ACGTN") for j, b in enumerate("ACGTN")) + " FROM asmp GROUP BY ALL", "asmp")
+oracle.define("asm0", "SELECT *, [" + ", ".join("+".join(f"m{i}{j}" for j in range(5)) for i in range(5)) + "] AS rs, [" + ", ".join("+".join(f"m{i}{j}" for i in range(5)) for j in range(5)) + "] AS cs, 1 AS ra, 2 AS rb, 1 AS ca, 2 AS cb, ["
+  + ", ".join(f"m{i}{j}" for i in range(5) for j in range(5)) + "] AS m FROM asmc", "asmc")
+for _i in (3, 4, 5):
+    oracle.define(f"asm{_i - 2}", f"""SELECT * EXCLUDE (ra, rb, ca, cb), CASE WHEN rs[ra] < rs[rb] AND rs[{_i}] >= rs[ra] THEN {_i} ELSE ra END AS ra, CASE WHEN rs[ra] >= rs[rb] AND rs[{_i}] >= rs[rb] THEN {_i} ELSE rb END AS rb,
+ CASE WHEN cs[ca] < cs[cb] AND cs[{_i}] >= cs[ca] THEN {_i} ELSE ca END AS ca, CASE WHEN cs[ca] >= cs[cb] AND cs[{_i}] >= cs[cb] THEN {_i} ELSE cb END AS cb FROM asm{_i - 3}""", f"asm{_i - 3}")
+oracle.define("asmt", """SELECT chrom, snp1, cg1, substr('ACGTN', ra, 1) AS allele1, substr('ACGTN', rb, 1) AS allele2, substr('ACGTN', ca, 1) AS call1, substr('ACGTN', cb, 1) AS call2, m[(ra - 1) * 5 + ca] AS n11, m[(ra - 1) * 5 + cb] AS n12, m[(rb - 1) * 5 + ca] AS n21, m[(rb - 1) * 5 + cb] AS n22
+ FROM asm3 WHERE rs[ra] > 0 AND rs[rb] > 0 AND cs[ca] > 0 AND cs[cb] > 0 AND snp1 <> cg1 AND ca <> 5 AND cb <> 5""", "asm3")
+# Fisher's test by the gamma function: all tables with the same margins that are no likelier
+oracle.define("asmx", """SELECT *, unnest(range(greatest(0, n11 + n21 - n21 - n22), least(n11 + n12, n11 + n21) + 1)) AS x FROM asmt""", "asmt")
+_LF = "lgamma({} + 1)"
+_LP = " - ".join(["(" + " + ".join(_LF.format(t) for t in ("n11 + n12", "n21 + n22", "n11 + n21", "n12 + n22")) + " - lgamma(n11 + n12 + n21 + n22 + 1))", _LF.format("{x}"), _LF.format("n11 + n12 - {x}"), _LF.format("n11 + n21 - {x}"), _LF.format("n22 - n11 + {x}")])
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    c = F.col
+    return li.select(
+        F.concat(F.lit("chr"), (c("l_partkey") % 50).cast("string")).alias("chrom"), (c("l_suppkey") % 7 + 1).alias("snp1"), (c("l_linenumber") * 3).alias("cg1"),
+        F.substr(F.lit("ACGTN"), ((c("l_orderkey") * 7 + c("l_linenumber")) % 5 + 1).cast("int"), F.lit(1)).alias("snp_base"), F.substr(F.lit("CTTCN"), ((c("l_orderkey") + c("l_quantity").cast("long")) % 5 + 1).cast("int"), F.lit(1)).alias("cg_call"),
+    )
+
+
+@query("asm_counts", "SELECT * FROM asmt", "asmt")
+def asm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asm.tables(_pairs(spark, sf_dir))
+
+
+@query("asm_fisher", f"SELECT chrom, snp1, cg1, round(least(1.0, sum(exp({_LP.format(x='x')})) FILTER ({_LP.format(x='x')} <= {_LP.format(x='n11')} + 1e-7)), 8) AS p_fisher FROM asmx GROUP BY ALL", "asmx")
+def asm_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asm.tests(asm.tables(_pairs(spark, sf_dir))).select("chrom", "snp1", "cg1", F.round("p_fisher", 8).alias("p_fisher"))
+
+
+@query("asm_pvalues")
+def asm_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asm.tests(asm.tables(epiread.pairwise(_states(spark, sf_dir))))
+
+
+# -- raw reads -----------------------------------------------------------------------------------------------------
+
+oracle.define("fq", "SELECT rid AS ord, qname || ':' || rid AS name, seq AS seq1, qual AS qual1, translate(seq, 'ACGT', 'TGCA') AS seq2, reverse(qual) AS qual2 FROM aln", "aln")
+
+
+@query("barcode_extract", "SELECT ord, name || '_' || substr(seq1, 4, 8) || '_AAAAAAAA' AS name, substr(seq1, 1, 3) || substr(seq1, 12) AS seq1, substr(qual1, 1, 3) || substr(qual1, 12) AS qual1, seq2, qual2 FROM fq", "fq")
+def barcode_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastq.extract_barcode(fx.fastq(spark, sf_dir), start=4)
+
+
+_ADAPTOR = "GATC"
+
+
+@query("adaptor_clip", f"SELECT ord, CASE WHEN instr(seq1, '{_ADAPTOR}') > 0 THEN 50 - instr(seq1, '{_ADAPTOR}') + 1 WHEN seq1 LIKE '%GAT' THEN 3 WHEN seq1 LIKE '%GA' THEN 2 WHEN seq1 LIKE '%G' THEN 1 ELSE 0 END AS l_adaptor FROM fq", "fq")
+def adaptor_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.fastq(spark, sf_dir).select("ord", fastq.adaptor_length(F.col("seq1"), _ADAPTOR).alias("l_adaptor"))
+
+
+@query("quality_clip", """SELECT ord, coalesce(lo, 50) AS clip5, CASE WHEN lo IS NULL THEN 0 ELSE 50 - hi END AS clip3 FROM
+ (SELECT ord, min(i) FILTER (ascii(substr(qual1, i, 1)) - 33 >= 25) - 1 AS lo, max(i) FILTER (ascii(substr(qual1, i, 1)) - 33 >= 25) AS hi FROM (SELECT ord, qual1, CAST(unnest(range(1, 51)) AS BIGINT) AS i FROM fq) GROUP BY ord)""", "fq")
+def quality_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    five, three = fastq.quality_ends(F.col("qual1"), 25)
+    return fx.fastq(spark, sf_dir).select("ord", five.alias("clip5"), three.alias("clip3"))
+
+
+@query("smart_pairing", """SELECT ord, name, CASE WHEN spot % 2 = 1 AND spot < n THEN 1 WHEN spot % 2 = 0 THEN 2 ELSE 0 END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ord) AS spot, count(*) OVER (PARTITION BY run) AS n FROM
+ (SELECT *, sum(new) OVER (ORDER BY ord) AS run FROM (SELECT row_number() OVER (ORDER BY rid) AS ord, qname AS name, CASE WHEN qname = lag(qname) OVER (ORDER BY rid) THEN 0 ELSE 1 END AS new FROM aln)))""", "aln")
+def smart_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    reads = fx.alignments(spark, sf_dir).select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("rid")).cast("long").alias("ord"), F.col("qname").alias("name"))  # the fixture's places
+    return fastq.smart_pairs(reads)
+
+
+@query("barcode_from_name", "SELECT rid, CASE WHEN rid % 3 > 0 THEN 'B' || CAST(rid % 7 AS VARCHAR) END AS barcode, CASE WHEN rid % 3 > 0 THEN 'U' || CAST(rid % 5 AS VARCHAR) END AS umi FROM aln", "aln")
+def barcode_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("rid") % 3 > 0, F.concat(F.col("qname"), F.lit("_x_B"), (F.col("rid") % 7).cast("string"), F.lit("_U"), (F.col("rid") % 5).cast("string"))).otherwise(F.col("qname"))
+    barcode, umi = sq.barcode_of(name)
+    return fx.alignments(spark, sf_dir).select("rid", barcode.alias("barcode"), umi.alias("umi"))
