@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
-from ..operators import asm, bases, coverage, epiread, fastq, methbed, pileup, readqc
+from ..operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc
 from ..sources import fixtures as fx
 from ..sources import genome as gn
 from . import oracle
@@ -515,3 +515,53 @@ def barcode_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("rid") % 3 > 0, F.concat(F.col("qname"), F.lit("_x_B"), (F.col("rid") % 7).cast("string"), F.lit("_U"), (F.col("rid") % 5).cast("string"))).otherwise(F.col("qname"))
     barcode, umi = sq.barcode_of(name)
     return fx.alignments(spark, sf_dir).select("rid", barcode.alias("barcode"), umi.alias("umi"))
+
+
+# -- alignment -----------------------------------------------------------------------------------------------------
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.alignments(spark, sf_dir).select("rid", F.when(bases.has(bases.READ2), 2).otherwise(1).alias("mate"), "seq")
+
+
+oracle.define("gblk", """SELECT chrom, seq, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc, length(seq) AS n FROM genome""", "genome")
+oracle.define("kidx", """SELECT 1 AS parent, 0 AS reverse, translate(substr(seq, p + 1, 19), 'C', 'T') AS w, chrom, p AS at0 FROM (SELECT *, CAST(unnest(range(0, n - 18)) AS BIGINT) AS p FROM gblk)
+ UNION ALL SELECT 0, 0, translate(substr(seq, p + 1, 19), 'G', 'A'), chrom, p FROM (SELECT *, CAST(unnest(range(0, n - 18)) AS BIGINT) AS p FROM gblk)
+ UNION ALL SELECT 1, 1, translate(substr(rc, p + 1, 19), 'C', 'T'), chrom, n - p - 19 FROM (SELECT *, CAST(unnest(range(0, n - 18)) AS BIGINT) AS p FROM gblk)
+ UNION ALL SELECT 0, 1, translate(substr(rc, p + 1, 19), 'G', 'A'), chrom, n - p - 19 FROM (SELECT *, CAST(unnest(range(0, n - 18)) AS BIGINT) AS p FROM gblk)""", "gblk")
+oracle.define("kuse", "SELECT * FROM kidx WHERE (parent, w) NOT IN (SELECT (parent, w) FROM kidx GROUP BY parent, w HAVING count(*) > 500)", "kidx")
+
+
+@query("seed_join", """SELECT rid, mate, parent, reverse, chrom, CASE WHEN reverse = 1 THEN at0 - (50 - i - 19) ELSE at0 - i END AS diag0, count(*) AS n FROM
+ (SELECT rid, CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, parent, i, translate(substr(seq, i + 1, 19), CASE parent WHEN 1 THEN 'C' ELSE 'G' END, CASE parent WHEN 1 THEN 'T' ELSE 'A' END) AS w
+  FROM (SELECT *, CAST(unnest(range(0, 32, 5)) AS BIGINT) AS i FROM aln), (VALUES (1), (0)) v(parent)) JOIN kuse USING (parent, w) GROUP BY ALL""", "aln", "kuse")
+def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.seeds(_reads(spark, sf_dir), align.index(fx.genome(spark, sf_dir)))
+
+
+@query("align_best_hit")
+def align_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_reads(spark, sf_dir), fx.genome(spark, sf_dir))
+
+
+@query("insert_size_model", """SELECT n, p25, p50, p75, round(mean, 9) AS mean, round(sd, 6) AS sd, CAST(greatest(1, least(trunc(p25 - 3.0 * (p75 - p25) + 0.499), trunc(mean - 4 * sd + 0.499))) AS INTEGER) AS low, CAST(greatest(trunc(p75 + 3.0 * (p75 - p25) + 0.499), trunc(mean + 4 * sd + 0.499)) AS INTEGER) AS high FROM
+ (SELECT any_value(n) AS n, any_value(p25) AS p25, any_value(p50) AS p50, any_value(p75) AS p75, avg(isize) AS mean, stddev_pop(isize) AS sd FROM (SELECT *, l[CAST(floor(0.25 * n + 0.499) AS BIGINT) + 1] AS p25, l[CAST(floor(0.5 * n + 0.499) AS BIGINT) + 1] AS p50, l[CAST(floor(0.75 * n + 0.499) AS BIGINT) + 1] AS p75 FROM
+ (SELECT isize, count(*) OVER () AS n, list_sort(list(isize) OVER ()) AS l FROM kept WHERE flag & 2 <> 0 AND isize BETWEEN 1 AND 5000)) WHERE isize >= greatest(1, trunc(p25 - 2.0 * (p75 - p25) + 0.499)) AND isize <= trunc(p75 + 2.0 * (p75 - p25) + 0.499))""", "kept")
+def insert_size_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bases.keep_reads(fx.alignments(spark, sf_dir)).where(bases.has(bases.PROPER))
+    return align.insert_model(rows.select("isize")).withColumns({"mean": F.round("mean", 9), "sd": F.round("sd", 6)})
+
+
+oracle.define("som", """SELECT chrom, pos1, max(ref) AS ref, max(gt) FILTER (sid = 1) AS n_gt, """ + ", ".join(f"coalesce(max(n_{b}) FILTER (sid = {s}), 0) AS {p}{b}" for s, p in ((0, "t"), (1, "n")) for b in "ACGTYR") + " FROM call WHERE alt IS NOT NULL GROUP BY chrom, pos1", "call")
+
+
+@query("somatic_mutant", """SELECT chrom, pos1, ref, alt_t, CASE ref WHEN 'A' THEN tA WHEN 'C' THEN tC WHEN 'G' THEN tG ELSE tT END AS ref_t, CASE ref WHEN 'A' THEN nA WHEN 'C' THEN nC WHEN 'G' THEN nG ELSE nT END AS ref_n,
+ CASE alt_t WHEN 'A' THEN tA WHEN 'C' THEN tC WHEN 'G' THEN tG WHEN 'T' THEN tT WHEN 'Y' THEN tY WHEN 'R' THEN tR ELSE 0 END AS mut_t, CASE alt_t WHEN 'A' THEN nA WHEN 'C' THEN nC WHEN 'G' THEN nG WHEN 'T' THEN nT WHEN 'Y' THEN nY WHEN 'R' THEN nR ELSE 0 END AS mut_n FROM
+ (SELECT *, (SELECT b FROM (VALUES ('A', 0, tA), ('C', 1, tC), ('G', 2, tG), ('T', 3, tT), ('Y', 5, CASE WHEN ref IN ('C', 'T') THEN 0 ELSE tY END), ('R', 6, CASE WHEN ref IN ('A', 'G') THEN 0 ELSE tR END)) v(b, k, n) WHERE n > 0 AND b <> ref ORDER BY n DESC, k LIMIT 1) AS alt_t FROM som)""", "som")
+def somatic_mutant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.somatic(_calls(spark, sf_dir)).drop("ss", "sc")
+
+
+@query("somatic_status")
+def somatic_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.somatic(_calls(spark, sf_dir))
