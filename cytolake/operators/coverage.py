@@ -39,12 +39,18 @@ def depth(reads: DataFrame, contigs: DataFrame, bin_size: int = 1 << 20) -> Data
 
 
 def merge_runs(rows: DataFrame, bin_size: int) -> DataFrame:
-    """Joins neighbouring runs of equal depth. Runs are compared within bins, then across the few bin borders."""
+    """Joins neighbouring runs of equal depth: within bins first, then the first and last run of each bin along the contig."""
     bins = rows.withColumn("bin", F.floor(F.col("beg0") / bin_size))
-    w = W.partitionBy("chrom", "bin").orderBy("beg0")
-    new = F.when((F.lag("depth").over(w) == F.col("depth")) & (F.lag("end").over(w) == F.col("beg0")), 0).otherwise(1)
-    runs = bins.withColumn("run", F.sum(new).over(w)).groupBy("chrom", "bin", "run").agg(F.min("beg0").alias("beg0"), F.max("end").alias("end"), F.first("depth").alias("depth"))
-    return runs.select("chrom", "beg0", "end", "depth")
+    new = lambda w: F.when((F.lag("depth").over(w) == F.col("depth")) & (F.lag("end").over(w) == F.col("beg0")), 0).otherwise(1)
+    span = (F.min("beg0").alias("beg0"), F.max("end").alias("end"), F.first("depth").alias("depth"))
+    inside, along = W.partitionBy("chrom", "bin").orderBy("beg0"), W.partitionBy("chrom").orderBy("beg0")
+    runs = bins.withColumn("new", new(inside)).withColumn("run", F.sum("new").over(inside)).groupBy("chrom", "bin", "run").agg(*span)
+    runs = runs.withColumn("last", F.max("run").over(W.partitionBy("chrom", "bin")))
+    at_border = (F.col("run") == 1) | (F.col("run") == F.col("last"))
+    border = runs.where(at_border).select("chrom", "beg0", "end", "depth")
+    border = border.withColumn("new", new(along)).withColumn("run", F.sum("new").over(along)).groupBy("chrom", "run").agg(*span)
+    out = ["chrom", "beg0", "end", "depth"]
+    return runs.where(~at_border).select(*out).unionByName(border.select(*out))
 
 
 def total_depth(rows: DataFrame) -> DataFrame:
@@ -75,10 +81,32 @@ def moments(hist: DataFrame) -> DataFrame:
     return s.select("n", mean.alias("mean"), sd.alias("sd"), F.try_divide(sd, mean).alias("cv"))
 
 
+def depth_report(aln: DataFrame, genome: DataFrame, windows: DataFrame, bin_size: int = 1 << 20) -> DataFrame:
+    """(reads, unit, region, n, mean, sd, cv): the twelve summaries of a coverage report, over bases and CpGs, all reads and those of mapq 40 or more, everywhere and
+    in the tenth of the ``windows`` (chrom, beg0, end, gc) of most and of least gc."""
+    from ..sources import genome as gn
+
+    contigs, cpgs = genome.select("chrom", F.length("seq").alias("clen")), gn.cpg_sites(genome)
+    regions = {"all": None, "top": decile(windows, True), "bottom": decile(windows, False)}
+    out = None
+    for kind in ("all", "q40"):
+        runs = depth(reads_for(aln, kind), contigs, bin_size)
+        for unit, rows in (("base", runs), ("cpg", least_depth(cpgs, runs))):
+            for name, region in regions.items():
+                part = rows
+                if region is not None:  # a CpG counts in each window that it shares a base with, a run by the bases it shares
+                    met = overlaps(rows, region.select("chrom", "beg0", "end"))
+                    part = met.select("chrom", F.greatest("beg0", "b_beg0").alias("beg0"), F.least("end", "b_end").alias("end"), "depth")
+                each = F.lit(1) if unit == "cpg" else F.col("end") - F.col("beg0")
+                one = moments(part.groupBy("depth").agg(F.sum(each).alias("n"))).select(F.lit(kind).alias("reads"), F.lit(unit).alias("unit"), F.lit(name).alias("region"), "n", "mean", "sd", "cv")
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
 def decile(windows: DataFrame, top: bool, share: float = 0.1) -> DataFrame:
     """The tenth of the windows of highest or lowest gc; ties go by the text of the row, as a line-based sort has it.
 
-    A histogram over the few values of gc finds the value at the border; only the windows of that very value are ranked, to fill what is left.
+    A histogram over the few values of gc finds the value at the border; of the windows of that very value whole contigs fill what is left, and one contig is ranked.
     """
     hist = sorted((r.gc, r.n) for r in windows.groupBy("gc").agg(F.count("*").alias("n")).collect())  # at most width + 1 rows
     left = int(sum(n for _, n in hist) * share + 0.5)
@@ -94,4 +122,10 @@ def decile(windows: DataFrame, top: bool, share: float = 0.1) -> DataFrame:
     if border is None or not left:
         return whole
     some = windows.where(F.col("gc") == border).withColumn("_line", line)
-    return whole.unionByName(some.orderBy(F.desc("_line") if top else F.asc("_line")).limit(left).drop("_line"))
+    # whole contigs first; only the contig at the border is ranked
+    way = F.desc if top else F.asc
+    per = some.groupBy("chrom").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy(way("chrom")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a contig
+    some = some.join(per.withColumn("_take", F.lit(left) - before).where("_take > 0"), "chrom")
+    last = some.where("_take < _n").withColumn("_k", F.row_number().over(W.partitionBy("chrom").orderBy(way("_line")))).where("_k <= _take")
+    return whole.unionByName(some.where("_take >= _n").select(*windows.columns)).unionByName(last.select(*windows.columns))

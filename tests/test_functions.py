@@ -170,6 +170,29 @@ def test_depth_covers_whole_contigs_and_ignores_bin_size(spark, genome):
         for p in range(beg - 1, beg - 1 + n):
             want["c1", p] += 1
     assert flat(coverage.depth(aln, contigs)) == want == flat(coverage.depth(aln, contigs, 3))
+    assert sorted(map(tuple, coverage.depth(aln, contigs).collect())) == sorted(map(tuple, coverage.depth(aln, contigs, 3).collect()))
+
+
+def test_decile_takes_whole_contigs_then_ranks_one(spark):
+    rows = [(c, 100 * k, 100 * k + 100, 50 if k < 8 else 60) for c in ("c1", "c2", "c10") for k in range(10)]
+    df = spark.createDataFrame(rows, "chrom string, beg0 int, end int, gc int")
+    for top in (True, False):
+        for share in (0.1, 0.4, 0.5, 0.9):
+            n = int(len(rows) * share + 0.5)
+            want = sorted(rows, key=lambda r: (r[3], f"{r[0]}\t{r[1]}\t{r[2]}"), reverse=top)[:n]
+            assert sorted(map(tuple, coverage.decile(df, top, share).collect())) == sorted(want)
+
+
+def test_depth_report(spark, genome):
+    from cytolake.sources import genome as gn
+
+    aln = reads(spark, dict(pos1=2), dict(pos1=4, mapq=10))
+    got = {(r.reads, r.unit, r.region): r for r in coverage.depth_report(aln, genome, gn.gc_windows(genome, 4)).collect()}
+    assert len(got) == 12
+    bases_ = sum(len(s) for _, s in GENOME)
+    assert got["all", "base", "all"].n == bases_ and abs(got["all", "base", "all"].mean - 8 / bases_) < 1e-12
+    assert abs(got["q40", "base", "all"].mean - 4 / bases_) < 1e-12
+    assert got["all", "base", "top"].n % 4 == 0 and got["all", "base", "top"].n > 0
 
 
 def test_overlaps_once(spark):
