@@ -73,6 +73,96 @@ def epibed_lines(bed: DataFrame) -> DataFrame:
     return bed.select("chrom", "start0", F.concat_ws("\t", "chrom", F.col("start0").cast("string"), F.col("end").cast("string"), "qname", "mate", "strand", "cg", "gc", "vr").alias("value"))
 
 
+def epiread_lines(rows: DataFrame) -> DataFrame:
+    """(chrom, cg_pos0, value) of :func:`cytolake.operators.epiread.legacy`; reads with GpC columns have these two more."""
+    names = [c for c in ("chrom", "qname", "mate", "strand", "cg_pos0", "cg", "gc_pos0", "gc", "snp_pos0", "snp") if c in rows.columns]
+    return rows.select("chrom", F.substring_index("cg_pos0", ",", 1).try_cast("long").alias("cg_pos0"), F.concat_ws("\t", *names).alias("value"))
+
+
+def pairwise_lines(rows: DataFrame) -> DataFrame:
+    """(chrom, snp1, cg1, value) of :func:`cytolake.operators.epiread.pairwise`."""
+    return rows.select("chrom", "snp1", "cg1", F.concat_ws("\t", "chrom", F.col("snp1").cast("string"), F.col("cg1").cast("string"), "snp_base", "cg_call").alias("value"))
+
+
+#: Context columns of the average table, in its order.
+AVERAGES, AVERAGES_NOME = ("CG", "CHG", "CHH", "CH"), ("HCG", "HCHG", "HCHH", "HCH", "GC")
+
+
+def average_lines(rows: DataFrame, samples: list[str], nome: bool = False) -> DataFrame:
+    """(sid, whole, chrom, value) of :func:`cytolake.operators.pileup.average_methylation`: count and percentage of each context; the whole genome comes last."""
+    kinds = AVERAGES_NOME if nome else AVERAGES
+    pick = lambda c, k: F.max(F.when(F.col("cx") == k, F.col(c)))
+    own = [x for k in kinds for x in (F.coalesce(pick("n", k), F.lit(0)).alias(f"n_{k}"), (100 * pick("mean_beta", k)).alias(f"b_{k}"))]
+    wide = rows.groupBy("sid", "chrom").agg(*own)
+    cells = [x for k in kinds for x in (F.col(f"n_{k}").cast("string"), F.concat(F.coalesce(fixed(F.col(f"b_{k}"), 3), F.lit("nan")), F.lit("%")))]
+    sample = F.element_at(F.array(*map(F.lit, samples)), F.col("sid") + 1)
+    name = F.coalesce("chrom", F.lit("WholeGenome"))
+    return wide.select("sid", F.col("chrom").isNull().alias("whole"), name.alias("chrom"), F.concat_ws("\t", sample, name, *cells).alias("value"))
+
+
+# Report tables: their rows are few by nature (values of mapq, insert sizes, read positions), so each is one small file. A table is (k, value): lines in order of k.
+
+
+def _report(spark, head: list[str], body: DataFrame) -> DataFrame:
+    lead = spark.createDataFrame([(k - len(head), x) for k, x in enumerate(head)], "k long, value string")
+    return lead.unionByName(body.select(F.col("k").cast("long").alias("k"), "value"))
+
+
+def mapq_report(rows: DataFrame) -> DataFrame:
+    k = F.when(F.col("mapq") == "unmapped", -1).otherwise(F.col("mapq").try_cast("long")) + 1
+    return _report(rows.sparkSession, ["Mapping Quality Table", "MapQ\tCount"], rows.select(k.alias("k"), F.concat_ws("\t", "mapq", F.col("n").cast("string")).alias("value")))
+
+
+def insert_report(rows: DataFrame) -> DataFrame:
+    line = F.concat_ws("\t", F.col("isize").cast("string"), fixed(F.col("fraction"), 8), F.col("n").cast("string"))
+    return _report(rows.sparkSession, ["Insert Size Table", "InsertSize\tFraction\tReadCount"], rows.select(F.col("isize").alias("k"), line.alias("value")))
+
+
+def duplicate_lines(rows: DataFrame) -> DataFrame:
+    parts = (("Number of duplicate reads:", "n_dup"), ("Number of reads:", "n"), ("Number of duplicate q40-reads:", "n_q40_dup"), ("Number of q40-reads:", "n_q40"))
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.concat_ws("\t", F.lit(t), F.col(c).cast("string")).alias("value")) for k, (t, c) in enumerate(parts)])
+    return _report(rows.sparkSession, ["Read Duplication Table"], rows.select(F.inline(each)))
+
+
+def strand_lines(rows: DataFrame) -> DataFrame:
+    """Of (mate, reverse, tag, n): a line for each mate and direction, with the reads of either strand tag."""
+    names = [(m, r) for m in (1, 2) for r in (False, True)]
+    count = lambda m, r, t: F.coalesce(F.sum(F.when((F.col("mate") == m) & (F.col("reverse") == r) & (F.col("tag") == t), F.col("n"))), F.lit(0)).cast("string")
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.concat_ws("\t", F.lit(f"R{m} ({'r' if r else 'f'})"), count(m, r, "f"), count(m, r, "r")).alias("value")) for k, (m, r) in enumerate(names)])
+    return _report(rows.sparkSession, ["Strand Table", "strand\tBSW (f)\tBSC (r)"], rows.agg(each.alias("x")).select(F.inline("x")))
+
+
+def conversion_report(rows: DataFrame) -> DataFrame:
+    cells = [F.coalesce(fixed(F.col(f"r{b}"), 8), F.lit("nan")) for b in "ACGT"]
+    wide = rows.agg(*[F.max(F.when(F.col("context") == f"C{b}", F.col("rate"))).alias(f"r{b}") for b in "ACGT"])
+    return _report(rows.sparkSession, ["Conversion Rate by Read Average Table", "CpA\tCpC\tCpG\tCpT"], wide.select(F.lit(0).alias("k"), F.concat_ws("\t", *cells).alias("value")))
+
+
+def position_report(rows: DataFrame, kind: str) -> DataFrame:
+    """``kind`` is CpG or CpH."""
+    line = F.concat_ws("\t", F.col("mate").cast("string"), F.col("qpos").cast("string"), "state", F.col("n").cast("string"))
+    k = (F.col("mate") * 100_000 + F.col("qpos")) * 2 + (F.col("state") == "R").cast("int")
+    return _report(rows.sparkSession, [f"{kind} Retention by Read Position Table", "ReadInPair\tPosition\tConversion/Retention\tCount"], rows.select(k.alias("k"), line.alias("value")))
+
+
+def quality_reports(aln: DataFrame, genome: DataFrame, single_end: bool = False) -> dict[str, DataFrame]:
+    """The report's tables by the ending of their file names, each as lines (k, value)."""
+    from ..operators import readqc
+
+    positions = lambda t: readqc.retention_by_position(readqc.cytosines(aln, genome, readqc.Cytosines(t)))
+    out = {
+        "_mapq_table.txt": mapq_report(readqc.mapq_histogram(aln)),
+        "_dup_report.txt": duplicate_lines(readqc.duplicate_report(aln)),
+        "_strand_table.txt": strand_lines(readqc.strand_table(readqc.strands(aln, genome))),
+        "_totalReadConversionRate.txt": conversion_report(readqc.read_average_conversion(aln, genome)),
+        "_CpGRetentionByReadPos.txt": position_report(positions("cg"), "CpG"),
+        "_CpHRetentionByReadPos.txt": position_report(positions("ch"), "CpH"),
+    }
+    if not single_end:
+        out["_isize_table.txt"] = insert_report(readqc.insert_histogram(aln))
+    return out
+
+
 def sam_header(contigs: list[tuple[str, int]], read_group: str | None = None, program: str = "cytolake", by_name: bool = True) -> list[str]:
     out = [f"@SQ\tSN:{c}\tLN:{n}" for c, n in (sorted(contigs) if by_name else contigs)]
     return out + ([read_group.replace("\\t", "\t")] if read_group else []) + [f"@PG\tID:{program}\tPN:{program}"]

@@ -62,6 +62,32 @@ def test_meth_bed_lines(spark):
     assert sink.meth_bed_lines(bed, [0, 1], context=True, counts=True).first().value == "c\t1\t2\tC\tC\tC\tC\t50\t2\t2\t.\t0\t0"
 
 
+def test_average_lines(spark):
+    called = spark.createDataFrame([(0, "c", "HCG", True, 0.5), (0, "c", "GCH", True, 1.0), (0, "c", "GCH", True, 0.0), (0, "c", "GCG", True, 0.5)], "sid int, chrom string, cx string, callable boolean, beta double")
+    rows = pileup.average_methylation(called, nome=True)
+    got = [r.value for r in sink.average_lines(rows, ["s"], nome=True).orderBy("sid", "whole", "chrom").collect()]
+    assert got == [f"s\t{c}\t1\t50.000%\t0\tnan%\t0\tnan%\t0\tnan%\t3\t50.000%" for c in ("c", "WholeGenome")]
+
+
+def test_reports(spark):
+    lines = lambda d: [r.value for r in d.orderBy("k").collect()]
+    mapq = spark.createDataFrame([("10", 2), ("unmapped", 1), ("9", 4)], "mapq string, n long")
+    assert lines(sink.mapq_report(mapq))[1:] == ["MapQ\tCount", "unmapped\t1", "9\t4", "10\t2"]
+    tags = spark.createDataFrame([(1, False, "f", 3), (2, True, "r", 5), (2, True, "u", 9)], "mate int, reverse boolean, tag string, n long")
+    assert lines(sink.strand_lines(tags))[2:] == ["R1 (f)\t3\t0", "R1 (r)\t0\t0", "R2 (f)\t0\t0", "R2 (r)\t0\t5"]
+    assert lines(sink.duplicate_lines(spark.createDataFrame([(9, 2, 7, 1)], "n long, n_dup long, n_q40 long, n_q40_dup long")))[1:] == ["Number of duplicate reads:\t2", "Number of reads:\t9", "Number of duplicate q40-reads:\t1", "Number of q40-reads:\t7"]
+    got = sink.quality_reports(fx.alignments(spark, SF), fx.genome(spark, SF))
+    assert len(got) == 7 and all(set(d.columns) == {"k", "value"} for d in got.values())
+    assert lines(got["_isize_table.txt"])[1] == "InsertSize\tFraction\tReadCount"
+
+
+def test_read_level_lines(spark):
+    row = spark.createDataFrame([(1, "c", "q", "1", "+", "7,9", "CT", ".", ".")], "rid long, chrom string, qname string, mate string, strand string, cg_pos0 string, cg string, snp_pos0 string, snp string")
+    assert sink.epiread_lines(row).first().value == "c\tq\t1\t+\t7,9\tCT\t.\t."
+    pair = spark.createDataFrame([(1, "c", 3, 7, "A", "C")], "rid long, chrom string, snp1 long, cg1 long, snp_base string, cg_call string")
+    assert sink.pairwise_lines(pair).first().value == "c\t3\t7\tA\tC"
+
+
 def test_printf_rounding(spark):
     df = spark.createDataFrame([(0.8125,), (0.125,), (2.675,)], "x double")
     assert [r.a for r in df.select(sink.fixed(df.x, 3).alias("a")).collect()] == ["0.812", "0.125", "2.675"]
