@@ -253,6 +253,50 @@ def test_planted_reads_align_where_they_came_from(spark):
     assert sum(got.get(k) == v for k, v in want.items()) >= 57
 
 
+def hit(rid, mate, pos1, score, cigar, reverse=0, chrom="c", nm=0):
+    return (rid, mate, chrom, 1, reverse, pos1, score, cigar, nm, "", 0, 0, reverse)
+
+
+def test_kept_hits_are_primary_and_supplementary(spark):
+    rows = [hit(0, 1, 10, 90, "60M40S"), hit(0, 1, 500, 38, "60S40M"), hit(0, 1, 900, 80, "55M45S", nm=1), hit(0, 1, 700, 30, "65M35S", 1), hit(1, 1, 5, 100, "100M")]
+    got = {(r.rid, r.pos1): r for r in align.records(spark.createDataFrame(rows, align.RESULT)).collect()}
+    assert {k: r.flag for k, r in got.items()} == {(0, 10): 0, (0, 500): 2048, (1, 5): 0}
+    assert got[0, 10].XA == "c,+900,55M45S,1;" and got[0, 10].XS == 80 and got[0, 500].XA is None
+    assert got[0, 10].SA == "c,500,+,60S40M,0;" and got[0, 500].SA == "c,10,+,60M40S,0;" and got[1, 5].SA is None
+    assert got[0, 500].mapq <= got[0, 10].mapq
+
+
+def test_mates_are_rescued_and_paired(spark, tmp_path):
+    import random
+
+    rnd = random.Random(5)
+    contig = "".join(rnd.choice("ACGT") for _ in range(4000))
+    comp = str.maketrans("ACGT", "TGCA")
+    rows = []
+    for k in range(6):
+        at = 200 + 500 * k
+        one_, two = contig[at : at + 80], contig[at + 170 : at + 250]
+        if k % 2:  # a change in every 12 bases leaves no seed
+            two = "".join({"A": "C", "C": "A", "G": "T", "T": "G"}[c] if 9 < j < 70 and j % 12 == 6 else c for j, c in enumerate(two))
+        one_, two = one_.replace("C", "T"), two.replace("C", "T").translate(comp)[::-1]
+        rows += [(k, 1, one_), (k, 2, two)]
+    df = spark.createDataFrame(rows, "rid long, mate int, seq string")
+    genome = spark.createDataFrame([("c", contig)], "chrom string, seq string")
+    align.write_index(genome, str(tmp_path / "idx"))
+    idx = align.read_index(spark, str(tmp_path / "idx"))
+    o = align.Options(min_score=20)
+    found = align.extend(df, align.candidates(align.seeds(df, idx, o), o), genome, o).persist()
+    assert {(r.rid, r.mate) for r in found.collect() if r.mate == 2} == {(k, 2) for k in (0, 2, 4)}
+    got = {(r.rid, r.mate): r for r in align.pair_up(df, found, genome, (150, 400, 250.0, 20.0), o).collect()}
+    assert len(got) == 12
+    for k in range(6):
+        a, b = got[k, 1], got[k, 2]
+        assert a.pos1 == 201 + 500 * k and (a.flag, b.flag) == (99, 147) and (a.isize, b.isize) == (250, -250)
+        assert a.mpos1 == b.pos1 and a.MC == b.cigar and b.bss == a.bss
+    lone = align.pair_up(df.where("mate = 1 or rid <> 1"), found.where("rid = 1"), genome, (150, 400, 250.0, 20.0), o).collect()
+    assert [(r.rid, r.mate, r.flag & 11) for r in lone] == [(1, 1, 9)]
+
+
 def test_pileup_is_additive(spark, genome):
     from cytolake.streaming.pileup import merge
 
