@@ -24,9 +24,16 @@ def blocks(genome: DataFrame, size: int = 1024, flank: int = 2) -> DataFrame:
     return rows.select("chrom", "blk", (F.col("blk") * size + 1).alias("beg1"), F.length("own").alias("n"), F.concat("left", "own", "right").alias("seq"))
 
 
+def spread(cut: DataFrame) -> DataFrame:
+    """Blocks over all tasks. A genome is a few long records that one task may read; its blocks are dealt out before positions or k-mers multiply them.
+
+    The number of tasks is given, so that small texts that become many rows are not gathered again."""
+    return cut.repartition(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom", "blk")
+
+
 def positions(genome: DataFrame, size: int = 1024) -> DataFrame:
     """(chrom, pos1, ref, five) of every position; five is the position with two bases on each side."""
-    rows = blocks(genome, size, 2).select("chrom", "beg1", "seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    rows = spread(blocks(genome, size, 2)).select("chrom", "beg1", "seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     return rows.select("chrom", (F.col("beg1") + F.col("i")).alias("pos1"), F.substr("seq", F.col("i") + 3, F.lit(1)).alias("ref"), F.substr("seq", F.col("i") + 1, F.lit(5)).alias("five"))
 
 
