@@ -536,7 +536,7 @@ oracle.define("kuse", "SELECT * FROM kidx WHERE (parent, w) NOT IN (SELECT (pare
  (SELECT rid, CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, parent, i, translate(substr(seq, i + 1, 19), CASE parent WHEN 1 THEN 'C' ELSE 'G' END, CASE parent WHEN 1 THEN 'T' ELSE 'A' END) AS w
   FROM (SELECT *, CAST(unnest(range(0, 32, 5)) AS BIGINT) AS i FROM aln), (VALUES (1), (0)) v(parent)) JOIN kuse USING (parent, w) GROUP BY ALL""", "aln", "kuse")
 def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.seeds(_reads(spark, sf_dir), align.index(fx.genome(spark, sf_dir)))
+    return align.seeds(_reads(spark, sf_dir), align.rare(align.index(fx.genome(spark, sf_dir))))  # without frequent k-mers, as the SQL
 
 
 @query("align_best_hit")

@@ -253,6 +253,24 @@ def test_planted_reads_align_where_they_came_from(spark):
     assert sum(got.get(k) == v for k, v in want.items()) >= 57
 
 
+def test_frequent_seeds_are_kept(spark):
+    import random
+
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    passage, whole = text(60), text(120)
+    contigs = [(f"p{k}", text(30) + passage + text(30)) for k in range(6)] + [(f"w{k}", whole) for k in range(7)] + [("z", text(200))]
+    genome = spark.createDataFrame(contigs, "chrom string, seq string")
+    reads = spark.createDataFrame([(0, 1, passage[:50].replace("C", "T")), (1, 1, whole[20:70].replace("C", "T")), (2, 1, contigs[-1][1][10:60].replace("C", "T"))], "rid long, mate int, seq string")
+    o = align.Options(max_occ=4)
+    idx = align.index(genome, o)
+    got = {r.rid: (r.chrom, r.pos1, r.XS, r.mapq) for r in align.align(reads, genome, o).collect()}
+    assert got[0] == ("p0", 31, 50, 0) and got[1] == ("w0", 21, 50, 0) and got[2][:2] == ("z", 11) and got[2][3] > 0
+    plain, dealt = (sorted(map(tuple, align.seeds(reads, idx, o, hot).collect())) for hot in (None, align.frequent(idx, o)))
+    assert plain == dealt and len(plain) == 14
+    assert {tuple(r) for r in align.align(reads, genome, o, idx).collect()} == {tuple(r) for r in align.align(reads, genome, o).collect()}
+
+
 def hit(rid, mate, pos1, score, cigar, reverse=0, chrom="c", nm=0):
     return (rid, mate, chrom, 1, reverse, pos1, score, cigar, nm, "", 0, 0, reverse)
 
