@@ -2,7 +2,8 @@
 
 Units are characters (UTF-16 units; digits count as one digit, white space as one blank), the order is ``ORDER``, and each language has
 its own model. Counts cover all trusted documents but a fifth (by a hash of the id), whose perplexities give the language's
-threshold: a quantile, with a margin. A document above its language's threshold is rejected.
+threshold: the median and ``SPREADS`` times the way from it to a quantile that a few bad texts among the trusted do not move, with a margin that falls with the
+root of their number. A document above its language's threshold is rejected.
 
 Training is a chain of joins between count tables sharded by language and n-gram: counts of the highest order, continuation
 counts of the lower ones, the discounts of each order, the totals of each context, and the lower order's probabilities, joined on
@@ -38,7 +39,7 @@ SENT_ROWS = 4_000_000
 #: So many ids of trusted documents are sent to the executors at most (8 bytes each); more are joined by a shuffle.
 SENT_IDS = 2_000_000
 GATHERED = 2_000_000
-QUANTILE, MARGIN, PRIOR = 0.99, 1.25, 60
+QUANTILE, SPREADS, MARGIN, PRIOR = 0.9, 4.0, 1.25, 60
 HELD_OUT = 5
 START = 2
 UNIT = 16
@@ -295,7 +296,9 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MA
     known = scored.where("n_chars > 0 and nll is not null")
     mean = known.groupBy("lang").agg((F.sum("nll") / F.sum("n_chars")).alias("mean"))
     drawn = known.join(mean.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).withColumn("score", (F.col("nll") + prior * F.col("mean")) / (F.col("n_chars") + prior))
-    return drawn.groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx("score", quantile, 10_000).alias("q")).select("lang", "mean", (F.col("q") + math.log(margin)).alias("threshold")).collect()
+    middle, high = F.col("q")[0], F.col("q")[1]
+    threshold = middle + SPREADS * (high - middle) + math.log(margin) / F.sqrt("n")
+    return drawn.groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx("score", [0.5, quantile], 10_000).alias("q"), F.count("*").alias("n")).select("lang", "mean", threshold.alias("threshold")).collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, sent_rows: int = SENT_ROWS) -> tuple[DataFrame, dict]:

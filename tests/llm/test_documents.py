@@ -1,6 +1,7 @@
 """Operators on documents against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -281,6 +282,19 @@ def test_classifier(spark, docs, rows, none):
     assert all(r.kept for r in ngram_quality.classify(docs, labels.where("false")).collect())
 
 
+def test_threshold_follows_the_spread(spark):
+    even = [(k, "x", 150.0 + k % 11, 100) for k in range(200)]
+    limit = lambda rows: ngram_quality.thresholds(spark.createDataFrame(rows, "id long, lang string, nll double, n_chars long"))[0].threshold
+    plain = limit(even)
+    top = (160 + 60 * 1.55) / 160  # the worst of the even texts
+    assert top < plain < top + math.log(1.1)
+    # four bad texts among the trusted are above it and hardly move it
+    spoilt = limit(even + [(300 + k, "x", 400.0, 100) for k in range(4)])
+    assert spoilt < top + math.log(1.15)
+    # of a single text little is known
+    assert limit(even[:1]) == pytest.approx(1.5 + math.log(1.25))
+
+
 # -- 7 -------------------------------------------------------------------------------------------------------------
 
 
