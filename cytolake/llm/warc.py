@@ -35,7 +35,7 @@ FILE_BYTES = 128 << 20
 SENT_LEADS = 300_000
 LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
-#: Longest header block that is believed.
+#: A header is read by steps of so many bytes until it ends.
 HEADER_BYTES = 1 << 16
 VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
@@ -207,9 +207,17 @@ class Reader:
         head = read(0, HEADER_BYTES)
         if not head.startswith(VERSION):
             raise Bad("no version line")
+        parts, size, tail = [head], len(head), head[-3:]
         over = head.find(b"\r\n\r\n")
-        if over < 0:
-            raise Bad("header does not end")
+        while over < 0:
+            part = read(size, HEADER_BYTES)
+            if not part:
+                raise Bad("header does not end")
+            at = (tail + part).find(b"\r\n\r\n")
+            over = size - len(tail) + at if at >= 0 else -1
+            parts.append(part)
+            size, tail = size + len(part), (tail + part)[-3:]
+        head = b"".join(parts)
         headers = {}
         for line in head[:over].split(b"\r\n")[1:]:
             name, colon, value = line.partition(b":")
@@ -247,35 +255,39 @@ class Reader:
         return self.source.length
 
 
-def _paths(archives: DataFrame) -> DataFrame:
+def _paths(archives: DataFrame, *columns: str) -> DataFrame:
     """One task for each few archives."""
     n = archives.count()
-    return archives.select("path").repartition(max(1, min(n, 10_000)), "path")
+    return archives.select("path", *columns).repartition(max(1, min(n, 10_000)), "path")
 
 
 RECORD_FIELDS = "path string, start long, end long, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to long"
 
 
-def read(archives: DataFrame) -> DataFrame:
-    """Records of archives given by (path): place, type, page, length and digest of the full payload, page referred to."""
+def read(archives: DataFrame, whole: bool = False) -> DataFrame:
+    """Records of archives given by (path): place, type, page, length and digest of the full payload, page referred to.
+
+    ``whole``: archives as :func:`write` returns them, of which fewer or more records than written are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD_FIELDS.split(", ")]
         kinds = [pa.string() if x.endswith("string") else pa.int64() for x in RECORD_FIELDS.split(", ")]
         for b in batches:
-            for path in b.column(0).to_pylist():
-                source, rows = files.Blocks(path), []
-                for r in Reader(source).records():
+            for k, path in enumerate(b.column(0).to_pylist()):
+                source, rows, n = files.Blocks(path), [], 0
+                for n, r in enumerate(Reader(source).records(), 1):
                     digest = hashlib.sha1(r.payload()).hexdigest() if r.headers.get("warc-type") == "response" else r.payload_digest()
                     rows.append((path, r.start, r.end, r.headers.get("warc-type"), r.page(), r.payload_bytes(), digest, r.refers_to()))
                     if len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows = []
                 source.close()
+                if whole and n != b.column(1)[k].as_py():
+                    raise ValueError(f"{path}: {n} records read of {b.column(1)[k].as_py()} written")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return _paths(archives).mapInArrow(run, RECORD_FIELDS)
+    return _paths(archives, *["records"] * whole).mapInArrow(run, RECORD_FIELDS)
 
 
 def quarantine(archives: DataFrame) -> DataFrame:
@@ -296,4 +308,4 @@ def quarantine(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes every page and reads the archives back."""
     archives = write(pages, fresh_path(pages.sparkSession, "warc"), page_id, url, html)
-    return read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(archives, whole=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

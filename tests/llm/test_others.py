@@ -96,6 +96,27 @@ def test_payloads_come_back(spark):
             assert seen[i][1] == (h or "").encode()
 
 
+@pytest.mark.parametrize("zipped", [True, False])
+def test_long_headers_are_read(tmp_path, zipped):
+    fixed = warc.record("response", 0, "", b"", hashlib.sha1(b"").hexdigest(), None).find(b"\r\n\r\n")
+    sizes = [1, *range(warc.HEADER_BYTES - fixed - 5, warc.HEADER_BYTES - fixed + 2), 3 * warc.HEADER_BYTES]  # the end at each side of a step
+    recs = [warc.record("response", k, "u" * n, b"payload", hashlib.sha1(b"payload").hexdigest(), None) for k, n in enumerate(sizes)]
+    path = tmp_path / "long.warc"
+    path.write_bytes(b"".join(warc.member(r) if zipped else r for r in recs))
+    reader = warc.Reader(files.Blocks(f"file://{path}"))
+    assert [(r.page(), len(r.headers["warc-target-uri"]), r.payload()) for r in reader.records()] == [(k, n, b"payload") for k, n in enumerate(sizes)]
+    assert not reader.gaps
+
+
+def test_round_trip_of_a_long_url(spark):
+    df = spark.createDataFrame([(1, "data:" + "x" * 200_000, "a"), (2, "u", "b")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(df).collect()) == [1, 2]
+    archives = warc.write(df.coalesce(1), fresh_path(spark, "warc"))
+    assert warc.read(archives.withColumn("records", F.lit(2)), whole=True).count() == 2
+    with pytest.raises(Exception, match="2 records read of 3 written"):
+        warc.read(archives.withColumn("records", F.lit(3)), whole=True).collect()
+
+
 @pytest.mark.parametrize("zipped", [True, False])
 def test_salvage(spark, tmp_path, zipped):
     rnd = random.Random(0)
