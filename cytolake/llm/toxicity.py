@@ -33,6 +33,8 @@ SAMPLE = 20_000
 FOLDS = 5
 MAX_TERMS = 5_000
 STEM, WORD_MIN, FUZZY_MIN = range(4, 9), 3, 5
+#: Least length of terms that a text's words may misspell; the clean words near them are known.
+SHORT_MIN = 3
 PRECISION, DOUBT = 0.9, 100.0
 WINDOW = 5
 KEPT_WORDS = 300_000
@@ -60,21 +62,44 @@ def trie(terms: list[str]) -> dict:
     return root
 
 
-def match(word: str, root: dict, fuzzy_min: int = FUZZY_MIN) -> tuple[str, int] | None:
+def tails(terms: list[str]) -> tuple[dict, dict[str, str]]:
+    """The trie of the terms without their first characters, and the first term of each such tail."""
+    of: dict[str, str] = {}
+    for t in sorted(terms, reverse=True):
+        of[t[1:]] = t
+    return trie(list(of)), of
+
+
+def met(word: str, node: dict) -> Iterator[str]:
+    """The terms that a word meets without an error."""
+    for c in word:
+        if "" in node:
+            yield node[""]
+        node = node.get(c) if c != "$" else None
+        if node is None:
+            return
+    yield from (node[c] for c in ("", "$") if c in node)
+
+
+def match(word: str, root: dict, fuzzy_min: int = FUZZY_MIN, rest: tuple[dict, dict[str, str]] | None = None) -> tuple[str, int] | None:
     """The term nearest to a word, as (term, edits): an exact one first, then one edit; None beyond that.
 
     Bit i of ``r0`` or ``r1``: i characters of the word are read with none or one error. Reading a trie character moves equal places on;
     an error lets a place stay (a character too few), move (a wrong one) or jump (one too many). A stem is met wherever the word goes on.
+    The first characters must agree there. With the terms' ``rest`` (:func:`tails`) an error in the first character counts too: what follows it is met without one.
     """
-    first = root.get(word[:1])
-    if first is None:
-        return None
+    best = None
+    if rest is not None and word:
+        near = [*met(word[1:], root), *(rest[1][t] for w in (word, word[1:]) for t in met(w, rest[0]))]
+        best = min(((t, 1) for t in near if len(t.removesuffix("$")) >= fuzzy_min), default=None)
+    below = root.get(word[:1]) if word[:1] != "$" else None
+    if below is None:
+        return best
     n = len(word)
     at: dict[str, int] = {}
     for i, c in enumerate(word):
         at[c] = at.get(c, 0) | 1 << i
-    best = None
-    stack = [(first, 2, 4, 1)]  # the first character must agree
+    stack = [(below, 2, 4, 1)]
     full = (1 << (n + 1)) - 1
     while stack:
         node, r0, r1, depth = stack.pop()
@@ -95,9 +120,19 @@ def match(word: str, root: dict, fuzzy_min: int = FUZZY_MIN) -> tuple[str, int]
     return best
 
 
+EDGES = ".,;:!?()[]{}<>*#%&$|/\\_-+=~^`@" + MARKS
+
+
 def plain(token: bytes) -> str:
     """A white-space-separated token as a word: lower case without marks around it."""
-    return token.decode("utf-8", "ignore").lower().strip(".,;:!?()[]{}<>*#%&$|/\\_-+=~^`@" + MARKS)
+    return token.decode("utf-8", "ignore").lower().strip(EDGES)
+
+
+def spellings(token: bytes) -> list[str]:
+    """The word of a token, and the word with the one mark before it, which may stand for a letter (``$tupid``)."""
+    word, led = plain(token), token.decode("utf-8", "ignore").lower().rstrip(EDGES)
+    lead = led[: len(led) - len(word)] if word else ""
+    return [word, lead[-1] + word] if lead and lead[-1] not in MARKS else [word]
 
 
 @dataclass
@@ -107,7 +142,7 @@ class Lexicon:
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self) -> None:
-        self.root = trie(self.terms)
+        self.root, self.rest = trie(self.terms), tails(self.terms)
         self.kept: dict[bytes, tuple[str, int] | None] = {}
 
     def __getstate__(self) -> dict:
@@ -117,9 +152,12 @@ class Lexicon:
         self.__init__(**state)
 
     def look(self, token: bytes) -> tuple[str, int] | None:
-        word = plain(token)
-        hit = match(word, self.root) if len(word) >= WORD_MIN else None
-        return None if hit and hit[1] and word in self.known else hit
+        words = spellings(token)
+        if words[0] in self.known:  # clean, but for an exact term
+            hit = match(words[0], self.root) if len(words[0]) >= WORD_MIN else None
+            return hit if hit and not hit[1] else None
+        found = [hit for w in words if len(w) >= WORD_MIN and (hit := match(w, self.root, SHORT_MIN, self.rest))]
+        return min(found, key=lambda hit: hit[1], default=None)
 
     def hits(self, tokens: list[bytes]) -> list[tuple[int, str, int]]:
         """(place, term, edits) of all hits."""

@@ -328,6 +328,25 @@ def test_automaton_against_edit_distance():
         assert (got and got[1]) == best, w
 
 
+def test_errors_in_first_characters_and_short_terms():
+    terms = ["idiot$", "stupid$", "scum$", "vequ"]
+    root = toxicity.trie(terms)
+    rnd = np.random.default_rng(1)
+    words = ["xidiot", "jdiot", "diot", "scun", "cum", "xscum", "xvequin", "equin", "aequin"]
+    words += ["".join(rnd.choice(list("idotscumpveq"), rnd.integers(1, 9))) for _ in range(500)]
+    for w in words:
+        n = min(min(edits(w[:k], t) for k in range(len(w) + 1)) if not t.endswith("$") else edits(w, t[:-1]) for t in terms)
+        got = toxicity.match(w, root, 3, toxicity.tails(terms))
+        assert (got and got[1]) == (n if n <= 1 else None), w
+    lex = toxicity.Lexicon(terms)
+    for w in ("xidiot", "jdiot", "diot", "scun", "$tupid", "($tupid!)", "@idiot", "xvequin"):
+        assert lex.look(w.encode()) is not None, w
+    assert lex.look(b"@idiot")[1] == 0 and lex.look(b"$tupid")[1] == 1
+    lex.known = {"scun", "tupid"}
+    lex.kept.clear()
+    assert lex.look(b"scun") is None and lex.look(b"scum") == ("scum$", 0)
+
+
 def test_reported_speech():
     lex = toxicity.Lexicon(["idiot$"])
     assert lex.features("what an idiot you are") == [1, 0, 0, 0]
