@@ -2,7 +2,8 @@
 
 A document is its token ids and the end id. Only a document longer than a sequence is cut: all its pieces but the first fill a
 sequence each, so the first is the only one that has to be placed. Placement keeps, for each residual gap, the number of open
-sequences N(gap); a piece goes where the sum of N(gap) squared over all gaps becomes smallest, a new sequence included. Pieces
+sequences N(gap); a piece goes into the open sequence with which the sum of N(gap) squared over all gaps becomes smallest. A new
+sequence is no choice of the rule: it is opened where no open one has room. Pieces
 are placed from long to short, which lets the short ones close what the long ones left open.
 
 Only (document, lengths, checksums) is shuffled, never text or ids. Pieces are dealt to shards of about SHARD pieces by a
@@ -125,5 +126,5 @@ def place(cuts: DataFrame, size: int = SEQUENCE, shard: int = SHARD) -> DataFram
             yield from close()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cuts.schema)
-    ordered = dealt.repartition(n, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "row", "piece")
+    ordered = dealt.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "row", "piece")
     return ordered.mapInArrow(run, kinds + ", sequence_id long, offset long")

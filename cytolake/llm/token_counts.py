@@ -14,7 +14,6 @@ of a whole id at a file's end are left out. Repeated rows and equal ids count ea
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +36,17 @@ FILE_BYTES = 1 << 30
 
 
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, separator: int = SEPARATOR, width: int = WIDTH, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes token files below ``folder``; returns (file, number, doc_id): the documents of each file in order."""
+    """Writes token files below ``folder``; returns (file, number, doc_id): the documents of each file in order. A vocabulary that ``width`` bytes cannot hold is an error."""
     prepare(docs.sparkSession)
     path = path or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = files.system(folder)
         fs.create_dir(base, recursive=True)
-        encode = tokens.encoder(path).fast.encode_ordinary  # a separator's string in a text is ordinary text
-        kind = {2: "H", 4: "I"}[width]
+        encoder = tokens.encoder(path)
+        if max(encoder.size, separator + 1) > 1 << 8 * width:
+            raise ValueError(f"ids up to {max(encoder.size - 1, separator)} do not fit into {width} bytes")
+        kind, tail = np.dtype(f"<u{width}"), np.array([separator], f"<u{width}")
         out, name, number, size, count = None, "", 0, 0, 0
         for b in batches:
             names, numbers = [], []
@@ -55,8 +56,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
                         out.close()
                     name = files.attempt_path(folder, "tokens", count, ".bin")
                     out, number, size, count = fs.open_output_stream(files.system(name)[1], compression=None), 0, 0, count + 1
-                ids = array(kind, encode(t) if t else ())
-                ids.append(separator)
+                ids = np.concatenate([encoder.ordinary(t).astype(kind), tail])  # a separator's string in a text is ordinary text
                 out.write(ids.tobytes())
                 names.append(name)
                 numbers.append(number)
