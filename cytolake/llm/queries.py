@@ -63,4 +63,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_mix_sources": f"""WITH rows AS (SELECT doc_id, source, CAST({_SIZE} AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(md5(text), '-')) AS key FROM documents),
+ level0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS k FROM rows GROUP BY source),
+ level1 AS (SELECT *, CAST(3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER b, 0) AS BIGINT) AS l, CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS BIGINT) AS wl FROM level0
+  WINDOW b AS (ORDER BY source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ level2 AS (SELECT *, 4 * source_size * wl > l * w AS free FROM level1),
+ plan AS (SELECT source, source_size, CASE WHEN free THEN CAST(w AS DOUBLE) * (SELECT CAST(arg_max(l, wl) AS DOUBLE) / CAST(2 * max(wl) AS DOUBLE) FROM level2 WHERE free) ELSE CAST(2 * source_size AS DOUBLE) END AS target FROM level2),
+ cut AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS epochs, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) % source_size ELSE 0 END AS rest FROM plan)
+ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+ FROM rows r JOIN cut c ON r.source IS NOT DISTINCT FROM c.source""",
+    "op5_top_k": """WITH num AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM num q JOIN num c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
+    "op9_warc": """WITH raw AS (SELECT page_id, coalesce(html, '') AS t FROM pages), digest AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest FROM raw),
+ lead AS (SELECT *, count(*) OVER p AS n, max(page_id) OVER p AS first FROM digest WINDOW p AS (PARTITION BY payload_digest, payload_bytes))
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM lead""",
+}
