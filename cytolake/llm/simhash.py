@@ -9,7 +9,7 @@
    runs of nodes into upper nodes. A search adds up the differences on a node's shared bits and prunes the whole subtree
    beyond ``d``. Links found become a spanning forest of the group, as chains, so no vertex gains many edges.
 4. Components: random contraction over all groups' edges (each round every vertex joins the neighbour of least hash), with
-   each round written to the shared folder. Once few edges are left, one task of bounded size ends it.
+   each round written to the shared folder. Once few edges are left (``LAST_EDGES``), one task ends it.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other. Repeated rows and equal ids give a
 row each. An empty table gives an empty result. Columns other than the id and the text are not read.
@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, prepare
+from .common import materialize, prepare, unused
 
 BITS, MAX_DIFF, SEED, WIDTH = 64, 2, 42, 3
 #: A larger group of candidates is divided by further bits.
@@ -34,6 +35,10 @@ GROUP = 4096
 LAST_EDGES = 16_384
 #: Members of a node, at each level of the hierarchy.
 FAN = 16
+#: Rounds of contraction, each of which halves the edges or better; that so many do not do is an error.
+ROUNDS = 200
+#: So many ids of removed documents are sent to the executors at most (about 20 bytes each); more are joined by a shuffle.
+SENT_REMOVED = 2_000_000
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------
@@ -244,10 +249,11 @@ def components(edges: DataFrame, few: int = LAST_EDGES) -> DataFrame:
     """(v, c) for every vertex on an edge: c is equal just where vertices are connected."""
     edges = materialize(edges.where("a <> b").distinct(), "simhash-edges")
     steps: list[DataFrame] = []
-    for turn in range(200):
-        n = edges.count()
-        if n <= few:
+    for turn in range(ROUNDS + 1):
+        if edges.count() <= few:
             break
+        if turn == ROUNDS:
+            raise RuntimeError(f"{ROUNDS} rounds of contraction left more than {few} edges")
         order = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("v"))
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy(F.col("a").alias("v")).agg(F.min(order(F.col("b"))).alias("m"))
@@ -263,33 +269,60 @@ def components(edges: DataFrame, few: int = LAST_EDGES) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d: int = MAX_DIFF) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id that links of at most ``d`` bits reach, the row's own included."""
+    """(id, fp, component_id, root): component_id is the smallest id that links of at most ``d`` bits reach, the row's own included; root is one fingerprint of the component."""
     spark = docs.sparkSession
     rows = materialize(fingerprints(docs, doc_id, text), "simhash-fp")
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-vertices")
     found = materialize(components(group_edges(groups(fps.select("fp"), d), d)), "simhash-components")
     named = fps.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     best = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    of = named.where(F.col("c") != F.col("fp")).select("fp", "c").join(best, "c").select("fp", "component_id")
-    roots = best.select(F.col("c").alias("fp"), "component_id")
-    return rows.join(of.unionByName(roots), "fp").select("id", "fp", "component_id")
+    of = named.where(F.col("c") != F.col("fp")).select("fp", "c").join(best, "c").select("fp", "c", "component_id")
+    roots = best.select(F.col("c").alias("fp"), "c", "component_id")
+    return rows.join(of.unionByName(roots), "fp").select("id", "fp", "component_id", F.col("c").alias("root"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, columns unchanged: that of the smallest id (of several rows with that id, one)."""
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sent_removed: int = SENT_REMOVED) -> DataFrame:
+    """One row of each component, columns unchanged: one of the smallest id (a null id only where all are null).
+
+    Documents are filtered in place by the ids that go; no text is shuffled unless more than ``sent_removed`` of them go. Rows that share an id, or have none, are told apart by
+    their fingerprints, and of those that share both any one stays.
+    """
     found = near_duplicates(docs, doc_id, text)
-    keep = materialize(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("n")), "simhash-keep")
-    repeated = keep.where("n > 1").hint("merge")
-    same = lambda other: docs[doc_id].eqNullSafe(other["id"])
-    once = keep.where("n = 1").hint("merge")  # as many as documents: never broadcast
-    kept = docs.join(once, same(once), "left_semi")
-    if repeated.isEmpty():
+    found = materialize(found.groupBy("id", "fp", "component_id", "root").agg(F.count("*").alias("n")), "simhash-rows")
+    shared = materialize(found.groupBy("id").agg(F.sum("n").alias("n")).where("n > 1 and id is not null").select("id"), "simhash-shared")
+    some = found.join(shared.hint("merge"), "id", "left_semi").unionByName(found.where("id is null"))  # rows that an id does not tell apart
+    gone = found.where("id <> component_id").select("id").unionByName(shared).distinct()
+    gone = materialize(gone.withColumnRenamed("id", "gone_id"), "simhash-gone")
+    name = unused(docs, "gone")
+    gone_ids = gone.select(F.col("gone_id").alias(name))
+    gone_ids = F.broadcast(gone_ids) if gone.count() <= sent_removed else gone_ids.hint("merge")
+    kept = docs.where(F.col(doc_id).isNotNull()).join(gone_ids, F.col(doc_id) == F.col(name), "left_anti")
+    # one fingerprint for each component whose smallest id is shared or null; the root tells components of one id apart
+    winners = some.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "root").agg(F.min("fp").alias("fp"))
+    winners = materialize(winners.select("id", "fp"), "simhash-winners")
+    if winners.isEmpty():
         return kept
-    return kept.unionByName(docs.join(repeated, same(repeated), "left_semi").dropDuplicates([doc_id]))
+    fp, wid, wfp = unused(docs, "fp"), unused(docs, "id"), unused(docs, "own")
+    winners = winners.select(F.col("id").alias(wid), F.col("fp").alias(wfp))
+    named = docs.join(winners.select(wid).distinct(), F.col(doc_id).eqNullSafe(F.col(wid)), "left_semi")
+    one = with_fingerprint(named, text, fp).join(winners, F.col(doc_id).eqNullSafe(F.col(wid)) & (F.col(fp) == F.col(wfp)), "left_semi").dropDuplicates([doc_id, fp])
+    return kept.unionByName(one.select(*docs.columns))
+
+
+def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(shingle_hashes(t)) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield b.append_column(name, pa.array(fps))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 __all__ = ["GrayIndex", "components", "digest", "fingerprint", "fingerprints", "forest", "groups", "near_duplicates", "shingle_hashes", "survivors"]
