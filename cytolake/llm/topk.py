@@ -1,9 +1,9 @@
 """Operator 5: exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are laid out by length (Euclidean norm), longest first, and cut into buckets of ``BUCKET`` rows of like length. Queries come in
-blocks of at most ``QUERY_BLOCK``; each block makes one pass over the buckets. A query's threshold starts as its k-th best score among a bounded sample of
-real candidates, so it is a true lower bound, and rises as its task goes on. In a bucket whose longest row has length l the local cosine threshold is
-t = threshold / (|q| * l):
+Vectors are laid out by length (Euclidean norm), longest first, in chunks of like length, and chunks are cut into buckets of ``BUCKET`` rows. Queries come in
+blocks; a block meets a chunk in one task of a grid, unless no query of the block can reach its threshold with the chunk's longest row. A query's threshold starts as its
+k-th best score among a bounded sample of real candidates, so it is a true lower bound, and rises as its task goes on. In a bucket whose longest row has length l the local
+cosine threshold is t = threshold / (|q| * l):
 
 * t > 1: no row can reach the threshold and the bucket is skipped;
 * t >= ``COSINE``: coordinate pruning. For a row of cosine >= t to the query each unit coordinate lies in
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare, shards
 
 K, SCALE, EVERY = 5, 256, 50
-BUCKET, QUERY_BLOCK = 2048, 4096
+BUCKET = 2048
+#: Numbers that a block of queries and a chunk of rows hold at most, whatever their length: what a task has in memory.
+QUERY_NUMBERS, CHUNK_NUMBERS = 2 << 20, 8 << 20
 #: Sampled candidates for the first thresholds, and the numbers that they may hold in all.
 SEEDS, SEED_NUMBERS = 4096, 4 << 20
 COSINE, FOCUS = 0.9, 4
@@ -175,67 +177,69 @@ def blocks_of(t: pa.Table, k: int) -> list[Block]:
     t = t.combine_chunks()
     if not len(t):
         return []
-    return [Block(i, q, n, np.full(len(i), -np.inf), k) for i, q, n in matrices(t["id"].to_numpy(), t["v"].combine_chunks(), t["norm"].to_numpy())]
+    start = dict(zip(t["id"].to_pylist(), t["threshold"].to_pylist(), strict=True)) if "threshold" in t.column_names else {}
+    return [Block(i, q, n, np.array([start.get(x, -np.inf) for x in i.tolist()]), k) for i, q, n in matrices(t["id"].to_numpy(), t["v"].combine_chunks(), t["norm"].to_numpy())]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score); both inputs as from :func:`integers`. Queries are taken in blocks; each block is a pass over all rows."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_numbers: int = QUERY_NUMBERS, chunk_numbers: int = CHUNK_NUMBERS) -> DataFrame:
+    """(query_id, rank, vec_id, score); both inputs as from :func:`integers`. One plan whatever the number of queries: a grid of chunks of rows and blocks of queries,
+    from which the cells that no query of the block can profit by are left out."""
     spark = vectors.sparkSession
     prepare(spark)
     n = vectors.count()
-    dealt = vectors.repartitionByRange(shards(n, 64 * BUCKET, spark.sparkContext.defaultParallelism), F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
-    laid = materialize(dealt, "topk-rows")
-    asked = materialize(queries.groupBy("id").agg(F.min(F.struct("v", "norm")).alias("x")).select("id", "x.v", "x.norm"), "topk-queries")
-    dim = max(1, laid.agg(F.max(F.size("v"))).first()[0] or 1)
+    dim = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 1)
+    dealt = vectors.repartitionByRange(shards(n, max(BUCKET, chunk_numbers // dim), spark.sparkContext.defaultParallelism), F.desc("norm"), "id")
+    laid = materialize(dealt.select("id", "v", "norm", F.spark_partition_id().alias("chunk")), "topk-rows")
+    asked = queries.groupBy("id").agg(F.min(F.struct("v", "norm")).alias("x")).select("id", "x.v", "x.norm")
     seed_rows = max(k + 1, min(SEEDS, SEED_NUMBERS // dim))
     share = min(1.0, seed_rows / max(n, 1))
-    seeds = laid.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * seed_rows).toArrow()
-    n_blocks = shards(asked.count(), QUERY_BLOCK * 3 // 4)
-    found = None
-    for number in range(n_blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == number).toArrow()  # about QUERY_BLOCK rows
-        part = one_pass(laid, blocks_of(own, k), blocks_of(seeds, k), k)
-        found = part if found is None else found.unionByName(part)
+    seeds = laid.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * seed_rows).select("id", "v", "norm").toArrow()
+    asked = materialize(first_thresholds(asked, seeds, k), "topk-queries")
+    n_blocks = shards(asked.count(), max(BUCKET, query_numbers // dim))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    longest = laid.groupBy("chunk", F.size("v").alias("dim")).agg(F.max("norm").alias("top"))  # a row or few a chunk
+    reach = F.col("norm") * F.col("top") + 1e-9 * F.abs("threshold") + 1e-6 >= F.col("threshold")
+    left = asked.join(F.broadcast(longest), (F.size("v") == F.col("dim")) & reach).select("block", "chunk", "id", "v", "norm", "threshold")
+    cells = left.select(F.col("block").alias("b"), F.col("chunk").alias("c")).distinct()
+    right = laid.join(cells, F.col("chunk") == F.col("c")).select("b", "c", "id", "v", "norm")
+
+    def cell(own: pa.Table, rows: pa.Table) -> pa.Table:
+        found = [pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))]
+        blocks = {b.q.shape[1]: b for b in blocks_of(own, k)}
+        rows = rows.combine_chunks()
+        for ids, m, norm in matrices(rows["id"].to_numpy(), rows["v"].combine_chunks(), rows["norm"].to_numpy()) if len(rows) else ():
+            if (b := blocks.get(m.shape[1])) is not None:
+                order = np.argsort(-norm, kind="stable")  # longest first: thresholds rise soonest
+                for lo in range(0, len(ids), BUCKET):
+                    some = order[lo : lo + BUCKET]
+                    b.bucket(ids[some], m[some], norm[some])
+        for b in blocks.values():
+            found.append(pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, b.rows()), strict=True)), schema=found[0].schema))
+        return pa.concat_tables(found)
+
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("b", "c")).applyInArrow(cell, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def one_pass(laid: DataFrame, blocks: list[Block], seeds: list[Block], k: int) -> DataFrame:
-    first: list[Block] = []
-    for b in blocks:
-        trial = Block(b.ids, b.q, b.norm, b.threshold.copy(), k)
-        for s in seeds:
-            if s.q.shape[1] == b.q.shape[1] and s.q.dtype != object and b.q.dtype != object:
-                for lo in range(0, len(s.ids), BUCKET):
-                    trial.bucket(s.ids[lo : lo + BUCKET], s.q[lo : lo + BUCKET], s.norm[lo : lo + BUCKET])
-        b.threshold = np.where(trial.filled == k, trial.threshold, -np.inf) if trial.q.dtype != object else b.threshold
-        first.append(b)
-    sent = laid.sparkSession.sparkContext.broadcast([(b.ids, b.q, b.norm, b.threshold) for b in first])
+def first_thresholds(asked: DataFrame, seeds: pa.Table, k: int) -> DataFrame:
+    """Queries (id, v, norm) with ``threshold``: the k-th best score among the sampled rows, which are bounded and so are sent to the tasks."""
+    sent = asked.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [Block(i, q, n, t.copy(), k) for i, q, n, t in sent.value]
-        by_dim = {b.q.shape[1]: b for b in own}
-        held: list[pa.RecordBatch] = []
-
-        def work() -> None:
-            t = pa.Table.from_batches(held).combine_chunks()
-            for ids, m, norm in matrices(t["id"].to_numpy(), t["v"].combine_chunks(), t["norm"].to_numpy()):
-                if (b := by_dim.get(m.shape[1])) is not None:
-                    for lo in range(0, len(ids), BUCKET):
-                        b.bucket(ids[lo : lo + BUCKET], m[lo : lo + BUCKET], norm[lo : lo + BUCKET])
-
+        some = blocks_of(sent.value, k)
         for x in batches:
-            held.append(x)
-            if sum(h.num_rows for h in held) >= BUCKET:
-                work()
-                held = []
-        if held:
-            work()
-        for b in own:
-            q, v, s = b.rows()
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
-
-    return laid.select("id", "v", "norm").mapInArrow(run, "query_id long, vec_id long, score long")
+            told = {}
+            for b in blocks_of(pa.Table.from_batches([x]), k):
+                for s in some:
+                    if s.q.shape[1] == b.q.shape[1] and s.q.dtype != object and b.q.dtype != object:
+                        for lo in range(0, len(s.ids), BUCKET):
+                            b.bucket(s.ids[lo : lo + BUCKET], s.q[lo : lo + BUCKET], s.norm[lo : lo + BUCKET])
+                good = (b.filled == k) & (b.q.dtype != object)
+                told |= dict(zip(b.ids.tolist(), np.where(good, b.threshold, -np.inf).tolist(), strict=True))
+            yield x.append_column("threshold", pa.array([told[i] for i in x.column(0).to_pylist()], pa.float64()))
+
+    return asked.select("id", "v", "norm").mapInArrow(run, f"id {asked.schema['id'].dataType.simpleString()}, v array<bigint>, norm double, threshold double")
 
 
 def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = EVERY, k: int = K) -> DataFrame:
