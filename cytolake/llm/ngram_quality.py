@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, shards
+from .common import materialize, prepare, shards, unused
 
 ORDER = 4
 SENT_ROWS = 4_000_000
@@ -216,9 +216,10 @@ def _sums(model: Arrays, lang: str, texts: list[str]) -> tuple[np.ndarray, np.nd
     keys, n = text_grams(texts)
     uniq, back = np.unique(keys, return_inverse=True)
     p = log_probs(model, lang, uniq)[back] if len(keys) else np.zeros(0)
-    total = np.concatenate([[0.0], np.cumsum(p)])
-    ends = np.cumsum(n)
-    return -(total[ends] - total[ends - n]), n
+    some, total = n > 0, np.zeros(len(n))
+    if some.any():
+        total[some] = np.add.reduceat(p, (np.cumsum(n) - n)[some])  # each text by itself: equal texts have equal sums, wherever they stand
+    return -total, n
 
 
 def _score_batch(b: pa.RecordBatch, model: Arrays) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +258,8 @@ def sharded(docs: DataFrame, model: DataFrame, emit, schema: str) -> DataFrame:
     """Documents scored in batches of about BATCH_BYTES, each beside the entries that its own n-grams ask for."""
     some = docs.withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
     n = shards(some.agg(F.sum("chars")).first()[0] or 0, BATCH_BYTES)
-    batched = docs.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    # the row's number spreads repeated rows; it is written, so that both readers see the same batches
+    batched = materialize(docs.withColumn("batch", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")), "ngram-batches")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,11 +303,11 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MA
     return drawn.groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx("score", [0.5, quantile], 10_000).alias("q"), F.count("*").alias("n")).select("lang", "mean", threshold.alias("threshold")).collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, sent_rows: int = SENT_ROWS) -> tuple[DataFrame, dict]:
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, sent_rows: int = SENT_ROWS, sent_ids: int = SENT_IDS) -> tuple[DataFrame, dict]:
     """The model, and (mean, threshold) by language. ``docs`` has id, lang and text; ``labels`` doc_id and quality (1: trusted)."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
     few = materialize(good, "trusted-ids")
-    good = F.broadcast(few) if few.count() <= SENT_IDS else few.hint("merge")
+    good = F.broadcast(few) if few.count() <= sent_ids else few.hint("merge")
     trusted = docs.join(good, "id", "left_semi")
     held = F.pmod(F.xxhash64(F.lit("held out"), "id"), F.lit(HELD_OUT)) == 0
     model = train(trusted.where(~held))
@@ -317,11 +319,11 @@ def needed(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sent_rows: int = SENT_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sent_rows: int = SENT_ROWS, sent_ids: int = SENT_IDS) -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, score, threshold, kept) of every row."""
     prepare(docs.sparkSession)
     rows = needed(docs, doc_id, text, lang)
-    model, levels = fit(rows, labels, sent_rows=sent_rows)
+    model, levels = fit(rows, labels, sent_rows=sent_rows, sent_ids=sent_ids)
     spark = docs.sparkSession
     known = spark.createDataFrame([(k, *v) for k, v in levels.items()], "l string, mean double, threshold double")
     scored = _scored(rows, model, sent_rows).join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("l")), "left")  # a row a language
@@ -330,20 +332,20 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     return scored.select(F.col("id").alias("doc_id"), "lang", "n_chars", ppl.alias("perplexity"), score.alias("score"), "threshold", F.coalesce(score <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sent_rows: int = SENT_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sent_rows: int = SENT_ROWS, sent_ids: int = SENT_IDS) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, columns unchanged. A model too large to send decides by id and text instead of in place."""
     spark = docs.sparkSession
     prepare(spark)
     rows = needed(docs, doc_id, text, lang)
-    model, levels = fit(rows, labels, sent_rows=sent_rows)
+    model, levels = fit(rows, labels, sent_rows=sent_rows, sent_ids=sent_ids)
     if model.count() > sent_rows:
-        marked = docs.withColumn("__row", F.monotonically_increasing_id())
-        marked = materialize(marked, "quality-rows")
-        scored = _scored(needed(marked, "__row", text, lang), model, sent_rows)
+        row = unused(docs, "row")
+        marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "quality-rows")
+        scored = _scored(needed(marked, row, text, lang), model, sent_rows)
         known = spark.createDataFrame([(k, *v) for k, v in levels.items()], "l string, mean double, threshold double")
         scored = scored.join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("l")), "left")
-        bad = scored.where((F.col("nll") + PRIOR * F.col("mean")) / (F.col("n_chars") + PRIOR) > F.col("threshold")).select(F.col("id").alias("__row"))
-        return marked.join(bad, "__row", "left_anti").select(*docs.columns)
+        bad = scored.where((F.col("nll") + PRIOR * F.col("mean")) / (F.col("n_chars") + PRIOR) > F.col("threshold")).select(F.col("id").alias(row))
+        return marked.join(bad, row, "left_anti").select(*docs.columns)
     t = model.toArrow()
     sent = spark.sparkContext.broadcast((arrays(t["lang"].to_pylist(), t["kind"].to_numpy(), t["key"].to_numpy(), t["value"].to_numpy()), levels))
     names = docs.columns
