@@ -4,9 +4,10 @@
   document in a bounded sample of ``SAMPLE`` labelled rows; a term needs a precision and a significance that allows for all terms tried, and
   must stand after many different words, so that the words of a much-copied toxic text do not become terms.
 * Matching: the lexicon is a trie; each distinct word of a text becomes a Levenshtein automaton (bit sets of places by number of errors),
-  and both are walked together. A misspelling within one edit is a hit of its own kind, unless clean training texts have it as a word.
+  and both are walked together. A misspelling within one edit (a character too few, too many, wrong, or two swapped, anywhere in the word) is a hit of its own kind, unless clean training texts have it
+  as a word.
 * Context: a hit within a window that quotes or reports (quotation marks around it, verbs of saying, words about words) is counted apart from a hit that is
-  plain or addressed to somebody. A logistic model over the four counts, drawn towards plain prior weights, gives the score.
+  plain or addressed to somebody. A logistic model over the four counts, drawn towards prior weights that are set by hand, gives the score; the words of speech are a fixed list too.
 
 Labels are learned only from rows whose ``crc32(doc_id) mod 5`` is not 0. No score looks at label, language, source or id.
 
@@ -28,11 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare
 
-#: Labelled rows to learn from, at most (a hash of the id chooses).
-SAMPLE = 20_000
+#: Labelled rows to learn from, and characters that their texts have, about at most (a hash of the id chooses). All that is learned from them, words near terms included, fits the driver.
+SAMPLE, SAMPLE_CHARS = 20_000, 200_000_000
 FOLDS = 5
-MAX_TERMS = 5_000
-STEM, WORD_MIN, FUZZY_MIN = range(4, 9), 3, 5
+STEM, WORD_MIN = range(4, 9), 3
 #: Least length of terms that a text's words may misspell; the clean words near them are known.
 SHORT_MIN = 3
 PRECISION, DOUBT = 0.9, 100.0
@@ -62,61 +62,72 @@ def trie(terms: list[str]) -> dict:
     return root
 
 
-def tails(terms: list[str]) -> tuple[dict, dict[str, str]]:
-    """The trie of the terms without their first characters, and the first term of each such tail."""
-    of: dict[str, str] = {}
-    for t in sorted(terms, reverse=True):
-        of[t[1:]] = t
-    return trie(list(of)), of
+class Terms:
+    """The trie of the terms, and that of the terms without their first characters: what follows an error there is met without one."""
 
+    def __init__(self, terms: list[str]):
+        self.root = trie(terms)
+        self.first: dict[str, str] = {}  # the first term of each tail
+        for t in sorted(terms, reverse=True):
+            self.first[t[1:]] = t
+        self.rest = trie(list(self.first))
 
-def met(word: str, node: dict) -> Iterator[str]:
+
+def met(word: str, node: dict | None) -> Iterator[str]:
     """The terms that a word meets without an error."""
     for c in word:
+        if node is None:
+            return
         if "" in node:
             yield node[""]
         node = node.get(c) if c != "$" else None
-        if node is None:
-            return
-    yield from (node[c] for c in ("", "$") if c in node)
+    if node is not None:
+        yield from (node[c] for c in ("", "$") if c in node)
+
+
+def at_first(word: str, terms: Terms) -> Iterator[str]:
+    """The terms that a word meets but for one error in its first character: one too many, a wrong one, one too few, or the first two in the wrong order."""
+    yield from met(word[1:], terms.root)
+    for w in (word[1:], word):
+        yield from (terms.first[t] for t in met(w, terms.rest))
+    if len(word) > 1 and "$" not in word[:2]:
+        yield from met(word[2:], terms.root.get(word[1], {}).get(word[0]))
 
 
-def match(word: str, root: dict, fuzzy_min: int = FUZZY_MIN, rest: tuple[dict, dict[str, str]] | None = None) -> tuple[str, int] | None:
-    """The term nearest to a word, as (term, edits): an exact one first, then one edit; None beyond that.
+def match(word: str, terms: Terms, least: int = SHORT_MIN) -> tuple[str, int] | None:
+    """The term nearest to a word, as (term, edits): an exact one first, then one edit (two neighbours in the wrong order are one); None beyond that.
 
-    Bit i of ``r0`` or ``r1``: i characters of the word are read with none or one error. Reading a trie character moves equal places on;
-    an error lets a place stay (a character too few), move (a wrong one) or jump (one too many). A stem is met wherever the word goes on.
-    The first characters must agree there. With the terms' ``rest`` (:func:`tails`) an error in the first character counts too: what follows it is met without one.
+    Terms of fewer than ``least`` characters allow no edit. Bit i of ``r0`` or ``r1``: i characters of the word are read with none or one error. Reading a trie character moves
+    equal places on; an error lets a place stay (a character too few), move (a wrong one) or jump (one too many), or takes two trie characters crosswise: ``p0`` and ``pb`` are
+    ``r0`` and the word's places of the character before. A stem is met wherever the word goes on. Most words agree with no term in their first character, so errors there
+    are looked up apart (:func:`at_first`) and the walk begins behind it.
     """
-    best = None
-    if rest is not None and word:
-        near = [*met(word[1:], root), *(rest[1][t] for w in (word, word[1:]) for t in met(w, rest[0]))]
-        best = min(((t, 1) for t in near if len(t.removesuffix("$")) >= fuzzy_min), default=None)
-    below = root.get(word[:1]) if word[:1] != "$" else None
+    best = min(((t, 1) for t in at_first(word, terms) if len(t.removesuffix("$")) >= least), default=None) if word else None
+    below = terms.root.get(word[:1]) if word[:1] != "$" else None
     if below is None:
         return best
     n = len(word)
     at: dict[str, int] = {}
     for i, c in enumerate(word):
         at[c] = at.get(c, 0) | 1 << i
-    stack = [(below, 2, 4, 1)]
+    stack = [(below, 2, 4, 1, at[word[0]], 1)]
     full = (1 << (n + 1)) - 1
     while stack:
-        node, r0, r1, depth = stack.pop()
+        node, r0, r1, p0, pb, depth = stack.pop()
         for c, below in node.items():
             if c == "" or c == "$":
                 here0 = r0 if c == "" else r0 >> n & 1
-                here1 = depth >= fuzzy_min and (r1 if c == "" else r1 >> n & 1)
+                here1 = depth >= least and (r1 & full if c == "" else r1 >> n & 1)
                 if here0:
                     return below, 0
-                if here1 and (best is None or (best[0]) > below):
+                if here1 and (best is None or best[0] > below):
                     best = (below, 1)
                 continue
             b = at.get(c, 0)
             n0 = (r0 & b) << 1
-            n1 = ((r1 & b) << 1 | r0 | r0 << 1 | n0 << 1) & full
+            n1 = ((r1 & b) << 1 | r0 | r0 << 1 | n0 << 1 | ((p0 & b) << 1 & pb) << 1) & full
             if n0 or n1:
-                stack.append((below, n0, n1, depth + 1))
+                stack.append((below, n0, n1, r0, b, depth + 1))
     return best
 
 
@@ -142,7 +153,7 @@ class Lexicon:
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self) -> None:
-        self.root, self.rest = trie(self.terms), tails(self.terms)
+        self.index = Terms(self.terms)
         self.kept: dict[bytes, tuple[str, int] | None] = {}
 
     def __getstate__(self) -> dict:
@@ -154,9 +165,9 @@ class Lexicon:
     def look(self, token: bytes) -> tuple[str, int] | None:
         words = spellings(token)
         if words[0] in self.known:  # clean, but for an exact term
-            hit = match(words[0], self.root) if len(words[0]) >= WORD_MIN else None
-            return hit if hit and not hit[1] else None
-        found = [hit for w in words if len(w) >= WORD_MIN and (hit := match(w, self.root, SHORT_MIN, self.rest))]
+            hit = next(met(words[0], self.index.root), None) if len(words[0]) >= WORD_MIN else None
+            return (hit, 0) if hit else None
+        found = [hit for w in words if len(w) >= WORD_MIN and (hit := match(w, self.index))]
         return min(found, key=lambda hit: hit[1], default=None)
 
     def hits(self, tokens: list[bytes]) -> list[tuple[int, str, int]]:
@@ -264,14 +275,15 @@ def divergence(k, n, p):
     return n * (q * F.log(q / p) + tail)
 
 
-def candidates(counts: DataFrame, rate: float, precision: float = PRECISION, doubt: float = DOUBT, most: int = MAX_TERMS) -> list[str]:
+def candidates(counts: DataFrame, rate: float, precision: float = PRECISION, doubt: float = DOUBT) -> list[str]:
+    """Terms whose documents are toxic far more often than chance allows, for all the terms tried."""
     both = counts.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("k"), F.sum("n").cast("double").alias("n"))
     tried = both.count()
     if not tried:
         return []
     good = both.where((F.col("k") >= precision * F.col("n")) & (F.col("k") >= 3))
     good = good.withColumn("weight", divergence(F.col("k"), F.col("n"), F.lit(rate))).where(F.col("weight") > float(np.log(tried * doubt)))
-    return [r.term for r in good.orderBy(F.desc("weight"), F.desc(F.length("term")), "term").limit(most).collect()]
+    return [r.term for r in good.select("term").collect()]
 
 
 def varied(sample: DataFrame, terms: list[str], rate: float, doubt: float = DOUBT) -> dict[str, int]:
@@ -298,26 +310,35 @@ def varied(sample: DataFrame, terms: list[str], rate: float, doubt: float = DOUB
 
 def choose(found: dict[str, int]) -> list[str]:
     """The longest form among those of equal standing; none that another one covers."""
-    chosen: list[str] = []
+    chosen: set[str] = set()
+    begun: set[str] = set()  # all beginnings of chosen terms
     for t in sorted(found, key=lambda t: (-found[t], -len(t), t)):
-        if not any(t.startswith(c) or c.startswith(t.removesuffix("$")) for c in chosen):
-            chosen.append(t)
-    return chosen
+        if t.removesuffix("$") not in begun and not any(t[:k] in chosen for k in range(1, len(t) + 1)):
+            chosen.add(t)
+            begun.update(t[:k] for k in range(1, len(t) + 1))
+    return sorted(chosen)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(text, label) of a bounded sample of the labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(text, label) of a bounded sample of the labelled rows outside the held-out fold; a written table."""
     open_ = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
-    n = open_.count()
+    known = open_.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    n = known.count()
     share = min(1.0, most / max(n, 1))
-    chosen = open_.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    chosen = materialize(chosen, "toxicity-labels")  # about SAMPLE rows of two numbers: bounded, so it may be broadcast
-    return docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "__id")), F.col("id") == F.col("__id")).select("text", "label")
+    in_share = lambda share: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = materialize(known.where(in_share(share)), "toxicity-labels")  # about ``most`` rows of two numbers: bounded, so it may be broadcast
+    chosen = chosen.withColumnRenamed("doc_id", "__id")
+    rows = docs.join(F.broadcast(chosen), F.col("id") == F.col("__id"))
+    rows = materialize(rows.select("__id", "text", "label"), "toxicity-sample")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > most_chars:
+        rows = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * most_chars / size * (1 << 30)))
+    return rows.select("text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
     """Fits lexicon and weights; ``docs`` has id and text."""
-    sample = materialize(training_rows(docs, labels, most), "toxicity-sample")
+    sample = training_rows(docs, labels, most)
     toxic, n = sample.agg(F.sum("label"), F.count("*")).first()
     if not toxic or toxic == n:
         return Lexicon([])
@@ -334,7 +355,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
                 seen.update(plain(tokens[i]) for i, _, edits in sent.value.hits(tokens) if edits)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["word"])
 
-    lexicon.known = {r.word for r in sample.where("label = 0").select("text").mapInArrow(near, "word string").distinct().limit(100_000).collect()}
+    lexicon.known = {r.word for r in sample.where("label = 0").select("text").mapInArrow(near, "word string").distinct().collect()}
     fitted = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
