@@ -7,7 +7,8 @@ the shared folder under names of their attempt, and only the names that successf
 
 Reading: a record is accepted after its checks (gzip checksum, version line, header form, length, block digest). When one fails, the
 reader searches for the next gzip member that opens with a version line, or in plain files the next version line, goes on
-there, and logs the bytes between as a quarantined gap. Memory is bounded by the largest record, not by the file.
+there, and logs the bytes between as a quarantined gap; records and gaps come of one pass. Memory is bounded by the largest record that holds, not by the file or by what a damaged
+length claims.
 
 Defined results: a null payload is an empty one. Rows without an id are written, and never referred to. Rows that repeat an id and a payload are
 each what their id is. An empty table gives an empty result. Other columns than id, url and payload are not read.
@@ -33,10 +34,14 @@ REVISIT_BYTES = 1000
 FILE_BYTES = 128 << 20
 #: So many repeated payloads are broadcast at most (about 100 bytes each); more are joined by a shuffle.
 SENT_LEADS = 300_000
+#: Pages of one payload that one key of that shuffle has, about at most.
+COPIES = 50_000
 LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
-#: A header is read by steps of so many bytes until it ends.
-HEADER_BYTES = 1 << 16
+#: A header is read by steps of so many bytes until it ends; a block of more than HELD_BYTES of a plain file is checked before it is held.
+HEADER_BYTES, HELD_BYTES = 1 << 16, 1 << 26
+#: Bytes that end a record.
+TAIL = 4
 VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,18 +72,28 @@ def member(raw: bytes, level: int = LEVEL) -> bytes:
 # -- writing -------------------------------------------------------------------------------------------------------
 
 
-def marked(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, html, sha1, refers_to): refers_to is null for responses."""
+def marked(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sent_leads: int = SENT_LEADS, copies: int = COPIES) -> DataFrame:
+    """(page_id, url, html, sha1, refers_to): refers_to is null for responses.
+
+    More repeated payloads than ``sent_leads`` meet their pages by a shuffle, in which one of over ``copies`` pages is dealt out to as many keys as keep each of them
+    small; how many is broadcast, as there are few such (the table's rows divided by ``copies`` at most)."""
     text = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text.alias("html"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).alias("bytes"))
     leads = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("sha1", "bytes").agg(F.max("page_id").alias("lead"), F.count("*").alias("n"))
-    leads = materialize(leads.where("n > 1 and lead is not null").select(F.col("sha1").alias("s"), F.col("bytes").alias("b"), "lead"), "warc-leads")
-    leads = F.broadcast(leads) if leads.count() <= SENT_LEADS else leads.hint("merge")
-    met = rows.join(leads, (F.col("sha1") == F.col("s")) & (F.col("bytes") == F.col("b")), "left")
+    leads = materialize(leads.where("n > 1 and lead is not null").select(F.col("sha1").alias("s"), F.col("bytes").alias("b"), "lead", F.ceil(F.col("n") / copies).cast("int").alias("parts")), "warc-leads")
+    same = (F.col("sha1") == F.col("s")) & (F.col("bytes") == F.col("b"))
+    if leads.count() <= sent_leads:
+        met = rows.join(F.broadcast(leads), same, "left")
+    else:
+        hot = leads.where("parts > 1").select(F.col("s").alias("hs"), F.col("parts").alias("hp"))
+        part = F.coalesce(F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.col("hp")).cast("int"), F.lit(0))
+        dealt = rows.join(F.broadcast(hot), F.col("sha1") == F.col("hs"), "left").withColumn("part", part)
+        leads = leads.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = dealt.join(leads.hint("merge"), same & (F.col("part") == F.col("p")), "left")
     return met.select("page_id", "url", "html", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES, level: int = LEVEL) -> DataFrame:
+def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES, level: int = LEVEL, sent_leads: int = SENT_LEADS) -> DataFrame:
     """Writes archives below ``folder``; returns (path, records, bytes) of each."""
     prepare(pages.sparkSession)
 
@@ -106,7 +121,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         if out is not None:
             yield done()
 
-    rows = marked(pages, page_id, url, html)
+    rows = marked(pages, page_id, url, html, sent_leads)
     return materialize(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-files")
 
 
@@ -159,12 +174,22 @@ class Bad(Exception):
 
 @dataclass
 class Reader:
-    """Records and gaps of one archive, in order of place."""
+    """Records and gaps of one archive, in order of place.
+
+    Nothing that a damaged length claims is read before it holds: a member is expanded no further than its own header says, and a long block of a plain
+    file is checked by steps (against its digest, else by what must follow it) before it is taken as a whole.
+    """
 
     source: files.Blocks
     gaps: list[Gap] = field(default_factory=list)
+    ahead: dict[bytes, int] = field(default_factory=dict)  # the next place of each mark, from where it was last looked for
 
     def records(self) -> Iterator[Record]:
+        for x in self.everything():
+            if isinstance(x, Record):
+                yield x
+
+    def everything(self) -> Iterator[Record | Gap]:
         at = 0
         while at < self.source.length:
             try:
@@ -172,82 +197,95 @@ class Reader:
             except Bad as e:
                 to = self._next(at + 1)
                 self.gaps.append(Gap(at, to, str(e)))
+                yield self.gaps[-1]
                 at = to
                 continue
             yield r
             at = r.end
 
     def _gzip(self, at: int) -> Record:
-        z, raw, used = zlib.decompressobj(31), [], 0
+        z, raw, used, size, whole = zlib.decompressobj(31), [], 0, 0, None
         try:
             for part in self.source.stream(at):
                 raw.append(z.decompress(part))
-                used += len(part)
-                if len(raw) == 1 and not raw[0].startswith(VERSION) and len(raw[0]) >= len(VERSION):
-                    raise Bad("member without a version line")
+                used, size = used + len(part), size + len(raw[-1])
+                if whole is None:
+                    raw = [b"".join(raw)]
+                    if size >= len(VERSION) and not raw[0].startswith(VERSION):
+                        raise Bad("member without a version line")
+                    if (head := _head(raw[0])) is not None:
+                        whole = head[1] + head[2] + TAIL
+                if whole is not None and size > whole:
+                    raise Bad("member is longer than its header says")
                 if z.eof:
                     break
         except zlib.error as e:
             raise Bad(f"gzip: {e}") from None
         if not z.eof:
             raise Bad("gzip: member is cut off")
-        whole = b"".join(raw)
-        headers, block, end = self._parse(lambda a, n: whole[a : a + n])
-        if whole[end:].strip(b"\r\n"):
+        head = _head(raw := b"".join(raw))
+        if head is None:
+            raise Bad("header does not end" if raw.startswith(VERSION) else "member without a version line")
+        headers, start, length = head
+        block = raw[start : start + length]
+        _check(headers, block, length)
+        if raw[start + length :].strip(b"\r\n"):
             raise Bad("bytes after the record")
         return Record(at, at + used - len(z.unused_data), headers, block)
 
     def _plain(self, at: int) -> Record:
-        headers, block, end = self._parse(lambda a, n: self.source.read(at + a, n))
-        tail = self.source.read(at + end, 4)
-        return Record(at, at + end + len(tail) - len(tail.lstrip(b"\r\n")), headers, block)
-
-    @staticmethod
-    def _parse(read) -> tuple[dict[str, str], bytes, int]:
-        head = read(0, HEADER_BYTES)
-        if not head.startswith(VERSION):
-            raise Bad("no version line")
-        parts, size, tail = [head], len(head), head[-3:]
-        over = head.find(b"\r\n\r\n")
-        while over < 0:
-            part = read(size, HEADER_BYTES)
-            if not part:
+        raw, found = b"", None
+        while found is None:
+            part = self.source.read(at + len(raw), max(HEADER_BYTES, len(raw)))
+            raw += part
+            if not raw.startswith(VERSION):
+                raise Bad("no version line")
+            found = _head(raw)
+            if found is None and not part:
                 raise Bad("header does not end")
-            at = (tail + part).find(b"\r\n\r\n")
-            over = size - len(tail) + at if at >= 0 else -1
-            parts.append(part)
-            size, tail = size + len(part), (tail + part)[-3:]
-        head = b"".join(parts)
-        headers = {}
-        for line in head[:over].split(b"\r\n")[1:]:
-            name, colon, value = line.partition(b":")
-            if not colon or not re.fullmatch(rb"[!-9;-~]+", name):
-                raise Bad("header line without a name")
-            headers[name.decode().lower()] = value.strip().decode("utf-8", "surrogateescape")
-        length = headers.get("content-length", "")
-        if not length.isascii() or not length.isdigit():
-            raise Bad("no length")
-        block = read(over + 4, int(length))
-        if len(block) < int(length):
+        headers, start, length = found
+        start += at
+        if start + length > self.source.length:
             raise Bad("block is cut off")
-        told = headers.get("warc-block-digest")
-        if told and told.startswith("sha1:") and told != sha1_label(block):
+        if length > HELD_BYTES:
+            self._try(headers, start, length)
+        block = self.source.read(start, length)
+        _check(headers, block, length)
+        tail = self.source.read(start + length, TAIL)
+        return Record(at, start + length + len(tail) - len(tail.lstrip(b"\r\n")), headers, block)
+
+    def _try(self, headers: dict[str, str], start: int, length: int) -> None:
+        told = headers.get("warc-block-digest", "")
+        if not told.startswith("sha1:"):
+            tail = self.source.read(start + length, TAIL + len(VERSION)).lstrip(b"\r\n")
+            if tail and not (tail.startswith(VERSION) or tail.startswith(MAGIC)):
+                raise Bad("no record after the block")
+            return
+        digest = hashlib.sha1()
+        for lo in range(start, start + length, HEADER_BYTES):
+            digest.update(self.source.read(lo, min(HEADER_BYTES, start + length - lo)))
+        if told != "sha1:" + base64.b32encode(digest.digest()).decode():
             raise Bad("block digest differs")
-        return headers, block, over + 4 + int(length)
+
+    def _mark(self, what: bytes, at: int) -> int:
+        """The next place of a mark, found once for all places before it, so that a search goes over the file once whatever the number of gaps."""
+        if self.ahead.get(what, -1) < at:
+            place = self.source.find(what, at)
+            self.ahead[what] = place if place >= 0 else self.source.length
+        return self.ahead[what]
 
     def _next(self, at: int) -> int:
         """The next place where a record may start: a member that opens with a version line, or a version line; else the end."""
         while at < self.source.length:
-            gz, line = self.source.find(MAGIC, at), self.source.find(b"WARC/1.", at)
-            found = [x for x in (gz, line) if x >= 0]
-            if not found:
+            gz, line = self._mark(MAGIC, at), self._mark(VERSION, at)
+            at = min(gz, line)
+            if at >= self.source.length:
                 break
-            at = min(found)
             if at == line and (at == 0 or self.source.read(at - 1, 1) == b"\n"):
                 return at
             if at == gz:
                 try:
-                    if zlib.decompressobj(31).decompress(self.source.read(at, 4096)).startswith(VERSION):
+                    if zlib.decompressobj(31).decompress(self.source.read(at, 4096), len(VERSION)).startswith(VERSION):
                         return at
                 except zlib.error:
                     pass
@@ -255,29 +293,57 @@ class Reader:
         return self.source.length
 
 
+def _head(raw: bytes) -> tuple[dict[str, str], int, int] | None:
+    """Headers, where the block begins, and its length; None if the header does not end here."""
+    over = raw.find(b"\r\n\r\n")
+    if over < 0:
+        return None
+    headers = {}
+    for line in raw[:over].split(b"\r\n")[1:]:
+        name, colon, value = line.partition(b":")
+        if not colon or not re.fullmatch(rb"[!-9;-~]+", name):
+            raise Bad("header line without a name")
+        headers[name.decode().lower()] = value.strip().decode("utf-8", "surrogateescape")
+    length = headers.get("content-length", "")
+    if not length.isascii() or not length.isdigit():
+        raise Bad("no length")
+    return headers, over + 4, int(length)
+
+
+def _check(headers: dict[str, str], block: bytes, length: int) -> None:
+    if len(block) < length:
+        raise Bad("block is cut off")
+    told = headers.get("warc-block-digest")
+    if told and told.startswith("sha1:") and told != sha1_label(block):
+        raise Bad("block digest differs")
+
+
 def _paths(archives: DataFrame, *columns: str) -> DataFrame:
     """One task for each few archives."""
     n = archives.count()
     return archives.select("path", *columns).repartition(max(1, min(n, 10_000)), "path")
 
 
-RECORD_FIELDS = "path string, start long, end long, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to long"
-
+FIELDS = "path string, start long, end long, gap string, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to long"
 
-def read(archives: DataFrame, whole: bool = False) -> DataFrame:
-    """Records of archives given by (path): place, type, page, length and digest of the full payload, page referred to.
 
-    ``whole``: archives as :func:`write` returns them, of which fewer or more records than written are an error."""
+def scan(archives: DataFrame, whole: bool = False) -> DataFrame:
+    """Records and gaps of archives given by (path), in one pass: place, type, page, length and digest of the full payload, page referred to; ``gap`` tells why bytes were
+    left out and is null for records. ``whole``: archives as :func:`write` returns them, of which fewer or more records than written are an error."""
+    names = [x.split()[0] for x in FIELDS.split(", ")]
+    kinds = [pa.string() if x.endswith("string") else pa.int64() for x in FIELDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD_FIELDS.split(", ")]
-        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in RECORD_FIELDS.split(", ")]
         for b in batches:
             for k, path in enumerate(b.column(0).to_pylist()):
                 source, rows, n = files.Blocks(path), [], 0
-                for n, r in enumerate(Reader(source).records(), 1):
-                    digest = hashlib.sha1(r.payload()).hexdigest() if r.headers.get("warc-type") == "response" else r.payload_digest()
-                    rows.append((path, r.start, r.end, r.headers.get("warc-type"), r.page(), r.payload_bytes(), digest, r.refers_to()))
+                for x in Reader(source).everything():
+                    if isinstance(x, Gap):
+                        rows.append((path, x.start, x.end, x.reason, None, None, None, None, None))
+                    else:
+                        n += 1
+                        digest = hashlib.sha1(x.payload()).hexdigest() if x.headers.get("warc-type") == "response" else x.payload_digest()
+                        rows.append((path, x.start, x.end, None, x.headers.get("warc-type"), x.page(), x.payload_bytes(), digest, x.refers_to()))
                     if len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows = []
@@ -287,25 +353,19 @@ def read(archives: DataFrame, whole: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return _paths(archives, *["records"] * whole).mapInArrow(run, RECORD_FIELDS)
-
-
-def quarantine(archives: DataFrame) -> DataFrame:
-    """(path, start, end, reason) of the bytes that the reader had to leave out."""
+    return _paths(archives, *["records"] * whole).mapInArrow(run, FIELDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                reader = Reader(files.Blocks(path))
-                for _ in reader.records():
-                    pass
-                g = reader.gaps
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(g), pa.string()), pa.array([x.start for x in g], pa.int64()), pa.array([x.end for x in g], pa.int64()), pa.array([x.reason for x in g], pa.string())], names=["path", "start", "end", "reason"])
 
-    return _paths(archives).mapInArrow(run, "path string, start long, end long, reason string")
+def salvage(archives: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Records, and the log of quarantined bytes (path, start, end, reason), of one pass over the archives."""
+    found = materialize(scan(archives, whole), "warc-records")
+    return found.where("gap is null").drop("gap"), found.where("gap is not null").select("path", "start", "end", F.col("gap").alias("reason"))
 
 
-def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes every page and reads the archives back."""
-    archives = write(pages, fresh_path(pages.sparkSession, "warc"), page_id, url, html)
-    return read(archives, whole=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sent_leads: int = SENT_LEADS) -> DataFrame:
+    """Writes every page and reads the archives back. Records read are counted against those written, and a byte that had to be left out is an error here."""
+    archives = write(pages, fresh_path(pages.sparkSession, "warc"), page_id, url, html, sent_leads=sent_leads)
+    records, gaps = salvage(archives, whole=True)
+    if not gaps.isEmpty():
+        raise ValueError(f"bytes of own archives were left out: {gaps.first()}")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
