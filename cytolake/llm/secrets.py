@@ -6,7 +6,8 @@ a character-class scan finds them.
 
 Kinds, in the order that breaks ties of position: ``assign``, ``access``, ``hex`` (the contract's base, leftmost
 non-overlapping for each kind), then the added ``github`` and ``npm`` tokens (CRC-32 of the body in base 62 at the end),
-``card`` numbers (Luhn digit), ``jwt`` (its header must decode to JSON), ``pem`` private-key headers.
+``card`` numbers (an issuer's prefix and length, and the Luhn digit), ``jwt`` (its header must decode to JSON), ``pem`` private-key headers, and the ``slack``, ``google``,
+``gitlab`` and ``stripe`` tokens that embed no checksum and are taken by their form. Card numbers have no keyword either and are found like hexadecimal ones.
 
 Defined results: a null or empty text has no spans (``base_sha256`` is that of the empty string, ``spans`` is empty). Repeated
 rows give a result each. An empty table gives an empty result. Columns other than the id and the text are not read.
@@ -32,7 +33,7 @@ from .common import prepare
 Span = tuple[int, int, str]
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "github", "npm", "card", "jwt", "pem")
+KINDS = (*BASE_KINDS, "github", "npm", "card", "jwt", "pem", "slack", "google", "gitlab", "stripe")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -41,10 +42,22 @@ _GITHUB = re.compile(r"gh[opsur]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9]
 _NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
-_CARD = re.compile(r"(?<![0-9])[3-6][0-9]{12,18}(?![0-9])")
+_CARD = re.compile(r"(?<![0-9])[2-6][0-9]{12,18}(?![0-9])")
+#: Forms of tokens without a checksum.
+_FORMS = {
+    "slack": re.compile(r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
+    "google": re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
+    "gitlab": re.compile(r"glpat-[A-Za-z0-9_-]{20}(?![A-Za-z0-9_-])"),
+    "stripe": re.compile(r"[rs]k_live_[A-Za-z0-9]{24,}"),
+}
+#: First and last prefix of each range of an issuer, and the lengths of its numbers.
+ISSUERS = [
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 19)), ("644", "649", (16, 19)), ("65", "65", (16, 19)),
+    ("3528", "3589", (16, 19)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)), ("62", "62", (16, 17, 18, 19)),
+]
 
 #: Keyword to the kind that it announces.
-KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm", "eyj": "jwt", "-----begin ": "pem"}
+KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm", "eyj": "jwt", "-----begin ": "pem", "xox": "slack", "aiza": "google", "glpat-": "gitlab", "sk_live_": "stripe", "rk_live_": "stripe"}
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -65,6 +78,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_card(digits: str) -> bool:
+    return any(len(digits) in lengths and low <= digits[: len(low)] <= high for low, high, lengths in ISSUERS) and luhn(digits)
+
+
 def _is_jwt(header: str) -> bool:
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(header + "=" * (-len(header) % 4)))
@@ -91,6 +108,8 @@ def _at(text: str, kind: str, start: int) -> tuple[int, bool] | None:
         return (m.end(), _is_jwt(m[1])) if (m := _JWT.match(text, start)) else None
     if kind == "pem":
         return (m.end(), True) if (m := _PEM.match(text, start)) else None
+    if kind in _FORMS:
+        return (m.end(), True) if (m := _FORMS[kind].match(text, start)) else None
     m = (_GITHUB if kind == "github" else _NPM).match(text, start)
     return (m.end(), base62_crc(m[1]) == m[2]) if m else None
 
@@ -108,7 +127,7 @@ def scan(text: str | None) -> list[Span]:
             if hit[1]:
                 found.append((start, KINDS.index(kind), hit[0]))
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    found += [(m.start(), 5, m.end()) for m in _CARD.finditer(text) if luhn(m[0])]
+    found += [(m.start(), 5, m.end()) for m in _CARD.finditer(text) if is_card(m[0])]
     return sorted(found)
 
 
