@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -44,6 +45,28 @@ def test_top_k_is_exact(spark, mode):
     assert got == brute(rows, 50)
 
 
+@pytest.mark.parametrize("mode", ["plain", "ties", "lengths"])
+def test_grid_of_many_cells(spark, mode):
+    """Blocks of queries and chunks of rows of the least size."""
+    rnd = np.random.default_rng(7)
+    v = rnd.normal(size=(6000, 4))
+    if mode == "ties":
+        v[100:5600] = v[3]
+    if mode == "lengths":
+        v *= rnd.lognormal(0, 2, (6000, 1))
+    rows = [(i, v[i].tolist()) for i in range(6000)]
+    n = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(n, n.where("id % 2 = 0"), 5, topk.BUCKET * 4, topk.BUCKET * 4).where("query_id % 40 = 0").orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == brute(rows, 40)
+
+
+def test_the_plan_does_not_grow_with_the_queries(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(5000)], "vec_id long, embedding array<double>")
+    n = topk.integers(df)
+    size = lambda few: len(topk.search(n, n.where(few), 5, topk.BUCKET * 2)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size("id = 1") == size("id >= 0")
+
+
 def test_top_k_of_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 256 * 512)]
@@ -65,7 +88,8 @@ def pages_of(spark):
     return rows, spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, sha1 string, path string")
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("sent", [warc.SENT_LEADS, 0])
+def test_warc_round_trip(spark, sent):
     rows, df = pages_of(spark)
     groups = defaultdict(list)
     for i, _, h in rows:
@@ -76,11 +100,19 @@ def test_warc_round_trip(spark):
         lead = max((x for x in groups[raw] if x is not None), default=None)
         dup = len(raw) >= 1000 and len(groups[raw]) > 1 and i != lead
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if dup else "response", lead if dup else None))
-    got = [tuple(r) for r in warc.round_trip(df.repartition(3)).collect()]
+    got = [tuple(r) for r in warc.round_trip(df.repartition(3), sent_leads=sent).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_a_page_copied_often(spark):
+    """One payload on most pages, dealt out to several keys."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 100 > 0, F.repeat(F.lit("e"), F.lit(1500))).otherwise(F.repeat(F.lit("f"), F.lit(1200))).alias("html"))
+    for sent in (warc.SENT_LEADS, 0):
+        got = warc.marked(df, sent_leads=sent, copies=100).groupBy("refers_to").count().collect()
+        assert {(r.refers_to, r["count"]) for r in got} == {(2999, 2969), (2900, 29), (None, 2)}
+
+
 def test_payloads_come_back(spark):
     rows, df = pages_of(spark)
     archives = warc.write(df, fresh_path(spark, "warc"), file_bytes=2000)
@@ -112,9 +144,9 @@ def test_round_trip_of_a_long_url(spark):
     df = spark.createDataFrame([(1, "data:" + "x" * 200_000, "a"), (2, "u", "b")], "page_id long, url string, html string")
     assert sorted(r.page_id for r in warc.round_trip(df).collect()) == [1, 2]
     archives = warc.write(df.coalesce(1), fresh_path(spark, "warc"))
-    assert warc.read(archives.withColumn("records", F.lit(2)), whole=True).count() == 2
+    assert warc.scan(archives.withColumn("records", F.lit(2)), whole=True).count() == 2
     with pytest.raises(Exception, match="2 records read of 3 written"):
-        warc.read(archives.withColumn("records", F.lit(3)), whole=True).collect()
+        warc.scan(archives.withColumn("records", F.lit(3)), whole=True).collect()
 
 
 @pytest.mark.parametrize("zipped", [True, False])
@@ -133,8 +165,38 @@ def test_salvage(spark, tmp_path, zipped):
     assert {r.page() for r in got} == set(range(30)) - {4, 11, 20}
     covered = sorted([(r.start, r.end) for r in got] + [(g.start, g.end) for g in reader.gaps])
     assert covered[0][0] == 0 and covered[-1][1] == path.stat().st_size and all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
-    log = warc.quarantine(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
-    assert [(r.start, r.end) for r in log] == [(g.start, g.end) for g in reader.gaps]
+    records, log = warc.salvage(spark.createDataFrame([(f"file://{path}",)], "path string"))
+    assert [(r.start, r.end) for r in log.orderBy("start").collect()] == [(g.start, g.end) for g in reader.gaps]
+    assert [r.page_id for r in records.orderBy("start").collect()] == [r.page() for r in got]
+
+
+def test_damaged_lengths_are_not_read(tmp_path, monkeypatch):
+    """A length beyond the file, one within it, and a member that expands far beyond what it says."""
+    monkeypatch.setattr(warc, "HELD_BYTES", 1000)
+    one = lambda k: warc.record("response", k, "u", b"x" * 5000, hashlib.sha1(b"").hexdigest(), None)
+    wrong = lambda r, n: r.replace(b"\r\nContent-Length: " + str(len(r.partition(b"\r\n\r\n")[2]) - 4).encode(), b"\r\nContent-Length: " + n)
+    held = one(5).replace(b"WARC-Block-Digest", b"WARC-Other")
+    path = tmp_path / "x.warc"
+    path.write_bytes(b"".join([one(0), wrong(one(1), b"9999999999999"), one(2), wrong(one(3), b"12000"), one(4), held, wrong(held, b"7000"), one(6)]))
+    reader = warc.Reader(files.Blocks(f"file://{path}"))
+    assert [r.page() for r in reader.records()] == [0, 2, 4, 5, 6]
+    assert [g.reason for g in reader.gaps] == ["block is cut off", "block digest differs", "no record after the block"]
+    bomb = warc.member(wrong(one(1), b"10") + b"0" * 50_000_000)
+    path.write_bytes(warc.member(one(0)) + bomb + warc.member(one(2)))
+    reader = warc.Reader(files.Blocks(f"file://{path}"))
+    assert [r.page() for r in reader.records()] == [0, 2] and reader.gaps[0].reason == "member is longer than its header says"
+
+
+def test_salvage_goes_over_the_file_once(tmp_path):
+    """Thousands of false starts in a zipped archive, where no version line stands in the open."""
+    good = warc.member(warc.record("response", 1, "u", b"x", hashlib.sha1(b"x").hexdigest(), None))
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(good + warc.MAGIC * 20_000 + b"\0" * 3_000_000 + good)
+    source = files.Blocks(f"file://{path}", 1 << 16)
+    looked, find = [], source.find
+    source.find = lambda what, at: looked.append(what) or find(what, at)
+    reader = warc.Reader(source)
+    assert sum(1 for _ in reader.records()) == 2 and looked.count(warc.VERSION) == 1
 
 
 # -- all of them ------------------------------------------------------------------------------------------------------
@@ -150,25 +212,86 @@ def test_queries_run(spark, name):
     assert df.select(ids).distinct().count() == want
 
 
-def test_pipeline(spark):
+def redact_of(text):
+    """The secrets of a whole text by their expressions alone, without keywords or order."""
+    from cytolake.llm import secrets as x
+    from tests.llm.test_documents import base_spans
+
+    if not text:
+        return text
+    spans = [(a, b) for a, _, b in base_spans(text)]
+    spans += [m.span() for p in (x._GITHUB, x._NPM) for m in p.finditer(text) if x.base62_crc(m[1]) == m[2]]
+    spans += [m.span() for m in x._CARD.finditer(text) if x.is_card(m[0])] + [m.span() for m in x._JWT.finditer(text) if x._is_jwt(m[1])] + [m.span() for m in x._PEM.finditer(text)]
+    spans += [m.span() for p in x._FORMS.values() for m in p.finditer(text)]
+    hidden = [False] * (len(text) + 1)
+    out, k, over = "", 0, sorted(spans)
+    for a, b in over:
+        hidden[a:b] = [True] * (b - a)
+    joins = {a for a, b in over if any(c < a < d for c, d in over)}  # spans that begin inside another are one with it
+    while k < len(text):
+        if not hidden[k]:
+            out, k = out + text[k], k + 1
+            continue
+        out, k = out + "[secret]", k + 1
+        while k < len(text) and hidden[k] and not (any(a == k for a, _ in over) and k not in joins):
+            k += 1
+    return out
+
+
+def test_pipeline_by_brute_force(spark):
+    """run() over whole tables, stage by stage, against plain Python."""
+    from collections import Counter
+
     import corpus_pipeline as p
-    from cytolake.llm import mixing, packing, secrets, simhash
-    from cytolake.llm.common import materialize, table
-
-    docs = table(spark, SF, "documents")
-    good = materialize(p.quality(spark, docs, SF), "t")
-    assert good.columns == docs.columns and 0 < good.count() < docs.count()
-    alone = materialize(p.near_duplicates(spark, good, SF), "t")
-    of = {r.id: r.component_id for r in simhash.near_duplicates(good).collect()}
-    assert sorted(r.doc_id for r in alone.select("doc_id").collect()) == sorted(set(of.values()))
-    clean = materialize(p.secret_scan(spark, alone, SF), "t")
-    assert clean.count() == alone.count() and not any(secrets.scan(r.text) for r in clean.collect())
-    mixed = materialize(p.mixture(spark, clean, SF), "t")
-    taken = mixing.mix(clean).where("taken > 0")
-    times = taken.select("doc_id", F.ceil(F.col("taken") / F.col("size")).alias("n"))
-    assert {(r.doc_id, r["count"]) for r in mixed.groupBy("doc_id").count().collect()} == {(r.doc_id, r.n) for r in times.collect()}
-    last = p.packed(spark, mixed, SF)
-    assert last.where("piece = 0").count() == mixed.count()
-    whole = p.run(spark, SF)
-    assert whole.count() == last.count() and whole.columns == last.columns
-    assert {tuple(r) for r in whole.select("doc_id", "piece", "ids_crc32").collect()} == {tuple(r) for r in packing.pack(mixed).select("doc_id", "piece", "ids_crc32").collect()}
+    from cytolake.llm import tokens
+    from cytolake.llm.common import table
+    from tests.llm import test_documents as t
+
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in table(spark, SF, "documents").collect()]
+    trusted = {r.doc_id for r in table(spark, SF, "labels").where("quality = 1").collect()}
+    verdict = t.classify_of([(i, x, lang) for i, x, lang, _ in rows], trusted)
+    good = [r for r in rows if verdict[r[0], r[1]][1]]
+    assert 0 < len(good) < len(rows)
+    least = {i: c for i, _, c in t.components_of([(i, t.fingerprint_of(x)) for i, x, *_ in good])}
+    alone = [r for r in good if least[r[0]] == r[0]]
+    clean = [(i, redact_of(x), s) for i, x, _, s in alone]
+    mixed = []
+    for i, _, x, n in t.mix_of(clean):
+        while n > 0:
+            ends = [m.end() for m in t.WORD.finditer(x)]
+            mixed.append((i, x if n >= len(ends) else x[: ends[n - 1]]))
+            n -= len(ends)
+    encode = tokens.encoder(tokens.default_path()).tokenizer.encode
+    want = Counter()
+    for i, x in mixed:
+        ids = np.array([*encode(x, add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) if len(ids) <= 2048 else len(ids) % 2048 or 2048
+        for k, a in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[a : first if k == 0 else a + 2048]
+            want[i, k, a, len(part), zlib.crc32(part.tobytes())] += 1
+    got = p.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    placed = defaultdict(list)
+    for r in got:
+        placed[r.sequence_id].append((r.offset, r.length))
+    for s in placed.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(placed) <= -(-sum(r.length for r in got) // 2048) + 2
+
+
+def test_pipeline_of_odd_tables(spark, docs, none, tmp_path):
+    """Nulls, repeated rows, clashing columns, an empty table, and a text of nothing but line breaks."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("\n"), F.lit(1_000_000)).alias("text"), *docs.columns[2:])
+    for df, some in ((docs.unionByName(odd), True), (none, False)):
+        for name, stage in p.STAGES:
+            df = stage(spark, df, str(tmp_path))
+            if name != p.STAGES[-1][0]:
+                assert df.columns == docs.columns
+        assert (df.count() > 0) == some
