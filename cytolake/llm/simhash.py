@@ -37,6 +37,8 @@ LAST_EDGES = 16_384
 FAN = 16
 #: Rounds of contraction, each of which halves the edges or better; that so many do not do is an error.
 ROUNDS = 200
+#: A fingerprint that more than one in HOT_SHARE of all rows have, and more than LEAST_HOT, is not shuffled by.
+HOT_SHARE, LEAST_HOT = 100_000, 200
 #: So many ids of removed documents are sent to the executors at most (about 20 bytes each); more are joined by a shuffle.
 SENT_REMOVED = 2_000_000
 
@@ -272,13 +274,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(id, fp, component_id, root): component_id is the smallest id that links of at most ``d`` bits reach, the row's own included; root is one fingerprint of the component."""
     spark = docs.sparkSession
     rows = materialize(fingerprints(docs, doc_id, text), "simhash-fp")
-    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-vertices")
+    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-vertices")
     found = materialize(components(group_edges(groups(fps.select("fp"), d), d)), "simhash-components")
     named = fps.join(found.withColumnRenamed("v", "fp"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    best = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    of = named.where(F.col("c") != F.col("fp")).select("fp", "c").join(best, "c").select("fp", "c", "component_id")
-    roots = best.select(F.col("c").alias("fp"), "c", "component_id")
-    return rows.join(of.unionByName(roots), "fp").select("id", "fp", "component_id", F.col("c").alias("root"))
+    best = named.groupBy("c").agg(F.min("least").alias("component_id"), F.max(F.when(F.col("fp") == F.col("c"), F.col("n"))).alias("n"))
+    of = named.where(F.col("c") != F.col("fp")).select("fp", "c", "n").join(best.drop("n"), "c").select("fp", "c", "component_id", "n")
+    label = materialize(of.unionByName(best.select(F.col("c").alias("fp"), "c", "component_id", "n")), "simhash-labels").withColumnRenamed("c", "root")
+    # rows of a fingerprint that many have meet its label where they are; there are fewer than HOT_SHARE of those, whatever the table's size
+    often = F.col("n") > max(LEAST_HOT, rows.count() // HOT_SHARE)
+    hot, rest = label.where(often).drop("n"), label.where(~often).drop("n")
+    met = rows.join(F.broadcast(hot), "fp").unionByName(rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest.hint("merge"), "fp"))
+    return met.select("id", "fp", "component_id", "root")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -138,7 +138,9 @@ def components_of(pairs):
     return sorted((doc, f"{fp:016x}", least[find(i)]) for i, (doc, fp) in enumerate(pairs))
 
 
-def test_near_duplicates(docs, rows, none):
+@pytest.mark.parametrize("hot", [simhash.LEAST_HOT, 1])
+def test_near_duplicates(docs, rows, none, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_HOT", hot)
     got = simhash.digest(simhash.near_duplicates(docs)).collect()
     assert sorted(map(tuple, got)) == components_of([(i, fingerprint_of(t)) for i, t, *_ in rows])
     assert simhash.digest(simhash.near_duplicates(none)).count() == 0
