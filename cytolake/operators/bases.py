@@ -17,7 +17,7 @@ from ..sources import genome as gn
 #: Flag bits.
 PAIRED, PROPER, UNMAPPED, REVERSE, READ1, READ2, SECONDARY, QCFAIL, DUPLICATE = 0x1, 0x2, 0x4, 0x10, 0x40, 0x80, 0x100, 0x200, 0x400
 
-#: Longest reference span of a read that its block's sequence is sure to cover.
+#: Longest reference span of a read that its block's sequence is sure to cover. A longer read is an error; long-read tables need a larger ``max_span``.
 MAX_SPAN = 2048
 BLOCK = 4096
 
@@ -40,6 +40,8 @@ class Filters:
     drop_improper: bool = True
     drop_double: bool = True
     drop_contig_end: bool = False
+    #: Longest reference span of a read.
+    max_span: int = MAX_SPAN
 
 
 def has(bit: int) -> Column:
@@ -84,14 +86,15 @@ def with_slice(aln: DataFrame, genome: DataFrame, block: int = BLOCK, max_span:
     """Adds ``slice``: the reference from two bases before the read to two behind it, N beyond the contig, and ``span``.
 
     Reads meet the block that their first base lies in; blocks overlap by ``max_span``. The join key is (contig, block), so neither contigs nor deep
-    places gather in one task more than their reads do.
+    places gather in one task more than their reads do. A read that spans more is an error, never a short slice.
     """
     own = gn.blocks(genome.select("chrom", "seq"), max(block, max_span), max_span).select(F.col("chrom").alias("_c"), F.col("blk").alias("_b"), F.col("beg1").alias("_beg"), F.col("seq").alias("_seq"))
     size = max(block, max_span)
     reads = aln.withColumn("span", cg.reference_length(F.col("cigar"))).withColumn("_k", F.floor((F.col("pos1") - 1) / size).cast("int"))
     met = reads.join(own, (F.col("chrom") == F.col("_c")) & (F.col("_k") == F.col("_b")))
     at = F.col("pos1") - F.col("_beg") + 1 + max_span
-    return met.withColumn("slice", F.substr("_seq", at - 2, F.col("span") + 4)).drop("_c", "_b", "_k", "_beg", "_seq")
+    whole = F.when(F.col("span") <= max_span, F.substr("_seq", at - 2, F.col("span") + 4)).otherwise(F.raise_error(F.format_string("a read spans %d bases of the reference, more than max_span", F.col("span"))))
+    return met.withColumn("slice", whole).drop("_c", "_b", "_k", "_beg", "_seq")
 
 
 def columns(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -138,21 +141,22 @@ def inferred_counts(aligned_rows: DataFrame, key: str = "rid", min_qual: int = 0
     return aligned_rows.groupBy(key).agg(F.count_if(ok & (F.col("rb") == "C") & (F.col("qb") == "T")).alias("c2t"), F.count_if(ok & (F.col("rb") == "G") & (F.col("qb") == "A")).alias("g2a"))
 
 
-def with_inferred(reads: DataFrame, min_qual: int = 0) -> DataFrame:
-    """Adds c2t and g2a, counted within each read's row: no shuffle. Needs the slice."""
-    b = cg.blocks(F.col("cigar"), F.col("pos1"))
+def with_inferred(reads: DataFrame, min_qual: int = 0, needed: Column | None = None) -> DataFrame:
+    """Adds c2t and g2a, counted within each read's row: no shuffle. Needs the slice. Reads that are not ``needed`` are not looked at and have nulls."""
+    only = (lambda c: c) if needed is None else (lambda c: F.when(needed, c))
+    b = only(cg.blocks(F.col("cigar"), F.col("pos1")))
 
     def count(ref: str, got: str):
         def in_block(x):
             hit = lambda j: ((F.substr("slice", x["r"] - F.col("pos1") + 3 + j, F.lit(1)) == ref) & (F.substr("seq", x["q"] + j, F.lit(1)) == got) & (F.ascii(F.substr("qual", x["q"] + j, F.lit(1))) - 33 >= min_qual)).cast("int")
             return F.when(x["op"].isin("M", "=", "X"), F.aggregate(F.sequence(F.lit(0), x["n"] - 1), F.lit(0), lambda s, j: s + hit(j))).otherwise(0)
 
-        return F.aggregate(F.transform(F.col("_b"), in_block), F.lit(0), lambda s, v: s + v)
+        return only(F.aggregate(F.transform(F.col("_b"), in_block), F.lit(0), lambda s, v: s + v))
 
     return reads.withColumn("_b", b).withColumn("c2t", count("C", "T")).withColumn("g2a", count("G", "A")).drop("_b")
 
 
 def with_strand(reads: DataFrame, min_qual: int = 0, unknown: bool = False) -> DataFrame:
-    """Adds bss: the tags' strand, else the one that its own bases suggest (0 unless G-to-A changes outnumber C-to-T)."""
-    found = with_inferred(reads, min_qual)
-    return found.withColumn("bss", F.coalesce(tagged_strand(unknown), F.when(F.col("c2t") >= F.col("g2a"), 0).otherwise(1))).drop("c2t", "g2a")
+    """Adds bss: the tags' strand, else the one that its own bases suggest (0 unless G-to-A changes outnumber C-to-T). Bases are counted only where tags are silent."""
+    found = with_inferred(reads.withColumn("_tagged", tagged_strand(unknown)), min_qual, F.col("_tagged").isNull())
+    return found.withColumn("bss", F.coalesce("_tagged", F.when(F.col("c2t") >= F.col("g2a"), 0).otherwise(1))).drop("c2t", "g2a", "_tagged")

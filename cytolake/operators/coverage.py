@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
+from ..sources import store
 from . import bases
 
 VARIANTS = {"all": "true", "q40": "mapq >= 40", "dup": "flag & 1024 <> 0", "q40_dup": "mapq >= 40 and flag & 1024 <> 0"}
@@ -28,6 +29,7 @@ def depth(reads: DataFrame, contigs: DataFrame, bin_size: int = 1 << 20) -> Data
     events = spans.select("chrom", F.inline(F.array(F.struct(F.col("beg0").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")))))
     edges = contigs.select("chrom", F.inline(F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("d")), F.struct(F.col("clen").cast("int").alias("p"), F.lit(0).alias("d")))))
     steps = events.unionByName(edges).groupBy("chrom", "p").agg(F.sum("d").alias("d")).withColumn("bin", F.floor(F.col("p") / bin_size))
+    steps = store.written(steps, "depth-steps")  # read for the bins' sums and for the runs
     sums = steps.groupBy("chrom", "bin").agg(F.sum("d").alias("s"), F.min("p").alias("first"))
     along = W.partitionBy("chrom").orderBy("bin")
     starts = sums.select("chrom", "bin", F.coalesce(F.sum("s").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first").over(along).alias("next_bin"))

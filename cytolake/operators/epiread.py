@@ -55,7 +55,7 @@ READ = ("rid", "qname", "flag", "chrom", "bss", "rlen", "span", "mpos1", "mspan"
 def states(aln: DataFrame, genome: DataFrame, snps: DataFrame | None, o: Options = Options()) -> DataFrame:
     """One row per column of kept reads: channels cg, gc and vr, and the calls (kind, at, call) that the older formats list."""
     f = o.filters
-    reads = bases.with_mate_span(bases.with_strand(bases.with_slice(bases.keep_reads(aln, f), genome))).withColumn("rlen", F.length("seq"))
+    reads = bases.with_mate_span(bases.with_strand(bases.with_slice(bases.keep_reads(aln, f), genome, max_span=f.max_span))).withColumn("rlen", F.length("seq"))
     rows = bases.columns(with_snps(reads, snps), READ)
     ok = bases.base_passes(f, F.col("rlen"))
     if f.drop_double:

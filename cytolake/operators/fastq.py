@@ -59,11 +59,10 @@ def clip(reads: DataFrame, adaptor: str | None, least: int, fixed5: int = 0, fix
     return out.withColumns({c: F.substr(c, F.col("clip5") + 1, n) for c in ("seq1", "qual1")})
 
 
-def smart_pairs(reads: DataFrame, runs: int = 1 << 16) -> DataFrame:
+def smart_pairs(reads: DataFrame) -> DataFrame:
     """(ord, name, kind): in an interleaved stream two neighbours of equal name are a pair (1 and 2), others single (0).
 
-    A run of equal names pairs up from its beginning. Runs are found by comparing neighbours within stretches of the stream, with the
-    stretch's predecessor brought along, so no task holds the whole stream.
+    A run of equal names at successive places (``ord`` has no gaps) pairs up from its beginning. Reads are dealt by name, so no task holds the whole stream.
     """
     named = reads.withColumn("_name", plain_name(F.col("name")))
     w = W.partitionBy("_name").orderBy("ord")
@@ -77,7 +76,9 @@ def smart_pairs(reads: DataFrame, runs: int = 1 << 16) -> DataFrame:
 
 
 def mate_join(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Mates of two files by place; a name that differs is told in ``mismatch``. Reads without a mate are left out."""
+    """Mates of two files by place; a name that differs is told in ``mismatch``. Where one file is shorter, the other's reads stay, with null mates and the number of the file that
+    has them in ``alone``."""
     b = second.select("ord", F.col("name").alias("name2"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
     a = first.select("ord", "name", F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))
-    return a.join(b, "ord").withColumn("mismatch", plain_name(F.col("name")) != plain_name(F.col("name2"))).drop("name2")
+    both = a.join(b, "ord", "full").withColumn("mismatch", plain_name(F.col("name")) != plain_name(F.col("name2")))
+    return both.withColumn("alone", F.when(F.col("seq2").isNull(), 1).when(F.col("seq1").isNull(), 2)).withColumn("name", F.coalesce("name", "name2")).drop("name2")

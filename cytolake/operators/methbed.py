@@ -31,20 +31,31 @@ def vcf2bed_snp(called: DataFrame, min_cov: int = 3) -> DataFrame:
     return rows.select("chrom", (F.col("pos1") - 1).alias("beg0"), F.col("pos1").alias("end"), "ref", F.when(F.col("alt").isin("Y", "R"), "N").otherwise(F.col("alt")).alias("alt"), "sid", "gt", "sp", "ac", "af1")
 
 
-def mergecg(meth: DataFrame, genome: DataFrame, nome: bool = False, min_depth: int = 0) -> DataFrame:
+def mergecg(meth: DataFrame, genome: DataFrame | None = None, nome: bool = False, min_depth: int = 0) -> DataFrame:
     """(chrom, beg0, end, sid, beta, cov, c_beta, c_cov, g_beta, g_cov): the C and the G of each CpG as one row of two bases.
 
     ``meth`` has chrom, beg0, sid, beta, cov; rows off CpGs are left out. With ``nome`` only CpGs that no G precedes and no C follows count. Counts are
-    beta times cov in single precision, rounded half to even. Each row knows its CpG from the reference, so the merge is one
-    aggregation by CpG and needs no order along the contig.
+    beta times cov in single precision, rounded half to even. Each row knows its CpG, so the merge is one
+    aggregation by CpG and needs no order along the contig. Rows with ref and n5 need no genome; others (chrom, beg0, sid, beta, cov alone) look their base up there.
     """
+    if {"ref", "n5"} <= set(meth.columns):
+        ok = F.substring("n5", 4, 1) == "G"
+        if nome:
+            ok &= (F.substring("n5", 2, 1) != "G") & (F.substring("n5", 5, 1) != "C")
+        return _merged(meth.where(ok).withColumn("side", F.col("ref")), min_depth)
+    if genome is None:
+        raise ValueError("rows without ref and n5 need the genome")
     site = gn.positions(genome.select("chrom", "seq")).where(F.col("ref").isin("C", "G"))
     is_c, is_g = (F.col("ref") == "C") & (F.substring("five", 4, 1) == "G"), (F.col("ref") == "G") & (F.substring("five", 2, 1) == "C")
     if nome:
         is_c &= (F.substring("five", 2, 1) != "G") & (F.substring("five", 5, 1) != "C")
         is_g &= (F.substring("five", 1, 1) != "G") & (F.substring("five", 4, 1) != "C")
     site = site.where(is_c | is_g).select("chrom", (F.col("pos1") - 1).alias("beg0"), F.col("ref").alias("side"))
-    rows = meth.join(site, ["chrom", "beg0"]).withColumn("cpg", F.when(F.col("side") == "C", F.col("beg0")).otherwise(F.col("beg0") - 1))
+    return _merged(meth.join(site, ["chrom", "beg0"]), min_depth)
+
+
+def _merged(rows: DataFrame, min_depth: int) -> DataFrame:
+    rows = rows.withColumn("cpg", F.when(F.col("side") == "C", F.col("beg0")).otherwise(F.col("beg0") - 1))
     beta, cov = (lambda s: F.max(F.when(F.col("side") == s, F.col("beta")))), (lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("cov"))), F.lit(0)))
     both = rows.groupBy("chrom", F.col("cpg").alias("beg0"), "sid").agg(beta("C").alias("c_beta"), cov("C").alias("c_cov"), beta("G").alias("g_beta"), cov("G").alias("g_cov"))
     m = lambda s: F.when(F.col(f"{s}_cov") > 0, F.rint((F.col(f"{s}_beta").cast("float") * F.col(f"{s}_cov").cast("float")).cast("float").cast("double"))).otherwise(0.0)

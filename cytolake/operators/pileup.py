@@ -31,7 +31,7 @@ class Options:
 
 
 def stranded(aln: DataFrame, genome: DataFrame, f: bases.Filters) -> DataFrame:
-    return bases.with_mate_span(bases.with_strand(bases.with_slice(bases.keep_reads(aln, f), genome))).withColumn("rlen", F.length("seq"))
+    return bases.with_mate_span(bases.with_strand(bases.with_slice(bases.keep_reads(aln, f), genome, max_span=f.max_span))).withColumn("rlen", F.length("seq"))
 
 
 def read_retention(rows: DataFrame) -> DataFrame:
@@ -65,10 +65,12 @@ def coded(rows: DataFrame) -> DataFrame:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(chrom, pos1, sid, ref, five, n_ret, n_conv, dp, n_A .. n_R): dp counts all bases of kept reads, the rest those that pass."""
+    """(chrom, pos1, sid, ref, five, n_ret, n_conv, dp, n_A .. n_R): dp counts all bases of kept reads, the rest those that pass.
+
+    A place has one reference base and one context, so both are keys: texts in the sums' stead would have every base sorted before it is counted."""
     good = F.col("good")
-    return rows.where(F.col("rb") != "N").groupBy("chrom", F.col("rpos").alias("pos1"), "sid").agg(
-        F.first("rb").alias("ref"), F.first("five").alias("five"), F.count_if(good & (F.col("meth") == "R")).alias("n_ret"), F.count_if(good & (F.col("meth") == "C")).alias("n_conv"), F.count("*").alias("dp"),
+    return rows.where(F.col("rb") != "N").groupBy("chrom", F.col("rpos").alias("pos1"), "sid", F.col("rb").alias("ref"), "five").agg(
+        F.count_if(good & (F.col("meth") == "R")).alias("n_ret"), F.count_if(good & (F.col("meth") == "C")).alias("n_conv"), F.count("*").alias("dp"),
         *[F.count_if(good & (F.col("code") == b)).alias(f"n_{b}") for b in CODES],
     )
 

@@ -11,6 +11,7 @@ from ..functions import seq as sq
 from ..operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc
 from ..sources import fixtures as fx
 from ..sources import genome as gn
+from ..sources import store
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +151,13 @@ def pileup_retention_per_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.read_retention(_rows(spark, sf_dir))
 
 
+@query("pileup_max_retention", """SELECT * FROM (SELECT chrom, rpos AS pos1, sid, count(*) FILTER (meth = 'R') AS n_ret, count(*) FILTER (meth = 'C') AS n_conv FROM coded
+ WHERE rid IN (SELECT rid FROM base GROUP BY rid HAVING count(*) FILTER (bss = 1 AND rb = 'C' AND qb = 'C' OR bss = 0 AND rb = 'G' AND qb = 'G') <= 10) GROUP BY chrom, rpos, sid) WHERE n_ret + n_conv > 0""", "coded", "base")
+def pileup_max_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = pileup.Options(bases.Filters(max_retention=10))
+    return pileup.counts(pileup.site_bases(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), o)).where("n_ret + n_conv > 0").select("chrom", "pos1", "sid", "n_ret", "n_conv")
+
+
 # -- reads ---------------------------------------------------------------------------------------------------------
 
 oracle.define("mapped", "SELECT * FROM aln JOIN (SELECT rid, c2t, g2a, bss, tag, own FROM strand) USING (rid) WHERE flag & 4 = 0", "aln", "strand")
@@ -206,6 +214,16 @@ def cinread_gch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readqc.cytosines(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Cytosines("gch", True)).select("rid", "crpos", "cretention", "cctxt")
 
 
+@query("cinread_targets", """SELECT target, cretention, count(*) AS n FROM (SELECT state AS cretention, substr(n5, 4, 1) = 'G' AS g, substr(n5, 2, 1) = 'G' AS h FROM cyt WHERE NOT contains(n5, 'N')),
+ (VALUES ('cg'), ('ch'), ('hcg'), ('hch')) v(target) WHERE CASE target WHEN 'cg' THEN g WHEN 'ch' THEN NOT g WHEN 'hcg' THEN g AND NOT h ELSE NOT g AND NOT h END GROUP BY ALL""", "cyt")
+def cinread_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = None
+    for t in ("cg", "ch", "hcg", "hch"):
+        rows = readqc.cytosines(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Cytosines(t)).groupBy(F.lit(t).alias("target"), "cretention").agg(F.count("*").alias("n"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("retention_by_readpos", """SELECT CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, CASE WHEN flag & 16 <> 0 THEN 50 - qpos + 1 ELSE qpos END AS qpos, state, count(*) AS n
  FROM cyt WHERE NOT contains(n5, 'N') AND state <> 'N' GROUP BY ALL""", "cyt")
 def retention_by_readpos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +242,12 @@ def bsconv_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readqc.conversion_filter(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), o).select("rid", "ZN")
 
 
+@query("bsconv_inverted", """SELECT rid FROM conv JOIN aln USING (rid) WHERE cc_r + ct_r + cc_c + ct_c > 0 AND CAST((cc_r + ct_r) / (cc_r + ct_r + cc_c + ct_c) AS FLOAT) > 0.25 OR coalesce(YD = 'u', false)""", "conv", "aln")
+def bsconv_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = readqc.Conversion(max_cpy_fraction=0.25, drop_unknown=True, invert=True)
+    return readqc.conversion_filter(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), o).select("rid")
+
+
 @query("bsconv_summary", "SELECT (SELECT count(*) FROM aln) AS n_processed, (SELECT count(*) FROM conv WHERE ca_r + cc_r + ct_r <= 3) AS n_remaining", "aln", "conv")
 def bsconv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readqc.conversion_summary(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Conversion(max_cph=3))
@@ -283,6 +307,11 @@ def vcf2bed_gch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bed(spark, sf_dir, "gch")
 
 
+@query("vcf2bed_hcg", "SELECT * FROM bed1 WHERE cx = 'CG' AND substr(n5, 2, 1) <> 'G'", "bed1")
+def vcf2bed_hcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bed(spark, sf_dir, "hcg")
+
+
 @query("vcf2bed_snp", """SELECT chrom, pos1 - 1 AS beg0, pos1 AS "end", ref, CASE WHEN alt IN ('Y', 'R') THEN 'N' ELSE alt END AS alt, sid, gt, sp, ac, af1 FROM
  (SELECT *, max(ac) OVER s AS most, max(af1) OVER s AS af FROM call WHERE alt IS NOT NULL WINDOW s AS (PARTITION BY chrom, pos1)) WHERE most >= 1 AND af > 0""", "call")
 def vcf2bed_snp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,12 +320,23 @@ def vcf2bed_snp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mergecg", _MERGE.format(""), "cpg1")
 def mergecg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return methbed.mergecg(_bed(spark, sf_dir, "cg"), fx.genome(spark, sf_dir))
+    return methbed.mergecg(_bed(spark, sf_dir, "cg"))
 
 
 @query("mergecg_nome", _MERGE.format("WHERE ref = 'C' AND substr(five, 2, 1) <> 'G' AND substr(five, 5, 1) <> 'C' OR ref = 'G' AND substr(five, 1, 1) <> 'G' AND substr(five, 4, 1) <> 'C'"), "cpg1")
 def mergecg_nome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return methbed.mergecg(_bed(spark, sf_dir, "cg"), fx.genome(spark, sf_dir), nome=True)
+    return methbed.mergecg(_bed(spark, sf_dir, "cg"), nome=True)
+
+
+@query("mergecg_by_genome", _MERGE.format(""), "cpg1")
+def mergecg_by_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bed = _bed(spark, sf_dir, "cg").select("chrom", "beg0", "end", "sid", "beta", "cov")  # the short form, without contexts
+    return methbed.mergecg(bed, fx.genome(spark, sf_dir))
+
+
+@query("mergecg_deep", "SELECT * EXCLUDE (most) FROM (SELECT *, max(cov) OVER (PARTITION BY chrom, beg0) AS most FROM (" + _MERGE.format("") + ")) WHERE most >= 2", "cpg1")
+def mergecg_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return methbed.mergecg(_bed(spark, sf_dir, "cg"), min_depth=2)
 
 
 @query("base_conversion", """SELECT ctx2, count(*) AS n, CASE WHEN count(*) < 20 THEN -1 ELSE round(avg(beta), 9) END AS mean_beta FROM bed1 WHERE cov > 0 AND beta IS NOT NULL AND ctx2 IN ('CA', 'CC', 'CG', 'CT') GROUP BY ctx2""", "bed1")
@@ -332,7 +372,7 @@ def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.total_depth(_depth(spark, sf_dir))
 
 
-@query("cpg_min_depth", """SELECT a.chrom, a.pos1 - 1 AS beg0, a.pos1 + 1 AS "end", least(a.depth, b.depth) AS depth FROM perbase a JOIN perbase b ON a.chrom = b.chrom AND b.pos1 = a.pos1 + 1 WHERE a.ref = 'C' AND b.ref = 'G'""", "perbase")
+@query("cpg_min_depth", """SELECT chrom, pos1 - 1 AS beg0, pos1 + 1 AS "end", least(depth, after) AS depth FROM (SELECT chrom, pos1, ref, depth, lead(depth) OVER w AS after, lead(ref) OVER w AS nxt FROM perbase WINDOW w AS (PARTITION BY chrom ORDER BY pos1)) WHERE ref = 'C' AND nxt = 'G'""", "perbase")
 def cpg_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.least_depth(gn.cpg_sites(fx.genome(spark, sf_dir)), _depth(spark, sf_dir))
 
@@ -343,6 +383,19 @@ def depth_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.moments(hist).select("n", F.round("mean", 9).alias("mean"), F.round("sd", 6).alias("sd"), F.round("cv", 6).alias("cv"))
 
 
+_VARIANTS = (("all", "true"), ("q40", "mapq >= 40"), ("dup", "flag & 1024 <> 0"), ("q40_dup", "mapq >= 40 AND flag & 1024 <> 0"))
+oracle.define("covered4", " UNION ALL ".join(f"SELECT '{v}' AS variant, chrom, CAST(rpos AS BIGINT) AS pos1, count(*) AS depth FROM px WHERE op IN ('M', 'D') AND flag & 4 = 0 AND flag & 256 = 0 AND flag & 512 = 0 AND {w} GROUP BY chrom, rpos" for v, w in _VARIANTS), "px")
+
+
+@query("depth_variants", """SELECT variant, depth, count(*) AS n FROM covered4 GROUP BY variant, depth UNION ALL SELECT variant, 0, (SELECT sum(length(seq)) FROM genome) - count(*) FROM covered4 GROUP BY variant""", "covered4", "genome")
+def depth_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs, found = fx.genome(spark, sf_dir).select("chrom", F.length("seq").alias("clen")), None
+    for v in coverage.VARIANTS:
+        rows = coverage.total_depth(coverage.depth(coverage.reads_for(fx.alignments(spark, sf_dir), v), contigs)).groupBy(F.lit(v).alias("variant"), "depth").agg(F.sum("n").alias("n"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 _DECILE = """SELECT chrom, beg0, "end", gc FROM (SELECT *, row_number() OVER (ORDER BY gc {0}, chrom || chr(9) || beg0 || chr(9) || "end" {0}) AS k, count(*) OVER () AS n FROM gcw) WHERE k <= floor(n * 0.1 + 0.5)"""
 
 
@@ -356,6 +409,20 @@ def gc_decile_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.decile(gn.gc_windows(fx.genome(spark, sf_dir)), top=False)
 
 
+oracle.define("decile2", " UNION ALL ".join(f"SELECT '{r}' AS region, chrom, beg0 // 100 AS k FROM ({_DECILE.format(d)})" for r, d in (("top", "DESC"), ("bottom", "ASC"))), "gcw")
+oracle.define("perbase2", " UNION ALL ".join(f"SELECT '{v}' AS reads, site.chrom, site.pos1, ref, coalesce(depth, 0) AS depth FROM site LEFT JOIN (SELECT * FROM covered4 WHERE variant = '{v}') USING (chrom, pos1)" for v in ("all", "q40")), "site", "covered4")
+oracle.define("cpg2", """SELECT reads, chrom, pos1, least(depth, after) AS depth FROM (SELECT *, lead(depth) OVER w AS after, lead(ref) OVER w AS nxt FROM perbase2 WINDOW w AS (PARTITION BY reads, chrom ORDER BY pos1)) WHERE ref = 'C' AND nxt = 'G'""", "perbase2")
+
+
+@query("depth_report", """SELECT reads, unit, region, count(*) AS n, round(avg(depth), 9) AS mean, round(stddev_pop(depth), 6) AS sd, round(stddev_pop(depth) / avg(depth), 6) AS cv FROM
+ (SELECT reads, 'base' AS unit, 'all' AS region, depth FROM perbase2 UNION ALL SELECT reads, 'cpg', 'all', depth FROM cpg2 UNION ALL SELECT reads, 'base', region, depth FROM perbase2 b JOIN decile2 d ON b.chrom = d.chrom AND (pos1 - 1) // 100 = k
+ UNION ALL SELECT reads, 'cpg', region, depth FROM cpg2 b JOIN decile2 d ON b.chrom = d.chrom AND k BETWEEN (pos1 - 1) // 100 AND pos1 // 100) GROUP BY ALL""", "perbase2", "cpg2", "decile2")
+def depth_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.genome(spark, sf_dir)
+    found = coverage.depth_report(fx.alignments(spark, sf_dir), g, gn.gc_windows(g))
+    return found.withColumns({"mean": F.round("mean", 9), "sd": F.round("sd", 6), "cv": F.round("cv", 6)})
+
+
 @query("interval_overlaps", """SELECT a.chrom, a.beg0, a."end", a.gc, c.pos1 - 1 AS b_beg0, c.pos1 + 1 AS b_end FROM gcw a JOIN (SELECT chrom, pos1 FROM site WHERE ref = 'C' AND substr(five, 4, 1) = 'G') c ON a.chrom = c.chrom AND a.beg0 < c.pos1 + 1 AND c.pos1 - 1 < a."end" """, "gcw", "site")
 def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fx.genome(spark, sf_dir)
@@ -438,16 +505,26 @@ def epiread_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle.define("asmp", """SELECT 'chr' || CAST(l_partkey % 50 AS VARCHAR) AS chrom, l_suppkey % 7 + 1 AS snp1, l_linenumber * 3 AS cg1, substr('ACGTN', CAST((l_orderkey * 7 + l_linenumber) % 5 + 1 AS BIGINT), 1) AS snp_base,
  substr('CTTCN', CAST((l_orderkey + CAST(l_quantity AS BIGINT)) % 5 + 1 AS BIGINT), 1) AS cg_call FROM lineitem""")
 oracle._NEEDS["asmp"] = ()
-oracle.define("asmc", "SELECT chrom, snp1, cg1, " + ", ".join(f"count(*) FILTER (snp_base = '{a}' AND cg_call = '{b}') AS m{i}{j}" for i, a in enumerate("ACGTN") for j, b in enumerate("ACGTN")) + " FROM asmp GROUP BY ALL", "asmp")
-oracle.define("asm0", "SELECT *, [" + ", ".join("+".join(f"m{i}{j}" for j in range(5)) for i in range(5)) + "] AS rs, [" + ", ".join("+".join(f"m{i}{j}" for i in range(5)) for j in range(5)) + "] AS cs, 1 AS ra, 2 AS rb, 1 AS ca, 2 AS cb, ["
-  + ", ".join(f"m{i}{j}" for i in range(5) for j in range(5)) + "] AS m FROM asmc", "asmc")
-for _i in (3, 4, 5):
-    oracle.define(f"asm{_i - 2}", f"""SELECT * EXCLUDE (ra, rb, ca, cb), CASE WHEN rs[ra] < rs[rb] AND rs[{_i}] >= rs[ra] THEN {_i} ELSE ra END AS ra, CASE WHEN rs[ra] >= rs[rb] AND rs[{_i}] >= rs[rb] THEN {_i} ELSE rb END AS rb,
- CASE WHEN cs[ca] < cs[cb] AND cs[{_i}] >= cs[ca] THEN {_i} ELSE ca END AS ca, CASE WHEN cs[ca] >= cs[cb] AND cs[{_i}] >= cs[cb] THEN {_i} ELSE cb END AS cb FROM asm{_i - 3}""", f"asm{_i - 3}")
-oracle.define("asmt", """SELECT chrom, snp1, cg1, substr('ACGTN', ra, 1) AS allele1, substr('ACGTN', rb, 1) AS allele2, substr('ACGTN', ca, 1) AS call1, substr('ACGTN', cb, 1) AS call2, m[(ra - 1) * 5 + ca] AS n11, m[(ra - 1) * 5 + cb] AS n12, m[(rb - 1) * 5 + ca] AS n21, m[(rb - 1) * 5 + cb] AS n22
- FROM asm3 WHERE rs[ra] > 0 AND rs[rb] > 0 AND cs[ca] > 0 AND cs[cb] > 0 AND snp1 <> cg1 AND ca <> 5 AND cb <> 5""", "asm3")
-# Fisher's test by the gamma function: all tables with the same margins that are no likelier
-oracle.define("asmx", """SELECT *, unnest(range(greatest(0, n11 + n21 - n21 - n22), least(n11 + n12, n11 + n21) + 1)) AS x FROM asmt""", "asmt")
+# the pairs of real epireads are spread too thin for a test, so places are folded together, and calls that are not known left out
+oracle.define("asfp", "SELECT 'chr' || CAST(snp1 % 11 AS VARCHAR) AS chrom, snp1 % 7 + 1 AS snp1, cg1 % 5 + 10 AS cg1, snp_base, cg_call FROM prw WHERE cg_call <> 'N'", "prw")
+
+
+def _define_asm(p: str) -> None:
+    """The tables of a set of pairs ``{p}p``, by steps, up to ``{p}x``."""
+    oracle.define(f"{p}c", "SELECT chrom, snp1, cg1, " + ", ".join(f"count(*) FILTER (snp_base = '{a}' AND cg_call = '{b}') AS m{i}{j}" for i, a in enumerate("ACGTN") for j, b in enumerate("ACGTN")) + " FROM {p}p GROUP BY ALL".format(p=p), f"{p}p")
+    oracle.define(f"{p}0", "SELECT *, [" + ", ".join("+".join(f"m{i}{j}" for j in range(5)) for i in range(5)) + "] AS rs, [" + ", ".join("+".join(f"m{i}{j}" for i in range(5)) for j in range(5)) + "] AS cs, 1 AS ra, 2 AS rb, 1 AS ca, 2 AS cb, ["
+      + ", ".join(f"m{i}{j}" for i in range(5) for j in range(5)) + "] AS m FROM " + p + "c", f"{p}c")
+    for _i in (3, 4, 5):
+        oracle.define(f"{p}{_i - 2}", f"""SELECT * EXCLUDE (ra, rb, ca, cb), CASE WHEN rs[ra] < rs[rb] AND rs[{_i}] >= rs[ra] THEN {_i} ELSE ra END AS ra, CASE WHEN rs[ra] >= rs[rb] AND rs[{_i}] >= rs[rb] THEN {_i} ELSE rb END AS rb,
+ CASE WHEN cs[ca] < cs[cb] AND cs[{_i}] >= cs[ca] THEN {_i} ELSE ca END AS ca, CASE WHEN cs[ca] >= cs[cb] AND cs[{_i}] >= cs[cb] THEN {_i} ELSE cb END AS cb FROM {p}{_i - 3}""", f"{p}{_i - 3}")
+    oracle.define(f"{p}t", f"""SELECT chrom, snp1, cg1, substr('ACGTN', ra, 1) AS allele1, substr('ACGTN', rb, 1) AS allele2, substr('ACGTN', ca, 1) AS call1, substr('ACGTN', cb, 1) AS call2, m[(ra - 1) * 5 + ca] AS n11, m[(ra - 1) * 5 + cb] AS n12, m[(rb - 1) * 5 + ca] AS n21, m[(rb - 1) * 5 + cb] AS n22
+ FROM {p}3 WHERE rs[ra] > 0 AND rs[rb] > 0 AND cs[ca] > 0 AND cs[cb] > 0 AND snp1 <> cg1 AND ca <> 5 AND cb <> 5""", f"{p}3")
+    # Fisher's test by the gamma function: all tables with the same margins that are no likelier
+    oracle.define(f"{p}x", f"""SELECT *, unnest(range(greatest(0, n11 + n21 - n21 - n22), least(n11 + n12, n11 + n21) + 1)) AS x FROM {p}t""", f"{p}t")
+
+
+for _p in ("asm", "asf"):
+    _define_asm(_p)
 _LF = "lgamma({} + 1)"
 _LP = " - ".join(["(" + " + ".join(_LF.format(t) for t in ("n11 + n12", "n21 + n22", "n11 + n21", "n12 + n22")) + " - lgamma(n11 + n12 + n21 + n22 + 1))", _LF.format("{x}"), _LF.format("n11 + n12 - {x}"), _LF.format("n11 + n21 - {x}"), _LF.format("n22 - n11 + {x}")])
 
@@ -471,9 +548,16 @@ def asm_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asm.tests(asm.tables(_pairs(spark, sf_dir))).select("chrom", "snp1", "cg1", F.round("p_fisher", 8).alias("p_fisher"))
 
 
-@query("asm_pvalues")
+# erfc(sqrt(x / 2)) by erf's series of positive terms
+_CHI = """CASE WHEN chi IS NULL OR chi <= 0 THEN 1.0 ELSE round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln(sqrt(chi / 2)) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2) - chi / 2))), 8) END"""
+
+
+@query("asm_pvalues", f"""SELECT t.*, f.p_fisher, {_CHI} AS p_chisq FROM (SELECT *, (n11 + n12 + n21 + n22) * pow(CAST(n11 AS DOUBLE) * n22 - CAST(n12 AS DOUBLE) * n21, 2) / nullif(CAST(n11 + n12 AS DOUBLE) * (n21 + n22) * (n11 + n21) * (n12 + n22), 0) AS chi FROM asft) t
+ JOIN (SELECT chrom, snp1, cg1, round(least(1.0, sum(exp({_LP.format(x='x')})) FILTER ({_LP.format(x='x')} <= {_LP.format(x='n11')} + 1e-7)), 8) AS p_fisher FROM asfx GROUP BY ALL) f USING (chrom, snp1, cg1)""".replace("SELECT t.*,", "SELECT t.* EXCLUDE (chi),"), "asft", "asfx")
 def asm_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asm.tests(asm.tables(epiread.pairwise(_states(spark, sf_dir))))
+    pairs = epiread.pairwise(_states(spark, sf_dir)).where("cg_call <> 'N'")
+    folded = pairs.select(F.concat(F.lit("chr"), (F.col("snp1") % 11).cast("string")).alias("chrom"), (F.col("snp1") % 7 + 1).alias("snp1"), (F.col("cg1") % 5 + 10).alias("cg1"), "snp_base", "cg_call")
+    return asm.tests(asm.tables(folded)).withColumns({"p_fisher": F.round("p_fisher", 8), "p_chisq": F.round("p_chisq", 8)})
 
 
 # -- raw reads -----------------------------------------------------------------------------------------------------
@@ -504,9 +588,7 @@ def quality_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("smart_pairing", """SELECT ord, name, CASE WHEN spot % 2 = 1 AND spot < n THEN 1 WHEN spot % 2 = 0 THEN 2 ELSE 0 END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ord) AS spot, count(*) OVER (PARTITION BY run) AS n FROM
  (SELECT *, sum(new) OVER (ORDER BY ord) AS run FROM (SELECT row_number() OVER (ORDER BY rid) AS ord, qname AS name, CASE WHEN qname = lag(qname) OVER (ORDER BY rid) THEN 0 ELSE 1 END AS new FROM aln)))""", "aln")
 def smart_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    reads = fx.alignments(spark, sf_dir).select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("rid")).cast("long").alias("ord"), F.col("qname").alias("name"))  # the fixture's places
+    reads = store.once(spark, ("stream", sf_dir), lambda: store.numbered(fx.alignments(spark, sf_dir).select("rid", "qname"), "ord", F.col("rid")).select("ord", F.col("qname").alias("name")))  # the fixture's places
     return fastq.smart_pairs(reads)
 
 
@@ -520,6 +602,10 @@ def barcode_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- alignment -----------------------------------------------------------------------------------------------------
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.once(spark, ("kmers", sf_dir), lambda: align.index(fx.genome(spark, sf_dir)))
+
+
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.alignments(spark, sf_dir).select("rid", F.when(bases.has(bases.READ2), 2).otherwise(1).alias("mate"), "seq")
 
@@ -536,12 +622,12 @@ oracle.define("kuse", "SELECT * FROM kidx WHERE (parent, w) NOT IN (SELECT (pare
  (SELECT rid, CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, parent, i, translate(substr(seq, i + 1, 19), CASE parent WHEN 1 THEN 'C' ELSE 'G' END, CASE parent WHEN 1 THEN 'T' ELSE 'A' END) AS w
   FROM (SELECT *, CAST(unnest(range(0, 32, 5)) AS BIGINT) AS i FROM aln), (VALUES (1), (0)) v(parent)) JOIN kuse USING (parent, w) GROUP BY ALL""", "aln", "kuse")
 def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.seeds(_reads(spark, sf_dir), align.rare(align.index(fx.genome(spark, sf_dir))))  # without frequent k-mers, as the SQL
+    return align.seeds(_reads(spark, sf_dir), align.rare(_index(spark, sf_dir)))  # without frequent k-mers, as the SQL
 
 
 @query("align_best_hit")
 def align_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.align(_reads(spark, sf_dir), fx.genome(spark, sf_dir))
+    return align.align(_reads(spark, sf_dir), fx.genome(spark, sf_dir), idx=_index(spark, sf_dir))
 
 
 @query("insert_size_model", """SELECT n, p25, p50, p75, round(mean, 9) AS mean, round(sd, 6) AS sd, CAST(greatest(1, least(trunc(p25 - 3.0 * (p75 - p25) + 0.499), trunc(mean - 4 * sd + 0.499))) AS INTEGER) AS low, CAST(greatest(trunc(p75 + 3.0 * (p75 - p25) + 0.499), trunc(mean + 4 * sd + 0.499)) AS INTEGER) AS high FROM
@@ -555,13 +641,28 @@ def insert_size_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle.define("som", """SELECT chrom, pos1, max(ref) AS ref, max(gt) FILTER (sid = 1) AS n_gt, """ + ", ".join(f"coalesce(max(n_{b}) FILTER (sid = {s}), 0) AS {p}{b}" for s, p in ((0, "t"), (1, "n")) for b in "ACGTYR") + " FROM call WHERE alt IS NOT NULL GROUP BY chrom, pos1", "call")
 
 
-@query("somatic_mutant", """SELECT chrom, pos1, ref, alt_t, CASE ref WHEN 'A' THEN tA WHEN 'C' THEN tC WHEN 'G' THEN tG ELSE tT END AS ref_t, CASE ref WHEN 'A' THEN nA WHEN 'C' THEN nC WHEN 'G' THEN nG ELSE nT END AS ref_n,
+oracle.define("sommut", """SELECT chrom, pos1, ref, n_gt, alt_t, CASE ref WHEN 'A' THEN tA WHEN 'C' THEN tC WHEN 'G' THEN tG ELSE tT END AS ref_t, CASE ref WHEN 'A' THEN nA WHEN 'C' THEN nC WHEN 'G' THEN nG ELSE nT END AS ref_n,
  CASE alt_t WHEN 'A' THEN tA WHEN 'C' THEN tC WHEN 'G' THEN tG WHEN 'T' THEN tT WHEN 'Y' THEN tY WHEN 'R' THEN tR ELSE 0 END AS mut_t, CASE alt_t WHEN 'A' THEN nA WHEN 'C' THEN nC WHEN 'G' THEN nG WHEN 'T' THEN nT WHEN 'Y' THEN nY WHEN 'R' THEN nR ELSE 0 END AS mut_n FROM
  (SELECT *, (SELECT b FROM (VALUES ('A', 0, tA), ('C', 1, tC), ('G', 2, tG), ('T', 3, tT), ('Y', 5, CASE WHEN ref IN ('C', 'T') THEN 0 ELSE tY END), ('R', 6, CASE WHEN ref IN ('A', 'G') THEN 0 ELSE tR END)) v(b, k, n) WHERE n > 0 AND b <> ref ORDER BY n DESC, k LIMIT 1) AS alt_t FROM som)""", "som")
+
+
+@query("somatic_mutant", "SELECT * EXCLUDE (n_gt) FROM sommut", "sommut")
 def somatic_mutant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.somatic(_calls(spark, sf_dir)).drop("ss", "sc")
 
 
-@query("somatic_status")
+def _somatic_sql() -> str:
+    """Normal and tumour genotypes 0/0, 0/1, 1/1 in all pairs; a pair is somatic if the normal is 0/0 and the tumour is not."""
+    rates, normal, mu = (0.01, 0.5, 0.99), (1 - 1.5 * 0.001, 0.001, 0.001 / 2), 0.001
+    lp = {(n, t): f"ref_n * ln({1 - rates[n]!r}) + mut_n * ln({rates[n]!r}) + ref_t * ln({1 - rates[t]!r}) + mut_t * ln({rates[t]!r}) + ln({normal[n] * (1 - 2 * mu if n == t else mu)!r})" for n in range(3) for t in range(3)}
+    pairs = ", ".join(f"{x} AS p{n}{t}" for (n, t), x in lp.items())
+    part = lambda want: " + ".join(f"exp(p{n}{t} - top)" for n, t in lp if (n == 0 and t > 0) == want)
+    top = "greatest(" + ", ".join(f"p{n}{t}" for n, t in lp) + ")"
+    score = f"CASE WHEN alt_t IS NULL THEN 0.0 ELSE CASE WHEN no > 0 THEN least(1000.0, greatest(0.0, -10 * log10(no / (no + yes)))) ELSE 1000.0 END END"
+    return f"""SELECT chrom, pos1, ref, alt_t, ref_t, mut_t, ref_n, mut_n, CASE WHEN alt_t IS NULL THEN 5 WHEN round(sc, 6) > 1 THEN 2 WHEN n_gt LIKE '%1' THEN 1 ELSE 0 END AS ss, round(sc, 4) AS sc FROM
+ (SELECT *, {score} AS sc FROM (SELECT *, {part(True)} AS yes, {part(False)} AS no FROM (SELECT *, {top} AS top FROM (SELECT *, {pairs} FROM sommut))))"""
+
+
+@query("somatic_status", _somatic_sql(), "sommut")
 def somatic_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.somatic(_calls(spark, sf_dir))
+    return pileup.somatic(_calls(spark, sf_dir)).withColumn("sc", F.round("sc", 4))

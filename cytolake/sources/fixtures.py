@@ -1,7 +1,8 @@
 """A genome and reads derived from the driver's tables by integer arithmetic, the same in any engine.
 
 Contigs are the letters of documents mapped to bases; reads are events: strand, position, clips, indels, qualities, flags and tags all follow from
-``event_id``. :mod:`cytolake.plans.oracle` has the same in SQL.
+``event_id``. :mod:`cytolake.plans.oracle` has the same in SQL. Each table is derived once an application and written, as reads and genomes are Parquet tables where the
+operators are used.
 """
 
 from __future__ import annotations
@@ -9,15 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 LETTERS, MAPPED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTCG"
 
 
+def _stored(derive):
+    """The table that ``derive`` makes, written by the first query that reads it."""
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return store.once(spark, ("fixture", derive.__name__, sf_dir), lambda: derive(spark, sf_dir))
+
+    return read
+
+
+@_stored
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, MAPPED)
-    return docs.select(F.col("doc_id").alias("tid"), F.concat(F.lit("chr"), F.col("doc_id").cast("string")).alias("chrom"), seq.alias("seq")).where(F.length("seq") >= 100)
+    return docs.select(F.col("doc_id").alias("tid"), F.concat(F.lit("chr"), F.col("doc_id").cast("string")).alias("chrom"), seq.alias("seq")).where(F.length("seq") >= 100).repartition("chrom")
 
 
+@_stored
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     g = genome(spark, sf_dir).select("tid", "chrom", "seq", F.length("seq").alias("clen"))
@@ -49,6 +63,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_stored
 def snps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chrom, pos1, ref, alt, af) at the sites where the reads' bases are changed."""
     from .genome import positions
@@ -58,6 +73,7 @@ def snps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("chrom", "pos1", "ref", F.translate("ref", "ACGT", "CGTA").alias("alt"), (F.col("pos1") % 10 / 100.0).alias("af"))
 
 
+@_stored
 def fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, name, seq1, qual1, seq2, qual2): pairs of reads with a barcode in read 1."""
     a = alignments(spark, sf_dir)

@@ -41,13 +41,13 @@ def _tag(tags: Column, name: str, kind: str) -> Column:
 
 
 def sam(spark: SparkSession, path: str, sid: int = 0) -> DataFrame:
-    """Alignments with the hot tags as columns; header lines are left out."""
+    """Alignments with the hot tags as columns; header lines are left out. ``rid`` is the line's place in the scan, so equal records are two reads."""
     c = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.startswith("value", F.lit("@"))).where("value <> ''").select(c.alias("c"), F.slice(c, 12, 1 << 20).alias("t"))
+    rows = spark.read.text(path).withColumn("rid", F.monotonically_increasing_id()).where(~F.startswith("value", F.lit("@"))).where("value <> ''").select("rid", c.alias("c"), F.slice(c, 12, 1 << 20).alias("t"))
     at = lambda k: F.col("c")[k]
     tag = lambda n, k: _tag(F.col("t"), n, k)
     return rows.select(
-        F.lit(sid).alias("sid"), F.xxhash64(at(0), at(1), at(2), at(3), at(5)).alias("rid"), at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("chrom"), at(3).cast("int").alias("pos1"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"),
+        F.lit(sid).alias("sid"), F.col("rid"), at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("chrom"), at(3).cast("int").alias("pos1"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"),
         F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("mchrom"), at(7).cast("int").alias("mpos1"), at(8).cast("int").alias("isize"), at(9).alias("seq"), at(10).alias("qual"),
         *[tag(n, "i").cast("int").alias(n) for n in ("NM", "AS")], *[F.coalesce(tag(n, "Z"), tag(n, "A")).alias(n) for n in ("MC", "MD", "YD", "ZS", "XG", "MM")],
         F.transform(F.split(F.regexp_replace(tag("ML", "B"), "^C,?", ""), ","), lambda x: x.try_cast("int")).alias("ML"),
