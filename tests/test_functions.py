@@ -1,6 +1,9 @@
 """Expressions and single operators on hand-written cases."""
 
 import math
+import random
+
+import numpy as np
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,7 +306,7 @@ def test_mates_are_rescued_and_paired(spark, tmp_path):
     align.write_index(genome, str(tmp_path / "idx"))
     idx = align.read_index(spark, str(tmp_path / "idx"))
     o = align.Options(min_score=20)
-    found = align.extend(df, align.candidates(align.seeds(df, idx, o), o), genome, o).persist()
+    found = align.extend(df, align.candidates(align.seeds(df, idx, o, veto=True), o), genome, o).persist()
     assert {(r.rid, r.mate) for r in found.collect() if r.mate == 2} == {(k, 2) for k in (0, 2, 4)}
     got = {(r.rid, r.mate): r for r in align.pair_up(df, found, genome, (150, 400, 250.0, 20.0), o).collect()}
     assert len(got) == 12
@@ -335,3 +338,122 @@ def test_empty_inputs(spark, genome):
     assert pileup.calls(pileup.counts(pileup.site_bases(none, genome))).count() == 0
     assert epiread.epibed(epiread.states(none, genome, None)).count() == 0
     assert readqc.conversion_counts(none, genome).count() == 0
+
+
+def plain_local(ref, read, m, o):
+    """Score of the best local alignment, cell by cell."""
+    low, first, more = -(10**9), o.gap_open + o.gap_extend, o.gap_extend
+    h = [[0] * (len(ref) + 1) for _ in range(len(read) + 1)]
+    e = [[low] * (len(ref) + 1) for _ in range(len(read) + 1)]
+    f = [[low] * (len(ref) + 1) for _ in range(len(read) + 1)]
+    for i in range(1, len(read) + 1):
+        for j in range(1, len(ref) + 1):
+            e[i][j] = max(h[i - 1][j] - first, e[i - 1][j] - more)
+            f[i][j] = max(h[i][j - 1] - first, f[i][j - 1] - more)
+            h[i][j] = max(0, h[i - 1][j - 1] + m[ref[j - 1], read[i - 1]], e[i][j], f[i][j])
+    return max(map(max, h))
+
+
+@pytest.mark.parametrize("gaps", [align.Options(), align.Options(mismatch=1, gap_open=1, gap_extend=1)])
+def test_banded_alignment_is_the_local_one(gaps):
+    rnd = random.Random(3)
+    code = {b: k for k, b in enumerate("ACGTN")}
+    for _ in range(60):
+        read = "".join(rnd.choice("ACGT") for _ in range(rnd.randint(20, 60)))
+        body = list(read)
+        for _ in range(rnd.randint(0, 4)):
+            k = rnd.randrange(len(body))
+            body[k : k + rnd.choice([0, 1, 2])] = rnd.choices("ACGT", k=rnd.choice([0, 1, 3]))
+        ref = "".join(rnd.choices("ACGT", k=16)) + "".join(body) + "".join(rnd.choices("ACGT", k=16))
+        m, a, b = align.scores(True, gaps), np.array([code[x] for x in ref]), np.array([code[x] for x in read])
+        want = plain_local(a, b, m, gaps)
+        for width in (None, len(ref)):
+            score, j, i, end, pieces = align.banded(a, b, m, gaps, width)
+            assert score == (want if width is None else score) and score <= want
+            at_i, at_j, total = i, j, 0
+            for op, n in pieces:
+                if op == "M":
+                    total += sum(int(m[a[at_j + k], b[at_i + k]]) for k in range(n))
+                    at_i, at_j = at_i + n, at_j + n
+                else:
+                    total -= gaps.gap_open + n * gaps.gap_extend
+                    at_i, at_j = at_i + n * (op == "I"), at_j + n * (op == "D")
+            assert total == score and at_i == end
+
+
+def test_erfc(spark):
+    from cytolake.functions import stats
+
+    xs = [0.0, 0.1, 0.5, 1.0, 2.0, 4.0, 6.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(math.erfc(r.x), rel=2e-7) for r in got)
+
+
+def test_chains_and_their_filter(spark):
+    o = align.Options(k=10, band=5)
+    rows = [
+        (1, 1, 1, 0, "a", 100, 3, [0, 5, 20], [100, 105, 120]), (1, 1, 1, 0, "a", 103, 1, [40], [143]),  # one chain of two diagonals
+        (1, 1, 1, 0, "b", 7, 2, [0, 5], [7, 12]),  # in the first one's place, much lighter: first shadowed, stays
+        (1, 1, 1, 0, "c", 9, 1, [10], [19]),  # likewise, but not the first: goes
+        (1, 1, 1, 0, "d", 9, 2, [60, 65], [69, 74]),  # elsewhere in the read
+    ]
+    found = spark.createDataFrame(rows, "rid long, mate int, parent int, reverse int, chrom string, diag0 int, n long, at array<int>, on array<int>")
+    got = {r.chrom: (r.diag0, r.weight, r.qb, r.qe) for r in align.chains(found, o).collect()}
+    assert got == {"a": (100, 35, 0, 50), "b": (7, 15, 0, 15), "c": (9, 10, 10, 20), "d": (9, 15, 60, 75)}
+    assert {r.chrom for r in align.kept_chains(align.chains(found, o), o).collect()} == {"a", "b", "d"}
+
+
+def test_seeds_against_the_original_bases(spark):
+    """A read with a C where the reference has a T cannot be that place's parent strand; a T for a C can."""
+    rnd = random.Random(8)
+    text = "".join(rnd.choices("ACGT", k=200))
+    k = text.index("T", 60)
+    read, turned = text[40:90], text[40:90].replace("C", "T")
+    wrong = read[: k - 40] + "C" + read[k - 39 :]
+    genome = spark.createDataFrame([("c", text)], "chrom string, seq string")
+    reads = spark.createDataFrame([(1, 1, read), (2, 1, turned), (3, 1, wrong)], "rid long, mate int, seq string")
+    o = align.Options(stride=1)
+    idx = align.index(genome, o)
+    own = {r.rid: (r.n, r.at) for r in align.seeds(reads, idx, o, veto=True).where("parent = 1 and reverse = 0 and diag0 = 40").collect()}
+    every = list(range(32))
+    assert own[1] == (32, every) and own[2] == (32, every)
+    assert own[3][1] == [i for i in every if not i <= k - 40 < i + 19]
+
+
+def test_reads_longer_than_a_block(spark):
+    rnd = random.Random(4)
+    text = "".join(rnd.choices("ACGT", k=12_000))
+    reads = spark.createDataFrame([(1, 1, text[3000:6000]), (2, 1, text[500:5600])], "rid long, mate int, seq string")
+    got = {r.rid: (r.pos1, r.cigar) for r in align.align(reads, spark.createDataFrame([("c", text)], "chrom string, seq string"), align.Options(band=4)).collect()}
+    assert got == {1: (3001, "3000M"), 2: (501, "5100M")}
+
+
+def test_spans_beyond_the_limit_are_an_error(spark):
+    genome = spark.createDataFrame([("c", "ACGT" * 3000)], "chrom string, seq string")
+    read = spark.createDataFrame([("c", 1, "9100M", "A" * 9100)], "chrom string, pos1 int, cigar string, seq string")
+    with pytest.raises(Exception, match="more than max_span"):
+        bases.with_slice(read, genome).collect()
+    assert len(bases.with_slice(read, genome, max_span=10_000).first().slice) == 9104
+
+
+def test_more_than_five_equal_places(spark):
+    """Seven places equal after conversion: the one that the read's own bases fit is found, whatever its contig is called."""
+    rnd = random.Random(6)
+    core = "".join(rnd.choices("AGT", k=60))
+    at = core.index("T", 25)
+    contigs = []
+    for k in range(7):
+        side = ["".join(rnd.choices("ACGT", k=80)) for _ in range(2)]
+        contigs.append((f"c{k}", side[0] + (core if k < 6 else core[:at] + "C" + core[at + 1 :]) + side[1]))
+    reads = spark.createDataFrame([(1, 1, core[:at] + "C" + core[at + 1 :])], "rid long, mate int, seq string")
+    got = align.align(reads, spark.createDataFrame(contigs, "chrom string, seq string"), align.Options(directional=True)).first()
+    assert got.chrom == "c6" and got.pos1 == 81
+
+
+def test_lone_reads_of_a_longer_file(spark):
+    from cytolake.operators import fastq
+
+    one = spark.createDataFrame([(k, f"r{k}/1", "AC", "II") for k in range(3)], "ord long, name string, seq string, qual string")
+    two = spark.createDataFrame([(k, f"r{k}/2" if k else "x/2", "GT", "II") for k in range(2)], "ord long, name string, seq string, qual string")
+    got = {r.ord: (r.mismatch, r.alone, r.seq2) for r in fastq.mate_join(one, two).collect()}
+    assert got == {0: (True, None, "GT"), 1: (False, None, "GT"), 2: (None, 1, None)}
