@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters of base codes 0-6 and of methylation states, as the text formats print them.
@@ -67,3 +67,16 @@ def is_main_contig(name: Column) -> Column:
 
 def is_alternate(name: Column) -> Column:
     return name.rlike(r"^chrUn|_random|_hap|_alt")
+
+
+#: Fixed value: so many of chr1 to chr22, X, Y and M make a genome of which alternates are known by name.
+MAIN_CONTIGS = 20
+
+
+def with_alternates(contigs: DataFrame) -> DataFrame:
+    """Adds ``alternate`` to a table of contigs (chrom): named as one, in a genome that has at least 20 of chr1 to chr22, X, Y and M. A table without such names has none."""
+    number = F.regexp_extract("chrom", r"^chr(\d{1,2})$", 1).try_cast("int")
+    letter = F.upper(F.regexp_extract("chrom", "^chr([XYMxym])$", 1))
+    main = F.when(number.between(1, 22), number.cast("string")).when(letter != "", letter)
+    found = contigs.select(main.alias("_m")).agg((F.count_distinct("_m") >= MAIN_CONTIGS).alias("_whole"))
+    return contigs.join(F.broadcast(found)).withColumn("alternate", F.col("_whole") & is_alternate(F.col("chrom"))).drop("_whole")  # one row

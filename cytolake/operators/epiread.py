@@ -28,6 +28,8 @@ class Options:
     filters: bases.Filters = bases.Filters()
     nome: bool = False
     drop_empty: bool = True
+    #: Calls come from the reads' MM and ML tags, methylated above this probability, unmethylated below its complement; such reads have no strand of conversion.
+    modified: float | None = None
 
 
 def snp_table(snps: DataFrame) -> DataFrame:
@@ -55,8 +57,11 @@ READ = ("rid", "qname", "flag", "chrom", "bss", "rlen", "span", "mpos1", "mspan"
 def states(aln: DataFrame, genome: DataFrame, snps: DataFrame | None, o: Options = Options()) -> DataFrame:
     """One row per column of kept reads: channels cg, gc and vr, and the calls (kind, at, call) that the older formats list."""
     f = o.filters
-    reads = bases.with_mate_span(bases.with_strand(bases.with_slice(bases.keep_reads(aln, f), genome, max_span=f.max_span))).withColumn("rlen", F.length("seq"))
-    rows = bases.columns(with_snps(reads, snps), READ)
+    tagged = o.modified is not None
+    reads = bases.with_slice(bases.keep_reads(aln, f), genome, max_span=f.max_span)
+    reads = with_modifications(reads).withColumn("bss", F.lit(0)) if tagged else bases.with_strand(reads)
+    reads = bases.with_mate_span(reads).withColumn("rlen", F.length("seq"))
+    rows = bases.columns(with_snps(reads, snps), (*READ, "mods", "mod_base") if tagged else READ)
     ok = bases.base_passes(f, F.col("rlen"))
     if f.drop_double:
         ok = ok & ~bases.counted_twice()
@@ -71,6 +76,14 @@ def states(aln: DataFrame, genome: DataFrame, snps: DataFrame | None, o: Options
         cpg, gpc = (on_g & (before == "C")) | (on_c & (after == "G")), F.lit(False)
     call = F.when(qb == rb, "C").when(qb == F.when(rb == "C", "T").otherwise("A"), "T").otherwise("N")
     aligned = F.col("op").isin("M", "=", "X")
+    told = F.when(cpg, "cg").when(gpc, "gc")
+    if tagged:
+        p = F.try_element_at("mods", F.col("qpos"))
+        cpg = p.isNotNull() & (qb == F.col("mod_base")) & (qb == rb) & (((rb == "C") & (after == "G")) | ((rb == "G") & (before == "C")))
+        call = F.when(cpg & (p > o.modified), "C").when(cpg & (p >= 0) & (p < 1 - o.modified), "T").otherwise("N")
+        # the older formats list every base that the tags name, and filtered ones by the reference
+        told = F.when(F.when(ok, p.isNotNull()).otherwise(on_c & (after == "G")), "cg")
+        gpc = F.lit(False)
     snp = F.try_element_at("snps", F.col("rpos"))
     is_snp = aligned & snp.isNotNull()
     seen = (call != "N") & F.coalesce(snp, F.lit(True))
@@ -78,11 +91,11 @@ def states(aln: DataFrame, genome: DataFrame, snps: DataFrame | None, o: Options
     gc = F.when(gpc & seen, F.when(call == "C", OPEN).otherwise(SHUT)).otherwise(IGNORED)
     vr = F.when(~is_snp, IGNORED).when((F.col("bss") == 1) & (qb == "A"), AMBIGUOUS_GA).when(w & (qb == "T"), AMBIGUOUS_CT).otherwise(qb)
     channel = lambda x, deleted, inserted: F.when(F.col("op") == "S", CLIPPED).when(F.col("op") == "D", deleted).when(F.col("op") == "I", inserted).when(~F.col("ok"), FILTERED).otherwise(x)
-    site = F.when(cpg & on_g, F.col("rpos") - 1).otherwise(F.col("rpos"))
+    site = F.when(cpg & on_g, F.col("rpos") - 1).otherwise(F.col("rpos"))  # reads with tags are never on G: their bss is 0
     return rows.withColumn("ok", ok).select(
         *[c for c in READ if c not in ("span", "mpos1", "mspan", "snps")], "pos1", "op", "col",
         channel(cg, DELETED, INSERTED).alias("cg"), channel(gc, DELETED, INSERTED).alias("gc"), channel(vr, DELETED_BASE, F.lower(qb)).alias("vr"),
-        F.when(aligned & cpg, "cg").when(aligned & gpc, "gc").alias("kind"), site.alias("at"), F.when(F.col("ok"), call).otherwise("N").alias("call"),
+        F.when(aligned, told).alias("kind"), site.alias("at"), F.when(F.col("ok"), call).otherwise("N").alias("call"),
         F.when(is_snp & F.col("ok"), F.col("rpos")).alias("snp_at"), F.when(is_snp & F.col("ok"), qb).alias("snp_base"),
     )
 
@@ -155,19 +168,34 @@ def paired(bed: DataFrame) -> DataFrame:
     return bed.groupBy("chrom", "qname").agg(side("1").alias("r1"), side("2").alias("r2"))
 
 
-def modified_bases(reads: DataFrame, probability: float = 0.9) -> DataFrame:
-    """(rid, q, prob, call) for each modified base of MM/ML tags (one modification, m on C or G): q counts from 1 in the stored sequence.
+def with_modifications(reads: DataFrame) -> DataFrame:
+    """Adds mods (place in the stored sequence, from 1, to the probability of its modification; -1 without ML) and mod_base (the stored base that they fall on), from MM and ML.
 
-    MM lists how many of the base to skip before each modified one, along the sequenced strand; reverse reads count from the other end on the complement.
+    MM lists how many of the base to skip before each modified one, along the sequenced strand; reverse reads count from the other end on the complement. With ``?`` bases that are
+    skipped are of unknown state and have the probability -1. Reads without MM have no entries. More than one modification, another one than m, or a base other than C or G is an error.
     """
-    kind = F.regexp_extract("MM", r"^([CG])([+-])m", 1)
-    skips = F.transform(F.filter(F.split(F.regexp_replace("MM", r"^[^,;]*,?|;.*$", ""), ","), lambda x: x != ""), lambda x: x.cast("int"))
-    reverse = bases.has(bases.REVERSE)
-    base = F.when(reverse, F.translate(kind, "CG", "GC")).otherwise(kind)
+    form = r"^([CG])([+-])m([?.]?)((?:,[0-9]+)*);?$"
+    part = lambda k: F.regexp_extract("MM", form, k)
+    kind, reverse = part(1), bases.has(bases.REVERSE)
+    none = F.coalesce(F.col("MM"), F.lit("")) == ""
+    sound = F.when(none, "").when(F.col("MM").rlike(form), kind).otherwise(F.raise_error(F.concat(F.lit("not one methylation of C or G: MM is "), F.substring("MM", 1, 80))))
+    # bases of C are called on the strand sequenced, those of G on the other one
+    fits = ((kind == "C") & (part(2) == "+")) | ((kind == "G") & (part(2) == "-"))
+    skips = F.transform(F.filter(F.split(part(4), ","), lambda x: x != ""), lambda x: x.cast("int"))
+    rows = reads.withColumn("_kind", sound).withColumn("_base", F.when(F.col("_kind") != "", F.when(reverse, F.translate("_kind", "CG", "GC")).otherwise(F.col("_kind")))).withColumn("_skips", skips)
     spots = F.filter(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substr("seq", i, F.lit(1)) == F.col("_base"))
-    rows = reads.where(kind != "").withColumn("_base", base).withColumn("_skips", skips).withColumn("_at", F.when(reverse, F.reverse(spots)).otherwise(spots))
-    nth = F.transform("_skips", lambda x, i: F.aggregate(F.slice("_skips", 1, i + 1), F.lit(0), lambda s, v: s + v + 1))
-    each = rows.select("rid", "_at", F.posexplode(nth).alias("k", "n"), "ML")
-    prob = sq.mod_probability(F.try_element_at("ML", F.col("k") + 1))
-    out = each.select("rid", F.try_element_at("_at", F.col("n")).alias("q"), prob.alias("prob")).where(F.col("q").isNotNull())
+    spots = F.when((F.length("seq") > 0) & F.col("_base").isNotNull(), F.when(reverse, F.reverse(spots)).otherwise(spots)).otherwise(F.array().cast("array<int>"))
+    upto = lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + x + 1))
+    rows = rows.withColumn("_at", spots).withColumn("_nth", F.aggregate("_skips", F.array().cast("array<int>"), upto))
+    named = F.transform("_nth", lambda n, k: F.struct(F.try_element_at("_at", n).alias("q"), F.coalesce(sq.mod_probability(F.try_element_at("ML", k + 1)), F.lit(-1.0)).alias("p")))
+    named = F.map_from_entries(F.filter(named, lambda x: x["q"].isNotNull()))
+    unknown = F.map_from_entries(F.transform(F.array_except("_at", F.map_keys("_named")), lambda q: F.struct(q.alias("q"), F.lit(-1.0).alias("p"))))
+    rows = rows.withColumn("_named", named)
+    mods = F.when(part(3) == "?", F.map_concat("_named", unknown)).otherwise(F.col("_named"))
+    return rows.withColumn("mods", mods).withColumn("mod_base", F.when(fits, F.col("_base"))).drop("_kind", "_base", "_skips", "_at", "_nth", "_named")
+
+
+def modified_bases(reads: DataFrame, probability: float = 0.9) -> DataFrame:
+    """(rid, q, prob, call) for each base that MM and ML name (:func:`with_modifications`)."""
+    out = with_modifications(reads).select("rid", F.explode("mods").alias("q", "prob"))
     return out.withColumn("call", F.when(F.col("prob") > probability, METHYLATED).when((F.col("prob") >= 0) & (F.col("prob") < 1 - probability), UNMETHYLATED).otherwise(IGNORED))

@@ -387,7 +387,7 @@ _VARIANTS = (("all", "true"), ("q40", "mapq >= 40"), ("dup", "flag & 1024 <> 0")
 oracle.define("covered4", " UNION ALL ".join(f"SELECT '{v}' AS variant, chrom, CAST(rpos AS BIGINT) AS pos1, count(*) AS depth FROM px WHERE op IN ('M', 'D') AND flag & 4 = 0 AND flag & 256 = 0 AND flag & 512 = 0 AND {w} GROUP BY chrom, rpos" for v, w in _VARIANTS), "px")
 
 
-@query("depth_variants", """SELECT variant, depth, count(*) AS n FROM covered4 GROUP BY variant, depth UNION ALL SELECT variant, 0, (SELECT sum(length(seq)) FROM genome) - count(*) FROM covered4 GROUP BY variant""", "covered4", "genome")
+@query("depth_variants", """SELECT variant, depth, count(*) AS n FROM covered4 GROUP BY variant, depth UNION ALL SELECT variant, 0, CAST((SELECT sum(length(seq)) FROM genome) AS BIGINT) - count(*) FROM covered4 GROUP BY variant""", "covered4", "genome")
 def depth_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     contigs, found = fx.genome(spark, sf_dir).select("chrom", F.length("seq").alias("clen")), None
     for v in coverage.VARIANTS:
@@ -445,8 +445,9 @@ _X = "CASE WHEN {c} AND call <> 'N' AND coalesce(snp_ok, true) THEN CASE WHEN ca
 _CG, _HCG, _GCH = (_CH.format(d="d", i="'i'", x=_X.format(c=c, m=m, u=u)) for c, m, u in (("cpg", "M", "U"), ("hcg", "M", "U"), ("gch", "O", "S")))
 _VR = _CH.format(d="D", i="lower(qb)", x="CASE WHEN snp_ok IS NULL THEN 'x' WHEN bss = 1 AND qb = 'A' THEN 'R' WHEN bss = 0 AND qb = 'T' THEN 'Y' ELSE qb END")
 oracle.define("ch", f"SELECT rid, col, 'cg' AS ch, {_CG} AS v FROM epc UNION ALL SELECT rid, col, 'vr', {_VR} FROM epc UNION ALL SELECT rid, col, 'hcg', {_HCG} FROM epc UNION ALL SELECT rid, col, 'gch', {_GCH} FROM epc", "epc")
-oracle.define("rle", """SELECT rid, ch, string_agg(v || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END, '' ORDER BY spot) AS s, bool_and(v IN ('F', 'x', 'P')) AS empty FROM
- (SELECT rid, ch, v, min(col) AS spot, count(*) AS n FROM (SELECT *, col - row_number() OVER (PARTITION BY rid, ch, v ORDER BY col) AS run FROM ch) GROUP BY rid, ch, v, run) GROUP BY rid, ch""", "ch")
+_RLE = """SELECT rid, ch, string_agg(v || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END, '' ORDER BY spot) AS s, bool_and(v IN ('F', 'x', 'P')) AS empty FROM
+ (SELECT rid, ch, v, min(col) AS spot, count(*) AS n FROM (SELECT *, col - row_number() OVER (PARTITION BY rid, ch, v ORDER BY col) AS run FROM {ch}) GROUP BY rid, ch, v, run) GROUP BY rid, ch"""
+oracle.define("rle", _RLE.format(ch="ch"), "ch")
 _EPIBED = """SELECT rid, chrom, pos1 - CASE WHEN cigar LIKE '5S%' THEN 5 ELSE 0 END - 1 AS start0, pos1 - CASE WHEN cigar LIKE '5S%' THEN 5 ELSE 0 END - 1 + 50 + CASE WHEN cigar LIKE '%2D%' THEN 2 ELSE 0 END - CASE WHEN cigar LIKE '%3I%' THEN 3 ELSE 0 END AS "end",
  qname, CASE WHEN flag & 128 <> 0 THEN '2' ELSE '1' END AS mate, CASE WHEN bss = 1 THEN '-' ELSE '+' END AS strand, c.s AS cg, {gc} AS gc, v.s AS vr FROM kept JOIN strand USING (rid) JOIN rle c USING (rid) JOIN rle v USING (rid) {join}
  WHERE c.ch = '{cg}' AND v.ch = 'vr' AND NOT (c.empty AND v.empty {more}) AND pos1 - CASE WHEN cigar LIKE '5S%' THEN 5 ELSE 0 END >= 1"""
@@ -467,6 +468,27 @@ def epibed_nome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epiread.epibed(_states(spark, sf_dir, o), o)
 
 
+oracle.define("mods", """SELECT rid, base, CAST(spots[n] AS BIGINT) AS qpos, (m + 0.5) / 256 AS p FROM
+ (SELECT rid, base, CASE WHEN flag & 16 <> 0 THEN list_reverse(spots) ELSE spots END AS spots, unnest(CASE WHEN rid % 2 = 0 THEN [1, 3, 4] ELSE [2, 3] END) AS n,
+  unnest(CASE WHEN rid % 2 = 0 THEN [rid * 17 % 256, (rid * 29 + 13) % 256, (rid * 5 + 250) % 256] ELSE [rid * 13 % 256, (rid * 7 + 128) % 256] END) AS m FROM
+  (SELECT *, list_filter(range(1, 51), lambda i: substr(seq, i, 1) = base) AS spots FROM (SELECT *, CASE WHEN (rid % 2 = 0) = (flag & 16 = 0) THEN 'C' ELSE 'G' END AS base FROM aln))) WHERE spots[n] IS NOT NULL""", "aln")
+oracle.define("epm", """SELECT epc.rid, epc.col, epc.op, epc.qb, 0 AS bss, snp_ok, good, coalesce(p IS NOT NULL AND base = epc.qb AND epc.rb = epc.qb AND (epc.rb = 'C' AND substr(epc.five, 4, 1) = 'G' OR epc.rb = 'G' AND substr(epc.five, 2, 1) = 'C'), false) AS cpg,
+ CASE WHEN p > 0.9 THEN 'C' WHEN p < 0.1 THEN 'T' ELSE 'N' END AS call FROM epc JOIN px ON px.rid = epc.rid AND px.col = epc.col LEFT JOIN mods ON mods.rid = px.rid AND mods.qpos = px.qpos""", "epc", "px", "mods")
+oracle.define("chm", f"SELECT rid, col, 'cg' AS ch, {_CG} AS v FROM epm UNION ALL SELECT rid, col, 'vr', {_VR} FROM epm", "epm")
+oracle.define("rlem", _RLE.format(ch="chm"), "chm")
+_EPIBED_TAGS = _EPIBED.format(gc="'.'", join="", cg="cg", more="").replace("CASE WHEN bss = 1 THEN '-' ELSE '+' END", "'+'").replace("JOIN strand USING (rid) ", "").replace("JOIN rle ", "JOIN rlem ")
+
+
+@query("epibed_modified", _EPIBED_TAGS, "kept", "rlem")
+def epibed_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads whose MM and ML tags follow from their ids: C+m for even ones, G-m for odd ones."""
+    aln, e = fx.alignments(spark, sf_dir), F.col("rid")
+    marks = F.when(e % 2 == 0, F.array(e * 17 % 256, (e * 29 + 13) % 256, (e * 5 + 250) % 256)).otherwise(F.array(e * 13 % 256, (e * 7 + 128) % 256))
+    aln = aln.withColumn("MM", F.when(e % 2 == 0, "C+m,0,1,0;").otherwise("G-m,1,0;")).withColumn("ML", marks.cast("array<int>"))
+    o = epiread.Options(modified=0.9)
+    return epiread.epibed(epiread.states(aln, fx.genome(spark, sf_dir), fx.snps(spark, sf_dir), o), o)
+
+
 oracle.define("old", """SELECT rid, chrom, any_value(qname) AS qname, CASE WHEN any_value(flag) & 128 <> 0 THEN '2' ELSE '1' END AS mate, CASE WHEN any_value(bss) = 1 THEN '-' ELSE '+' END AS strand,
  coalesce(string_agg(CAST(rpos - 1 - CASE WHEN bss = 1 THEN 1 ELSE 0 END AS VARCHAR), ',' ORDER BY col) FILTER (cpg), '.') AS cg_pos0, coalesce(string_agg(CASE WHEN good THEN call ELSE 'N' END, '' ORDER BY col) FILTER (cpg), '.') AS cg,
  coalesce(string_agg(CAST(rpos - 1 AS VARCHAR), ',' ORDER BY col) FILTER (snp_ok IS NOT NULL AND good), '.') AS snp_pos0, coalesce(string_agg(qb, '' ORDER BY col) FILTER (snp_ok IS NOT NULL AND good), '.') AS snp

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cytolake.functions import cigar, seq, stats
 from cytolake.operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc, view
+from cytolake.sinks import text as sink
 from cytolake.sources import genome as gn
 
 
@@ -234,6 +235,60 @@ def test_modified_bases(spark):
     assert [r.q for r in epiread.modified_bases(back).collect()] == [4]
 
 
+MODIFIED = "rid long, flag int, seq string, MM string, ML array<int>"
+
+
+def test_bases_of_modification_tags(spark):
+    rows = [
+        (0, 0, "CCGCA", "C+m?,1;", [250]),  # the skipped C is of unknown state
+        (1, 16, "CCGGC", "G-m,1;", [9]),  # Gs of the sequenced strand are stored Cs, from the right
+        (2, 0, "CCGCA", "C+m,0,5;", [250, 1]),  # a base that the read does not have
+        (3, 0, "CCGCA", "C+m.,2;", None),
+        (4, 0, "CCGCA", None, None),
+        (5, 0, "", "C+m,0;", [1]),
+        (6, 0, "CCGCA", "C+m;", []),
+    ]
+    got = {r.rid: r for r in epiread.with_modifications(spark.createDataFrame(rows, MODIFIED)).collect()}
+    near = lambda k: {q: round(p, 3) for q, p in got[k].mods.items()}
+    assert near(0) == {1: -1.0, 2: 0.979, 4: -1.0}
+    assert (near(1), got[1].mod_base) == ({2: 0.037}, "C")
+    assert near(2) == {1: 0.979} and near(3) == {4: -1.0}
+    assert not any(got[k].mods for k in (4, 5, 6))
+
+
+@pytest.mark.parametrize("tag", ["C+h,0;", "C+mh,0;", "C+m,0;C+h,0;", "A+m,0;"])
+def test_other_modifications_are_errors(spark, tag):
+    with pytest.raises(Exception, match="not one methylation"):
+        epiread.with_modifications(spark.createDataFrame([(0, 0, "ACCGC", tag, [1, 2])], MODIFIED)).collect()
+
+
+def test_alternates_need_the_main_contigs(spark):
+    main = [f"chr{k}" for k in range(1, 20)]
+    names = lambda x: {r.chrom for r in seq.with_alternates(spark.createDataFrame([(c,) for c in x], "chrom string")).where("alternate").collect()}
+    others = ["chrUn_1", "chr6_hap2", "chr1_random", "chr1_x_alt", "scaffold"]
+    assert names(main + others + ["chr1"]) == set() and names(others) == set()
+    assert names(main + others + ["chrx"]) == set(others) - {"scaffold"}
+
+
+def test_restricted_strands_and_sam_rows(spark):
+    rnd = random.Random(8)
+    contig = "".join(rnd.choice("ACGT") for _ in range(3000))
+    plus = contig[500:600].replace("C", "T")  # parent of the forward strand
+    minus = plus.translate(str.maketrans("ACGT", "TGCA"))[::-1]  # and its complement, the daughter
+    reads = spark.createDataFrame([(0, 1, "a", plus, "I" * 99 + "#", "UMI"), (1, 1, "b", minus, "I" * 99 + "#", None)], "rid long, mate int, qname string, seq string, qual string, RX string")
+    genome = spark.createDataFrame([("c", contig)], "chrom string, seq string")
+    hits = lambda **o: {(r.rid, r.parent, r.bss, r.pos1) for r in align.align(reads, genome, align.Options(**o)).collect()}
+    assert hits() == {(0, 1, 0, 501), (1, 0, 0, 501)}
+    assert hits(single=1) == {(0, 1, 0, 501)} and hits(single=0) == {(1, 0, 0, 501)}
+    assert hits(strand=0) == hits() and hits(strand=1) == set()
+    idx = align.index(genome)
+    records = align.records(align.extend(reads, align.candidates(align.seeds(reads, idx, veto=True)), genome))
+    lines = [r.value.split("\t") for r in sink.sam_lines(align.sam_rows(records, reads, "g1")).orderBy("value").collect()]
+    assert [x[:6] for x in lines] == [["a", "0", "c", "501", "60", "100M"], ["b", "16", "c", "501", "60", "100M"]]
+    assert all(x[9] == plus for x in lines) and [x[10][0] for x in lines] == ["I", "#"]
+    assert {"XL:i:100", "YD:A:f", "RG:Z:g1", "NM:i:0", "AS:i:100", "RX:Z:UMI"} <= set(lines[0]) and not any(x.startswith("RX") for x in lines[1])
+
+
 def test_planted_reads_align_where_they_came_from(spark):
     import random
 
