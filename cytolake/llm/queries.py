@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, mixing, ngram_quality, packing, quality_rules, secrets, simhash, token_counts, topk, toxicity, warc
+from . import divergence, language, mixing, ngram_quality, packing, quality_rules, secrets, simhash, token_counts, topk, toxicity, treaps, warc
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -65,10 +73,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_language_id": op11_language_id,
+    "op12_lexical_search": op12_lexical_search,
     "op13_source_divergence": op13_source_divergence,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,6 +99,14 @@ ORACLE_SQL: dict[str, str] = {
  lead AS (SELECT *, count(*) OVER p AS n, max(page_id) OVER p AS first FROM digest WINDOW p AS (PARTITION BY payload_digest, payload_bytes))
  SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN payload_bytes >= 1000 AND n > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM lead""",
+    "op12_lexical_search": rf"""WITH words AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+ size AS (SELECT r, count(*)::BIGINT AS n FROM words GROUP BY r), whole AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS l FROM size),
+ held AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY r, term),
+ weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, whole GROUP BY term),
+ asked AS (SELECT item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS item, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+ part AS (SELECT item, item_id, r, doc_id, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // l))) AS s FROM asked JOIN held USING (term) JOIN weight USING (term) JOIN size USING (r), whole),
+ score AS (SELECT item, item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM part GROUP BY item, item_id, r, doc_id HAVING sum(s) > 0)
+ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM score) WHERE rank <= 20""",
     "op13_source_divergence": rf"""WITH rows AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
  words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows),
  kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
