@@ -29,7 +29,7 @@ from .common import materialize, prepare, shards
 
 LEAST, TOP = 3, 200
 #: Bytes of text of a block, about, and postings of a task that meets sources.
-BLOCK, POSTINGS = 4 << 20, 200_000
+BLOCK, POSTINGS = 8 << 20, 200_000
 #: So many pairs of postings are held at a time.
 HELD = 1 << 21
 _SUB = 1 << 24
