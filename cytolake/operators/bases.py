@@ -44,6 +44,11 @@ class Filters:
     max_span: int = MAX_SPAN
 
 
+def key(rows: DataFrame) -> list[str]:
+    """What tells reads apart: the sample's number too, where there is one. Tables of different samples may number their reads alike."""
+    return ["sid", "rid"] if "sid" in rows.columns else ["rid"]
+
+
 def has(bit: int) -> Column:
     return F.col("flag").bitwiseAND(bit) != 0
 
@@ -86,23 +91,31 @@ def with_slice(aln: DataFrame, genome: DataFrame, block: int = BLOCK, max_span:
     """Adds ``slice``: the reference from two bases before the read to two behind it, N beyond the contig, and ``span``.
 
     Reads meet the block that their first base lies in; blocks overlap by ``max_span``. The join key is (contig, block), so neither contigs nor deep
-    places gather in one task more than their reads do. A read that spans more is an error, never a short slice.
+    places gather in one task more than their reads do. A read that spans more is an error, never a short slice, and so is a read on a contig that the genome lacks or beyond its end. A read without
+    a place (no CIGAR) has no slice.
     """
     own = gn.blocks(genome.select("chrom", "seq"), max(block, max_span), max_span).select(F.col("chrom").alias("_c"), F.col("blk").alias("_b"), F.col("beg1").alias("_beg"), F.col("seq").alias("_seq"))
     size = max(block, max_span)
     reads = aln.withColumn("span", cg.reference_length(F.col("cigar"))).withColumn("_k", F.floor((F.col("pos1") - 1) / size).cast("int"))
-    met = reads.join(own, (F.col("chrom") == F.col("_c")) & (F.col("_k") == F.col("_b")))
+    met = reads.join(own, (F.col("chrom") == F.col("_c")) & (F.col("_k") == F.col("_b")), "left")
     at = F.col("pos1") - F.col("_beg") + 1 + max_span
-    whole = F.when(F.col("span") <= max_span, F.substr("_seq", at - 2, F.col("span") + 4)).otherwise(F.raise_error(F.format_string("a read spans %d bases of the reference, more than max_span", F.col("span"))))
+    # a filter, which no reader of the result leaves out as it may a column
+    lost = F.raise_error(F.format_string("a read at %s:%d, which the genome does not have", "chrom", "pos1")).cast("boolean")
+    long = F.raise_error(F.format_string("a read spans %d bases of the reference, more than max_span", "span")).cast("boolean")
+    placed = F.coalesce("span", F.lit(0)) > 0
+    met = met.where(F.when(placed & F.col("_seq").isNull(), lost).when(F.col("span") > max_span, long).otherwise(True))
+    whole = F.when(placed, F.substr("_seq", at - 2, F.col("span") + 4))
     return met.withColumn("slice", whole).drop("_c", "_b", "_k", "_beg", "_seq")
 
 
 def columns(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per column of each read: op, col (from 1), qpos (from 1), rpos, rb, qb, bq, five, with the read's ``keep`` columns.
+    """One row per column of each read: op, col (from 1), qpos (from 1), rpos, rb, qb, bq, five, with the read's ``keep`` columns (the sample
+    beside the read's number).
 
     Deletions have no base of the read, insertions and soft clips none of the reference.
     """
     b = F.col("b")
+    keep = (*key(reads), *(k for k in keep if k not in ("sid", "rid"))) if "rid" in keep else keep
     rows = reads.select(*keep, "seq", "qual", "pos1", "slice", F.explode(cg.blocks(F.col("cigar"), F.col("pos1"))).alias("b")).where(b["op"].isin("M", "=", "X", "I", "D", "S"))
     rows = rows.select(*keep, "seq", "qual", "pos1", "slice", "b", F.explode(F.sequence(F.lit(0), b["n"] - 1)).alias("j"))
     in_query, in_ref = b["op"] != "D", ~b["op"].isin("I", "S")
@@ -135,10 +148,10 @@ def with_mate_span(reads: DataFrame) -> DataFrame:
     return reads.withColumn("mspan", F.coalesce(cg.reference_length(F.col("MC")), F.col("span")))
 
 
-def inferred_counts(aligned_rows: DataFrame, key: str = "rid", min_qual: int = 0) -> DataFrame:
-    """(rid, c2t, g2a) per read."""
+def inferred_counts(aligned_rows: DataFrame, min_qual: int = 0) -> DataFrame:
+    """([sid,] rid, c2t, g2a) per read."""
     ok = F.col("bq") >= min_qual
-    return aligned_rows.groupBy(key).agg(F.count_if(ok & (F.col("rb") == "C") & (F.col("qb") == "T")).alias("c2t"), F.count_if(ok & (F.col("rb") == "G") & (F.col("qb") == "A")).alias("g2a"))
+    return aligned_rows.groupBy(*key(aligned_rows)).agg(F.count_if(ok & (F.col("rb") == "C") & (F.col("qb") == "T")).alias("c2t"), F.count_if(ok & (F.col("rb") == "G") & (F.col("qb") == "A")).alias("g2a"))
 
 
 def with_inferred(reads: DataFrame, min_qual: int = 0, needed: Column | None = None) -> DataFrame:

@@ -42,13 +42,13 @@ def snp_table(snps: DataFrame) -> DataFrame:
 def with_snps(reads: DataFrame, snps: DataFrame | None) -> DataFrame:
     """Adds ``snps``: a map from position to callable for the SNPs a read spans."""
     if snps is None:
-        return reads.repartition("rid").withColumn("snps", F.lit(None).cast("map<int,boolean>"))
+        return reads.repartition(*bases.key(reads)).withColumn("snps", F.lit(None).cast("map<int,boolean>"))
     keyed = snp_table(snps).select(F.col("chrom").alias("_c"), F.floor(F.col("pos1") / SNP_BIN).alias("_b"), F.col("pos1").cast("int").alias("_p"), "callable")
     last = F.col("pos1") + F.greatest(F.col("span"), F.lit(1)) - 1
-    spans = reads.select("rid", "chrom", "pos1", last.alias("last"), F.explode(F.sequence(F.floor(F.col("pos1") / SNP_BIN), F.floor(last / SNP_BIN))).alias("bin"))
+    spans = reads.select(*bases.key(reads), "chrom", "pos1", last.alias("last"), F.explode(F.sequence(F.floor(F.col("pos1") / SNP_BIN), F.floor(last / SNP_BIN))).alias("bin"))
     met = spans.join(keyed, (F.col("chrom") == F.col("_c")) & (F.col("bin") == F.col("_b")) & F.col("_p").between(F.col("pos1"), F.col("last")))
-    own = met.groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("_p", "callable"))).alias("snps"))
-    return reads.repartition("rid").join(own, "rid", "left")
+    own = met.groupBy(*bases.key(reads)).agg(F.map_from_entries(F.collect_set(F.struct("_p", "callable"))).alias("snps"))
+    return reads.repartition(*bases.key(reads)).join(own, bases.key(reads), "left")
 
 
 READ = ("rid", "qname", "flag", "chrom", "bss", "rlen", "span", "mpos1", "mspan", "snps")
@@ -93,7 +93,7 @@ def states(aln: DataFrame, genome: DataFrame, snps: DataFrame | None, o: Options
     channel = lambda x, deleted, inserted: F.when(F.col("op") == "S", CLIPPED).when(F.col("op") == "D", deleted).when(F.col("op") == "I", inserted).when(~F.col("ok"), FILTERED).otherwise(x)
     site = F.when(cpg & on_g, F.col("rpos") - 1).otherwise(F.col("rpos"))  # reads with tags are never on G: their bss is 0
     return rows.withColumn("ok", ok).select(
-        *[c for c in READ if c not in ("span", "mpos1", "mspan", "snps")], "pos1", "op", "col",
+        *bases.key(rows), *[c for c in READ if c not in ("rid", "span", "mpos1", "mspan", "snps")], "pos1", "op", "col",
         channel(cg, DELETED, INSERTED).alias("cg"), channel(gc, DELETED, INSERTED).alias("gc"), channel(vr, DELETED_BASE, F.lower(qb)).alias("vr"),
         F.when(aligned, told).alias("kind"), site.alias("at"), F.when(F.col("ok"), call).otherwise("N").alias("call"),
         F.when(is_snp & F.col("ok"), F.col("rpos")).alias("snp_at"), F.when(is_snp & F.col("ok"), qb).alias("snp_base"),
@@ -102,7 +102,7 @@ def states(aln: DataFrame, genome: DataFrame, snps: DataFrame | None, o: Options
 
 def epibed(rows: DataFrame, o: Options = Options()) -> DataFrame:
     """(chrom, start0, end, qname, mate, strand, cg, gc, vr) of :func:`states`, run-length encoded."""
-    part = rows.groupBy("rid", "chrom", "pos1", "qname", "flag", "bss", "rlen").agg(
+    part = rows.groupBy(*bases.key(rows), "chrom", "pos1", "qname", "flag", "bss", "rlen").agg(
         F.array_sort(F.collect_list(F.struct("col", "cg", "gc", "vr", "op"))).alias("x"), F.count_if(F.col("op") == "D").alias("nd"), F.count_if(F.col("op") == "I").alias("ni"),
     )
     text = lambda k: F.array_join(F.transform("x", lambda v: v[k]), "")
@@ -113,13 +113,13 @@ def epibed(rows: DataFrame, o: Options = Options()) -> DataFrame:
         empty = F.col("cg").rlike("^[FxP]*$") & F.col("vr").rlike("^[FxP]*$")
         out = out.where(~(empty & F.col("gc").rlike("^[FxP]*$")) if o.nome else ~empty)
     gc = sq.run_lengths(F.col("gc")) if o.nome else F.lit(".")
-    return out.select("rid", "chrom", "start0", (F.col("start0") + F.col("rlen") + F.col("nd") - F.col("ni")).cast("int").alias("end"), "qname", F.when(bases.has(bases.READ2), "2").otherwise("1").alias("mate"), F.when(F.col("bss") == 1, "-").otherwise("+").alias("strand"), sq.run_lengths(F.col("cg")).alias("cg"), gc.alias("gc"), sq.run_lengths(F.col("vr")).alias("vr"))
+    return out.select(*bases.key(rows), "chrom", "start0", (F.col("start0") + F.col("rlen") + F.col("nd") - F.col("ni")).cast("int").alias("end"), "qname", F.when(bases.has(bases.READ2), "2").otherwise("1").alias("mate"), F.when(F.col("bss") == 1, "-").otherwise("+").alias("strand"), sq.run_lengths(F.col("cg")).alias("cg"), gc.alias("gc"), sq.run_lengths(F.col("vr")).alias("vr"))
 
 
 def legacy(rows: DataFrame, nome: bool = False, all_positions: bool = False) -> DataFrame:
     """(chrom, qname, mate, strand, cg_pos0, cg, [gc_pos0, gc,] snp_pos0, snp): reads with a CpG (or, in NOMe mode, a GpC); positions are texts, the first only or all."""
     at = lambda cond, pos, v: F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("col").alias("c"), pos.alias("p"), v.alias("v")))))
-    part = rows.groupBy("rid", "chrom", "qname", "flag", "bss").agg(
+    part = rows.groupBy(*bases.key(rows), "chrom", "qname", "flag", "bss").agg(
         at(F.col("kind") == "cg", F.col("at") - 1, F.col("call")).alias("cgs"), at(F.col("kind") == "gc", F.col("at") - 1, F.col("call")).alias("gcs"), at(F.col("snp_at").isNotNull(), F.col("snp_at") - 1, F.col("snp_base")).alias("snps"),
     )
 
@@ -128,14 +128,14 @@ def legacy(rows: DataFrame, nome: bool = False, all_positions: bool = False) ->
         return [F.when(F.size(c) > 0, places).otherwise(".").alias(f"{name}_pos0"), F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda v: v["v"]), "")).otherwise(".").alias(name)]
 
     there = F.size("cgs") + F.size("gcs") > 0
-    return part.where(there).select("rid", "chrom", "qname", F.when(bases.has(bases.READ2), "2").otherwise("1").alias("mate"), F.when(F.col("bss") == 1, "-").otherwise("+").alias("strand"), *pair("cgs", "cg"), *(pair("gcs", "gc") if nome else []), *pair("snps", "snp"))
+    return part.where(there).select(*bases.key(rows), "chrom", "qname", F.when(bases.has(bases.READ2), "2").otherwise("1").alias("mate"), F.when(F.col("bss") == 1, "-").otherwise("+").alias("strand"), *pair("cgs", "cg"), *(pair("gcs", "gc") if nome else []), *pair("snps", "snp"))
 
 
 def pairwise(rows: DataFrame) -> DataFrame:
-    """(rid, chrom, snp1, cg1, snp_base, cg_call): each SNP of a read beside each cytosine call of the same read."""
-    snp = rows.where("snp_at is not null").select("rid", "chrom", F.col("snp_at").alias("snp1"), "snp_base")
-    calls = rows.where("kind is not null").select("rid", F.col("at").alias("cg1"), F.col("call").alias("cg_call"))
-    return snp.join(calls, "rid").select("rid", "chrom", "snp1", "cg1", "snp_base", "cg_call")
+    """([sid,] rid, chrom, snp1, cg1, snp_base, cg_call): each SNP of a read beside each cytosine call of the same read."""
+    snp = rows.where("snp_at is not null").select(*bases.key(rows), "chrom", F.col("snp_at").alias("snp1"), "snp_base")
+    calls = rows.where("kind is not null").select(*bases.key(rows), F.col("at").alias("cg1"), F.col("call").alias("cg_call"))
+    return snp.join(calls, bases.key(rows)).select(*bases.key(rows), "chrom", "snp1", "cg1", "snp_base", "cg_call")
 
 
 def cpg_ordinals(genome: DataFrame, size: int = 1 << 16) -> DataFrame:
@@ -163,9 +163,9 @@ def rectangle(epireads: DataFrame, genome: DataFrame) -> DataFrame:
 
 
 def paired(bed: DataFrame) -> DataFrame:
-    """Both records of a read name on one row; single ones have nulls for the second."""
+    """Both records of a read name of a sample on one row; single ones have nulls for the second."""
     side = lambda m: F.max(F.when(F.col("mate") == m, F.struct("start0", "end", "strand", "cg", "vr")))
-    return bed.groupBy("chrom", "qname").agg(side("1").alias("r1"), side("2").alias("r2"))
+    return bed.groupBy(*[c for c in ("sid",) if c in bed.columns], "chrom", "qname").agg(side("1").alias("r1"), side("2").alias("r2"))
 
 
 def with_modifications(reads: DataFrame) -> DataFrame:
@@ -196,6 +196,6 @@ def with_modifications(reads: DataFrame) -> DataFrame:
 
 
 def modified_bases(reads: DataFrame, probability: float = 0.9) -> DataFrame:
-    """(rid, q, prob, call) for each base that MM and ML name (:func:`with_modifications`)."""
-    out = with_modifications(reads).select("rid", F.explode("mods").alias("q", "prob"))
+    """([sid,] rid, q, prob, call) for each base that MM and ML name (:func:`with_modifications`)."""
+    out = with_modifications(reads).select(*bases.key(reads), F.explode("mods").alias("q", "prob"))
     return out.withColumn("call", F.when(F.col("prob") > probability, METHYLATED).when((F.col("prob") >= 0) & (F.col("prob") < 1 - probability), UNMETHYLATED).otherwise(IGNORED))

@@ -35,9 +35,9 @@ def stranded(aln: DataFrame, genome: DataFrame, f: bases.Filters) -> DataFrame:
 
 
 def read_retention(rows: DataFrame) -> DataFrame:
-    """(rid, n_retained): unchanged bases on the strand that conversion does not touch; what ``max_retention`` limits."""
+    """([sid,] rid, n_retained): unchanged bases on the strand that conversion does not touch; what ``max_retention`` limits."""
     kept = ((F.col("bss") == 1) & (F.col("rb") == "C") & (F.col("qb") == "C")) | ((F.col("bss") == 0) & (F.col("rb") == "G") & (F.col("qb") == "G"))
-    return rows.groupBy("rid").agg(F.count_if(kept).alias("n_retained"))
+    return rows.groupBy(*bases.key(rows)).agg(F.count_if(kept).alias("n_retained"))
 
 
 def site_bases(aln: DataFrame, genome: DataFrame, o: Options = Options()) -> DataFrame:
@@ -45,8 +45,8 @@ def site_bases(aln: DataFrame, genome: DataFrame, o: Options = Options()) -> Dat
     f = o.filters
     rows = bases.aligned(stranded(aln, genome, f), READ)
     if f.max_retention < 999_999:
-        few = read_retention(rows).where(F.col("n_retained") <= f.max_retention).select("rid")
-        rows = rows.join(few, "rid", "left_semi")
+        few = read_retention(rows).where(F.col("n_retained") <= f.max_retention).drop("n_retained")
+        rows = rows.join(few, bases.key(rows), "left_semi")
     if f.drop_contig_end:
         ends = genome.select("chrom", F.length("seq").alias("clen"))
         rows = rows.join(ends, "chrom").where(F.col("rpos") < F.col("clen")).drop("clen")

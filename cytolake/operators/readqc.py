@@ -72,7 +72,7 @@ def cytosines(aln: DataFrame, genome: DataFrame, o: Cytosines = Cytosines()) ->
     state = F.when(F.col("qb") == F.col("rb"), "R").when(F.col("qb") == F.when(F.col("rb") == "C", "T").otherwise("A"), "C").otherwise("N")
     is_cg = F.substring("n5", 4, 1) == "G"
     return rows.select(
-        "rid", "qname", F.when(bases.has(bases.READ2), 2).otherwise(1).alias("qpair"), F.when(bases.has(bases.REVERSE), "-").otherwise("+").alias("strand"), F.when(F.col("bss") == 1, "-").otherwise("+").alias("bsstrand"), "mapq",
+        *bases.key(rows), "qname", F.when(bases.has(bases.READ2), 2).otherwise(1).alias("qpair"), F.when(bases.has(bases.REVERSE), "-").otherwise("+").alias("strand"), F.when(F.col("bss") == 1, "-").otherwise("+").alias("bsstrand"), "mapq",
         F.col("pos1").alias("qbeg"), (F.col("pos1") + F.col("span") - 1).alias("qend"), "chrom", F.col("rpos").alias("crpos"),
         F.when(is_cg, F.when(F.col("rb") == "C", F.col("rpos")).otherwise(F.col("rpos") - 1)).otherwise(-1).alias("cgrpos"), F.col("qpos").alias("cqpos"), F.col("rb").alias("crbase"),
         sq.context(F.col("n5"), F.col("rb"), o.nome).alias("cctxt"), F.col("qb").alias("cqbase"), state.alias("cretention"), "rlen", "flag",
@@ -105,13 +105,13 @@ class Conversion:
 
 
 def conversion_counts(aln: DataFrame, genome: DataFrame) -> DataFrame:
-    """(rid, ca_r, ca_c, .. ct_r, ct_c): retained and converted cytosines of mapped reads by the base that follows; reads without any have zeros."""
+    """([sid,] rid, ca_r, ca_c, .. ct_r, ct_c): retained and converted cytosines of mapped reads by the base that follows; reads without any have zeros."""
     reads = bases.with_strand(bases.with_slice(aln.where(~bases.has(bases.UNMAPPED)), genome))
     rows = bases.aligned(reads, ("rid", "bss"))
     after = F.substring(sq.oriented(F.col("five"), F.col("rb")), 4, 1)
     own = ((F.col("bss") == 0) & (F.col("rb") == "C")) | ((F.col("bss") == 1) & (F.col("rb") == "G"))
     kept, turned = own & (F.col("qb") == F.col("rb")), own & (F.col("qb") == F.when(F.col("rb") == "C", "T").otherwise("A"))
-    return rows.groupBy("rid").agg(*[F.count_if((kept if s == "r" else turned) & (after == b)).alias(f"c{b.lower()}_{s}") for b in "ACGT" for s in "rc"])
+    return rows.groupBy(*bases.key(rows)).agg(*[F.count_if((kept if s == "r" else turned) & (after == b)).alias(f"c{b.lower()}_{s}") for b in "ACGT" for s in "rc"])
 
 
 def conversion_fails(o: Conversion) -> Column:
@@ -131,7 +131,7 @@ def conversion_fails(o: Conversion) -> Column:
 def conversion_filter(aln: DataFrame, genome: DataFrame, o: Conversion = Conversion()) -> DataFrame:
     """Mapped reads that meet the limits (those that do not, if inverted), with their counts and the ZN text."""
     text = F.concat_ws(",", *[F.format_string(f"C{b}_R%dC%d", F.col(f"c{b.lower()}_r"), F.col(f"c{b.lower()}_c")) for b in "ACGT"])
-    found = aln.join(conversion_counts(aln, genome), "rid")
+    found = aln.join(conversion_counts(aln, genome), bases.key(aln))
     bad = conversion_fails(o)
     if o.drop_unknown:
         bad |= F.coalesce(F.col("YD") == "u", F.lit(False))
@@ -150,7 +150,7 @@ def read_average_conversion(aln: DataFrame, genome: DataFrame, compat: bool = Fa
     counts = conversion_counts(aln.where(ok), genome)
     if compat:
         counts = counts.where(F.col("cc_r") + F.col("ct_r") == 0)
-    sums = counts.agg(*[F.sum(c).alias(c) for c in counts.columns if c != "rid"])
+    sums = counts.agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("sid", "rid")])
     rows = sums.select(F.inline(F.array(*[F.struct(F.lit(f"C{b}").alias("context"), F.col(f"c{b.lower()}_r").alias("retained"), F.col(f"c{b.lower()}_c").alias("converted")) for b in "ACGT"])))
     return rows.withColumn("rate", F.try_divide(F.col("retained").cast("double"), F.col("retained") + F.col("converted")))
 

@@ -47,7 +47,7 @@ def gc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("aligned_columns", "SELECT rid, op, col, qpos, rpos, qb, bq, rb, five FROM px", "px")
 def aligned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = bases.with_slice(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir))
-    return bases.columns(reads, ("rid",)).drop("pos1")
+    return bases.columns(reads, ("rid",)).drop("pos1", "sid")
 
 
 @query("read_filter_pass", "SELECT rid, chrom, pos1, mapq, cigar, seq FROM kept", "kept")
@@ -148,7 +148,7 @@ def pileup_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pileup_retention_per_read", "SELECT rid, count(*) FILTER (bss = 1 AND rb = 'C' AND qb = 'C' OR bss = 0 AND rb = 'G' AND qb = 'G') AS n_retained FROM base GROUP BY rid", "base")
 def pileup_retention_per_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.read_retention(_rows(spark, sf_dir))
+    return pileup.read_retention(_rows(spark, sf_dir)).drop("sid")
 
 
 @query("pileup_max_retention", """SELECT * FROM (SELECT chrom, rpos AS pos1, sid, count(*) FILTER (meth = 'R') AS n_ret, count(*) FILTER (meth = 'C') AS n_conv FROM coded
@@ -206,7 +206,7 @@ def flip_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
  pos1 AS qbeg, pos1 + span - 1 AS qend, chrom, rpos AS crpos, CASE WHEN substr(n5, 4, 1) <> 'G' THEN -1 WHEN rb = 'C' THEN rpos ELSE rpos - 1 END AS cgrpos, qpos AS cqpos, rb AS crbase,
  CASE WHEN substr(n5, 4, 1) = 'G' THEN 'CG' WHEN substr(n5, 5, 1) = 'G' THEN 'CHG' ELSE 'CHH' END AS cctxt, qb AS cqbase, state AS cretention FROM cyt WHERE NOT contains(n5, 'N')""", "cyt")
 def cinread_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readqc.cytosines(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Cytosines("c")).drop("rlen", "flag")
+    return readqc.cytosines(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Cytosines("c")).drop("sid", "rlen", "flag")
 
 
 @query("cinread_gch", "SELECT rid, rpos AS crpos, state AS cretention, CASE WHEN substr(n5, 2, 1) = 'G' THEN 'GCH' END AS cctxt FROM cyt WHERE NOT contains(n5, 'N') AND substr(n5, 2, 1) = 'G' AND substr(n5, 4, 1) <> 'G'", "cyt")
@@ -232,7 +232,7 @@ def retention_by_readpos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bsconv_counts", "SELECT * FROM conv", "conv")
 def bsconv_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readqc.conversion_counts(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir))
+    return readqc.conversion_counts(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir)).drop("sid")
 
 
 @query("bsconv_filter", """SELECT rid, concat('CA_R', ca_r, 'C', ca_c, ',CC_R', cc_r, 'C', cc_c, ',CG_R', cg_r, 'C', cg_c, ',CT_R', ct_r, 'C', ct_c) AS "ZN" FROM conv
@@ -459,13 +459,13 @@ def _states(spark: SparkSession, sf_dir: str, o: epiread.Options = epiread.Optio
 
 @query("epibed_rle", _EPIBED.format(gc="'.'", join="", cg="cg", more=""), "kept", "strand", "rle")
 def epibed_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return epiread.epibed(_states(spark, sf_dir))
+    return epiread.epibed(_states(spark, sf_dir)).drop("sid")
 
 
 @query("epibed_nome", _EPIBED.format(gc="g.s", join="JOIN rle g USING (rid)", cg="hcg", more="AND g.empty") + " AND g.ch = 'gch'", "kept", "strand", "rle")
 def epibed_nome(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = epiread.Options(nome=True)
-    return epiread.epibed(_states(spark, sf_dir, o), o)
+    return epiread.epibed(_states(spark, sf_dir, o), o).drop("sid")
 
 
 oracle.define("mods", """SELECT rid, base, CAST(spots[n] AS BIGINT) AS qpos, (m + 0.5) / 256 AS p FROM
@@ -486,7 +486,7 @@ def epibed_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = F.when(e % 2 == 0, F.array(e * 17 % 256, (e * 29 + 13) % 256, (e * 5 + 250) % 256)).otherwise(F.array(e * 13 % 256, (e * 7 + 128) % 256))
     aln = aln.withColumn("MM", F.when(e % 2 == 0, "C+m,0,1,0;").otherwise("G-m,1,0;")).withColumn("ML", marks.cast("array<int>"))
     o = epiread.Options(modified=0.9)
-    return epiread.epibed(epiread.states(aln, fx.genome(spark, sf_dir), fx.snps(spark, sf_dir), o), o)
+    return epiread.epibed(epiread.states(aln, fx.genome(spark, sf_dir), fx.snps(spark, sf_dir), o), o).drop("sid")
 
 
 oracle.define("old", """SELECT rid, chrom, any_value(qname) AS qname, CASE WHEN any_value(flag) & 128 <> 0 THEN '2' ELSE '1' END AS mate, CASE WHEN any_value(bss) = 1 THEN '-' ELSE '+' END AS strand,
@@ -499,12 +499,12 @@ oracle.define("prw", """SELECT s.rid, s.chrom, s.rpos AS snp1, c.rpos - CASE WHE
 
 @query("epiread_legacy", "SELECT * FROM old", "old")
 def epiread_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return epiread.legacy(_states(spark, sf_dir), all_positions=True)
+    return epiread.legacy(_states(spark, sf_dir), all_positions=True).drop("sid")
 
 
 @query("epiread_pairwise", "SELECT * FROM prw", "prw")
 def epiread_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return epiread.pairwise(_states(spark, sf_dir))
+    return epiread.pairwise(_states(spark, sf_dir)).drop("sid")
 
 
 @query("rectangle_pad", """SELECT rid, chrom, cg, rpad(repeat('N', CAST(k - k0 AS INTEGER)) || cg, CAST(k1 - k0 AS INTEGER), 'N') AS padded FROM (SELECT *, min(k) OVER w AS k0, max(k + length(cg)) OVER w AS k1 FROM old JOIN
@@ -660,6 +660,32 @@ def insert_size_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.insert_model(rows.select("isize")).withColumns({"mean": F.round("mean", 9), "sd": F.round("sd", 6)})
 
 
+# -- two samples whose reads have the same numbers -------------------------------------------------------------------
+
+
+def _two_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.alignments(spark, sf_dir).withColumns({"sid": (F.col("rid") % 2).cast("int"), "rid": F.floor(F.col("rid") / 2)})
+
+
+@query("two_samples_conversion", "SELECT rid % 2 AS sid, rid // 2 AS rid, * EXCLUDE (rid) FROM conv", "conv")
+def two_samples_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readqc.conversion_counts(_two_samples(spark, sf_dir), fx.genome(spark, sf_dir))
+
+
+@query("two_samples_pairwise", "SELECT rid % 2 AS sid, rid // 2 AS rid, * EXCLUDE (rid) FROM prw", "prw")
+def two_samples_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epiread.pairwise(epiread.states(_two_samples(spark, sf_dir), fx.genome(spark, sf_dir), fx.snps(spark, sf_dir)))
+
+
+@query("two_samples_max_retention", """SELECT * FROM (SELECT chrom, rpos AS pos1, rid % 2 AS sid, count(*) FILTER (meth = 'R') AS n_ret, count(*) FILTER (meth = 'C') AS n_conv FROM coded
+ WHERE rid IN (SELECT rid FROM base GROUP BY rid HAVING count(*) FILTER (bss = 1 AND rb = 'C' AND qb = 'C' OR bss = 0 AND rb = 'G' AND qb = 'G') <= 10) GROUP BY chrom, rpos, rid % 2) WHERE n_ret + n_conv > 0""", "coded", "base")
+def two_samples_max_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = pileup.Options(bases.Filters(max_retention=10))
+    return pileup.counts(pileup.site_bases(_two_samples(spark, sf_dir), fx.genome(spark, sf_dir), o)).where("n_ret + n_conv > 0").select("chrom", "pos1", "sid", "n_ret", "n_conv")
+
+
+# -- tumour and normal -----------------------------------------------------------------------------------------------
+
 oracle.define("som", """SELECT chrom, pos1, max(ref) AS ref, max(gt) FILTER (sid = 1) AS n_gt, """ + ", ".join(f"coalesce(max(n_{b}) FILTER (sid = {s}), 0) AS {p}{b}" for s, p in ((0, "t"), (1, "n")) for b in "ACGTYR") + " FROM call WHERE alt IS NOT NULL GROUP BY chrom, pos1", "call")
 
 

@@ -40,10 +40,19 @@ def _tag(tags: Column, name: str, kind: str) -> Column:
     return F.substring(F.try_element_at(hit, F.lit(1)), 6, 1 << 30)
 
 
-def sam(spark: SparkSession, path: str, sid: int = 0) -> DataFrame:
-    """Alignments with the hot tags as columns; header lines are left out. ``rid`` is the line's place in the scan, so equal records are two reads."""
-    c = F.split("value", "\t")
-    rows = spark.read.text(path).withColumn("rid", F.monotonically_increasing_id()).where(~F.startswith("value", F.lit("@"))).where("value <> ''").select("rid", c.alias("c"), F.slice(c, 12, 1 << 20).alias("t"))
+def numbered(scan: int) -> Column:
+    """Numbers of the rows of one scan; those of scans with different numbers (0 to 1022) differ. A scan has a million splits at most."""
+    if not 0 <= scan < 1023:
+        raise ValueError("the number of a scan is from 0 to 1022")
+    own = F.monotonically_increasing_id()
+    return F.when(own < 1 << 53, own + F.lit(scan * (1 << 53)).cast("long")).otherwise(F.raise_error(F.lit("a scan has more than 2^20 splits")))
+
+
+def sam(spark: SparkSession, path: str | list[str], sid: int = 0, scan: int | None = None) -> DataFrame:
+    """Alignments with the hot tags as columns; header lines are left out. ``rid`` is the line's place in the scan and the number of the scan, by default the sample's, so equal records are two reads and
+    samples that are read one by one can be put together. Several files of one sample are a list of paths, or scans with numbers of their own."""
+    c = F.when(~F.startswith("value", F.lit("@")), F.split("value", "\t"))  # no field of a header line is read, whatever the order of filters
+    rows = _numbered_text(spark, path, sid if scan is None else scan).where(~F.startswith("value", F.lit("@"))).where("value <> ''").select("rid", c.alias("c"), F.slice(c, 12, 1 << 20).alias("t"))
     at = lambda k: F.col("c")[k]
     tag = lambda n, k: _tag(F.col("t"), n, k)
     return rows.select(
@@ -54,6 +63,10 @@ def sam(spark: SparkSession, path: str, sid: int = 0) -> DataFrame:
     )
 
 
+def _numbered_text(spark: SparkSession, path: str | list[str], scan: int) -> DataFrame:
+    return spark.read.text(path).withColumn("rid", numbered(scan))
+
+
 def in_region(aln: DataFrame, chrom: str, beg1: int | None = None, end1: int | None = None) -> DataFrame:
     """Reads that overlap chrom:beg1-end1. The test on chrom and pos1 reaches a Parquet scan; the read's end is tested after."""
     from ..functions.cigar import reference_length
