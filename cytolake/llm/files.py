@@ -50,10 +50,11 @@ class Blocks:
             yield part
             start += len(part)
 
-    def find(self, what: bytes, start: int) -> int:
-        """Place of the next occurrence, or -1."""
-        while start < self.length:
-            part = self.read(start, self.size + len(what) - 1)
+    def find(self, what: bytes, start: int, end: int | None = None) -> int:
+        """Place of the next occurrence, which lies before ``end``, or -1."""
+        end = self.length if end is None else min(end, self.length)
+        while start < end:
+            part = self.read(start, min(self.size + len(what) - 1, end - start))
             if (at := part.find(what)) >= 0:
                 return start + at
             start += self.size

@@ -67,6 +67,8 @@ class Terms:
 
     def __init__(self, terms: list[str]):
         self.root = trie(terms)
+        #: Of a longer word no term meets more than its beginning, and no whole word does.
+        self.longest = max((len(t.removesuffix("$")) for t in terms), default=0) + 3
         self.first: dict[str, str] = {}  # the first term of each tail
         for t in sorted(terms, reverse=True):
             self.first[t[1:]] = t
@@ -102,6 +104,7 @@ def match(word: str, terms: Terms, least: int = SHORT_MIN) -> tuple[str, int] |
     ``r0`` and the word's places of the character before. A stem is met wherever the word goes on. Most words agree with no term in their first character, so errors there
     are looked up apart (:func:`at_first`) and the walk begins behind it.
     """
+    word = word[: terms.longest]
     best = min(((t, 1) for t in at_first(word, terms) if len(t.removesuffix("$")) >= least), default=None) if word else None
     below = terms.root.get(word[:1]) if word[:1] != "$" else None
     if below is None:

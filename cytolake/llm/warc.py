@@ -40,6 +40,8 @@ LEVEL = 6
 DATE = "2020-01-01T00:00:00Z"
 #: A header is read by steps of so many bytes until it ends; a block of more than HELD_BYTES of a plain file is checked before it is held.
 HEADER_BYTES, HELD_BYTES = 1 << 16, 1 << 26
+#: Longest header: none longer is written, and none longer is held when read.
+HEADER_MOST = 1 << 25
 #: Bytes that end a record.
 TAIL = 4
 VERSION = b"WARC/1."
@@ -61,7 +63,10 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
     if kind == "revisit":
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", name(refers_to))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
+    told = b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n"
+    if len(told) > HEADER_MOST:
+        raise ValueError(f"the header of page {page_id} has {len(told)} bytes, more than {HEADER_MOST}")
+    return told + block + b"\r\n\r\n"
 
 
 def member(raw: bytes, level: int = LEVEL) -> bytes:
@@ -176,8 +181,9 @@ class Bad(Exception):
 class Reader:
     """Records and gaps of one archive, in order of place.
 
-    Nothing that a damaged length claims is read before it holds: a member is expanded no further than its own header says, and a long block of a plain
-    file is checked by steps (against its digest, else by what must follow it) before it is taken as a whole.
+    Nothing that a damaged length claims is read before it holds: a header is held up to ``HEADER_MOST``, a member is expanded by steps and no further than its own header says. A block of a plain file
+    is checked against its digest (by steps, if it is long), or else, at any size, by what follows it: the end of the file or of the record and another record. Where the record ends as it should but no
+    other follows (that one may be the damaged one), the block must not hold a version line.
     """
 
     source: files.Blocks
@@ -204,68 +210,65 @@ class Reader:
             at = r.end
 
     def _gzip(self, at: int) -> Record:
-        z, raw, used, size, whole = zlib.decompressobj(31), [], 0, 0, None
+        z, raw, used, whole, head = zlib.decompressobj(31), bytearray(), 0, None, None
         try:
             for part in self.source.stream(at):
-                raw.append(z.decompress(part))
-                used, size = used + len(part), size + len(raw[-1])
-                if whole is None:
-                    raw = [b"".join(raw)]
-                    if size >= len(VERSION) and not raw[0].startswith(VERSION):
-                        raise Bad("member without a version line")
-                    if (head := _head(raw[0])) is not None:
-                        whole = head[1] + head[2] + TAIL
-                if whole is not None and size > whole:
-                    raise Bad("member is longer than its header says")
+                used += len(part)
+                while part and not z.eof:
+                    raw += z.decompress(part, HEADER_BYTES if whole is None else max(1, min(whole + 1 - len(raw), HELD_BYTES)))
+                    part = z.unconsumed_tail
+                    if whole is None:
+                        head = _begun(raw, "member without a version line")
+                        whole = head[1] + head[2] + TAIL if head else None
+                    if whole is not None and len(raw) > whole:
+                        raise Bad("member is longer than its header says")
                 if z.eof:
                     break
         except zlib.error as e:
             raise Bad(f"gzip: {e}") from None
         if not z.eof:
             raise Bad("gzip: member is cut off")
-        head = _head(raw := b"".join(raw))
         if head is None:
             raise Bad("header does not end" if raw.startswith(VERSION) else "member without a version line")
         headers, start, length = head
-        block = raw[start : start + length]
+        block = bytes(raw[start : start + length])
         _check(headers, block, length)
         if raw[start + length :].strip(b"\r\n"):
             raise Bad("bytes after the record")
         return Record(at, at + used - len(z.unused_data), headers, block)
 
     def _plain(self, at: int) -> Record:
-        raw, found = b"", None
+        raw, found = bytearray(), None
         while found is None:
-            part = self.source.read(at + len(raw), max(HEADER_BYTES, len(raw)))
+            part = self.source.read(at + len(raw), HEADER_BYTES)
             raw += part
-            if not raw.startswith(VERSION):
-                raise Bad("no version line")
-            found = _head(raw)
+            found = _begun(raw, "no version line", len(part))
             if found is None and not part:
                 raise Bad("header does not end")
         headers, start, length = found
         start += at
         if start + length > self.source.length:
             raise Bad("block is cut off")
-        if length > HELD_BYTES:
-            self._try(headers, start, length)
+        if not headers.get("warc-block-digest", "").startswith("sha1:"):
+            self._followed(start, length)
+        elif length > HELD_BYTES:
+            digest = hashlib.sha1()
+            for lo in range(start, start + length, HEADER_BYTES):
+                digest.update(self.source.read(lo, min(HEADER_BYTES, start + length - lo)))
+            if headers["warc-block-digest"] != "sha1:" + base64.b32encode(digest.digest()).decode():
+                raise Bad("block digest differs")
         block = self.source.read(start, length)
         _check(headers, block, length)
         tail = self.source.read(start + length, TAIL)
         return Record(at, start + length + len(tail) - len(tail.lstrip(b"\r\n")), headers, block)
 
-    def _try(self, headers: dict[str, str], start: int, length: int) -> None:
-        told = headers.get("warc-block-digest", "")
-        if not told.startswith("sha1:"):
-            tail = self.source.read(start + length, TAIL + len(VERSION)).lstrip(b"\r\n")
-            if tail and not (tail.startswith(VERSION) or tail.startswith(MAGIC)):
-                raise Bad("no record after the block")
+    def _followed(self, start: int, length: int) -> None:
+        tail = self.source.read(start + length, TAIL + len(VERSION))
+        behind = tail.lstrip(b"\r\n")
+        if not behind or behind.startswith((VERSION, MAGIC)) or VERSION.startswith(behind):
             return
-        digest = hashlib.sha1()
-        for lo in range(start, start + length, HEADER_BYTES):
-            digest.update(self.source.read(lo, min(HEADER_BYTES, start + length - lo)))
-        if told != "sha1:" + base64.b32encode(digest.digest()).decode():
-            raise Bad("block digest differs")
+        if not tail.startswith(b"\r\n\r\n") or self.source.find(b"\r\n" + VERSION, start, start + length) >= 0:
+            raise Bad("no record after the block")
 
     def _mark(self, what: bytes, at: int) -> int:
         """The next place of a mark, found once for all places before it, so that a search goes over the file once whatever the number of gaps."""
@@ -293,6 +296,18 @@ class Reader:
         return self.source.length
 
 
+def _begun(raw: bytearray, without: str, new: int = HEADER_BYTES) -> tuple[dict[str, str], int, int] | None:
+    """:func:`_head` of what has been read of a record, of which the last ``new`` bytes at most were not looked at before."""
+    if raw[: len(VERSION)] != VERSION[: len(raw)] or not raw:
+        raise Bad(without)
+    over = raw.find(b"\r\n\r\n", max(0, len(raw) - new - 3))
+    if over < 0:
+        if len(raw) > HEADER_MOST:
+            raise Bad("header does not end")
+        return None
+    return _head(bytes(raw[: over + 4]))
+
+
 def _head(raw: bytes) -> tuple[dict[str, str], int, int] | None:
     """Headers, where the block begins, and its length; None if the header does not end here."""
     over = raw.find(b"\r\n\r\n")

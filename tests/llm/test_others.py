@@ -3,6 +3,9 @@
 import gzip
 import hashlib
 import random
+import re
+import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -187,6 +190,96 @@ def test_damaged_lengths_are_not_read(tmp_path, monkeypatch):
     assert [r.page() for r in reader.records()] == [0, 2] and reader.gaps[0].reason == "member is longer than its header says"
 
 
+@pytest.mark.parametrize("digest", [True, False])
+@pytest.mark.parametrize("change", [700, -100, -3000, 5263])
+def test_damaged_lengths_at_the_default_bound(tmp_path, digest, change):
+    """Plain records of a few kB, the first length (or the third) wrong: nothing is swallowed, and every lost record is in the log."""
+    rnd = random.Random(3)
+
+    def one(k, by=0):
+        r = warc.record("response", k, "u", bytes(rnd.randrange(97, 123) for _ in range(5000)), hashlib.sha1(b"").hexdigest(), None)
+        if not digest:
+            r = r.replace(b"WARC-Block-Digest", b"WARC-Other")
+        n = len(r.partition(b"\r\n\r\n")[2]) - 4
+        return r.replace(b"\r\nContent-Length: %d\r\n\r\nHTTP" % n, b"\r\nContent-Length: %d\r\n\r\nHTTP" % (n + by))
+
+    path = tmp_path / "x.warc"
+    raw = [one(0, change), one(1), one(2, change), one(3), one(4)]
+    path.write_bytes(b"".join(raw))
+    reader = warc.Reader(files.Blocks(f"file://{path}"))
+    assert [r.page() for r in reader.records()] == [1, 3, 4]
+    at = [sum(map(len, raw[:k])) for k in range(6)]
+    assert [(g.start, g.end) for g in reader.gaps] == [(at[0], at[1]), (at[2], at[3])]
+
+
+def test_a_record_before_a_damaged_one_stays(tmp_path):
+    one = lambda k: warc.record("response", k, "u", b"x" * 3000, hashlib.sha1(b"").hexdigest(), None).replace(b"WARC-Block-Digest", b"WARC-Other")
+    path = tmp_path / "x.warc"
+    path.write_bytes(one(0) + b"?" + one(1)[1:] + one(2))
+    reader = warc.Reader(files.Blocks(f"file://{path}"))
+    assert [r.page() for r in reader.records()] == [0, 2] and len(reader.gaps) == 1
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_a_header_without_end_is_not_held(tmp_path, monkeypatch, zipped):
+    monkeypatch.setattr(warc, "HEADER_MOST", 1 << 20)
+    good = warc.record("response", 1, "u", b"x", hashlib.sha1(b"x").hexdigest(), None)
+    endless = b"WARC/1.1\r\nX: " + b"a" * 60_000_000
+    path = tmp_path / "x.warc"
+    path.write_bytes(b"".join(map(warc.member, (endless, good))) if zipped else endless + b"\r\n" + good)
+    reader = warc.Reader(files.Blocks(f"file://{path}", 1 << 16))
+    tracemalloc.start()
+    started = time.perf_counter()
+    assert [r.page() for r in reader.records()] == [1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20 and time.perf_counter() - started < 20
+    assert reader.gaps[0].reason == "header does not end"
+    with pytest.raises(ValueError, match="header of page 7"):
+        warc.record("response", 7, "u" * (1 << 21), b"", "", None)
+
+
+# -- very long runs ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text", ["eyJ", "eyJ.", "eyJhbGciOiJIUzI1NiJ9.", "eyJa.eyJ", "A", "a1", "token", "token ", "token=", "AKIA", "xox", "xoxb-", "-----BEGIN ", "-----BEGIN A ", "gh", "ghp_", "4", "41111111111111110 "])
+def test_secret_scan_is_linear(text):
+    from cytolake.llm import secrets
+
+    t = []
+    for n in (1_000_000, 10_000_000) if text in ("eyJ", "A") else (200_000, 2_000_000):
+        whole = text * (n // len(text))
+        started = time.perf_counter()
+        secrets.scan(whole)
+        t.append(time.perf_counter() - started)
+    assert t[1] < 60 and t[1] < 25 * max(t[0], 0.02)
+
+
+def test_web_tokens_against_their_expression():
+    from cytolake.llm import secrets
+
+    rnd = random.Random(12)
+    header = "eyJhbGciOiJIUzI1NiJ9"
+    for _ in range(3000):
+        text = "".join(rnd.choice([header, "eyJ", ".", "eyJx", "a", "-", " ", ".eyJy.", "Z"]) for _ in range(rnd.randrange(1, 14)))
+        want = [m.span() for m in JWT.finditer(text) if secrets._is_jwt(m[1])]
+        assert [(a, b) for a, k, b in secrets.scan(text) if secrets.KINDS[k] == "jwt"] == want, text
+
+
+def test_toxicity_of_one_endless_word():
+    from cytolake.llm import toxicity
+
+    lexicon = toxicity.Lexicon(["idiot", "stupid", "moron$", "fool$"])
+    started = time.perf_counter()
+    for word in ("x" * 10_000_000, "idiot" * 2_000_000, "moron" * 2_000_000, "xdiot" + "y" * 10_000_000):
+        lexicon.features(word)
+    assert time.perf_counter() - started < 30
+    for word in ("idiotic", "idi0ts", "moron", "morons", "moronss", "fooll", "fooool", "sstupid", "tsupidly", "xidiot" * 50, "fool" * 9, "m" + "moron"):
+        whole = toxicity.Terms(lexicon.terms)
+        whole.longest = 1 << 30
+        assert toxicity.match(word, lexicon.index) == toxicity.match(word, whole), word
+
+
 def test_salvage_goes_over_the_file_once(tmp_path):
     """Thousands of false starts in a zipped archive, where no version line stands in the open."""
     good = warc.member(warc.record("response", 1, "u", b"x", hashlib.sha1(b"x").hexdigest(), None))
@@ -194,7 +287,7 @@ def test_salvage_goes_over_the_file_once(tmp_path):
     path.write_bytes(good + warc.MAGIC * 20_000 + b"\0" * 3_000_000 + good)
     source = files.Blocks(f"file://{path}", 1 << 16)
     looked, find = [], source.find
-    source.find = lambda what, at: looked.append(what) or find(what, at)
+    source.find = lambda what, at, end=None: looked.append(what) or find(what, at, end)
     reader = warc.Reader(source)
     assert sum(1 for _ in reader.records()) == 2 and looked.count(warc.VERSION) == 1
 
@@ -202,7 +295,7 @@ def test_salvage_goes_over_the_file_once(tmp_path):
 # -- all of them ------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_lexical_search", "op13_source_divergence"}))  # test_search.py holds these against SQL
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, SF)
     table = {"op5_top_k": "embeddings", "op9_warc": "pages"}.get(name, "documents")
@@ -212,6 +305,9 @@ def test_queries_run(spark, name):
     assert df.select(ids).distinct().count() == want
 
 
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+
+
 def redact_of(text):
     """The secrets of a whole text by their expressions alone, without keywords or order."""
     from cytolake.llm import secrets as x
@@ -221,7 +317,7 @@ def redact_of(text):
         return text
     spans = [(a, b) for a, _, b in base_spans(text)]
     spans += [m.span() for p in (x._GITHUB, x._NPM) for m in p.finditer(text) if x.base62_crc(m[1]) == m[2]]
-    spans += [m.span() for m in x._CARD.finditer(text) if x.is_card(m[0])] + [m.span() for m in x._JWT.finditer(text) if x._is_jwt(m[1])] + [m.span() for m in x._PEM.finditer(text)]
+    spans += [m.span() for m in x._CARD.finditer(text) if x.is_card(m[0])] + [m.span() for m in JWT.finditer(text) if x._is_jwt(m[1])] + [m.span() for m in x._PEM.finditer(text)]
     spans += [m.span() for p in x._FORMS.values() for m in p.finditer(text)]
     hidden = [False] * (len(text) + 1)
     out, k, over = "", 0, sorted(spans)

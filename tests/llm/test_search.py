@@ -181,6 +181,19 @@ def test_subtrees_are_pruned():
     assert sum(walked) < 4000
 
 
+@pytest.mark.parametrize("name", ["op12_lexical_search", "op13_source_divergence"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    c = con.execute(queries.ORACLE_SQL[name])
+    at = [[x[0] for x in c.description].index(k) for k in df.columns]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in c.fetchall())
+
+
 # -- 11 ------------------------------------------------------------------------------------------------------------
 
 
@@ -301,7 +314,7 @@ def test_temperature_lowers_the_loss(spark):
     place, w = np.arange(2), np.array([[9.0, 0.0], [0.0, 9.0]])
     model = language.Model(["a", "b"], np.ones(1 << language.BITS), place, w)
     rows = [(int(k % 2 if rnd.random() < 0.8 else 1 - k % 2), [k % 2], [1.0]) for k in range(400)]  # right four times of five, but sure always
-    df = spark.createDataFrame(rows, "y int, place array<int>, value array<double>")
+    df = spark.createDataFrame([(0, True, [y for y, *_ in rows], list(range(401)), [at[0] for _, at, _ in rows], [1.0] * 400)], language._ROWS)
     t = language.calibrate(df, model)
     p = 1 / (1 + np.exp(-9 / t))
     assert abs(p - np.mean([y == at[0] for y, at, _ in rows])) < 0.01
