@@ -29,8 +29,8 @@ from .common import materialize, prepare, shards
 FOLDS, HELD = 4, 2
 ORDER, BITS = 4, 18
 #: Rows and characters of a language to learn from, at most about.
-SAMPLE, SAMPLE_CHARS = 1_500, 6_000_000
-SHARD_ROWS, EPOCHS = 1_000, 3
+SAMPLE, SAMPLE_CHARS = 1_000, 4_000_000
+SHARD_ROWS, EPOCHS = 2_000, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.05
 PIECE = 1 << 20
 GRID = np.exp(np.linspace(np.log(0.02), np.log(20.0), 61))
@@ -181,27 +181,18 @@ def _mix(t: pa.Table, classes: int) -> pa.Table:
     return _pack(0, places, out[0] / many[:, None], out[1] / many[:, None])
 
 
-def _learner(state, classes: int):
-    """Takes one shard through the learner, beginning with the state that is sent."""
+Rows = list[tuple[int, np.ndarray, np.ndarray]]
 
-    def learn(t: pa.Table) -> pa.Table:
-        order = np.lexsort((t["y"].to_numpy(), t["key"].to_numpy()))
-        own = [(t["y"][k].as_py(), np.asarray(t["place"][k].values), np.asarray(t["value"][k].values)) for k in order]
-        places = np.unique(np.concatenate([p for _, p, _ in own]))
-        z, n = np.zeros((len(places), classes)), np.zeros((len(places), classes))
-        known, z_before, n_before = state.value
-        if len(known):
-            to = np.minimum(np.searchsorted(known, places), len(known) - 1)
-            old = known[to] == places
-            z[old], n[old] = z_before[to[old]], n_before[to[old]]
-        follow([(y, np.searchsorted(places, p), x) for y, p, x in own], z, n)
-        return _pack(t["shard"][0].as_py(), places, z, n)
 
-    return learn
+def _unroll(b: pa.RecordBatch) -> Iterator[tuple[int, Rows]]:
+    """Shards with their rows of (class, places, values)."""
+    for k in range(b.num_rows):
+        y, at, place, value = (np.asarray(b.column(c)[k].values) for c in ("y", "at", "place", "value"))
+        yield b.column("shard")[k].as_py(), [(int(c), place[i:j], value[i:j].astype(float)) for c, i, j in zip(y, at[:-1], at[1:], strict=True)]
 
 
 def train(rows: DataFrame, classes: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """(places, weights) that are not all zero, from written rows of (shard, key, y, place, value)."""
+    """(places, weights) that are not all zero, from :func:`shard_rows`."""
 
     def mix(t: pa.Table) -> pa.Table:
         return _mix(t, classes)
@@ -209,7 +200,21 @@ def train(rows: DataFrame, classes: int, epochs: int = EPOCHS) -> tuple[np.ndarr
     at, z, n = np.zeros(0, np.int64), np.zeros((0, classes)), np.zeros((0, classes))
     for _ in range(epochs):
         sent = rows.sparkSession.sparkContext.broadcast((at, z, n))  # 1 << BITS places at most
-        seen = rows.groupBy("shard").applyInArrow(_learner(sent, classes), _STATE).groupBy("block").applyInArrow(mix, _STATE)
+
+        def learn(batches: Iterator[pa.RecordBatch], state=sent) -> Iterator[pa.RecordBatch]:
+            known, z_before, n_before = state.value
+            for b in batches:
+                for shard, own in _unroll(b):
+                    places = np.unique(np.concatenate([p for _, p, _ in own]))
+                    z, n = np.zeros((len(places), classes)), np.zeros((len(places), classes))
+                    if len(known):
+                        to = np.minimum(np.searchsorted(known, places), len(known) - 1)
+                        old = known[to] == places
+                        z[old], n[old] = z_before[to[old]], n_before[to[old]]
+                    follow([(y, np.searchsorted(places, p), x) for y, p, x in own], z, n)
+                    yield from _pack(shard, places, z, n).to_batches()
+
+        seen = rows.mapInArrow(learn, _STATE).groupBy("block").applyInArrow(mix, _STATE)
         at, z, n = _unpack(seen.toArrow(), classes)
         order = np.argsort(at)
         at, z, n = at[order], z[order], n[order]
@@ -251,22 +256,22 @@ class Model:
 
 
 def log_losses(rows: DataFrame, model: Model, temperatures: np.ndarray, smooth: float = 0.0) -> np.ndarray:
-    """Summed over rows of (y, place, value), for each temperature; ``smooth`` is the share of a row that counts for all languages alike."""
+    """Summed over the rows of :func:`shard_rows`, for each temperature; ``smooth`` is the share of a row that counts for all languages alike."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(temperatures))
         for b in batches:
-            place, value = b.column("place"), b.column("value")
-            row = np.repeat(np.arange(b.num_rows), np.diff(place.offsets.to_numpy()))
-            s = sent.value.sums(b.num_rows, row, place.flatten().to_numpy(), value.flatten().to_numpy())
-            for k, t in enumerate(temperatures):
-                x = s / t
-                right = (1 - smooth) * x[np.arange(len(x)), b.column("y").to_numpy()] + smooth * x.mean(axis=1)
-                total[k] += np.sum(np.logaddexp.reduce(x, axis=1) - right)
+            for _, own in _unroll(b):
+                row = np.repeat(np.arange(len(own)), [len(p) for _, p, _ in own])
+                s = sent.value.sums(len(own), row, np.concatenate([p for _, p, _ in own]), np.concatenate([x for *_, x in own]))
+                for k, t in enumerate(temperatures):
+                    x = s / t
+                    right = (1 - smooth) * x[np.arange(len(x)), [y for y, *_ in own]] + smooth * x.mean(axis=1)
+                    total[k] += np.sum(np.logaddexp.reduce(x, axis=1) - right)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "loss"])
 
-    got = rows.select("y", "place", "value").mapInArrow(run, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
+    got = rows.mapInArrow(run, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
     out = np.zeros(len(temperatures))
     for r in got:
         out[r.k] = r.loss
@@ -276,7 +281,7 @@ def log_losses(rows: DataFrame, model: Model, temperatures: np.ndarray, smooth:
 def calibrate(rows: DataFrame, model: Model) -> float:
     """The temperature of least log loss: the best of a grid, then of a finer one about it. 1 without rows. As in Platt's scaling a row of n counts 1 / (n + 2) for all languages alike,
     so languages without a single error among the rows do not get probabilities of 1."""
-    n = rows.count()
+    n = rows.agg(F.sum(F.size("y"))).first()[0]
     if not n:
         return 1.0
     best = float(GRID[log_losses(rows, model, GRID, 1 / (n + 2)).argmin()])
@@ -284,9 +289,34 @@ def calibrate(rows: DataFrame, model: Model) -> float:
     return float(fine[log_losses(rows, model, fine, 1 / (n + 2)).argmin()])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, shard_rows: int = SHARD_ROWS) -> Model:
+_ROWS = "shard int, kept boolean, y array<int>, at array<int>, place array<int>, value array<float>"
+
+
+def shard_rows(chosen: DataFrame, idf: np.ndarray, langs: list[str], tasks: int) -> DataFrame:
+    """The vectors of rows of (key, text, lang): two rows a shard, of which one is kept for calibration; a written table, read again in every round without a shuffle."""
+    sent = chosen.sparkSession.sparkContext.broadcast((idf, {x: k for k, x in enumerate(langs)}))
+
+    def run(t: pa.Table) -> pa.Table:
+        idf, number = sent.value
+        t = t.take(pa.array(np.lexsort((np.array(t["lang"].to_pylist(), object), t["key"].to_numpy()))))
+        key, lang, text = t["key"].to_numpy(), t["lang"].to_pylist(), t["text"].to_pylist()
+        out = []
+        for kept in (False, True):
+            own = np.flatnonzero((key % 10 == 0) == kept)
+            row, place, value = vectors([text[k] for k in own], idf)
+            some = np.unique(row)
+            at = np.append(np.searchsorted(row, some), len(row))
+            if len(some):
+                out.append({"shard": t["shard"][0].as_py(), "kept": kept, "y": [number[lang[own[r]]] for r in some], "at": at.astype(np.int32), "place": place.astype(np.int32), "value": value.astype(np.float32)})
+        kinds = {"shard": pa.int32(), "kept": pa.bool_(), "y": pa.list_(pa.int32()), "at": pa.list_(pa.int32()), "place": pa.list_(pa.int32()), "value": pa.list_(pa.float32())}
+        return pa.table({c: pa.array([r[c] for r in out], k) for c, k in kinds.items()})
+
+    dealt = chosen.withColumn("shard", F.pmod(F.shiftright("key", 8), F.lit(tasks)).cast("int"))
+    return materialize(dealt.groupBy("shard").applyInArrow(run, _ROWS), "language-rows")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, per_shard: int = SHARD_ROWS) -> Model:
     """From ``docs`` of (id, text, lang), all of which may be learned from."""
-    spark = docs.sparkSession
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"), F.lit(float(sample_chars)) / F.greatest(F.col("chars"), F.lit(1)))
     sizes = materialize(sizes.select("lang", "n", share.alias("share")), "language-sizes")
@@ -296,27 +326,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
     df, n = document_frequencies(docs.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
     spread = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    chosen = docs.join(sizes, "lang").where(spread < F.col("share") * (1 << 30))
-    number = {x: k for k, x in enumerate(langs)}
-    tasks = shards(int(sizes.agg(F.sum(F.col("n") * F.col("share"))).first()[0]), shard_rows)
-    sent = spark.sparkContext.broadcast((idf, number))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, number = sent.value
-        for b in batches:
-            row, place, value = vectors(b.column("text").to_pylist(), idf)
-            at = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (place.astype(np.int32), value)]
-            y = pa.array([number[x] for x in b.column("lang").to_pylist()], pa.int32())
-            out = pa.RecordBatch.from_arrays([b.column("key"), y, *lists], names=["key", "y", "place", "value"])
-            yield out.filter(pa.array(np.diff(at) > 0))
-
-    rows = chosen.select(F.xxhash64(F.lit("deal"), "id", "text").alias("key"), "lang", "text").mapInArrow(run, "key long, y int, place array<int>, value array<double>")
-    rows = materialize(rows.withColumn("shard", F.pmod(F.shiftright("key", 8), F.lit(tasks)).cast("int")), "language-rows")
-    kept = F.pmod("key", F.lit(10)) == 0
-    place, w = train(rows.where(~kept), len(langs))
-    model = Model(langs, idf, place, w)
-    model.temperature = calibrate(rows.where(kept), model)
+    chosen = docs.join(sizes, "lang").where(spread < F.col("share") * (1 << 30)).select(F.xxhash64(F.lit("deal"), "id", "text").alias("key"), "lang", "text")
+    tasks = shards(int(sizes.agg(F.sum(F.col("n") * F.col("share"))).first()[0]), per_shard)
+    rows = shard_rows(chosen, idf, langs, tasks)
+    model = Model(langs, idf, *train(rows.where("not kept"), len(langs)))
+    model.temperature = calibrate(rows.where("kept"), model)
     return model
 
 
