@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
-from ..operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc
+from ..operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc, seeds
 from ..sources import fixtures as fx
 from ..sources import genome as gn
 from ..sources import store
@@ -637,14 +637,36 @@ oracle.define("kidx", """SELECT 1 AS parent, 0 AS reverse, translate(substr(seq,
  UNION ALL SELECT 0, 0, translate(substr(seq, p + 1, 19), 'G', 'A'), chrom, p FROM (SELECT *, CAST(unnest(range(0, n - 18)) AS BIGINT) AS p FROM gblk)
  UNION ALL SELECT 1, 1, translate(substr(rc, p + 1, 19), 'C', 'T'), chrom, n - p - 19 FROM (SELECT *, CAST(unnest(range(0, n - 18)) AS BIGINT) AS p FROM gblk)
  UNION ALL SELECT 0, 1, translate(substr(rc, p + 1, 19), 'G', 'A'), chrom, n - p - 19 FROM (SELECT *, CAST(unnest(range(0, n - 18)) AS BIGINT) AS p FROM gblk)""", "gblk")
-oracle.define("kuse", "SELECT * FROM kidx WHERE (parent, w) NOT IN (SELECT (parent, w) FROM kidx GROUP BY parent, w HAVING count(*) > 500)", "kidx")
+oracle.define("kmet", """SELECT rid, CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, parent, reverse, chrom, CASE WHEN reverse = 1 THEN at0 - (length(seq) - i - 19) ELSE at0 - i END AS diag0, i FROM
+ (SELECT rid, flag, seq, parent, i, translate(substr(seq, i + 1, 19), CASE parent WHEN 1 THEN 'C' ELSE 'G' END, CASE parent WHEN 1 THEN 'T' ELSE 'A' END) AS w
+  FROM (SELECT *, CAST(unnest(range(0, length(seq) - 18)) AS BIGINT) AS i FROM aln), (VALUES (1), (0)) v(parent)) JOIN kidx USING (parent, w)""", "aln", "kidx")
+oracle.define("maxi", """SELECT rid, mate, parent, reverse, chrom, diag0, min(i) AS qb, max(i) + 19 AS qe FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, mate, parent, reverse, chrom, diag0 ORDER BY i) AS island FROM kmet)
+ GROUP BY rid, mate, parent, reverse, chrom, diag0, island""", "kmet")
+oracle.define("stretch", "SELECT rid, mate, parent, qb, qe, count(*) AS occ FROM maxi GROUP BY ALL", "maxi")
 
 
 @query("seed_join", """SELECT rid, mate, parent, reverse, chrom, CASE WHEN reverse = 1 THEN at0 - (50 - i - 19) ELSE at0 - i END AS diag0, count(*) AS n FROM
  (SELECT rid, CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, parent, i, translate(substr(seq, i + 1, 19), CASE parent WHEN 1 THEN 'C' ELSE 'G' END, CASE parent WHEN 1 THEN 'T' ELSE 'A' END) AS w
-  FROM (SELECT *, CAST(unnest(range(0, 32, 5)) AS BIGINT) AS i FROM aln), (VALUES (1), (0)) v(parent)) JOIN kuse USING (parent, w) GROUP BY ALL""", "aln", "kuse")
+  FROM (SELECT *, CAST(unnest(range(0, 32, 5)) AS BIGINT) AS i FROM aln), (VALUES (1), (0)) v(parent)) JOIN kidx USING (parent, w) GROUP BY ALL""", "aln", "kidx")
 def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.seeds(_reads(spark, sf_dir), align.rare(_index(spark, sf_dir)))  # without frequent k-mers, as the SQL
+    return align.seeds(_reads(spark, sf_dir), _index(spark, sf_dir))
+
+
+@query("maximal_seeds", "SELECT * FROM maxi", "maxi")
+def maximal_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.maximal(_reads(spark, sf_dir), _index(spark, sf_dir)).drop("rlen")
+
+
+@query("super_maximal_seeds", """SELECT rid, mate, parent, qb, qe, occ FROM stretch s WHERE NOT EXISTS (SELECT 1 FROM stretch t WHERE t.rid = s.rid AND t.mate = s.mate AND t.parent = s.parent AND t.qb <= s.qb AND t.qe >= s.qe AND (t.qb < s.qb OR t.qe > s.qe))""", "stretch")
+def super_maximal_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.super_maximal(seeds.stretches(seeds.maximal(_reads(spark, sf_dir), _index(spark, sf_dir))))
+
+
+@query("seed_stretches")
+def seed_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What seeds each read, by all three rules; tests hold it against their plain definitions."""
+    found = align.once(seeds.maximal(_reads(spark, sf_dir), _index(spark, sf_dir)))
+    return seeds.chosen(found, _reads(spark, sf_dir))
 
 
 @query("align_best_hit")

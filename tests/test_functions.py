@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytolake.functions import cigar, seq, stats
-from cytolake.operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc, view
+from cytolake.operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc, seeds, view
 from cytolake.sinks import text as sink
 from cytolake.sources import genome as gn
 
@@ -282,7 +282,7 @@ def test_restricted_strands_and_sam_rows(spark):
     assert hits(single=1) == {(0, 1, 0, 501)} and hits(single=0) == {(1, 0, 0, 501)}
     assert hits(strand=0) == hits() and hits(strand=1) == set()
     idx = align.index(genome)
-    records = align.records(align.extend(reads, align.candidates(align.seeds(reads, idx, veto=True)), genome))
+    records = align.records(align.extend(reads, align.kept_chains(align.chains(seeds.seeded(reads, idx))), genome))
     lines = [r.value.split("\t") for r in sink.sam_lines(align.sam_rows(records, reads, "g1")).orderBy("value").collect()]
     assert [x[:6] for x in lines] == [["a", "0", "c", "501", "60", "100M"], ["b", "16", "c", "501", "60", "100M"]]
     assert all(x[9] == plus for x in lines) and [x[10][0] for x in lines] == ["I", "#"]
@@ -361,7 +361,7 @@ def test_mates_are_rescued_and_paired(spark, tmp_path):
     align.write_index(genome, str(tmp_path / "idx"))
     idx = align.read_index(spark, str(tmp_path / "idx"))
     o = align.Options(min_score=20)
-    found = align.extend(df, align.candidates(align.seeds(df, idx, o, veto=True), o), genome, o).persist()
+    found = align.extend(df, align.kept_chains(align.chains(seeds.seeded(df, idx, o), o), o), genome, o).persist()
     assert {(r.rid, r.mate) for r in found.collect() if r.mate == 2} == {(k, 2) for k in (0, 2, 4)}
     got = {(r.rid, r.mate): r for r in align.pair_up(df, found, genome, (150, 400, 250.0, 20.0), o).collect()}
     assert len(got) == 12
