@@ -214,9 +214,13 @@ class Reader:
         try:
             for part in self.source.stream(at):
                 used += len(part)
-                while part and not z.eof:
-                    raw += z.decompress(part, HEADER_BYTES if whole is None else max(1, min(whole + 1 - len(raw), HELD_BYTES)))
-                    part = z.unconsumed_tail
+                full = True
+                while (part or full) and not z.eof:  # a full step may have left bytes behind that need no further input
+                    most = HEADER_BYTES if whole is None else max(1, min(whole + 1 - len(raw), HELD_BYTES))
+                    raw += (out := z.decompress(part, most))
+                    part, full = z.unconsumed_tail, len(out) == most
+                    if not raw:
+                        continue
                     if whole is None:
                         head = _begun(raw, "member without a version line")
                         whole = head[1] + head[2] + TAIL if head else None

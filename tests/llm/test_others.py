@@ -190,6 +190,19 @@ def test_damaged_lengths_are_not_read(tmp_path, monkeypatch):
     assert [r.page() for r in reader.records()] == [0, 2] and reader.gaps[0].reason == "member is longer than its header says"
 
 
+def test_members_of_all_kinds(tmp_path):
+    """Payloads that pack well and badly, of sizes about the steps of reading, in the middle and at the end of a file."""
+    rnd = random.Random(8)
+    sizes = [0, 1, 900, 65_000, 65_536, 65_537, 131_072, 400_000, 1 << 20]
+    texts = [t for n in sizes for t in (b"a" * n, rnd.randbytes(n), (b"<p>some text</p>" * n)[:n])]
+    path = tmp_path / "x.warc.gz"
+    for last in range(len(texts)):
+        order = [*texts[: last % 5], texts[last]]
+        path.write_bytes(b"".join(warc.member(warc.record("response", k, "u" * (k * 20_000), t, hashlib.sha1(t).hexdigest(), None)) for k, t in enumerate(order)))
+        reader = warc.Reader(files.Blocks(f"file://{path}"))
+        assert [(r.page(), r.payload()) for r in reader.records()] == list(enumerate(order)) and not reader.gaps
+
+
 @pytest.mark.parametrize("digest", [True, False])
 @pytest.mark.parametrize("change", [700, -100, -3000, 5263])
 def test_damaged_lengths_at_the_default_bound(tmp_path, digest, change):
