@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def blocks(genome: DataFrame, size: int = 1024, flank: int = 2) -> DataFrame:
-    """(chrom, blk, beg1, n, seq) of (chrom, seq): positions beg1 .. beg1 + n - 1, with ``flank`` further bases on both sides, N beyond the ends.
+def blocks(genome: DataFrame, size: int = 1024, flank: int = 2, beyond: str = "N") -> DataFrame:
+    """(chrom, blk, beg1, n, seq) of (chrom, seq): positions beg1 .. beg1 + n - 1, with ``flank`` further bases on both sides, ``beyond`` beyond the ends.
 
     Contigs are cut by one linear pass, so long ones cost no more per base than short ones.
     """
     if not 0 < flank <= size:
         raise ValueError("a flank must be at least 1 and no longer than a block")
     parts = F.regexp_extract_all(F.upper("seq"), F.lit(f".{{1,{size}}}"), F.lit(0))
-    pad = "N" * flank
+    pad = beyond * flank
     cut = genome.select("chrom", parts.alias("parts"))
     before = lambda k: F.when(k > 0, F.right(F.element_at("parts", k), F.lit(flank))).otherwise(pad)
-    after = lambda k: F.rpad(F.coalesce(F.left(F.try_element_at("parts", k + 2), F.lit(flank)), F.lit("")), flank, "N")
+    after = lambda k: F.rpad(F.coalesce(F.left(F.try_element_at("parts", k + 2), F.lit(flank)), F.lit("")), flank, beyond)
     # a short last block may leave its predecessor's right flank short as well: what it lacks is beyond the contig's end
     each = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda k: F.struct(k.alias("blk"), F.element_at("parts", k + 1).alias("own"), before(k).alias("left"), after(k).alias("right")))
     rows = cut.where(F.size("parts") > 0).select("chrom", F.inline(each))
