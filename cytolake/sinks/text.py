@@ -172,7 +172,9 @@ def sam_lines(aln: DataFrame) -> DataFrame:
     """(chrom, pos1, value); tags that a row lacks are left out."""
     tag = lambda n, k: F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}:{k}:"), F.col(n).cast("string"))) if n in aln.columns else F.lit(None).cast("string")
     core = [F.col("qname"), F.col("flag").cast("string"), F.col("chrom"), F.col("pos1").cast("string"), F.col("mapq").cast("string"), F.col("cigar"), F.coalesce("mchrom", F.lit("*")) if "mchrom" in aln.columns else F.lit("="), F.coalesce(F.col("mpos1"), F.lit(0)).cast("string"), F.coalesce(F.col("isize"), F.lit(0)).cast("string"), F.col("seq"), F.col("qual")]
-    tags = [tag(n, k) for n, k in (("NM", "i"), ("MD", "Z"), ("ZC", "i"), ("ZR", "i"), ("AS", "i"), ("XS", "i"), ("RG", "Z"), ("SA", "Z"), ("XL", "i"), ("XA", "Z"), ("CB", "Z"), ("RX", "Z"), ("MC", "Z"), ("MQ", "i"), ("XG", "Z"), ("ZS", "Z"), ("YD", "A"), ("ZN", "Z"), ("YC", "i"), ("YG", "i"))]
+    tags = [tag(n, k) for n, k in (("NM", "i"), ("MD", "Z"), ("ZC", "i"), ("ZR", "i"), ("AS", "i"), ("XS", "i"), ("RG", "Z"), ("SA", "Z"), ("XL", "i"), ("XA", "Z"), ("XB", "Z"), ("CB", "Z"), ("RX", "Z"), ("MC", "Z"), ("MQ", "i"), ("XG", "Z"), ("ZS", "Z"), ("YD", "A"), ("ZN", "Z"), ("YC", "i"), ("YG", "i"))]
+    if "PA" in aln.columns:
+        tags.append(F.when(F.col("PA").isNotNull(), F.format_string("PA:f:%.3f", "PA")))
     return aln.select("chrom", "pos1", F.concat_ws("\t", *core, *tags).alias("value"))
 
 

@@ -48,7 +48,13 @@ def cpg_sites(genome: DataFrame, size: int = 1024) -> DataFrame:
     return at.select("chrom", (F.col("beg1") - 1 + F.col("i")).alias("beg0"), (F.col("beg1") + 1 + F.col("i")).alias("end"))
 
 
+WINDOWS_BLOCK = 1 << 14
+
+
 def gc_windows(genome: DataFrame, width: int = 100) -> DataFrame:
     """(chrom, beg0, end, gc) of full windows without N; gc counts G and C."""
-    full = genome.select("chrom", F.posexplode(F.regexp_extract_all(F.upper("seq"), F.lit(f".{{{width}}}"), F.lit(0))).alias("k", "w")).where(~F.contains("w", F.lit("N")))
-    return full.select("chrom", (F.col("k") * width).alias("beg0"), ((F.col("k") + 1) * width).alias("end"), (width - F.length(F.translate("w", "GC", ""))).alias("gc"))
+    size = width * max(1, WINDOWS_BLOCK // width)  # windows do not cross blocks, so a contig's are counted by many tasks
+    own = spread(blocks(genome, size, 1)).select("chrom", "beg1", F.substr("seq", F.lit(2), F.col("n")).alias("s"))
+    full = own.select("chrom", "beg1", F.posexplode(F.regexp_extract_all("s", F.lit(f".{{{width}}}"), F.lit(0))).alias("k", "w")).where(~F.contains("w", F.lit("N")))
+    beg0 = F.col("beg1") - 1 + F.col("k") * width
+    return full.select("chrom", beg0.alias("beg0"), (beg0 + width).alias("end"), (width - F.length(F.translate("w", "GC", ""))).alias("gc"))

@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import pileup
 
-KEYS = ("chrom", "pos1", "sid")
+#: A place has one reference base and one context, so both are keys: as texts in the sums' stead they would have all rows sorted.
+KEYS = ("chrom", "pos1", "sid", "ref", "five")
 SUMS = ("n_ret", "n_conv", "dp", *[f"n_{b}" for b in pileup.CODES])
 
 
@@ -17,7 +18,7 @@ def merge(*counts: DataFrame) -> DataFrame:
     both = counts[0]
     for c in counts[1:]:
         both = both.unionByName(c)
-    return both.groupBy(*KEYS).agg(F.first("ref").alias("ref"), F.first("five").alias("five"), *[F.sum(c).alias(c) for c in SUMS])
+    return both.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 100) -> DataFrame:
