@@ -74,35 +74,40 @@ def least_depth(intervals: DataFrame, runs: DataFrame) -> DataFrame:
     return overlaps(intervals.select("chrom", "beg0", "end"), runs.select("chrom", "beg0", "end", "depth")).groupBy("chrom", "beg0", "end").agg(F.min("b_depth").alias("depth"))
 
 
-def moments(hist: DataFrame) -> DataFrame:
-    """(n, mean, sd, cv) of a histogram (depth, n): population figures."""
+def moments(hist: DataFrame, *by: str) -> DataFrame:
+    """([by,] n, mean, sd, cv) of a histogram ([by,] depth, n): population figures."""
     d, n = F.col("depth").cast("double"), F.col("n")
-    s = hist.agg(F.sum("n").alias("n"), F.sum(d * n).alias("s1"), F.sum(d * d * n).alias("s2"))
+    s = hist.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(d * n).alias("s1"), F.sum(d * d * n).alias("s2"))
     mean = F.try_divide("s1", "n")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("s2", "n") - mean * mean))
-    return s.select("n", mean.alias("mean"), sd.alias("sd"), F.try_divide(sd, mean).alias("cv"))
+    return s.select(*by, "n", mean.alias("mean"), sd.alias("sd"), F.try_divide(sd, mean).alias("cv"))
 
 
 def depth_report(aln: DataFrame, genome: DataFrame, windows: DataFrame, bin_size: int = 1 << 20) -> DataFrame:
-    """(reads, unit, region, n, mean, sd, cv): the twelve summaries of a coverage report, over bases and CpGs, all reads and those of mapq 40 or more, everywhere and
-    in the tenth of the ``windows`` (chrom, beg0, end, gc) of most and of least gc."""
-    from ..sources import genome as gn
+    """(reads, unit, region, n, mean, sd, cv): the summaries of a coverage report, over bases and CpGs, all reads and those of mapq 40 or more, everywhere and in the tenth of the ``windows`` (chrom, beg0, end,
+    gc) of most and of least gc; nulls where there is nothing to sum up.
 
-    contigs, cpgs = genome.select("chrom", F.length("seq").alias("clen")), gn.cpg_sites(genome)
-    regions = {"all": None, "top": decile(windows, True), "bottom": decile(windows, False)}
-    out = None
-    for kind in ("all", "q40"):
-        runs = depth(reads_for(aln, kind), contigs, bin_size)
-        for unit, rows in (("base", runs), ("cpg", least_depth(cpgs, runs))):
-            for name, region in regions.items():
-                part = rows
-                if region is not None:  # a CpG counts in each window that it shares a base with, a run by the bases it shares
-                    met = overlaps(rows, region.select("chrom", "beg0", "end"))
-                    part = met.select("chrom", F.greatest("beg0", "b_beg0").alias("beg0"), F.least("end", "b_end").alias("end"), "depth")
-                each = F.lit(1) if unit == "cpg" else F.col("end") - F.col("beg0")
-                one = moments(part.groupBy("depth").agg(F.sum(each).alias("n"))).select(F.lit(kind).alias("reads"), F.lit(unit).alias("unit"), F.lit(name).alias("region"), "n", "mean", "sd", "cv")
-                out = one if out is None else out.unionByName(one)
-    return out
+    Runs of depth and depths of CpGs are each made once and written; then all of them meet the windows of both regions in one join and one aggregate sums them up.
+    """
+    from ..sources import genome as gn
+    from ..sources import store
+
+    contigs = genome.select("chrom", F.length("seq").alias("clen"))
+    runs = [depth(reads_for(aln, kind), contigs, bin_size).select(F.lit(kind).alias("reads"), "chrom", "beg0", "end", "depth") for kind in ("all", "q40")]
+    runs = store.written(runs[0].unionByName(runs[1]), "depth-runs")
+    met = overlaps(gn.cpg_sites(genome).select("chrom", "beg0", "end"), runs)
+    cpgs = store.written(met.groupBy(F.col("b_reads").alias("reads"), "chrom", "beg0", "end").agg(F.min("b_depth").alias("depth")), "depth-cpgs")
+    tenth = lambda name, top: decile(windows, top).select("chrom", "beg0", "end", F.lit(name).alias("region"))
+    regions = store.written(tenth("top", True).unionByName(tenth("bottom", False)), "depth-regions")
+    rows = runs.withColumn("unit", F.lit("base")).unionByName(cpgs.withColumn("unit", F.lit("cpg")))
+    # a CpG counts in each window that it shares a base with, a run by the bases it shares
+    shared = overlaps(rows, regions)
+    inside = shared.select("reads", "unit", F.col("b_region").alias("region"), "depth", (F.least("end", "b_end") - F.greatest("beg0", "b_beg0")).alias("bases"))
+    every = rows.select("reads", "unit", F.lit("all").alias("region"), "depth", (F.col("end") - F.col("beg0")).alias("bases")).unionByName(inside)
+    hist = every.groupBy("reads", "unit", "region", "depth").agg(F.sum(F.when(F.col("unit") == "cpg", 1).otherwise(F.col("bases"))).alias("n"))
+    each = [(r, u, g) for r in ("all", "q40") for u in ("base", "cpg") for g in ("all", "top", "bottom")]
+    names = aln.sparkSession.createDataFrame(each, "reads string, unit string, region string")
+    return names.join(moments(hist, "reads", "unit", "region"), ["reads", "unit", "region"], "left")
 
 
 def decile(windows: DataFrame, top: bool, share: float = 0.1) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as sq
 from ..operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc, seeds
+from ..sources import bam, store
 from ..sources import fixtures as fx
 from ..sources import genome as gn
-from ..sources import store
 from . import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -682,6 +682,25 @@ def insert_size_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.insert_model(rows.select("isize")).withColumns({"mean": F.round("mean", 9), "sd": F.round("sd", 6)})
 
 
+# -- files -----------------------------------------------------------------------------------------------------------
+
+_BAM_COLUMNS = ["sid", "qname", "flag", "chrom", "pos1", "mapq", "cigar", "mpos1", "isize", "seq", "qual", "NM", "AS", "MC", "YD", "ZS", "XG"]
+
+
+@query("bam_round_trip", "SELECT " + ", ".join(f'"{c}"' for c in _BAM_COLUMNS) + " FROM aln", "aln")
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads written as BAM, a folder a sample, and read back by splits of 256 kB."""
+    aln = fx.alignments(spark, sf_dir)
+    contigs = [(r.chrom, r.n) for r in fx.genome(spark, sf_dir).select("chrom", F.length("seq").alias("n")).orderBy("chrom").collect()]  # the header
+    found = None
+    for sid in (0, 1):
+        path = store.fresh(spark, f"bam-{sid}")
+        bam.write(aln.where(F.col("sid") == sid), path, contigs)
+        one = bam.read(spark, path, sid, split=1 << 18)
+        found = one if found is None else found.unionByName(one)
+    return found.select(*_BAM_COLUMNS)
+
+
 # -- two samples whose reads have the same numbers -------------------------------------------------------------------
 
 

@@ -27,9 +27,13 @@ def folder(spark: SparkSession) -> str:
     return "file://" + _LOCAL[0].name
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet and read back: several readers cost one computation, a lost executor costs none, and the plan is cut."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
