@@ -674,6 +674,31 @@ def align_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_reads(spark, sf_dir), fx.genome(spark, sf_dir), idx=_index(spark, sf_dir))
 
 
+oracle.define("planted", """SELECT rid FROM (SELECT tid AS rid, translate(substr(seq, CAST(tid * 131 % (length(seq) - 400) + 1 AS BIGINT), 260), 'C', 'T') AS s FROM genome WHERE length(seq) >= 600)
+ WHERE len(list_filter(range(1, 31), lambda d: substr(s, d + 1, 60 - d) = substr(s, 1, 60 - d) OR substr(s, 201 + d, 60 - d) = substr(s, 201, 60 - d))) = 0""", "genome")
+
+
+@query("paired_alignment", "SELECT rid, mate, true AS found, true AS sure_is_right, true AS proper_is_whole FROM planted, (VALUES (1), (2)) v(mate)", "planted")
+def paired_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair of each long contig, 260 bases from end to end and converted on the parent strand, aligned against all contigs; contigs where a mate is a copy of itself up to 30 bases further, which has no one
+    place, are left out. Every mate has a record; one of quality 20 or more lies where it was taken from, and has, in a
+    proper pair, an insert of 260 bases."""
+    genome = fx.genome(spark, sf_dir)
+    p = F.col("tid") * 131 % (F.length("seq") - 400)
+    plant = genome.where(F.length("seq") >= 600).select(F.col("tid").alias("rid"), F.col("chrom").alias("own"), p.cast("int").alias("p"), sq.convert(F.substr("seq", p.cast("int") + 1, F.lit(260)), True).alias("s"))
+    shifted = lambda d, a: F.substr("s", d + a, F.lit(60) - d) == F.substr("s", F.lit(a), F.lit(60) - d)
+    plant = plant.where(~F.exists(F.sequence(F.lit(1), F.lit(30)), lambda d: shifted(d, 1) | shifted(d, 201)))
+    side = lambda m, s, at: plant.select("rid", F.lit(m).alias("mate"), s.alias("seq"), "own", (F.col("p") + at).alias("at"))
+    both = store.written(side(1, F.substring("s", 1, 60), 1).unionByName(side(2, sq.revcomp(F.substring("s", 201, 60)), 201)), "planted-pairs")
+    reads = both.select("rid", "mate", "seq")
+    o = align.Options(directional=True)
+    got = align.pair_up(reads, align.hits(reads, genome, o, _index(spark, sf_dir)), genome, (100, 500, 260.0, 20.0), o)
+    told = both.join(got.select("rid", "mate", "chrom", "pos1", "mapq", "isize", "flag"), ["rid", "mate"], "left")
+    right = (F.col("chrom") == F.col("own")) & (F.col("pos1") == F.col("at"))
+    proper = (F.col("flag").bitwiseAND(2) != 0) & (F.col("mapq") >= 20)
+    return told.select("rid", "mate", F.col("chrom").isNotNull().alias("found"), F.coalesce((F.col("mapq") < 20) | right, F.lit(True)).alias("sure_is_right"), F.coalesce(~proper | (F.abs("isize") == 260), F.lit(True)).alias("proper_is_whole"))
+
+
 @query("insert_size_model", """SELECT n, p25, p50, p75, round(mean, 9) AS mean, round(sd, 6) AS sd, CAST(greatest(1, least(trunc(p25 - 3.0 * (p75 - p25) + 0.499), trunc(mean - 4 * sd + 0.499))) AS INTEGER) AS low, CAST(greatest(trunc(p75 + 3.0 * (p75 - p25) + 0.499), trunc(mean + 4 * sd + 0.499)) AS INTEGER) AS high FROM
  (SELECT any_value(n) AS n, any_value(p25) AS p25, any_value(p50) AS p50, any_value(p75) AS p75, avg(isize) AS mean, stddev_pop(isize) AS sd FROM (SELECT *, l[CAST(floor(0.25 * n + 0.499) AS BIGINT) + 1] AS p25, l[CAST(floor(0.5 * n + 0.499) AS BIGINT) + 1] AS p50, l[CAST(floor(0.75 * n + 0.499) AS BIGINT) + 1] AS p75 FROM
  (SELECT isize, count(*) OVER () AS n, list_sort(list(isize) OVER ()) AS l FROM kept WHERE flag & 2 <> 0 AND isize BETWEEN 1 AND 5000)) WHERE isize >= greatest(1, trunc(p25 - 2.0 * (p75 - p25) + 0.499)) AND isize <= trunc(p75 + 2.0 * (p75 - p25) + 0.499))""", "kept")
