@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
-from ..operators import align, asm, bases, coverage, epiread, fastq, methbed, pileup, readqc, seeds
+from ..operators import align, asm, bases, coverage, epiread, fastq, fragments, methbed, pileup, readqc, seeds
 from ..sources import bam, store
 from ..sources import fixtures as fx
 from ..sources import genome as gn
@@ -726,6 +726,25 @@ def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*_BAM_COLUMNS)
 
 
+oracle.define("mated", """SELECT rid // (2 * n) * n + rid % n AS g, (rid // n) % 2 AS m, chrom, pos1 - 1 AS b, flag & 16 <> 0 AS back, coalesce("NM", 0) AS nm, s, q FROM aln JOIN
+ (SELECT rid, string_agg(CASE WHEN op = 'D' THEN 'N' ELSE qb END, '' ORDER BY rpos) AS s, string_agg(CASE WHEN op = 'D' THEN 'B' ELSE chr(CAST(bq + 33 AS INTEGER)) END, '' ORDER BY rpos) AS q FROM px WHERE op IN ('M', 'D') GROUP BY rid) USING (rid),
+ (SELECT count(*) AS n FROM documents) WHERE flag & 4 = 0 AND flag & 256 = 0 AND flag & 512 = 0 AND flag & 1024 = 0""", "aln", "px")
+oracle.define("frag", """SELECT x.chrom, 'f' || CAST(g AS VARCHAR) AS qname, x.nm + y.nm AS nm, x.back, CASE WHEN x.back THEN y.b ELSE x.b END AS beg0, CASE WHEN x.back THEN x.b + length(x.s) ELSE y.b + length(y.s) END AS "end",
+ CASE WHEN x.back THEN x.b - y.b - length(y.s) ELSE y.b - x.b - length(x.s) END AS gap, CASE WHEN x.back THEN reverse(translate(x.s, 'ACGTN', 'TGCAN')) ELSE x.s END AS xs, CASE WHEN x.back THEN reverse(translate(y.s, 'ACGTN', 'TGCAN')) ELSE y.s END AS ys,
+ CASE WHEN x.back THEN reverse(x.q) ELSE x.q END AS xq, CASE WHEN x.back THEN reverse(y.q) ELSE y.q END AS yq FROM mated x JOIN mated y USING (g) WHERE x.m = 0 AND y.m = 1 AND x.chrom = y.chrom""", "mated")
+
+
+@query("fragment_merge", """SELECT chrom, beg0, "end", qname, nm, CASE WHEN back THEN '-' ELSE '+' END AS strand, substr(xs, 1, "end" - beg0) || repeat('N', greatest(gap, 0)) || substr(ys, greatest(-gap, 0) + 1) AS seq,
+ substr(xq, 1, "end" - beg0) || repeat('B', greatest(gap, 0)) || substr(yq, greatest(-gap, 0) + 1) AS qual FROM frag WHERE "end" - beg0 BETWEEN 1 AND 2000""", "frag")
+def fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of one contig, in the order of their numbers, as mates."""
+    n, e = spark.read.parquet(f"{sf_dir}/documents.parquet").count(), F.col("rid")
+    name = F.concat(F.lit("f"), (F.floor(e / (2 * n)) * n + e % n).cast("string"))
+    mate = F.when(F.floor(e / n) % 2 == 0, 64).otherwise(128)
+    aln = fx.alignments(spark, sf_dir).withColumns({"qname": name, "flag": (F.col("flag").bitwiseAND(~192) + mate).cast("int")}).drop("sid")
+    return fragments.merged(aln, longest=2000)
+
+
 # -- two samples whose reads have the same numbers -------------------------------------------------------------------
 
 
