@@ -94,7 +94,7 @@ def with_slice(aln: DataFrame, genome: DataFrame, block: int = BLOCK, max_span:
     places gather in one task more than their reads do. A read that spans more is an error, never a short slice, and so is a read on a contig that the genome lacks or beyond its end. A read without
     a place (no CIGAR) has no slice.
     """
-    own = gn.blocks(genome.select("chrom", "seq"), max(block, max_span), max_span).select(F.col("chrom").alias("_c"), F.col("blk").alias("_b"), F.col("beg1").alias("_beg"), F.col("seq").alias("_seq"))
+    own = gn.blocks(genome, max(block, max_span), max_span).select(F.col("chrom").alias("_c"), F.col("blk").alias("_b"), F.col("beg1").alias("_beg"), F.col("seq").alias("_seq"))
     size = max(block, max_span)
     reads = aln.withColumn("span", cg.reference_length(F.col("cigar"))).withColumn("_k", F.floor((F.col("pos1") - 1) / size).cast("int"))
     met = reads.join(own, (F.col("chrom") == F.col("_c")) & (F.col("_k") == F.col("_b")), "left")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as sq
 from ..operators import align, asm, bases, coverage, epiread, fastq, fragments, methbed, pileup, readqc, seeds
-from ..sources import bam, store
+from ..sinks import text as sink
+from ..sources import bam, sequences, store
 from ..sources import fixtures as fx
 from ..sources import genome as gn
 from . import oracle
@@ -726,6 +727,33 @@ def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*_BAM_COLUMNS)
 
 
+@query("fastq_round_trip", "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, name, seq1 AS seq, qual1 AS qual FROM fq", "fq")
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First mates written as FASTQ, a file a range of ordinals, and read back by splits of 256 kB."""
+    path = store.fresh(spark, "fastq")
+    sink.write(sink.fastq_lines(fx.fastq(spark, sf_dir)), path, ("ord",))
+    return sequences.fastq(spark, path, split=1 << 18).select("ord", "name", "seq", "qual")
+
+
+def _fasta_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genome written as FASTA with 60 bases a line, and read back in pieces of 4,096 bases by splits of 256 kB."""
+    path = store.fresh(spark, "fasta")
+    lines = F.concat(F.lit(">"), "chrom", F.lit(" contig\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n"))
+    fx.genome(spark, sf_dir).select(lines.alias("value")).write.text(path)
+    return sequences.fasta(spark, path, split=1 << 18, piece=4096, flank=4096)
+
+
+@query("fasta_cpg_sites", "SELECT chrom, pos1 - 1 AS beg0, pos1 + 1 AS \"end\" FROM site WHERE ref = 'C' AND substr(five, 4, 1) = 'G'", "site")
+def fasta_cpg_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gn.cpg_sites(_fasta_pieces(spark, sf_dir))
+
+
+@query("fasta_conversion", "SELECT * FROM conv", "conv")
+def fasta_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversion counts of reads against pieces of contigs."""
+    return readqc.conversion_counts(fx.alignments(spark, sf_dir), _fasta_pieces(spark, sf_dir)).drop("sid")
+
+
 oracle.define("mated", """SELECT rid // (2 * n) * n + rid % n AS g, (rid // n) % 2 AS m, chrom, pos1 - 1 AS b, flag & 16 <> 0 AS back, coalesce("NM", 0) AS nm, s, q FROM aln JOIN
  (SELECT rid, string_agg(CASE WHEN op = 'D' THEN 'N' ELSE qb END, '' ORDER BY rpos) AS s, string_agg(CASE WHEN op = 'D' THEN 'B' ELSE chr(CAST(bq + 33 AS INTEGER)) END, '' ORDER BY rpos) AS q FROM px WHERE op IN ('M', 'D') GROUP BY rid) USING (rid),
  (SELECT count(*) AS n FROM documents) WHERE flag & 4 = 0 AND flag & 256 = 0 AND flag & 512 = 0 AND flag & 1024 = 0""", "aln", "px")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, seq): records are split at ">", the name ends at the first white space, bases are upper-cased.
 
-    A record is a row, so one contig must fit a task; :func:`cytolake.sources.genome.blocks` cuts it for everything after."""
+    A record is a row, so one contig must fit a task; :func:`cytolake.sources.sequences.fasta` reads longer ones in pieces, which every operator takes as well."""
     rows = spark.read.text(path, lineSep=">").where("value <> ''")
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.expr("substr(value, length(regexp_extract(value, '^([^\\r\\n]*)', 1)) + 1)")
@@ -17,22 +17,10 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, name, comment, seq, qual). Four lines make a record; lines are numbered by file offset within the scan, so plain files split and order is that of the file.
-
-    Records are found from line numbers, which come from a distributed count of lines per partition."""
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("_id", 33)
-    sizes = lines.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).orderBy("_p").collect()  # one row a partition
-    before, at = [], 0
-    for r in sizes:
-        before.append((r["_p"], at))
-        at += r["n"]
-    starts = spark.createDataFrame(before or [(0, 0)], "_p long, _s long")
-    k = F.col("_s") + F.col("_id").bitwiseAND((1 << 33) - 1)
-    numbered = lines.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn("_k", k)  # a row a partition
-    rec = numbered.groupBy(F.floor(F.col("_k") / 4).alias("ord")).agg(*[F.max(F.when(F.col("_k") % 4 == j, F.col("value"))).alias(f"l{j}") for j in (0, 1, 3)])
-    name = F.regexp_extract("l0", r"^@(\S*)", 1)
-    return rec.select("ord", F.regexp_replace(name, r"/[0-9]$", "").alias("name"), F.trim(F.regexp_extract("l0", r"^@\S*\s*(.*)$", 1)).alias("comment"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
+    """(ord, name, comment, seq, qual), as :func:`cytolake.sources.sequences.fastq` reads them."""
+    from .sequences import fastq
+
+    return fastq(spark, path)
 
 
 def _tag(tags: Column, name: str, kind: str) -> Column:
