@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as sq
-from ..operators import align, asm, bases, coverage, epiread, fastq, fragments, methbed, pileup, readqc, seeds
+from ..operators import align, asm, bases, coverage, epiread, fastq, fragments, kmers, methbed, pileup, readqc, seeds
 from ..sinks import text as sink
 from ..sources import bam, sequences, store
 from ..sources import fixtures as fx
@@ -625,8 +625,16 @@ def barcode_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- alignment -----------------------------------------------------------------------------------------------------
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.once(spark, ("kmers", sf_dir), lambda: align.index(fx.genome(spark, sf_dir)))
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> kmers.Stored:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXED:
+        path = store.fresh(spark, "index")
+        kmers.write(fx.genome(spark, sf_dir), path)
+        _INDEXED[key] = path
+    return kmers.read(spark, _INDEXED[key])
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
