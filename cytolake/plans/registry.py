@@ -625,16 +625,8 @@ def barcode_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- alignment -----------------------------------------------------------------------------------------------------
 
 
-_INDEXED: dict[tuple[str, str], str] = {}
-
-
-def _index(spark: SparkSession, sf_dir: str) -> kmers.Stored:
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _INDEXED:
-        path = store.fresh(spark, "index")
-        kmers.write(fx.genome(spark, sf_dir), path)
-        _INDEXED[key] = path
-    return kmers.read(spark, _INDEXED[key])
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.once(spark, ("kmers", sf_dir), lambda: align.index(fx.genome(spark, sf_dir)))
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -654,13 +646,24 @@ oracle.define("maxi", """SELECT rid, mate, parent, reverse, chrom, diag0, min(i)
 oracle.define("stretch", "SELECT rid, mate, parent, qb, qe, count(*) AS occ FROM maxi GROUP BY ALL", "maxi")
 
 
-@query("seed_join", """SELECT rid, mate, parent, reverse, chrom, CASE WHEN reverse = 1 THEN at0 - (50 - i - 19) ELSE at0 - i END AS diag0, count(*) AS n FROM
+_SEEDS = """SELECT rid, mate, parent, reverse, chrom, CASE WHEN reverse = 1 THEN at0 - (50 - i - 19) ELSE at0 - i END AS diag0, count(*) AS n FROM
  (SELECT rid, CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, parent, i, translate(substr(seq, i + 1, 19), CASE parent WHEN 1 THEN 'C' ELSE 'G' END, CASE parent WHEN 1 THEN 'T' ELSE 'A' END) AS w
-  FROM (SELECT *, CAST(unnest(range(0, 32, 5)) AS BIGINT) AS i FROM aln), (VALUES (1), (0)) v(parent)) JOIN kidx USING (parent, w) GROUP BY ALL""", "aln", "kidx")
+  FROM (SELECT *, CAST(unnest(range(0, 32, 5)) AS BIGINT) AS i FROM aln), (VALUES (1), (0)) v(parent)) JOIN kidx USING (parent, w) GROUP BY ALL"""
+
+
+@query("seed_join", _SEEDS, "aln", "kidx")
 def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.seeds(_reads(spark, sf_dir), _index(spark, sf_dir))
 
 
+@query("seed_join_bucketed", _SEEDS, "aln", "kidx")
+def seed_join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same seeds by bucketed tables, which a cluster's runs share; the index does not move."""
+    path = store.fresh(spark, "index")
+    kmers.write(fx.genome(spark, sf_dir), path)
+    return align.seeds(_reads(spark, sf_dir), kmers.read(spark, path))
+
+
 @query("maximal_seeds", "SELECT * FROM maxi", "maxi")
 def maximal_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.maximal(_reads(spark, sf_dir), _index(spark, sf_dir)).drop("rlen")
