@@ -92,7 +92,7 @@ def depth_report(aln: DataFrame, genome: DataFrame, windows: DataFrame, bin_size
     from ..sources import genome as gn
     from ..sources import store
 
-    contigs = genome.select("chrom", F.length("seq").alias("clen"))
+    contigs = gn.lengths(genome).withColumnRenamed("n", "clen")
     runs = [depth(reads_for(aln, kind), contigs, bin_size).select(F.lit(kind).alias("reads"), "chrom", "beg0", "end", "depth") for kind in ("all", "q40")]
     runs = store.written(runs[0].unionByName(runs[1]), "depth-runs")
     met = overlaps(gn.cpg_sites(genome).select("chrom", "beg0", "end"), runs)

@@ -45,7 +45,7 @@ def mergecg(meth: DataFrame, genome: DataFrame | None = None, nome: bool = False
         return _merged(meth.where(ok).withColumn("side", F.col("ref")), min_depth)
     if genome is None:
         raise ValueError("rows without ref and n5 need the genome")
-    site = gn.positions(genome.select("chrom", "seq")).where(F.col("ref").isin("C", "G"))
+    site = gn.positions(genome).where(F.col("ref").isin("C", "G"))
     is_c, is_g = (F.col("ref") == "C") & (F.substring("five", 4, 1) == "G"), (F.col("ref") == "G") & (F.substring("five", 2, 1) == "C")
     if nome:
         is_c &= (F.substring("five", 2, 1) != "G") & (F.substring("five", 5, 1) != "C")

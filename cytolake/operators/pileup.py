@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as sq
 from ..functions import stats
+from ..sources import genome as gn
 from . import bases
 
 READ = ("rid", "sid", "chrom", "flag", "mpos1", "mspan", "span", "bss", "rlen")
@@ -48,7 +49,7 @@ def site_bases(aln: DataFrame, genome: DataFrame, o: Options = Options()) -> Dat
         few = read_retention(rows).where(F.col("n_retained") <= f.max_retention).drop("n_retained")
         rows = rows.join(few, bases.key(rows), "left_semi")
     if f.drop_contig_end:
-        ends = genome.select("chrom", F.length("seq").alias("clen"))
+        ends = gn.lengths(genome).withColumnRenamed("n", "clen")
         rows = rows.join(ends, "chrom").where(F.col("rpos") < F.col("clen")).drop("clen")
     counts = bases.base_passes(f, F.col("rlen"))
     if f.drop_double:

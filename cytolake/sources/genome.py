@@ -27,6 +27,13 @@ def blocks(genome: DataFrame, size: int = 1024, flank: int = 2, beyond: str = "N
     return rows.select("chrom", "blk", (F.col("blk") * size + 1).alias("beg1"), F.length("own").alias("n"), F.concat("left", "own", "right").alias("seq"))
 
 
+def lengths(genome: DataFrame) -> DataFrame:
+    """(chrom, n) of contigs, whole or in pieces."""
+    if "left" in genome.columns:
+        return genome.groupBy("chrom").agg(F.max(F.col("beg1") - 1 + F.length("seq")).alias("n"))
+    return genome.select("chrom", F.length("seq").alias("n"))
+
+
 def _cut_pieces(pieces: DataFrame, size: int, flank: int, beyond: str) -> DataFrame:
     first = F.col("beg1") - 1
     checked = F.when(first % size != 0, F.raise_error(F.lit(f"pieces do not begin with a block of {size} bases"))).when((first > 0) & (F.length("left") < flank), F.raise_error(F.lit(f"pieces have flanks of less than {flank} bases"))).otherwise(first)

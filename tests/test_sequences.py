@@ -137,6 +137,8 @@ def test_blocks_of_pieces(spark, tmp_path):
     for size, flank, beyond in ((64, 40, "N"), (128, 2, "$"), (32, 32, "N")):
         assert plain(gn.blocks(cut, size, flank, beyond)) == plain(gn.blocks(whole, size, flank, beyond))
     assert plain(gn.cpg_sites(cut, 64)) == plain(gn.cpg_sites(whole, 64))
+    assert plain(gn.lengths(cut)) == plain(gn.lengths(whole.where("seq <> ''")))
+    assert plain(gn.positions(cut)) == plain(gn.positions(whole))
     with pytest.raises(Exception, match="begin with a block"):
         gn.blocks(cut, 100, 10).collect()
     with pytest.raises(Exception, match="flanks of less"):
