@@ -61,9 +61,16 @@ def with_somatic_quality(df: DataFrame, ref_t: str, alt_t: str, ref_n: str, alt_
     return out.select(*df.columns, phred(c("_no") / (c("_no") + c("_yes"))).alias("sq"))
 
 
+#: ln n! of small n; larger ones follow from Stirling's series, whose first term left out is below 1e-15 from here on.
+_LOG_FACTORIALS = [math.lgamma(n + 1) for n in range(33)]
+
+
 def log_factorials(n: Column) -> Column:
-    """ln n! by a fold; for the small counts of contingency tables."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + F.log(k.cast("double")))
+    """ln n!, at the same cost for any n."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - 1 / (1680 * x * x * x * x * x * x * x)
+    small = F.array(*map(F.lit, _LOG_FACTORIALS))
+    return F.when(n >= len(_LOG_FACTORIALS), series).otherwise(F.element_at(small, F.greatest(n, F.lit(0)).cast("int") + 1))
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -75,16 +82,17 @@ def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     # successive tables differ by a ratio, so a fold over the first cell needs no more factorials
     lo, hi = F.greatest(F.lit(0), c1 - r2), F.least(r1, c1)
     lp = lambda x: const - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(r2 - c1 + x)
-    seen = lp(a) + 1e-7
-    kind = "struct<lp:double,p:double>"
-    start = F.struct(lp(lo).alias("lp"), F.when(lp(lo) <= seen, F.exp(lp(lo))).otherwise(0.0).alias("p")).cast(kind)
+    # the table seen and the first one go with the fold: within the lambda they would be worked out again at each step
+    kind = "struct<lp:double,seen:double,p:double>"
+    first = F.struct(lp(lo).alias("lp"), (lp(a) + 1e-7).alias("seen"), F.lit(0.0).alias("p")).cast(kind)
+    real = lambda x: x.cast("double")  # noqa: E731  # products of counts are beyond an int
 
     def step(s: Column, x: Column) -> Column:
-        now = s["lp"] + F.log(((r1 - x + 1) * (c1 - x + 1)).cast("double")) - F.log((x * (r2 - c1 + x)).cast("double"))
-        return F.struct(now.alias("lp"), (s["p"] + F.when(now <= seen, F.exp(now)).otherwise(0.0)).alias("p")).cast(kind)
+        now = s["lp"] + F.log(real(r1 - x + 1) * real(c1 - x + 1)) - F.log(real(x) * real(r2 - c1 + x))
+        return F.struct(now.alias("lp"), s["seen"].alias("seen"), (s["p"] + F.when(now <= s["seen"], F.exp(now)).otherwise(0.0)).alias("p")).cast(kind)
 
     rest = F.when(hi > lo, F.sequence(lo + 1, hi)).otherwise(F.array().cast("array<int>"))
-    return F.least(F.lit(1.0), F.aggregate(rest, start, step, lambda s: s["p"]))
+    return F.least(F.lit(1.0), F.aggregate(rest, first, step, lambda s: s["p"] + F.when(lp(lo) <= s["seen"], F.exp(lp(lo))).otherwise(0.0)))
 
 
 #: A published rational fit of erfc(x) for x >= 0, relative error below 1.2e-7, powers of t = 1 / (1 + x / 2) from 0 on.

@@ -141,6 +141,16 @@ def test_fisher_and_chi_square(spark, t):
     assert got.p_chisq == pytest.approx(math.erfc(math.sqrt(chi / 2)), rel=1e-9)
 
 
+def test_fisher_of_large_counts(spark):
+    """Products of margins are beyond an int, and the cost of a table does not grow with the square of its counts."""
+    t = a, b, c, d = 40_100, 29_900, 24_000, 18_200
+    lg = lambda *v: sum(math.lgamma(x + 1) for x in v)
+    lp = lambda x: lg(a + b, c + d, a + c, b + d) - lg(a + b + c + d, x, a + b - x, a + c - x, d - a + x)
+    want = sum(math.exp(lp(x)) for x in range(max(0, a - d), min(a + b, a + c) + 1) if lp(x) <= lp(a) + 1e-7)
+    got = spark.createDataFrame([t], "a int, b int, c int, d int").select(stats.fisher_two_sided(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).first()[0]
+    assert got == pytest.approx(want, rel=1e-7)
+
+
 @pytest.mark.parametrize(("v", "want"), [([5, 4, 3, 2, 1], (0, 1)), ([1, 1, 1, 0, 0], (0, 2)), ([0, 0, 0, 0, 0], (0, 4)), ([1, 2, 3, 4, 5], (3, 4))])
 def test_two_largest(spark, v, want):
     def plain(v):
