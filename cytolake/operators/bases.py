@@ -6,6 +6,7 @@ blocks), then one row per column. A contig's sequence never travels with a base.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -87,15 +88,17 @@ def strand_tag() -> Column:
     return F.coalesce(zs, F.when(first.isin("f", "r", "c", "u"), first), F.when(F.col("XG") == "CT", "f").when(F.col("XG") == "GA", "r"), F.lit("u"))
 
 
-def with_slice(aln: DataFrame, genome: DataFrame, block: int = BLOCK, max_span: int = MAX_SPAN) -> DataFrame:
+def with_slice(aln: DataFrame, genome: DataFrame, block: int = BLOCK, max_span: int = MAX_SPAN, beside: DataFrame | None = None) -> DataFrame:
     """Adds ``slice``: the reference from two bases before the read to two behind it, N beyond the contig, and ``span``.
 
     Reads meet the block that their first base lies in; blocks overlap by ``max_span``. The join key is (contig, block), so neither contigs nor deep
     places gather in one task more than their reads do. A read that spans more is an error, never a short slice, and so is a read on a contig that the genome lacks or beyond its end. A read without
-    a place (no CIGAR) has no slice.
+    a place (no CIGAR) has no slice. ``beside`` has one more column for (chrom, blk), which reads get with their block.
     """
     own = gn.blocks(genome, max(block, max_span), max_span).select(F.col("chrom").alias("_c"), F.col("blk").alias("_b"), F.col("beg1").alias("_beg"), F.col("seq").alias("_seq"))
     size = max(block, max_span)
+    if beside is not None:
+        own = own.join(beside.withColumnsRenamed({"chrom": "_c", "blk": "_b"}), ["_c", "_b"], "left")
     reads = aln.withColumn("span", cg.reference_length(F.col("cigar"))).withColumn("_k", F.floor((F.col("pos1") - 1) / size).cast("int"))
     met = reads.join(own, (F.col("chrom") == F.col("_c")) & (F.col("_k") == F.col("_b")), "left")
     at = F.col("pos1") - F.col("_beg") + 1 + max_span
@@ -127,20 +130,35 @@ def columns(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def column_array() -> Column:
+    """The columns of a read with its slice, as :func:`columns` has them, in an array of its own row."""
+
+    def one(b: Column, j: Column) -> Column:
+        in_query, in_ref = b["op"] != "D", ~b["op"].isin("I", "S")
+        q, r = b["q"] + j, b["r"] + j
+        return F.struct(
+            b["op"].alias("op"), (b["c"] + j).alias("col"), F.when(in_query, q).alias("qpos"), F.when(in_ref, r).alias("rpos"), F.when(in_query, F.substr("seq", q, F.lit(1))).alias("qb"),
+            F.when(in_query, F.ascii(F.substr("qual", q, F.lit(1))) - 33).alias("bq"), F.when(in_ref, F.substr("slice", r - F.col("pos1") + 3, F.lit(1))).alias("rb"), F.when(in_ref, F.substr("slice", r - F.col("pos1") + 1, F.lit(5))).alias("five"),
+        )
+
+    there = F.filter(cg.blocks(F.col("cigar"), F.col("pos1")), lambda b: b["op"].isin("M", "=", "X", "I", "D", "S"))
+    return F.flatten(F.transform(there, lambda b: F.transform(F.sequence(F.lit(0), b["n"] - 1), lambda j: one(b, j))))
+
+
 def aligned(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns of :func:`columns` that have both a base of the read and one of the reference."""
     return columns(reads, keep).where(F.col("op").isin("M", "=", "X"))
 
 
-def base_passes(f: Filters, length: Column) -> Column:
-    """Base quality and distance from both ends of the read, in sequence order."""
-    return (F.col("bq") >= f.min_qual) & (F.col("qpos") > f.min_dist5) & (F.col("qpos") + f.min_dist3 <= length)
+def base_passes(f: Filters, length: Column, at: Callable[[str], Column] = F.col) -> Column:
+    """Base quality and distance from both ends of the read, in sequence order. ``at`` gives a base's columns by name."""
+    return (at("bq") >= f.min_qual) & (at("qpos") > f.min_dist5) & (at("qpos") + f.min_dist3 <= length)
 
 
-def counted_twice() -> Column:
+def counted_twice(at: Callable[[str], Column] = F.col) -> Column:
     """A base of read 2 where its mate covers the reference too; needs flag, mpos1 and mspan (span of the mate)."""
     lo, hi = F.greatest("pos1", "mpos1"), F.least(F.col("pos1") + F.col("span") - 1, F.col("mpos1") + F.col("mspan") - 1)
-    return has(READ2) & (F.col("rpos") >= lo) & (F.col("rpos") <= hi)
+    return has(READ2) & (at("rpos") >= lo) & (at("rpos") <= hi)
 
 
 def with_mate_span(reads: DataFrame) -> DataFrame:

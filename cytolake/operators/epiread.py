@@ -1,7 +1,6 @@
 """Read-level epialleles: one string per read and channel, in three formats.
 
-Reads are dealt by read id once; their SNPs join them as a small map; then columns are made and folded back within the same partitions, so no row per base
-is ever shuffled.
+Reads meet their SNPs and their slice of the reference by (contig, block), in one shuffle; a read's columns are an array in its own row, so no row per base is ever sorted, spilled or shuffled.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ from . import bases
 METHYLATED, UNMETHYLATED, OPEN, SHUT, FILTERED, IGNORED, CLIPPED = "M", "U", "O", "S", "F", "x", "P"
 DELETED_BASE, DELETED, INSERTED, AMBIGUOUS_GA, AMBIGUOUS_CT = "D", "d", "i", "R", "Y"
 
-SNP_BIN = 4096
-
 
 @dataclass(frozen=True)
 class Options:
@@ -39,72 +36,79 @@ def snp_table(snps: DataFrame) -> DataFrame:
     return snps.select("chrom", "pos1", ok.alias("callable"))
 
 
-def with_snps(reads: DataFrame, snps: DataFrame | None) -> DataFrame:
-    """Adds ``snps``: a map from position to callable for the SNPs a read spans."""
-    if snps is None:
-        return reads.repartition(*bases.key(reads)).withColumn("snps", F.lit(None).cast("map<int,boolean>"))
-    keyed = snp_table(snps).select(F.col("chrom").alias("_c"), F.floor(F.col("pos1") / SNP_BIN).alias("_b"), F.col("pos1").cast("int").alias("_p"), "callable")
-    last = F.col("pos1") + F.greatest(F.col("span"), F.lit(1)) - 1
-    spans = reads.select(*bases.key(reads), "chrom", "pos1", last.alias("last"), F.explode(F.sequence(F.floor(F.col("pos1") / SNP_BIN), F.floor(last / SNP_BIN))).alias("bin"))
-    met = spans.join(keyed, (F.col("chrom") == F.col("_c")) & (F.col("bin") == F.col("_b")) & F.col("_p").between(F.col("pos1"), F.col("last")))
-    own = met.groupBy(*bases.key(reads)).agg(F.map_from_entries(F.collect_set(F.struct("_p", "callable"))).alias("snps"))
-    return reads.repartition(*bases.key(reads)).join(own, bases.key(reads), "left")
+def by_block(snps: DataFrame, size: int, reach: int) -> DataFrame:
+    """(chrom, blk, _snps): the SNPs that reads beginning in a block of ``size`` bases and reaching ``reach`` bases may span."""
+    at = F.col("pos1") - 1
+    blk = F.array_distinct(F.array(F.floor(at / size).cast("int"), F.floor(F.greatest(at - reach, F.lit(0)) / size).cast("int")))
+    each = snp_table(snps).select("chrom", F.explode(blk).alias("blk"), F.struct(F.col("pos1").cast("int").alias("p"), "callable").alias("_snp"))
+    return each.groupBy("chrom", "blk").agg(F.collect_set("_snp").alias("_snps"))
 
 
-READ = ("rid", "qname", "flag", "chrom", "bss", "rlen", "span", "mpos1", "mspan", "snps")
+READ = ("rid", "qname", "flag", "chrom", "bss", "rlen", "pos1")
 
 
 def states(aln: DataFrame, genome: DataFrame, snps: DataFrame | None, o: Options = Options()) -> DataFrame:
-    """One row per column of kept reads: channels cg, gc and vr, and the calls (kind, at, call) that the older formats list."""
+    """A row a kept read, its columns in the array ``x``: channels cg, gc and vr, and the calls (kind, at, call) that the older formats list."""
     f = o.filters
     tagged = o.modified is not None
-    reads = bases.with_slice(bases.keep_reads(aln, f), genome, max_span=f.max_span)
+    near = None if snps is None else by_block(snps, max(bases.BLOCK, f.max_span), f.max_span)
+    reads = bases.with_slice(bases.keep_reads(aln, f), genome, max_span=f.max_span, beside=near)
     reads = with_modifications(reads).withColumn("bss", F.lit(0)) if tagged else bases.with_strand(reads)
     reads = bases.with_mate_span(reads).withColumn("rlen", F.length("seq"))
-    rows = bases.columns(with_snps(reads, snps), (*READ, "mods", "mod_base") if tagged else READ)
-    ok = bases.base_passes(f, F.col("rlen"))
-    if f.drop_double:
-        ok = ok & ~bases.counted_twice()
-    w, rb, qb = F.col("bss") == 0, F.col("rb"), F.col("qb")
-    before, after = F.substring("five", 2, 1), F.substring("five", 4, 1)
-    on_g = (F.col("bss") == 1) & (rb == "G")
-    on_c = w & (rb == "C")
-    if o.nome:
-        cpg = (on_g & (before == "C") & ~after.isin("C", "N")) | (on_c & ~before.isin("G", "N") & (after == "G"))
-        gpc = (on_g & ~before.isin("C", "N") & (after == "C")) | (on_c & (before == "G") & ~after.isin("G", "N"))
-    else:
-        cpg, gpc = (on_g & (before == "C")) | (on_c & (after == "G")), F.lit(False)
-    call = F.when(qb == rb, "C").when(qb == F.when(rb == "C", "T").otherwise("A"), "T").otherwise("N")
-    aligned = F.col("op").isin("M", "=", "X")
-    told = F.when(cpg, "cg").when(gpc, "gc")
-    if tagged:
-        p = F.try_element_at("mods", F.col("qpos"))
-        cpg = p.isNotNull() & (qb == F.col("mod_base")) & (qb == rb) & (((rb == "C") & (after == "G")) | ((rb == "G") & (before == "C")))
-        call = F.when(cpg & (p > o.modified), "C").when(cpg & (p >= 0) & (p < 1 - o.modified), "T").otherwise("N")
-        # the older formats list every base that the tags name, and filtered ones by the reference
-        told = F.when(F.when(ok, p.isNotNull()).otherwise(on_c & (after == "G")), "cg")
+    last = F.col("pos1") + F.greatest(F.col("span"), F.lit(1)) - 1
+    own = F.lit(None) if snps is None else F.map_from_entries(F.filter("_snps", lambda s: s["p"].between(F.col("pos1"), last)))
+    reads = reads.withColumn("snps", own.cast("map<int,boolean>"))
+    keep = [*bases.key(reads), *[c for c in READ if c != "rid"], "seq", "qual", "cigar", "slice", "span", "mpos1", "mspan", "snps", *(("mods", "mod_base") if tagged else ())]
+    # a generator's rows are worked out before the lambdas below read them, once a read and not once a base
+    reads = reads.where(F.col("cigar").rlike("[0-9][MIDS=X]")).select(F.inline(F.array(F.struct(*keep))))
+    w = F.col("bss") == 0
+
+    def called(v: Column) -> Column:
+        ok = bases.base_passes(f, F.col("rlen"), lambda k: v[k])
+        if f.drop_double:
+            ok = ok & ~bases.counted_twice(lambda k: v[k])
+        rb, qb = v["rb"], v["qb"]
+        before, after = F.substring(v["five"], 2, 1), F.substring(v["five"], 4, 1)
+        on_g, on_c = (F.col("bss") == 1) & (rb == "G"), w & (rb == "C")
         gpc = F.lit(False)
-    snp = F.try_element_at("snps", F.col("rpos"))
-    is_snp = aligned & snp.isNotNull()
-    seen = (call != "N") & F.coalesce(snp, F.lit(True))
-    cg = F.when(cpg & seen, F.when(call == "C", METHYLATED).otherwise(UNMETHYLATED)).otherwise(IGNORED)
-    gc = F.when(gpc & seen, F.when(call == "C", OPEN).otherwise(SHUT)).otherwise(IGNORED)
-    vr = F.when(~is_snp, IGNORED).when((F.col("bss") == 1) & (qb == "A"), AMBIGUOUS_GA).when(w & (qb == "T"), AMBIGUOUS_CT).otherwise(qb)
-    channel = lambda x, deleted, inserted: F.when(F.col("op") == "S", CLIPPED).when(F.col("op") == "D", deleted).when(F.col("op") == "I", inserted).when(~F.col("ok"), FILTERED).otherwise(x)
-    site = F.when(cpg & on_g, F.col("rpos") - 1).otherwise(F.col("rpos"))  # reads with tags are never on G: their bss is 0
-    return rows.withColumn("ok", ok).select(
-        *bases.key(rows), *[c for c in READ if c not in ("rid", "span", "mpos1", "mspan", "snps")], "pos1", "op", "col",
-        channel(cg, DELETED, INSERTED).alias("cg"), channel(gc, DELETED, INSERTED).alias("gc"), channel(vr, DELETED_BASE, F.lower(qb)).alias("vr"),
-        F.when(aligned, told).alias("kind"), site.alias("at"), F.when(F.col("ok"), call).otherwise("N").alias("call"),
-        F.when(is_snp & F.col("ok"), F.col("rpos")).alias("snp_at"), F.when(is_snp & F.col("ok"), qb).alias("snp_base"),
-    )
+        if o.nome:
+            cpg = (on_g & (before == "C") & ~after.isin("C", "N")) | (on_c & ~before.isin("G", "N") & (after == "G"))
+            gpc = (on_g & ~before.isin("C", "N") & (after == "C")) | (on_c & (before == "G") & ~after.isin("G", "N"))
+        else:
+            cpg = (on_g & (before == "C")) | (on_c & (after == "G"))
+        call = F.when(qb == rb, "C").when(qb == F.when(rb == "C", "T").otherwise("A"), "T").otherwise("N")
+        told = F.when(cpg, "cg").when(gpc, "gc")
+        if tagged:
+            p = F.try_element_at("mods", v["qpos"])
+            cpg = p.isNotNull() & (qb == F.col("mod_base")) & (qb == rb) & (((rb == "C") & (after == "G")) | ((rb == "G") & (before == "C")))
+            call = F.when(cpg & (p > o.modified), "C").when(cpg & (p >= 0) & (p < 1 - o.modified), "T").otherwise("N")
+            # the older formats list every base that the tags name, and filtered ones by the reference
+            told = F.when(F.when(ok, p.isNotNull()).otherwise(on_c & (after == "G")), "cg")
+        site = F.when(cpg & on_g, v["rpos"] - 1).otherwise(v["rpos"])  # reads with tags are never on G: their bss is 0
+        parts = dict(op=v["op"], col=v["col"], rpos=v["rpos"], qb=qb, ok=ok, cpg=cpg, gpc=gpc, call=call, told=told, site=site, snp=F.try_element_at("snps", v["rpos"]), aligned=v["op"].isin("M", "=", "X"))
+        return F.struct(*[x.alias(k) for k, x in parts.items()])
+
+    def told_of(v: Column) -> Column:
+        qb, ok, call = v["qb"], v["ok"], v["call"]
+        is_snp = v["aligned"] & v["snp"].isNotNull()
+        seen = (call != "N") & F.coalesce(v["snp"], F.lit(True))
+        cg = F.when(v["cpg"] & seen, F.when(call == "C", METHYLATED).otherwise(UNMETHYLATED)).otherwise(IGNORED)
+        gc = F.when(v["gpc"] & seen, F.when(call == "C", OPEN).otherwise(SHUT)).otherwise(IGNORED)
+        vr = F.when(~is_snp, IGNORED).when((F.col("bss") == 1) & (qb == "A"), AMBIGUOUS_GA).when(w & (qb == "T"), AMBIGUOUS_CT).otherwise(qb)
+        channel = lambda x, deleted, inserted: F.when(v["op"] == "S", CLIPPED).when(v["op"] == "D", deleted).when(v["op"] == "I", inserted).when(~ok, FILTERED).otherwise(x)
+        return F.struct(
+            v["op"].alias("op"), v["col"].alias("col"), channel(cg, DELETED, INSERTED).alias("cg"), channel(gc, DELETED, INSERTED).alias("gc"), channel(vr, DELETED_BASE, F.lower(qb)).alias("vr"),
+            F.when(v["aligned"], v["told"]).alias("kind"), v["site"].alias("at"), F.when(ok, call).otherwise("N").alias("call"), F.when(is_snp & ok, v["rpos"]).alias("snp_at"), F.when(is_snp & ok, qb).alias("snp_base"),
+        )
+
+    x = F.transform(F.transform(bases.column_array(), called), told_of)
+    return reads.select(F.inline(F.array(F.struct(*bases.key(reads), *[c for c in READ if c != "rid"], x.alias("x")))))  # nor is x worked out again by filters on what follows from it
 
 
 def epibed(rows: DataFrame, o: Options = Options()) -> DataFrame:
     """(chrom, start0, end, qname, mate, strand, cg, gc, vr) of :func:`states`, run-length encoded."""
-    part = rows.groupBy(*bases.key(rows), "chrom", "pos1", "qname", "flag", "bss", "rlen").agg(
-        F.array_sort(F.collect_list(F.struct("col", "cg", "gc", "vr", "op"))).alias("x"), F.count_if(F.col("op") == "D").alias("nd"), F.count_if(F.col("op") == "I").alias("ni"),
-    )
+    number = lambda op: F.size(F.filter("x", lambda v: v["op"] == op))
+    part = rows.select("*", number("D").alias("nd"), number("I").alias("ni"))
     text = lambda k: F.array_join(F.transform("x", lambda v: v[k]), "")
     clip = F.coalesce(F.array_position(F.transform("x", lambda v: v["op"] == "S"), False) - 1, F.lit(0))
     out = part.select("*", text("cg").alias("cg"), text("gc").alias("gc"), text("vr").alias("vr"), (F.col("pos1") - F.when(clip < 0, F.size("x")).otherwise(clip) - 1).cast("int").alias("start0"))
@@ -118,10 +122,8 @@ def epibed(rows: DataFrame, o: Options = Options()) -> DataFrame:
 
 def legacy(rows: DataFrame, nome: bool = False, all_positions: bool = False) -> DataFrame:
     """(chrom, qname, mate, strand, cg_pos0, cg, [gc_pos0, gc,] snp_pos0, snp): reads with a CpG (or, in NOMe mode, a GpC); positions are texts, the first only or all."""
-    at = lambda cond, pos, v: F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("col").alias("c"), pos.alias("p"), v.alias("v")))))
-    part = rows.groupBy(*bases.key(rows), "chrom", "qname", "flag", "bss").agg(
-        at(F.col("kind") == "cg", F.col("at") - 1, F.col("call")).alias("cgs"), at(F.col("kind") == "gc", F.col("at") - 1, F.col("call")).alias("gcs"), at(F.col("snp_at").isNotNull(), F.col("snp_at") - 1, F.col("snp_base")).alias("snps"),
-    )
+    at = lambda cond, pos, v: F.transform(F.filter("x", cond), lambda c: F.struct((c[pos] - 1).alias("p"), c[v].alias("v")))
+    part = rows.select("*", at(lambda c: c["kind"] == "cg", "at", "call").alias("cgs"), at(lambda c: c["kind"] == "gc", "at", "call").alias("gcs"), at(lambda c: c["snp_at"].isNotNull(), "snp_at", "snp_base").alias("snps"))
 
     def pair(c: str, name: str) -> list[Column]:
         places = F.array_join(F.transform(c, lambda v: v["p"].cast("string")), ",") if all_positions else F.try_element_at(F.transform(c, lambda v: v["p"].cast("string")), F.lit(1))
@@ -133,9 +135,9 @@ def legacy(rows: DataFrame, nome: bool = False, all_positions: bool = False) ->
 
 def pairwise(rows: DataFrame) -> DataFrame:
     """([sid,] rid, chrom, snp1, cg1, snp_base, cg_call): each SNP of a read beside each cytosine call of the same read."""
-    snp = rows.where("snp_at is not null").select(*bases.key(rows), "chrom", F.col("snp_at").alias("snp1"), "snp_base")
-    calls = rows.where("kind is not null").select(*bases.key(rows), F.col("at").alias("cg1"), F.col("call").alias("cg_call"))
-    return snp.join(calls, bases.key(rows)).select(*bases.key(rows), "chrom", "snp1", "cg1", "snp_base", "cg_call")
+    both = rows.select(*bases.key(rows), "chrom", F.filter("x", lambda v: v["snp_at"].isNotNull()).alias("_s"), F.filter("x", lambda v: v["kind"].isNotNull()).alias("_c")).where((F.size("_s") > 0) & (F.size("_c") > 0))
+    each = both.select(*bases.key(rows), "chrom", F.explode("_s").alias("_s"), "_c").select(*bases.key(rows), "chrom", "_s", F.explode("_c").alias("_c"))
+    return each.select(*bases.key(rows), "chrom", F.col("_s.snp_at").alias("snp1"), F.col("_c.at").alias("cg1"), F.col("_s.snp_base").alias("snp_base"), F.col("_c.call").alias("cg_call")).select(*bases.key(rows), "chrom", "snp1", "cg1", "snp_base", "cg_call")
 
 
 def cpg_ordinals(genome: DataFrame, size: int = 1 << 16) -> DataFrame:

@@ -522,3 +522,15 @@ def test_lone_reads_of_a_longer_file(spark):
     two = spark.createDataFrame([(k, f"r{k}/2" if k else "x/2", "GT", "II") for k in range(2)], "ord long, name string, seq string, qual string")
     got = {r.ord: (r.mismatch, r.alone, r.seq2) for r in fastq.mate_join(one, two).collect()}
     assert got == {0: (True, None, "GT"), 1: (False, None, "GT"), 2: (None, 1, None)}
+
+
+def test_columns_of_a_read_stay_in_its_row(spark):
+    """No row per base is made that a fold would have to sort and spill."""
+    genome = spark.createDataFrame(GENOME, "chrom string, seq string")
+    read = (0, 7, "q", 0, "c1", 2, 60, "3S6M", 2, 0, "AAACGTTCG", "I" * 9, 0, 60, None, "f", None, None)
+    snps = spark.createDataFrame([("c1", 4, "T", "G", 0.5), ("c1", 9, "C", "A", 0.5)], "chrom string, pos1 int, ref string, alt string, af double")
+    rows = epiread.states(spark.createDataFrame([read], READ), genome, snps, epiread.Options(LOOSE))
+    got = rows.collect()
+    assert len(got) == 1 and [v.col for v in got[0].x] == list(range(1, 10)) and [v.snp_at for v in got[0].x if v.snp_at] == [4]
+    for bed in (epiread.epibed(rows), epiread.legacy(rows), epiread.pairwise(rows)):
+        assert "collect_list" not in bed._jdf.queryExecution().optimizedPlan().toString()
