@@ -119,7 +119,9 @@ def columns(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     b = F.col("b")
     keep = (*key(reads), *(k for k in keep if k not in ("sid", "rid"))) if "rid" in keep else keep
-    rows = reads.select(*keep, "seq", "qual", "pos1", "slice", F.explode(cg.blocks(F.col("cigar"), F.col("pos1"))).alias("b")).where(b["op"].isin("M", "=", "X", "I", "D", "S"))
+    # in a generator's row first: Spark takes a filter on the size of what is exploded from it, which would walk the CIGAR again
+    rows = reads.select(*keep, "seq", "qual", "pos1", "slice", F.explode(F.array(cg.blocks(F.col("cigar"), F.col("pos1")))).alias("_bs"))
+    rows = rows.select(*keep, "seq", "qual", "pos1", "slice", F.explode("_bs").alias("b")).where(b["op"].isin("M", "=", "X", "I", "D", "S"))
     rows = rows.select(*keep, "seq", "qual", "pos1", "slice", "b", F.explode(F.sequence(F.lit(0), b["n"] - 1)).alias("j"))
     in_query, in_ref = b["op"] != "D", ~b["op"].isin("I", "S")
     q, r = b["q"] + F.col("j"), b["r"] + F.col("j")

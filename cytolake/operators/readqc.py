@@ -62,23 +62,44 @@ def _target(kind: str, five: Column) -> Column:
     return {"c": F.lit(True), "cg": cg_, "ch": ~cg_, "hcg": cg_ & ~gc, "gch": gc & ~cg_, "hch": ~gc & ~cg_}[kind]
 
 
+def own_cytosines(aln: DataFrame, genome: DataFrame) -> DataFrame:
+    """One row per cytosine of the read's own strand without N around it: n5 is its five bases on that strand, cretention its state. They are looked for in the read's row, so other bases make no rows."""
+    keep = ("qname", "flag", "mapq", "chrom", "bss", "rlen", "span", "pos1", "seq", "slice")
+    reads = bases.with_strand(bases.with_slice(aln.where(~bases.has(bases.UNMAPPED)), genome)).withColumn("rlen", F.length("seq")).withColumn("_own", F.when(F.col("bss") == 0, "C").otherwise("G"))
+
+    def hits(b: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), b["n"] - 1), lambda j: F.substr("slice", b["r"] - F.col("pos1") + 3 + j, F.lit(1)) == F.col("_own"))
+        return F.transform(at, lambda j: F.struct((b["q"] + j).alias("q"), (b["r"] + j).alias("r")))
+
+    there = F.filter(cg.blocks(F.col("cigar"), F.col("pos1")), lambda b: b["op"].isin("M", "=", "X") & (b["n"] > 0))
+    # a generator's row first: Spark takes a filter on a generator's size from it, which would look for them again
+    found = reads.select(F.inline(F.array(F.struct(*bases.key(reads), *keep, F.col("_own").alias("rb"), F.flatten(F.transform(there, hits)).alias("_hits")))))
+    rows = found.select(*bases.key(reads), *keep, "rb", F.inline("_hits").alias("qpos", "rpos"))
+    rows = rows.withColumn("qb", F.substr("seq", F.col("qpos"), F.lit(1))).withColumn("five", F.substr("slice", F.col("rpos") - F.col("pos1") + 1, F.lit(5))).drop("seq", "slice")
+    state = F.when(F.col("qb") == F.col("rb"), "R").when(F.col("qb") == F.when(F.col("rb") == "C", "T").otherwise("A"), "C").otherwise("N")
+    rows = rows.where(~F.contains("five", F.lit("N"))).withColumn("n5", sq.oriented(F.col("five"), F.col("rb")))
+    return rows.withColumn("cretention", state)
+
+
 def cytosines(aln: DataFrame, genome: DataFrame, o: Cytosines = Cytosines()) -> DataFrame:
     """One row per cytosine of the read's own strand, with all columns that a report may select."""
-    reads = bases.with_strand(bases.with_slice(aln.where(~bases.has(bases.UNMAPPED)), genome)).withColumn("rlen", F.length("seq"))
-    rows = bases.aligned(reads, ("rid", "qname", "flag", "mapq", "chrom", "bss", "rlen", "span"))
-    rows = rows.where(((F.col("bss") == 0) & (F.col("rb") == "C")) | ((F.col("bss") == 1) & (F.col("rb") == "G")))
-    rows = rows.withColumn("n5", sq.oriented(F.col("five"), F.col("rb")))
-    rows = rows.where(~F.contains("n5", F.lit("N"))).where(_target(o.target, F.col("n5")))
-    state = F.when(F.col("qb") == F.col("rb"), "R").when(F.col("qb") == F.when(F.col("rb") == "C", "T").otherwise("A"), "C").otherwise("N")
+    rows = own_cytosines(aln, genome).where(_target(o.target, F.col("n5")))
     is_cg = F.substring("n5", 4, 1) == "G"
     return rows.select(
         *bases.key(rows), "qname", F.when(bases.has(bases.READ2), 2).otherwise(1).alias("qpair"), F.when(bases.has(bases.REVERSE), "-").otherwise("+").alias("strand"), F.when(F.col("bss") == 1, "-").otherwise("+").alias("bsstrand"), "mapq",
         F.col("pos1").alias("qbeg"), (F.col("pos1") + F.col("span") - 1).alias("qend"), "chrom", F.col("rpos").alias("crpos"),
         F.when(is_cg, F.when(F.col("rb") == "C", F.col("rpos")).otherwise(F.col("rpos") - 1)).otherwise(-1).alias("cgrpos"), F.col("qpos").alias("cqpos"), F.col("rb").alias("crbase"),
-        sq.context(F.col("n5"), F.col("rb"), o.nome).alias("cctxt"), F.col("qb").alias("cqbase"), state.alias("cretention"), "rlen", "flag",
+        sq.context(F.col("n5"), F.col("rb"), o.nome).alias("cctxt"), F.col("qb").alias("cqbase"), "cretention", "rlen", "flag",
     )
 
 
+def target_counts(aln: DataFrame, genome: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """(target, cretention, n): cytosines by state under several targets, in one pass over the reads."""
+    kinds = own_cytosines(aln, genome).groupBy(*[_target(t, F.col("n5")).alias(t) for t in targets], "cretention").agg(F.count("*").alias("n"))
+    each = kinds.select(F.explode(F.array_compact(F.array(*[F.when(F.col(t), F.lit(t)) for t in targets]))).alias("target"), "cretention", "n")
+    return each.groupBy("target", "cretention").agg(F.sum("n").alias("n"))
+
+
 def retention_by_position(rows: DataFrame, top: int = MAX_READ_POS) -> DataFrame:
     """(mate, qpos, state, n): positions count from the read's start as sequenced, reverse reads from the other end."""
     at = F.when(F.col("strand") == "-", F.col("rlen") - F.col("cqpos") + 1).otherwise(F.col("cqpos"))

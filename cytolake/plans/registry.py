@@ -218,11 +218,7 @@ def cinread_gch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cinread_targets", """SELECT target, cretention, count(*) AS n FROM (SELECT state AS cretention, substr(n5, 4, 1) = 'G' AS g, substr(n5, 2, 1) = 'G' AS h FROM cyt WHERE NOT contains(n5, 'N')),
  (VALUES ('cg'), ('ch'), ('hcg'), ('hch')) v(target) WHERE CASE target WHEN 'cg' THEN g WHEN 'ch' THEN NOT g WHEN 'hcg' THEN g AND NOT h ELSE NOT g AND NOT h END GROUP BY ALL""", "cyt")
 def cinread_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = None
-    for t in ("cg", "ch", "hcg", "hch"):
-        rows = readqc.cytosines(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), readqc.Cytosines(t)).groupBy(F.lit(t).alias("target"), "cretention").agg(F.count("*").alias("n"))
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    return readqc.target_counts(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), ("cg", "ch", "hcg", "hch"))
 
 
 @query("retention_by_readpos", """SELECT CASE WHEN flag & 128 <> 0 THEN 2 ELSE 1 END AS mate, CASE WHEN flag & 16 <> 0 THEN 50 - qpos + 1 ELSE qpos END AS qpos, state, count(*) AS n
