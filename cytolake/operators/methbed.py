@@ -45,12 +45,11 @@ def mergecg(meth: DataFrame, genome: DataFrame | None = None, nome: bool = False
         return _merged(meth.where(ok).withColumn("side", F.col("ref")), min_depth)
     if genome is None:
         raise ValueError("rows without ref and n5 need the genome")
-    site = gn.positions(genome).where(F.col("ref").isin("C", "G"))
-    is_c, is_g = (F.col("ref") == "C") & (F.substring("five", 4, 1) == "G"), (F.col("ref") == "G") & (F.substring("five", 2, 1) == "C")
+    pairs = gn.cpg_sites(genome, beside=nome)
     if nome:
-        is_c &= (F.substring("five", 2, 1) != "G") & (F.substring("five", 5, 1) != "C")
-        is_g &= (F.substring("five", 1, 1) != "G") & (F.substring("five", 4, 1) != "C")
-    site = site.where(is_c | is_g).select("chrom", (F.col("pos1") - 1).alias("beg0"), F.col("ref").alias("side"))
+        pairs = pairs.where((F.col("before") != "G") & (F.col("behind") != "C"))
+    # two rows a CpG, none for other bases
+    site = pairs.select("chrom", F.inline(F.array(F.struct(F.col("beg0").alias("beg0"), F.lit("C").alias("side")), F.struct((F.col("beg0") + 1).alias("beg0"), F.lit("G").alias("side")))))
     return _merged(meth.join(site, ["chrom", "beg0"]), min_depth)
 
 

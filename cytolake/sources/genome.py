@@ -60,15 +60,16 @@ def positions(genome: DataFrame, size: int = 128) -> DataFrame:
     return rows.select("chrom", (F.col("beg1") + F.col("i")).alias("pos1"), F.substr("seq", F.col("i") + 3, F.lit(1)).alias("ref"), F.substr("seq", F.col("i") + 1, F.lit(5)).alias("five"))
 
 
-def cpg_sites(genome: DataFrame, size: int = 1024) -> DataFrame:
-    """(chrom, beg0, end) of every CpG. Places are found within a block, so there is a row per CpG and none per base."""
-    own = spread(blocks(genome, size, 2)).select("chrom", "beg1", F.substr("seq", F.lit(3), F.col("n") + 1).alias("s"))
+def cpg_sites(genome: DataFrame, size: int = 1024, beside: bool = False) -> DataFrame:
+    """(chrom, beg0, end[, before, behind]) of every CpG, with the bases on both sides of it if they are asked for. Places are found within a block, so there is a row per CpG and none per base."""
+    own = spread(blocks(genome, size, 2)).select("chrom", "beg1", "seq", F.substr("seq", F.lit(3), F.col("n") + 1).alias("s"))
     gaps = F.transform(F.split("s", "CG"), lambda x: F.length(x))  # bases before each CG, and after the last
     kind = "struct<at:int,hits:array<int>>"
     step = lambda s, n: F.struct((s["at"] + n + 2).alias("at"), F.concat(s["hits"], F.array(s["at"] + n)).alias("hits")).cast(kind)
     hits = F.aggregate(F.slice("gaps", F.lit(1), F.size("gaps") - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits")).cast(kind), step, lambda s: s["hits"])
-    at = own.select("chrom", "beg1", gaps.alias("gaps")).where(F.size("gaps") > 1).select("chrom", "beg1", F.explode(hits).alias("i"))
-    return at.select("chrom", (F.col("beg1") - 1 + F.col("i")).alias("beg0"), (F.col("beg1") + 1 + F.col("i")).alias("end"))
+    at = own.select("chrom", "beg1", "seq", gaps.alias("gaps")).where(F.size("gaps") > 1).select("chrom", "beg1", "seq", F.explode(F.array(hits)).alias("hits")).select("chrom", "beg1", "seq", F.explode("hits").alias("i"))
+    sides = [F.substr("seq", F.col("i") + 2, F.lit(1)).alias("before"), F.substr("seq", F.col("i") + 5, F.lit(1)).alias("behind")] if beside else []
+    return at.select("chrom", (F.col("beg1") - 1 + F.col("i")).alias("beg0"), (F.col("beg1") + 1 + F.col("i")).alias("end"), *sides)
 
 
 WINDOWS_BLOCK = 12_800
