@@ -725,7 +725,7 @@ _BAM_COLUMNS = ["sid", "qname", "flag", "chrom", "pos1", "mapq", "cigar", "mpos1
 def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reads written as BAM, a folder a sample, and read back by splits of 256 kB."""
     aln = fx.alignments(spark, sf_dir)
-    contigs = [(r.chrom, r.n) for r in fx.genome(spark, sf_dir).select("chrom", F.length("seq").alias("n")).orderBy("chrom").collect()]  # the header
+    contigs = gn.lengths(fx.genome(spark, sf_dir))
     found = None
     for sid in (0, 1):
         path = store.fresh(spark, f"bam-{sid}")

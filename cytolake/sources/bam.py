@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import json
 import struct
+import tempfile
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,7 +60,8 @@ class File:
 
     def __init__(self, uri: str, piece: int = 1 << 20):
         self.fs, path = pafs.FileSystem.from_uri(uri)
-        self.length = self.fs.get_file_info(path).size
+        info = self.fs.get_file_info(path)
+        self.length, self.changed = info.size, info.mtime_ns
         self.file, self.piece = self.fs.open_input_file(path), piece
         self.at, self.held, self.bytes_read = 0, b"", 0
 
@@ -172,13 +175,27 @@ def header(f: File) -> tuple[str, list[tuple[str, int]], int, int]:
     return text, contigs, *s.block(at)
 
 
+#: Headers of files that this process read last, by place, length and time; a file's splits share one.
+_HEADERS: OrderedDict[tuple[str, int, int | None], tuple[str, list[tuple[str, int]], int, int]] = OrderedDict()
+
+
+def known_header(uri: str, f: File) -> tuple[str, list[tuple[str, int]], int, int]:
+    key = (uri, f.length, f.changed)
+    if key not in _HEADERS:
+        _HEADERS[key] = header(f)
+        while len(_HEADERS) > 4:
+            _HEADERS.popitem(last=False)
+    return _HEADERS[key]
+
+
 def _sound(s: Stream, at: int, contigs: list[tuple[str, int]]) -> int | None:
     """Where the record at a place ends, if its fields agree with one another."""
     if not s.fill(at + 36):
         return None
     size, tid, pos, name, _, _, ops, _, length, mtid, mpos, _ = struct.unpack("<iiiBBHHHiiii", s.get(at, 36))
-    most = lambda t: contigs[t][1] if 0 <= t < len(contigs) else -1
-    if not (-1 <= tid < len(contigs) and -1 <= mtid < len(contigs) and name > 0 and length >= 0 and -1 <= pos <= most(tid) + 1 and -1 <= mpos <= most(mtid) + 1):
+    # a place without a contig (a mate's, where only the place is told) has no bound
+    fits = lambda c, at: -1 <= c < len(contigs) and at >= -1 and (c < 0 or at <= contigs[c][1] + 1)
+    if not (name > 0 and length >= 0 and fits(tid, pos) and fits(mtid, mpos)):
         return None
     if size < 32 + name + 4 * ops + (length + 1) // 2 + length or not s.fill(at + 36 + name + 4 * ops):
         return None
@@ -197,7 +214,7 @@ def first_record(s: Stream, contigs: list[tuple[str, int]], end: int) -> int | N
         to, n = at, 0
         while n < SOUND and to is not None and s.fill(to + 1):
             to, n = _sound(s, to, contigs), n + 1
-        if to is not None:
+        if to is not None and s.fill(to):  # one that ends beyond the file is none
             return at
         at += 1
     return None
@@ -302,7 +319,8 @@ def _region(text: str) -> tuple[str, int, int]:
 
 
 class BamSource(DataSource):
-    """``format("cytolake_bam")``: options path (a file or a folder of .bam files), sid, split, region; for writing contigs (JSON of names and lengths) and level."""
+    """``format("cytolake_bam")``: options path (a file or a folder of .bam files), sid, split, region; for writing level and contigs (JSON of names and lengths; without it a file has the contigs that its rows name, with their lengths in
+    the columns _n and _mn)."""
 
     @classmethod
     def name(cls) -> str:
@@ -368,7 +386,7 @@ class BamReader(DataSourceReader):
         if part is None:  # no split at all
             return
         f = File(part.uri, min(1 << 20, max(1 << 16, self.split)))
-        _, contigs, _, _ = header(f)
+        _, contigs, _, _ = known_header(part.uri, f)
         at_block = part.first[0] if part.first else next_block(f, part.start, part.end)
         if at_block is None:
             return
@@ -410,7 +428,7 @@ class Written(WriterCommitMessage):
 
 class BamWriter(DataSourceArrowWriter):
     def __init__(self, options):
-        self.path, self.contigs = options["path"], [tuple(x) for x in json.loads(options["contigs"])]
+        self.path, self.contigs = options["path"], [tuple(x) for x in json.loads(options["contigs"])] if options.get("contigs") else None
         self.level, self.text = int(options.get("level", 6)), options.get("header")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -418,7 +436,6 @@ class BamWriter(DataSourceArrowWriter):
 
         fs, path = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(path, recursive=True)
-        ids = {c: k for k, (c, _) in enumerate(self.contigs)}
         out, index, place, held = None, {}, 0, bytearray()
         in_order, before = True, (0, 0)
         temp = f"{path}/.part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
@@ -431,24 +448,25 @@ class BamWriter(DataSourceArrowWriter):
                 del held[:BLOCK]
                 place += len(raw)
 
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None:
-                    out = fs.open_output_stream(temp, compression=None)
-                    text = (self.text or "@HD\tVN:1.6\tSO:unknown\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in self.contigs)).encode()
-                    held += MAGIC + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.contigs))
-                    for c, n in self.contigs:
-                        held += struct.pack("<i", len(c.encode()) + 1) + c.encode() + b"\0" + struct.pack("<i", n)
-                    flush(True)  # records begin with a block of their own
-                raw = encode(row, ids)
-                spot = (ids.get(row["chrom"], 1 << 31), row["pos1"] or 0)
-                in_order, before = in_order and spot >= before, spot
-                if row["chrom"] in ids:
-                    own, last = index.setdefault(row["chrom"], []), (max(row["pos1"], 1) - 1 + max(1, span_of(row["cigar"])) - 1) // WINDOW
-                    while len(own) <= last:
-                        own.append((place, len(held)))
-                held += raw
-                flush(False)
+        contigs, records = self._named(iterator) if self.contigs is not None else self._own(iterator)
+        for raw in records:
+            if out is None:
+                out = fs.open_output_stream(temp, compression=None)
+                text = (self.text or "@HD\tVN:1.6\tSO:unknown\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs)).encode()
+                held += MAGIC + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
+                for c, n in contigs:
+                    held += struct.pack("<i", len(c.encode()) + 1) + c.encode() + b"\0" + struct.pack("<i", n)
+                flush(True)  # records begin with a block of their own
+            tid, pos, name, _, _, ops = struct.unpack_from("<iiBBHH", raw, 4)
+            spot = (tid if tid >= 0 else 1 << 31, pos)
+            in_order, before = in_order and spot >= before, spot
+            if tid >= 0:
+                span = sum(x >> 4 for x in struct.unpack_from(f"<{ops}I", raw, 36 + name) if OPS[x & 15] in "MDN=X")
+                own, last = index.setdefault(contigs[tid][0], []), (max(pos, 0) + max(1, span) - 1) // WINDOW
+                while len(own) <= last:
+                    own.append((place, len(held)))
+            held += raw
+            flush(False)
         if out is None:
             return Written([])
         flush(True)
@@ -459,6 +477,34 @@ class BamWriter(DataSourceArrowWriter):
                 f.write(json.dumps(index).encode())
         return Written([temp])
 
+    def _named(self, iterator: Iterator[pa.RecordBatch]) -> tuple[list[tuple[str, int]], Iterator[bytes]]:
+        """The given contigs, and the records."""
+        ids = {c: k for k, (c, _) in enumerate(self.contigs)}
+        return self.contigs, (encode(row, ids) for batch in iterator for row in batch.to_pylist())
+
+    def _own(self, iterator: Iterator[pa.RecordBatch]) -> tuple[list[tuple[str, int]], Iterator[bytes]]:
+        """The contigs that the rows name, in order, and the records. A header comes before its records, so these are kept in a file of the task until all contigs are known."""
+        ids, sizes, kept = {}, {}, tempfile.TemporaryFile()
+        for batch in iterator:
+            for row in batch.to_pylist():
+                for c, n in ((row["chrom"], row["_n"]), (row["mchrom"], row["_mn"])):
+                    if n is not None and c not in ids:
+                        ids[c], sizes[c] = len(ids), n
+                kept.write(encode(row, ids))
+        contigs = sorted(sizes.items())
+        place = {ids[c]: k for k, (c, _) in enumerate(contigs)} | {-1: -1}
+
+        def records() -> Iterator[bytes]:
+            with kept:
+                kept.seek(0)
+                while len(head := kept.read(4)) == 4:
+                    body = bytearray(kept.read(struct.unpack("<i", head)[0]))
+                    for at in (0, 20):  # contig of the read and of its mate
+                        struct.pack_into("<i", body, at, place[struct.unpack_from("<i", body, at)[0]])
+                    yield head + bytes(body)
+
+        return contigs, records()
+
     def commit(self, messages: list[Written | None]) -> None:
         fs, _ = pafs.FileSystem.from_uri(self.path)
         for m in messages:
@@ -490,13 +536,27 @@ def read(spark: SparkSession, path: str, sid: int = 0, region: str | None = None
     return (out.option("region", region) if region else out).load()
 
 
-def write(aln: DataFrame, path: str, contigs: list[tuple[str, int]], level: int = 6, in_order: bool = True) -> None:
-    """Files below ``path``, a file a task; ``in_order`` sorts by contig (in the order given) and place first, unplaced reads last, so that indexes are of use."""
+def write(aln: DataFrame, path: str, contigs: list[tuple[str, int]] | DataFrame, level: int = 6, in_order: bool = True) -> None:
+    """Files below ``path``, a file a task; ``in_order`` sorts by contig (in the order given) and place first, unplaced reads last, so that indexes are of use.
+
+    A list of contigs is the dictionary of every file. Contigs may also be a table (chrom, n), for assemblies of so many that a copy in each file would outgrow the reads: then a file's dictionary has those that its
+    reads and their mates lie on, sorted by name, and neither driver nor tasks hold them all."""
     spark = aln.sparkSession
     spark.dataSource.register(BamSource)
     rows = aln.select(*[F.col(x.split()[0]) if x.split()[0] in aln.columns else F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in SCHEMA.split(", ")])
-    if in_order:
+    listed = not isinstance(contigs, DataFrame)
+    if not listed:
+        rows = rows.join(contigs.select(F.col("chrom").alias("_c"), F.col("n").cast("int").alias("_n")), F.col("chrom") == F.col("_c"), "left").drop("_c")
+        if "mchrom" in aln.columns:
+            rows = rows.join(contigs.select(F.col("chrom").alias("_c"), F.col("n").cast("int").alias("_mn")), F.col("mchrom") == F.col("_c"), "left").drop("_c")
+        else:
+            rows = rows.withColumn("_mn", F.lit(None).cast("int"))
+        if in_order:
+            rows = rows.withColumn("_off", F.col("_n").isNull())
+            rows = rows.repartitionByRange("_off", "chrom", "pos1").sortWithinPartitions("_off", "chrom", "pos1", "qname", "flag").drop("_off")
+    elif in_order:
         order = spark.createDataFrame([(c, k) for k, (c, _) in enumerate(contigs)], "_c string, _tid int")
         rows = rows.join(order, F.col("chrom") == F.col("_c"), "left").withColumn("_tid", F.coalesce("_tid", F.lit(1 << 30)))
         rows = rows.repartitionByRange("_tid", "pos1").sortWithinPartitions("_tid", "pos1", "qname", "flag").drop("_c", "_tid")
-    rows.write.format("cytolake_bam").mode("append").option("path", _uri(spark, path)).option("contigs", json.dumps(contigs)).option("level", level).save()
+    out = rows.write.format("cytolake_bam").mode("append").option("path", _uri(spark, path)).option("level", level)
+    (out.option("contigs", json.dumps(contigs)) if listed else out).save()
