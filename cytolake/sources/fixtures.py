@@ -76,11 +76,14 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_stored
 def snps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chrom, pos1, ref, alt, af) at the sites where the reads' bases are changed."""
-    from .genome import positions
-
-    g = genome(spark, sf_dir)
-    at = positions(g.select("chrom", "seq")).join(g.select("tid", "chrom"), "chrom").where((F.col("tid") * 31 + F.col("pos1")) % 97 == 0)
+    """(chrom, pos1, ref, alt, af) at the sites where the reads' bases are changed: every 97th of a contig. Only those become rows, and a contig's number goes with its name, so no base is shuffled or joined."""
+    from .genome import blocks, spread
+
+    named = genome(spark, sf_dir).select(F.struct("tid", "chrom").alias("chrom"), "seq")
+    own = spread(blocks(named, 1024, 2)).select("chrom.tid", "chrom.chrom", "beg1", "n", "seq")
+    first = F.pmod(-(F.col("tid") * 31 + F.col("beg1")), F.lit(97)).cast("int")
+    each = own.select("chrom", "beg1", "seq", F.explode(F.when(first < F.col("n"), F.sequence(first, F.col("n") - 1, F.lit(97)))).alias("i"))
+    at = each.select("chrom", (F.col("beg1") + F.col("i")).alias("pos1"), F.substr("seq", F.col("i") + 3, F.lit(1)).alias("ref"))
     return at.select("chrom", "pos1", "ref", F.translate("ref", "ACGT", "CGTA").alias("alt"), (F.col("pos1") % 10 / 100.0).alias("af"))
 
 

@@ -29,3 +29,9 @@ def test_reads_by_definition(spark):
 def test_no_expression_a_base(spark):
     for derive in (fx.genome, fx.alignments):
         assert "lambdafunction" not in derive.__wrapped__(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_snps_take_no_row_a_base(spark):
+    """SNPs are found where they are: bases are neither joined with their contigs' numbers nor shuffled."""
+    plan = fx.snps.__wrapped__(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
