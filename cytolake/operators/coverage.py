@@ -10,6 +10,9 @@ from ..functions import cigar as cg
 from ..sources import store
 from . import bases
 
+#: Bases of a bin in which CpGs, and windows, meet runs of depth. Deep places have a run for nearly every base, and each in a bin is compared with each CpG of it, so bins are about as long as what meets them.
+CPG_BIN, WINDOW_BIN = 64, 256
+
 VARIANTS = {"all": "true", "q40": "mapq >= 40", "dup": "flag & 1024 <> 0", "q40_dup": "mapq >= 40 and flag & 1024 <> 0"}
 
 
@@ -69,9 +72,9 @@ def overlaps(a: DataFrame, b: DataFrame, bin_size: int = 4096) -> DataFrame:
     return met.where(first == F.col("_bin")).drop("_bin", "_b", "_c")
 
 
-def least_depth(intervals: DataFrame, runs: DataFrame) -> DataFrame:
-    """(chrom, beg0, end, depth): the least depth anywhere in each interval."""
-    return overlaps(intervals.select("chrom", "beg0", "end"), runs.select("chrom", "beg0", "end", "depth")).groupBy("chrom", "beg0", "end").agg(F.min("b_depth").alias("depth"))
+def least_depth(intervals: DataFrame, runs: DataFrame, bin_size: int = CPG_BIN) -> DataFrame:
+    """(chrom, beg0, end, depth): the least depth anywhere in each interval. Longer intervals than CpGs should have longer bins."""
+    return overlaps(intervals.select("chrom", "beg0", "end"), runs.select("chrom", "beg0", "end", "depth"), bin_size).groupBy("chrom", "beg0", "end").agg(F.min("b_depth").alias("depth"))
 
 
 def moments(hist: DataFrame, *by: str) -> DataFrame:
@@ -95,13 +98,13 @@ def depth_report(aln: DataFrame, genome: DataFrame, windows: DataFrame, bin_size
     contigs = gn.lengths(genome).withColumnRenamed("n", "clen")
     runs = [depth(reads_for(aln, kind), contigs, bin_size).select(F.lit(kind).alias("reads"), "chrom", "beg0", "end", "depth") for kind in ("all", "q40")]
     runs = store.written(runs[0].unionByName(runs[1]), "depth-runs")
-    met = overlaps(gn.cpg_sites(genome).select("chrom", "beg0", "end"), runs)
+    met = overlaps(gn.cpg_sites(genome).select("chrom", "beg0", "end"), runs, CPG_BIN)
     cpgs = store.written(met.groupBy(F.col("b_reads").alias("reads"), "chrom", "beg0", "end").agg(F.min("b_depth").alias("depth")), "depth-cpgs")
     tenth = lambda name, top: decile(windows, top).select("chrom", "beg0", "end", F.lit(name).alias("region"))
     regions = store.written(tenth("top", True).unionByName(tenth("bottom", False)), "depth-regions")
     rows = runs.withColumn("unit", F.lit("base")).unionByName(cpgs.withColumn("unit", F.lit("cpg")))
     # a CpG counts in each window that it shares a base with, a run by the bases it shares
-    shared = overlaps(rows, regions)
+    shared = overlaps(rows, regions, WINDOW_BIN)
     inside = shared.select("reads", "unit", F.col("b_region").alias("region"), "depth", (F.least("end", "b_end") - F.greatest("beg0", "b_beg0")).alias("bases"))
     every = rows.select("reads", "unit", F.lit("all").alias("region"), "depth", (F.col("end") - F.col("beg0")).alias("bases")).unionByName(inside)
     hist = every.groupBy("reads", "unit", "region", "depth").agg(F.sum(F.when(F.col("unit") == "cpg", 1).otherwise(F.col("bases"))).alias("n"))
