@@ -27,6 +27,8 @@ from .bam import _uri
 
 #: Bytes of a split, and of what is read at a time.
 SPLIT, CHUNK = 64 << 20, 1 << 20
+#: Least bytes read at a time, bytes read behind a split for its last record, and tasks that small splits are dealt to.
+LEAST, LINE, TASKS = 1 << 16, 1 << 12, 96
 #: Bases of a piece, and beside it. Blocks of a size that divides a piece can be cut from it.
 PIECE, FLANK = 1_638_400, 1 << 14
 HEADER = 1 << 16
@@ -58,8 +60,29 @@ def parts(uri: str, split: int) -> list[Part]:
     return out
 
 
+class Parts(InputPartition):
+    """Splits that one task reads, one behind the other. A split of a few kilobytes costs less than the task that reads it."""
+
+    def __init__(self, parts: list[Part]):
+        self.parts = parts
+
+
+def grouped(found: list[Part]) -> list[Parts]:
+    """Splits in their order, dealt to tasks: at least ``TASKS`` if there are so many splits, and of no more than ``SPLIT`` bytes unless one split has more. A compressed file is a task's only split."""
+    size = min(SPLIT, max(1, -(-sum(p.end - p.start for p in found if p.codec is None) // TASKS)))
+    out, held = [], 0
+    for p in found:
+        n = p.end - p.start
+        if p.codec or not out or held + n > size or out[-1].parts[-1].codec:
+            out.append(Parts([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += n
+    return out
+
+
 def chunks(part: Part, at: int) -> Iterator[bytes]:
-    """The file's bytes from a place on."""
+    """The file's bytes from a place on, little more than the split's own at first."""
     fs, path = pafs.FileSystem.from_uri(part.uri)
     if part.codec:
         with fs.open_input_stream(path, compression=part.codec) as f:
@@ -68,7 +91,9 @@ def chunks(part: Part, at: int) -> Iterator[bytes]:
         return
     with fs.open_input_file(path) as f:
         f.seek(at)
-        while got := f.read(CHUNK):
+        size = LEAST
+        while got := f.read(size := min(CHUNK, max(LEAST, part.end - at + LINE) if at < part.end else 2 * size)):
+            at += len(got)
             yield got
 
 
@@ -171,12 +196,14 @@ class FastqReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.split, self.count = options["path"], int(options.get("split", SPLIT)), bool(options.get("count"))
 
-    def partitions(self) -> list[Part]:
-        return parts(self.path, self.split)
+    def partitions(self) -> list[Parts]:
+        return grouped(parts(self.path, self.split))
 
-    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
-        if part is None:
-            return
+    def read(self, some: Parts | None) -> Iterator[pa.RecordBatch]:
+        for part in some.parts if some is not None else ():
+            yield from self._read(part)
+
+    def _read(self, part: Part) -> Iterator[pa.RecordBatch]:
         own, k = lambda n: [pa.array([part.file] * n, pa.int32()), pa.array([part.split] * n, pa.int32())], 0
         for lines in records(part):
             n = len(lines) // 4
@@ -288,18 +315,32 @@ class FastaReader(DataSourceReader):
         self.path, self.split, self.starts = options["path"], int(options.get("split", SPLIT)), options.get("starts")
         self.piece, self.flank = int(options.get("piece", PIECE)), int(options.get("flank", FLANK))
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Parts]:
         out = parts(self.path, self.split)
         if self.starts:
             fs, path = pafs.FileSystem.from_uri(self.starts)
             at = {(r["file"], r["split"]): r for r in pq.read_table(path, filesystem=fs).to_pylist()}  # a row a split
             for p in out:
                 p.chrom, p.before = at[p.file, p.split]["chrom"], at[p.file, p.split]["before"]
-        return out
+        return grouped(out)
 
-    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
-        if part is not None:
-            yield from self._pieces(part) if self.starts else self._sums(part)
+    def read(self, some: Parts | None) -> Iterator[pa.RecordBatch]:
+        for part in some.parts if some is not None else ():
+            yield from self._batches(self._pieces(part)) if self.starts else self._sums(part)
+
+    @staticmethod
+    def _batches(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        """Pieces put together, about a megabyte at a time."""
+        kinds, names, held, size = (pa.string(), pa.int32(), *[pa.string()] * 3), ["chrom", "beg1", "left", "seq", "right"], [], 0
+        put = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+        for x in pieces:
+            held.append(x)
+            size += sum(map(len, x[2:]))
+            if size >= CHUNK:
+                yield put()
+                held, size = [], 0
+        if held:
+            yield put()
 
     @staticmethod
     def _sums(part: Part) -> Iterator[pa.RecordBatch]:
@@ -314,20 +355,20 @@ class FastaReader(DataSourceReader):
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part.file, part.split, lead, last, tail), kinds, strict=True)], names=["file", "split", "lead", "last", "tail"])
 
-    def _pieces(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def _pieces(self, part: Part) -> Iterator[tuple[str, int, str, str, str]]:
         size, flank = self.piece, self.flank
         chrom, low = part.chrom, part.before
         held = bytearray(bases_before(part, min(flank, low)) if chrom is not None and low else b"")
         base = low - len(held)  # the place of held's first base in its contig
         at = -(-low // size) * size  # the next piece's first base
 
-        def cut(last: bool, high: int) -> Iterator[pa.RecordBatch]:
+        def cut(last: bool, high: int) -> Iterator[tuple[str, int, str, str, str]]:
             """Pieces that begin before ``high`` and are whole, or all of them at a contig's end."""
             nonlocal at, base
             while chrom and at < high and (last or at + size + flank <= base + len(held)):
                 k = at - base
                 texts = (held[max(0, k - flank) : k], held[k : k + size], held[k + size : k + size + flank])
-                yield pa.RecordBatch.from_arrays([pa.array([chrom]), pa.array([at + 1], pa.int32()), *(pa.array([x.decode("ascii")]) for x in texts)], names=["chrom", "beg1", "left", "seq", "right"])
+                yield chrom, at + 1, *(x.decode("ascii") for x in texts)
                 at += size
             if (spare := max(0, min(at, base + len(held)) - flank - base)) > 0:
                 del held[:spare]
