@@ -88,18 +88,26 @@ def strand_tag() -> Column:
     return F.coalesce(zs, F.when(first.isin("f", "r", "c", "u"), first), F.when(F.col("XG") == "CT", "f").when(F.col("XG") == "GA", "r"), F.lit("u"))
 
 
-def with_slice(aln: DataFrame, genome: DataFrame, block: int = BLOCK, max_span: int = MAX_SPAN, beside: DataFrame | None = None) -> DataFrame:
+def with_slice(aln: DataFrame, genome: DataFrame, block: int = BLOCK, max_span: int = MAX_SPAN, beside: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Adds ``slice``: the reference from two bases before the read to two behind it, N beyond the contig, and ``span``.
 
     Reads meet the block that their first base lies in; blocks overlap by ``max_span``. The join key is (contig, block), so neither contigs nor deep
     places gather in one task more than their reads do. A read that spans more is an error, never a short slice, and so is a read on a contig that the genome lacks or beyond its end. A read without
     a place (no CIGAR) has no slice. ``beside`` has one more column for (chrom, blk), which reads get with their block.
+
+    With ``dealt`` a read goes to every block that it touches, and has its number as ``blk``: all bases of a site are then together by (chrom, blk) without another shuffle (:func:`own_bases` leaves each base to one copy).
     """
     own = gn.blocks(genome, max(block, max_span), max_span).select(F.col("chrom").alias("_c"), F.col("blk").alias("_b"), F.col("beg1").alias("_beg"), F.col("seq").alias("_seq"))
     size = max(block, max_span)
     if beside is not None:
         own = own.join(beside.withColumnsRenamed({"chrom": "_c", "blk": "_b"}), ["_c", "_b"], "left")
     reads = aln.withColumn("span", cg.reference_length(F.col("cigar"))).withColumn("_k", F.floor((F.col("pos1") - 1) / size).cast("int"))
+    if dealt:
+        last = F.floor((F.col("pos1") - 2 + F.greatest(F.lit(1), F.coalesce("span", F.lit(0)))) / size).cast("int")
+        reads = reads.withColumn("_k", F.explode_outer(F.sequence("_k", last)))
+        # the number of tasks is given: a read becomes a row a base, which Spark's sizes do not tell
+        n = int(aln.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        reads, own = reads.repartition(n, "chrom", "_k"), own.repartition(n, "_c", "_b")
     met = reads.join(own, (F.col("chrom") == F.col("_c")) & (F.col("_k") == F.col("_b")), "left")
     at = F.col("pos1") - F.col("_beg") + 1 + max_span
     # a filter, which no reader of the result leaves out as it may a column
@@ -107,8 +115,17 @@ def with_slice(aln: DataFrame, genome: DataFrame, block: int = BLOCK, max_span:
     long = F.raise_error(F.format_string("a read spans %d bases of the reference, more than max_span", "span")).cast("boolean")
     placed = F.coalesce("span", F.lit(0)) > 0
     met = met.where(F.when(placed & F.col("_seq").isNull(), lost).when(F.col("span") > max_span, long).otherwise(True))
-    whole = F.when(placed, F.substr("_seq", at - 2, F.col("span") + 4))
-    return met.withColumn("slice", whole).drop("_c", "_b", "_k", "_beg", "_seq")
+    whole = F.substr("_seq", at - 2, F.col("span") + 4)
+    if dealt:  # a read as long as a flank may lack two bases before its first one, which is another block's
+        lacks = 3 - at
+        whole = F.when(lacks > 0, F.concat(F.repeat(F.lit("N"), lacks), F.substr("_seq", F.lit(1), F.col("span") + 4 - lacks))).otherwise(whole)
+    met = met.withColumn("slice", F.when(placed, whole)).drop("_c", "_b", "_beg", "_seq")
+    return met.withColumnRenamed("_k", "blk") if dealt else met.drop("_k")
+
+
+def own_bases(rows: DataFrame, block: int = BLOCK, max_span: int = MAX_SPAN) -> DataFrame:
+    """The columns of dealt reads that lie in their copy's own block: each base of a read once."""
+    return rows.where(F.floor((F.col("rpos") - 1) / max(block, max_span)).cast("int") == F.col("blk"))
 
 
 def columns(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -163,6 +180,17 @@ def counted_twice(at: Callable[[str], Column] = F.col) -> Column:
     return has(READ2) & (at("rpos") >= lo) & (at("rpos") <= hi)
 
 
+def same_bases(base: str) -> Column:
+    """How many aligned columns of a read with its slice have this base in the read and in the reference. For a generator's row: a filter would have the slice cut out again for each column."""
+    there = F.filter(cg.blocks(F.col("cigar"), F.col("pos1")), lambda b: b["op"].isin("M", "=", "X") & (b["n"] > 0))
+
+    def in_block(b: Column) -> Column:
+        ref, got = F.substr("slice", b["r"] - F.col("pos1") + 3, b["n"]), F.substr("seq", b["q"], b["n"])
+        return F.size(F.filter(F.sequence(F.lit(1), b["n"]), lambda j: (F.substr(ref, j, F.lit(1)) == base) & (F.substr(got, j, F.lit(1)) == base)))
+
+    return F.aggregate(F.transform(there, in_block), F.lit(0), lambda s, x: s + x)
+
+
 def with_mate_span(reads: DataFrame) -> DataFrame:
     """The mate's reference length from its CIGAR (MC), else the read's own."""
     return reads.withColumn("mspan", F.coalesce(cg.reference_length(F.col("MC")), F.col("span")))

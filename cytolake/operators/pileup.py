@@ -17,7 +17,7 @@ from ..functions import stats
 from ..sources import genome as gn
 from . import bases
 
-READ = ("rid", "sid", "chrom", "flag", "mpos1", "mspan", "span", "bss", "rlen")
+READ = ("rid", "sid", "chrom", "blk", "flag", "mpos1", "mspan", "span", "bss", "rlen")
 CODES = ("A", "C", "G", "T", "Y", "R")
 #: Below this share of unconverted-looking T (A) beside C (G), a cytosine still counts as callable.
 CONFLICT = 0.05
@@ -32,7 +32,8 @@ class Options:
 
 
 def stranded(aln: DataFrame, genome: DataFrame, f: bases.Filters) -> DataFrame:
-    return bases.with_mate_span(bases.with_strand(bases.with_slice(bases.keep_reads(aln, f), genome, max_span=f.max_span))).withColumn("rlen", F.length("seq"))
+    """Kept reads, dealt to the blocks that they touch."""
+    return bases.with_mate_span(bases.with_strand(bases.with_slice(bases.keep_reads(aln, f), genome, max_span=f.max_span, dealt=True))).withColumn("rlen", F.length("seq"))
 
 
 def read_retention(rows: DataFrame) -> DataFrame:
@@ -44,10 +45,11 @@ def read_retention(rows: DataFrame) -> DataFrame:
 def site_bases(aln: DataFrame, genome: DataFrame, o: Options = Options()) -> DataFrame:
     """One row per aligned base of a kept read: site, sample, base and state codes, and whether it counts."""
     f = o.filters
-    rows = bases.aligned(stranded(aln, genome, f), READ)
-    if f.max_retention < 999_999:
-        few = read_retention(rows).where(F.col("n_retained") <= f.max_retention).drop("n_retained")
-        rows = rows.join(few, bases.key(rows), "left_semi")
+    reads = stranded(aln, genome, f)
+    if f.max_retention < 999_999:  # counted in the read's row, which has its whole slice in every block
+        kept = F.when(F.col("bss") == 1, bases.same_bases("C")).otherwise(bases.same_bases("G"))
+        reads = reads.withColumn("_kept", F.explode(F.array(kept))).where(F.col("_kept") <= f.max_retention).drop("_kept")
+    rows = bases.own_bases(bases.aligned(reads, READ), max_span=f.max_span)
     if f.drop_contig_end:
         ends = gn.lengths(genome).withColumnRenamed("n", "clen")
         rows = rows.join(ends, "chrom").where(F.col("rpos") < F.col("clen")).drop("clen")
@@ -65,24 +67,30 @@ def coded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("code", code).withColumn("meth", meth)
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """(chrom, pos1, sid, ref, five, n_ret, n_conv, dp, n_A .. n_R): dp counts all bases of kept reads, the rest those that pass.
+def counts(rows: DataFrame, dealt: bool = False) -> DataFrame:
+    """(chrom[, blk], pos1, sid, ref, five, n_ret, n_conv, dp, n_A .. n_R): dp counts all bases of kept reads, the rest those that pass.
 
-    A place has one reference base and one context, so both are keys: texts in the sums' stead would have every base sorted before it is counted."""
+    With ``dealt`` sites keep the block by which they lie together, and what sums over their samples needs no shuffle. A place has one reference base and one context, so both are keys: texts in the sums' stead would have every base sorted before it is counted."""
     good = F.col("good")
-    return rows.where(F.col("rb") != "N").groupBy("chrom", F.col("rpos").alias("pos1"), "sid", F.col("rb").alias("ref"), "five").agg(
+    sites = rows.where(F.col("rb") != "N").groupBy(*_dealt(rows), F.col("rpos").alias("pos1"), "sid", F.col("rb").alias("ref"), "five").agg(
         F.count_if(good & (F.col("meth") == "R")).alias("n_ret"), F.count_if(good & (F.col("meth") == "C")).alias("n_conv"), F.count("*").alias("dp"),
         *[F.count_if(good & (F.col("code") == b)).alias(f"n_{b}") for b in CODES],
     )
+    return sites if dealt else sites.drop("blk")
 
 
-def site() -> W:
-    return W.partitionBy("chrom", "pos1")
+def _dealt(rows: DataFrame) -> list[str]:
+    """By what bases and sites lie together: the contig and, where reads were dealt to blocks, the block. It is in every key, so that one shuffle, that of the reads, serves all."""
+    return ["chrom", "blk"] if "blk" in rows.columns else ["chrom"]
+
+
+def site(sites: DataFrame) -> W:
+    return W.partitionBy(*_dealt(sites), "pos1")
 
 
 def redistributed(sites: DataFrame) -> DataFrame:
     """Moves Y to T or C, and R to A or G, where all samples together show only one of the two; all rules look at the counts before."""
-    all_of = {b: F.sum(f"n_{b}").over(site()) for b in "ACGT"}
+    all_of = {b: F.sum(f"n_{b}").over(site(sites)) for b in "ACGT"}
     seen = sites.select("*", *[x.alias(f"_all_{b}") for b, x in all_of.items()])
 
     def only(b: str, other: str) -> Column:
@@ -128,10 +136,12 @@ def calls(sites: DataFrame, o: Options = Options()) -> DataFrame:
     """All that a site's line needs, a row per sample: mutant over all samples, context, callable, beta, cov, genotype, depth, support, AC, AF, site quality."""
     support = _support(F.col("ref"), _n())
     told = sites.withColumn("sp", support)
+    if not o.verbose:  # most sites show the reference alone; they go before the sums over samples
+        told = told.withColumn("_any", F.max((F.col("n_ret") + F.col("n_conv") > 0) | _other(F.col("ref"), _n())).over(site(told))).where("_any").drop("_any")
     if o.redistribute:
         told = redistributed(told)
-    total = {b: F.sum(f"n_{b}").over(site()) for b in CODES}
-    told = told.select("*", *[x.alias(f"_t_{b}") for b, x in total.items()], F.sum(F.col("n_ret") + F.col("n_conv")).over(site()).alias("_meth"))
+    total = {b: F.sum(f"n_{b}").over(site(told)) for b in CODES}
+    told = told.select("*", *[x.alias(f"_t_{b}") for b, x in total.items()], F.sum(F.col("n_ret") + F.col("n_conv")).over(site(told)).alias("_meth"))
     told = told.withColumn("alt", top_mutant(_n("_t_"), F.col("ref")))
     if not o.verbose:
         told = told.where(F.col("alt").isNotNull() | (F.col("_meth") > 0))
@@ -139,7 +149,7 @@ def calls(sites: DataFrame, o: Options = Options()) -> DataFrame:
     pick = lambda b: F.coalesce(*[F.when(b == x, F.col(f"n_{x}")) for x in CODES], F.lit(0))
     told = told.withColumn("nref", pick(F.col("ref"))).withColumn("nalt", F.when(F.col("alt").isNull(), 0).otherwise(pick(F.col("alt"))))
     told = stats.with_genotype(told)
-    told = told.select("*", F.min("gq").over(site()).alias("_least"), callable_(F.col("n_ret"), F.col("n_conv"), F.col("ref"), _n()).alias("callable"))
+    told = told.select("*", F.min("gq").over(site(told)).alias("_least"), callable_(F.col("n_ret"), F.col("n_conv"), F.col("ref"), _n()).alias("callable"))
     out = told.select(
         "chrom", "pos1", "sid", "ref", "alt", F.when(F.col("ref").isin("C", "G"), sq.context(five, F.col("ref"), o.nome)).alias("cx"), F.when(F.col("ref").isin("C", "G"), five).alias("n5"),
         "n_ret", "n_conv", *[f"n_{b}" for b in CODES], "dp", "sp", "callable", F.when(F.col("callable"), F.col("n_ret") / (F.col("n_ret") + F.col("n_conv"))).alias("beta"),
@@ -150,6 +160,14 @@ def calls(sites: DataFrame, o: Options = Options()) -> DataFrame:
     return out
 
 
+def _other(ref: Column, count_of: dict[str, Column]) -> Column:
+    """Whether a row has a base that the reference's, converted or not, does not explain; without one, and without a cytosine's state, a site has no mutant whatever Y and R are taken for."""
+    found = F.lit(False)
+    for b, n in count_of.items():
+        found |= (n > 0) & (ref != b) & ~ref.isin(*{"Y": ("C", "T"), "R": ("A", "G")}.get(b, (b,)))
+    return found
+
+
 def _support(ref: Column, count_of: dict[str, Column]) -> Column:
     """Counts before redistribution: the reference base first, then codes in order; "." if none."""
     first = F.concat(*[F.when((ref == b) & (n > 0), F.concat(F.lit(b), n.cast("string"))).otherwise("") for b, n in count_of.items()])

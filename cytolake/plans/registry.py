@@ -99,7 +99,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, sf_dir: str, o: pileup.Options = pileup.Options()) -> DataFrame:
-    return pileup.calls(pileup.counts(pileup.site_bases(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), o)), o)
+    return pileup.calls(pileup.counts(pileup.site_bases(fx.alignments(spark, sf_dir), fx.genome(spark, sf_dir), o), dealt=True), o)
 
 
 @query("pileup_meth", "SELECT chrom, pos1, sid, n_ret, n_conv FROM plp WHERE n_ret + n_conv > 0", "plp")
@@ -114,7 +114,7 @@ def pileup_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pileup_redistribute", 'SELECT chrom, pos1, sid, n_A AS "n_A", n_C AS "n_C", n_G AS "n_G", n_T AS "n_T", n_Y AS "n_Y", n_R AS "n_R" FROM red', "red")
 def pileup_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.redistributed(pileup.counts(_rows(spark, sf_dir))).drop("ref", "five", "dp", "n_ret", "n_conv")
+    return pileup.redistributed(pileup.counts(_rows(spark, sf_dir), dealt=True)).drop("blk", "ref", "five", "dp", "n_ret", "n_conv")
 
 
 @query("pileup_top_allele", "SELECT chrom, pos1, sid, ref, alt, ac, af1, sp FROM call WHERE alt IS NOT NULL", "call")
